@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from mnemograph.llm import binary_ids, byte_bpe, decontaminate, token_counts
+from mnemograph.llm import binary_ids, byte_bpe, decontaminate, language_id, near_dedup, token_counts
 from mnemograph.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_decontamination(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_language_id(spark, sf_dir):
+    return language_id.report(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -20,11 +24,15 @@ def op7_token_id_files(spark, sf_dir):
     return binary_ids.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_near_dedup(spark, sf_dir):
+    return near_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark, sf_dir):
     return byte_bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op4_token_counts, op7_token_id_files, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op3_language_id, op4_token_counts, op7_token_id_files, op9_near_dedup, op10_byte_bpe)}
 
 ORACLES = {
     "op1_decontamination": r"""
