@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from mnemograph.llm import binary_ids, byte_bpe, decontaminate, language_id, near_dedup, token_counts
+from mnemograph.llm import binary_ids, byte_bpe, decontaminate, language_id, near_dedup, sharding, token_counts, url_rules
 from mnemograph.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_decontamination(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_url_filter(spark, sf_dir):
+    return url_rules.report(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op3_language_id(spark, sf_dir):
     return language_id.report(table(spark, sf_dir, "documents"))
 
@@ -20,6 +24,10 @@ def op4_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_sharding(spark, sf_dir):
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
 def op7_token_id_files(spark, sf_dir):
     return binary_ids.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -32,7 +40,7 @@ def op10_byte_bpe(spark, sf_dir):
     return byte_bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_language_id, op4_token_counts, op7_token_id_files, op9_near_dedup, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_url_filter, op3_language_id, op4_token_counts, op5_sharding, op7_token_id_files, op9_near_dedup, op10_byte_bpe)}
 
 ORACLES = {
     "op1_decontamination": r"""
@@ -57,5 +65,19 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0)
        CAST(coalesce(t.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(t.s, '')) AS items_sha256,
        coalesce(c.n_hit, 0) > 0 AND 20 * coalesce(c.n_hit, 0) >= len(d.w) AS contaminated
 FROM d LEFT JOIN cov c USING (doc_id) LEFT JOIN its t USING (doc_id)
+""",
+    "op5_sharding": r"""
+WITH RECURSIVE sized AS (
+  SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes,
+         lpad(bin(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT)), 32, '0')
+         || lpad(bin(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || chr(10) || coalesce(text, '')), 1, 8) AS BIGINT)), 32, '0') AS bits
+  FROM documents),
+split AS (
+  SELECT 0 AS depth, doc_id, n_bytes, bits, CAST(sum(n_bytes) OVER () AS BIGINT) AS shard_bytes FROM sized
+  UNION ALL
+  SELECT depth + 1, doc_id, n_bytes, bits, CAST(sum(n_bytes) OVER (PARTITION BY substr(bits, 1, depth + 1)) AS BIGINT)
+  FROM split WHERE shard_bytes > 67108864 AND depth < 64)
+SELECT doc_id, n_bytes, substr(bits, 1, depth) AS shard, depth, shard_bytes, shard_bytes <= 67108864 AS fits
+FROM split WHERE shard_bytes <= 67108864 OR depth = 64
 """,
 }
