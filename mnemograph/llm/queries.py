@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from mnemograph.llm import binary_ids, byte_bpe, decontaminate, language_id, near_dedup, sharding, token_counts, url_rules
+from mnemograph.llm import binary_ids, byte_bpe, decontaminate, language_id, language_model, near_dedup, quality_rules, sharding, token_counts, url_rules
 from mnemograph.llm.common import table
 
 
@@ -28,10 +28,18 @@ def op5_sharding(spark, sf_dir):
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scores(spark, sf_dir):
+    return language_model.report(table(spark, sf_dir, "documents"))
+
+
 def op7_token_id_files(spark, sf_dir):
     return binary_ids.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_quality_rules(spark, sf_dir):
+    return quality_rules.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_near_dedup(spark, sf_dir):
     return near_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -40,7 +48,10 @@ def op10_byte_bpe(spark, sf_dir):
     return byte_bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_url_filter, op3_language_id, op4_token_counts, op5_sharding, op7_token_id_files, op9_near_dedup, op10_byte_bpe)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_decontamination, op2_url_filter, op3_language_id, op4_token_counts, op5_sharding, op6_lm_scores, op7_token_id_files, op8_quality_rules, op9_near_dedup, op10_byte_bpe)
+}
 
 ORACLES = {
     "op1_decontamination": r"""
