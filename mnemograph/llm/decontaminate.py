@@ -241,20 +241,21 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", window: int = W
     (from the first byte of the first hit word to the last byte of the last).
     """
     found, col = find_spans(docs, items, text=text, window=window, block_words=block_words)
+    names = docs.columns
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hits = batch.column(col).to_pylist()
             bad = [is_contaminated(h, coverage) for h in hits]
-            at = batch.schema.names.index(text)
-            cols = [batch.column(c) for c in docs.columns]
+            at = names.index(text)
+            cols = [batch.column(c) for c in names]
             if remove_spans:
                 old = byte_texts(batch.column(text))
                 new = [cut(t, h["spans"]) if b else t for t, h, b in zip(old, hits, bad)]
                 cols[at] = pa.array(new, pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays(cols, docs.columns)
+                yield pa.RecordBatch.from_arrays(cols, names)
             else:
-                yield pa.RecordBatch.from_arrays(cols, docs.columns).filter(pa.array([not b for b in bad], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(cols, names).filter(pa.array([not b for b in bad], pa.bool_()))
 
     return found.mapInArrow(keep, docs.schema)
 

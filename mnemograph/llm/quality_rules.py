@@ -34,16 +34,16 @@ THRESHOLDS = 24
 #: Rules of the list, conditions of a rule, precision on pruning rows, rows covered there.
 MOST_RULES, MOST_CONDITIONS, PRECISION, LEAST_COVER = 12, 4, 0.9, 4
 #: The lexicon: words at most, labelled toxic rows and share of a word's rows that are toxic at least.
-LEXICON, LEXICON_ROWS, LEXICON_SHARE = 300, 5, 0.8
+LEXICON, LEXICON_ROWS, LEXICON_SHARE = 600, 3, 0.8
 CANDIDATES = 3000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_shouts", "n_flagged")
 
-def letters(text: str) -> Column:
+def letters(text: Column) -> Column:
     """Lower-case runs of letters."""
     return F.split(F.lower(text), r"[^\p{L}]+")
 
 
-def left(text: str, kept: str) -> Column:
+def left(text: Column, kept: str) -> Column:
     """Number of characters of a class."""
     return F.length(F.regexp_replace(text, f"[^{kept}]+", ""))
 
@@ -66,21 +66,22 @@ def measured(docs: DataFrame, text: str, lexicon: list[str], name: str) -> DataF
     twice = F.zip_with(F.slice(o, 1, m - 1), F.slice(o, 2, m - 1), lambda a, b: F.when(a["h"] == b["h"], F.array(a["p"], b["p"])).otherwise(F.array().cast("array<int>")))
     places = F.array_distinct(F.flatten(F.transform(F.flatten(twice), lambda p: F.array(p, p + 1, p + 2))))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^ \t-\r]"))
-    flagged = F.size(F.filter(letters(text), lambda x: x.isin(lexicon))) if lexicon else F.lit(0)
+    flagged = F.size(F.filter(letters(t), lambda x: x.isin(lexicon))) if lexicon else F.lit(0)
     counts = F.struct(
         n.cast("long").alias("n_words"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-        left(text, r"#*$%&|<>").cast("long").alias("n_symbols"),
+        left(t, r"#*$%&|<>").cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         F.coalesce(F.when(F.col(some), F.size(places)), F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size(lines).cast("long").alias("n_lines"),
-        left(text, r"\p{Lu}").cast("long").alias("n_upper"),
-        left(text, "0-9").cast("long").alias("n_digits"),
-        left(text, "!").cast("long").alias("n_shouts"),
+        left(t, r"\p{Lu}").cast("long").alias("n_upper"),
+        left(t, "0-9").cast("long").alias("n_digits"),
+        left(t, "!").cast("long").alias("n_shouts"),
         F.coalesce(flagged, F.lit(0)).cast("long").alias("n_flagged"),
+        # a non-deterministic field keeps the optimizer from copying the counts into each later use and filter
+        F.monotonically_increasing_id().alias("row"),
     )
-    zero = F.struct(*(F.lit(0).cast("long").alias(c) for c in COUNTS))
-    return d.withColumn(name, F.when(F.col(text).isNull(), zero).otherwise(counts)).drop(words, some, order)
+    return d.withColumn(name, counts).drop(words, some, order)
 
 
 def statistics(at: str = "") -> dict[str, Column]:
@@ -116,7 +117,7 @@ def labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str) -> Data
 
 def learn_lexicon(rows: DataFrame) -> list[str]:
     """Words in at least LEXICON_ROWS toxic rows, nearly all of whose rows are toxic."""
-    distinct = F.array_distinct(letters("text"))
+    distinct = F.array_distinct(letters(F.col("text")))
     toxic = rows.where("toxic").select(F.explode(distinct).alias("word")).where("word != ''").groupBy("word").agg(F.count("*").alias("toxic"))
     frequent = stored(toxic.where(F.col("toxic") >= LEXICON_ROWS).orderBy(F.desc("toxic"), "word").limit(CANDIDATES), "candidates")
     clean = rows.where("NOT toxic").select(F.explode(distinct).alias("word")).join(F.broadcast(frequent.select("word")), "word").groupBy("word").agg(F.count("*").alias("clean"))
