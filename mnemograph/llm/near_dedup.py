@@ -250,7 +250,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     more = stored(verified(pairs, grams, threshold), "links")
     if not more.isEmpty():
         bridges = more.join(labels.withColumnsRenamed({"node": "a", "comp": "ca"}), "a", "left").join(labels.withColumnsRenamed({"node": "b", "comp": "cb"}), "b", "left")
-        bridges = components(bridges.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))).withColumnsRenamed({"node": "comp", "comp": "root"})
+        bridges = components(bridges.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))).select(F.col("node").alias("comp"), F.col("comp").alias("root"))
         touched = labels.select("node", "comp").union(bridges.select("comp", F.col("comp").alias("same"))).distinct()
         labels = stored(touched.join(bridges, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")).distinct(), "labels")
     nodes = nodes.join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "id", "copies", F.coalesce("comp", "key").alias("comp"))
