@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mnemograph.plans import graphs, vectors
+
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = "rt7_cosine_baseline"
+MODULES = (vectors, graphs)
+QUERIES: dict[str, Query] = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLES: dict[str, str] = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
+FLAGSHIP = "rt3_graph_retrieval"
