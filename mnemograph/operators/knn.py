@@ -41,20 +41,22 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def search(queries: DataFrame, keys: DataFrame, k: int | None = None, least: float | None = None, metric: str = "cosine", ids: str = "long", block: int = BLOCK) -> DataFrame:
+def search(queries: DataFrame, keys: DataFrame, k: int | None = None, least: float | None = None, metric: str = "cosine", ids: str = "long", block: int = BLOCK, beta: float = 10.0) -> DataFrame:
     """(qid, id, score): per query the k best keys other than itself, or all that score `least` or more.
 
-    queries(qid, qvec), keys(id, vec). metric: cosine or dot. Null vectors are skipped;
-    a zero vector has cosine 0 with all. Ties go to the lesser id.
+    queries(qid, qvec), keys(id, vec). metric: cosine, dot, or warped, which is
+    -(1 - cosine) / (1 + beta * mass) for keys(id, vec, mass). Null vectors are
+    skipped; a zero vector has cosine 0 with all. Ties go to the lesser id.
     """
     spark, found = queries.sparkSession, None
-    keys = keys.select("id", "vec").where("vec IS NOT NULL")
+    keys = keys.select("id", "vec", *(["mass"] if metric == "warped" else [])).where("vec IS NOT NULL")
+    cosine = metric != "dot"
 
     def table(q, key, score) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(key, pa.int64() if ids == "long" else pa.string()), pa.array(score, pa.float64())], ["qid", "id", "score"])
 
     for qids, qm in blocks(queries, block):
-        shared = spark.sparkContext.broadcast((qids, unit_rows(qm) if metric == "cosine" else qm))
+        shared = spark.sparkContext.broadcast((qids, unit_rows(qm) if cosine else qm))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             qid, q = shared.value
@@ -66,7 +68,9 @@ def search(queries: DataFrame, keys: DataFrame, k: int | None = None, least: flo
                 m = matrix(batch.column("vec"))
                 for a in range(0, len(key), 2048):
                     part = m[a : a + 2048]
-                    scores = q @ (unit_rows(part) if metric == "cosine" else part).T
+                    scores = q @ (unit_rows(part) if cosine else part).T
+                    if metric == "warped":
+                        scores = (scores - 1) / (1 + beta * np.asarray(batch.column("mass"), np.float64)[a : a + 2048])
                     if k is None:
                         i, j = np.nonzero(scores >= least)
                         here = np.array(key[a : a + 2048], dtype=object)[j]

@@ -272,15 +272,10 @@ def rt6_mass_warped(spark, sf_dir):
 
 
 def warped(spark, sf_dir, k):
-    """Best k by (1 - cos) / (1 + 10 mass). Only keys that beat some better-massed key can enter, so the k best of each mass class are enough."""
-    keys = keys_of(spark, sf_dir).withColumn("c", F.col("id") % 10)
-    q = query_vectors(spark, sf_dir)
-    found = None
-    for c in range(10):  # the mass takes ten values here
-        one = knn.search(q, keys.where(F.col("c") == c), k=k)
-        found = one if found is None else found.union(one)
-    d = retrieve.mass_warped(found.withColumn("mass", (1 + F.col("id") % 10) / 10.0))
-    return ranking.top_k(d.withColumn("gain", -F.col("warped")), k, "gain")
+    """(qid, id, score, rank): best k by (1 - cos) / (1 + 10 mass); the score is the cosine."""
+    keys = keys_of(spark, sf_dir).withColumn("mass", (1 + F.col("id") % 10) / 10.0)
+    d = ranking.ranked(knn.search(query_vectors(spark, sf_dir), keys, k=k, metric="warped"))
+    return d.withColumn("score", 1 + F.col("score") * (1 + 10 * (1 + F.col("id") % 10) / 10.0))
 
 
 HYPER = f"""{STATE}, q AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS qvec, CAST(1 + vec_id % 4 AS DOUBLE) AS qr FROM embeddings WHERE vec_id % 50 = 0),
