@@ -104,7 +104,12 @@ def emotion_words() -> list[tuple[str, str]]:
 def emotion_shares(text: Column) -> Column:
     """Map category to share of lexicon words; neutral 1 without any; all 0 for blank text."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0))
-    counts = {c: F.size(F.filter(words, lambda w, c=c: w.isin(LEXICON[c].split()))) for c in CATEGORIES}
+
+    def named(category: str) -> Column:
+        known = LEXICON[category].split()
+        return F.size(F.filter(words, lambda w: w.isin(known)))
+
+    counts = {c: named(c) for c in CATEGORIES}
     whole = sum(counts.values(), F.lit(0))
     blank = F.coalesce(F.trim(text) == "", F.lit(True))
     share = lambda c: F.when(blank, 0.0).when(whole == 0, 1.0 if c == "neutral" else 0.0).otherwise(F.try_divide(counts[c], whole))
@@ -119,7 +124,7 @@ def emotion_vector(response: Column) -> Column:
     """Unit vector of the scores in a model's response: JSON, else name by name; uniform where all are 0."""
     text = F.regexp_extract(response, r"\{[^{}]*\}", 0)
     parsed = F.from_json(F.when(text != "", text).otherwise(response), "map<string,double>")
-    by_name = lambda e: F.try_to_number(F.nullif(F.regexp_extract(response, rf'"{e}"\s*:\s*([0-9]+\.?[0-9]*)', 1), F.lit("")), F.lit("999999.999999")).cast("double")
+    by_name = lambda e: F.nullif(F.regexp_extract(response, rf'"{e}"\s*:\s*([0-9]+\.?[0-9]*)', 1), F.lit("")).cast("double")
     raw = F.array(*(F.coalesce(F.when(parsed.isNotNull(), parsed[e]).otherwise(by_name(e)), F.lit(0.0)) for e in EMOTIONS))
     size = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
     return F.when(size > 0, F.transform(raw, lambda x: x / size)).otherwise(F.array_repeat(F.lit(1.0 / len(EMOTIONS)), len(EMOTIONS)))

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemograph.plans import evaluation, graphs, vectors
+from mnemograph.plans import corpus, evaluation, graphs, streams, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (vectors, graphs, evaluation)
+MODULES = (vectors, graphs, evaluation, corpus, streams)
 QUERIES: dict[str, Query] = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
 FLAGSHIP = "rt3_graph_retrieval"

@@ -89,22 +89,21 @@ def read_any_text(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of whole files, decoded by the first charset that fits: utf-8, gbk, gb2312, latin-1."""
     from collections.abc import Iterator
 
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def decoded(data: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def one(b: bytes) -> str:
-            for charset in ("utf-8", "gbk", "gb2312", "latin-1", "cp1252"):
-                try:
-                    return b.decode(charset)
-                except UnicodeDecodeError:
-                    continue
-            return b.decode("utf-8", "ignore")
-
-        for part in data:
-            yield part.map(one)
-
-    return spark.read.format("binaryFile").load(path).select("path", decoded("content").alias("text"))
+    import pyarrow as pa
+
+    def one(b: bytes) -> str:
+        for charset in ("utf-8", "gbk", "gb2312", "latin-1", "cp1252"):
+            try:
+                return b.decode(charset)
+            except UnicodeDecodeError:
+                continue
+        return b.decode("utf-8", "ignore")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array([one(b) for b in batch.column("content").to_pylist()], pa.string())], ["path", "text"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, text string")
 
 
 def run_log(lines: DataFrame) -> DataFrame:
