@@ -12,9 +12,11 @@ similarity of the shingle sets reaches the threshold. Classes are connected
 components of links.
 
 No bucket is expanded into all its pairs. First each node is held against one
-representative, the bucket minimum it shares most bands with; components come
-from pointer jumping, since these links form a forest. Then only nodes of
-different components that still share a bucket are held against each other.
+representative, the bucket minimum it shares most bands with. In a few turns, nodes whose bucket holds
+another component are held against one other hub each. Last, the nodes outside a
+bucket's largest component are compared with the bucket's nodes of other
+components by size and a parity bitmap, an exact filter inside the join; only
+pairs that pass leave it to be verified.
 Nothing of a whole bucket is in one task: representatives are map-side minima,
 joins by bucket split where hot. Probability of a pair at similarity 0.8 sharing
 no band of the defaults: (1 - 0.8^4)^24, under 4e-6.
@@ -32,7 +34,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +49,11 @@ WORD_CACHE = 300_000
 #: Rows of node ids up to which the texts to verify are found by a broadcast.
 BROADCAST_ROWS = 500_000
 
+#: 64-bit words of a node's parity bitmap.
+PARITY = 16
+#: Turns in which nodes of different components in one bucket are held against a hub, before the rest is compared in full.
+HUB_TURNS = 4
+
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -171,7 +178,10 @@ def sketched(docs: DataFrame, doc_id: str, text: str, bands: int, rows: int) ->
 
 
 def contents(docs: DataFrame, keys: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(key, grams) of the wanted nodes: their sorted distinct shingle hashes, from the texts of their least ids."""
+    """(key, grams, n, parity) of the wanted nodes: their sorted distinct shingle hashes, from the texts of their least ids.
+
+    parity: PARITY words of 64 bits; a shingle flips one bit.
+    """
     ids = nodes.join(keys, "key", "left_semi").select("id").distinct()
     small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     found = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
@@ -184,15 +194,29 @@ def contents(docs: DataFrame, keys: DataFrame, nodes: DataFrame, doc_id: str, te
                 words = t.translate(ASCII_WORDS).split() if t else []
                 key = node_key(t, words)
                 if words and key not in got:
-                    got[key] = np.unique(shingles(words)).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(got.keys(), pa.binary()), pa.array(got.values(), pa.binary())], ["key", "grams"])
+                    grams = np.unique(shingles(words))
+                    bits = np.bincount((grams >> np.uint64(20)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
+                    got[key] = (grams.tobytes(), len(grams), np.packbits(bits.astype(np.uint8)).view(np.int64).tolist())
+            cols = list(zip(*got.values())) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(got.keys(), pa.binary()), pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int64()))], ["key", "grams", "n", "parity"])
+
+    return found.mapInArrow(run, "key binary, grams binary, n long, parity array<long>").dropDuplicates(["key"]).join(keys, "key", "left_semi")
+
 
-    return found.mapInArrow(run, "key binary, grams binary").dropDuplicates(["key"]).join(keys, "key", "left_semi")
+def may_match(a: str, b: str, threshold: float) -> Column:
+    """Whether two sets can reach the threshold: sizes are near, and parities differ in no more bits than the sets may.
+
+    Each shingle of one set alone flips one bit, so differing bits never outnumber
+    them: no pair over the threshold is lost.
+    """
+    n, m = F.col(a + "n"), F.col(b + "n")
+    apart = sum((F.bit_count(F.col(f"{a}p{k}").bitwiseXOR(F.col(f"{b}p{k}"))) for k in range(PARITY)), F.lit(0))
+    return (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9) & (apart <= (n + m) * ((1 - threshold) / (1 + threshold)) + 1e-9)
 
 
 def verified(pairs: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets' Jaccard similarity reaches the threshold."""
-    both = pairs.join(grams.withColumnsRenamed({"key": "a", "grams": "x"}), "a").join(grams.withColumnsRenamed({"key": "b", "grams": "y"}), "b").select("a", "b", "x", "y")
+    both = pairs.join(grams.select(F.col("key").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("key").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,22 +263,59 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     grams = stored(contents(docs, members.select("key").distinct(), nodes, doc_id, text), "grams")
     links = stored(verified(star, grams, threshold), "links")
     labels = components(links)
-    # nodes of different components that share a bucket: the strays of a bucket against all its other components
-    placed = stored(members.join(labels.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("comp", "key").alias("comp")), "placed")
+    shape = grams.select("key", "n", *(F.col("parity")[k].alias(f"p{k}") for k in range(PARITY)))
+    placed = members.join(labels.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("comp", "key").alias("comp"))
+    placed = stored(mixed_only(placed).join(shape, "key"), "placed")
+    moves: list[DataFrame] = []
+    for turn in range(HUB_TURNS + 1):
+        if placed.isEmpty():
+            break
+        pairs = hub_pairs(placed, turn, threshold) if turn < HUB_TURNS else stray_pairs(placed, threshold)
+        more = stored(verified(pairs.select("a", "b").distinct(), grams, threshold), "links")
+        if more.isEmpty():
+            continue
+        comp = placed.select("key", "comp").distinct()
+        bridges = more.join(comp.select(F.col("key").alias("a"), F.col("comp").alias("ca")), "a").join(comp.select(F.col("key").alias("b"), F.col("comp").alias("cb")), "b")
+        moved = stored(components(bridges.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("comp"), F.col("comp").alias("root")), "moved")
+        placed = stored(mixed_only(rerooted(placed, moved)), "placed")
+        moves.append(moved)
+    nodes = nodes.join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "id", "copies", F.coalesce("comp", "key").alias("comp"))
+    for moved in moves:
+        nodes = rerooted(nodes, moved)
+    return sketches.select("id", "key"), stored(nodes.select("key", "id", "copies", "comp"), "classes")
+
+
+def rerooted(rows: DataFrame, moved: DataFrame) -> DataFrame:
+    """rows with the component's new root where it has one."""
+    columns = rows.columns
+    return rows.join(moved.select("comp", "root"), "comp", "left").select(*(F.coalesce("root", "comp").alias("comp") if c == "comp" else F.col(c) for c in columns))
+
+
+def mixed_only(placed: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several components."""
     mixed_up = placed.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("band")
-    placed = stored(placed.join(mixed_up, "band", "left_semi"), "placed")
+    return placed.join(mixed_up, "band", "left_semi")
+
+
+def prefixed(rows: DataFrame, prefix: str) -> DataFrame:
+    return rows.select("band", *(F.col(c).alias(prefix + c) for c in rows.columns if c != "band"))
+
+
+def hub_pairs(placed: DataFrame, turn: int, threshold: float) -> DataFrame:
+    """Per node of a mixed bucket one hub to be held against: another turn, other hubs. Linear in the rows."""
+    hubs = placed.groupBy("band").agg(F.min_by("key", F.struct(F.xxhash64("key", F.lit(turn)), "key")).alias("key"))
+    hubs = prefixed(placed.join(hubs, ["band", "key"], "left_semi"), "h_")
+    found = placed.join(hubs, "band").where((F.col("comp") != F.col("h_comp")) & may_match("", "h_", threshold))
+    best = found.groupBy("key", "h_key").agg(F.count("*").alias("bands")).groupBy("key").agg(F.max(F.struct("bands", "h_key"))["h_key"].alias("b"))
+    return best.select(F.col("key").alias("a"), "b")
+
+
+def stray_pairs(placed: DataFrame, threshold: float) -> DataFrame:
+    """Each bucket's nodes outside its largest component with all nodes of other components that may match."""
     main = placed.groupBy("band", "comp").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"))
-    strays = placed.join(main, "band").where("comp != main").select("band", F.col("key").alias("a"), F.col("comp").alias("ca"))
-    others = placed.select("band", F.col("key").alias("b"), F.col("comp").alias("cb"))
-    pairs = strays.join(others, "band").where("ca != cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = stored(verified(pairs, grams, threshold), "links")
-    if not more.isEmpty():
-        bridges = more.join(labels.withColumnsRenamed({"node": "a", "comp": "ca"}), "a", "left").join(labels.withColumnsRenamed({"node": "b", "comp": "cb"}), "b", "left")
-        bridges = components(bridges.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))).select(F.col("node").alias("comp"), F.col("comp").alias("root"))
-        touched = labels.select("node", "comp").union(bridges.select("comp", F.col("comp").alias("same"))).distinct()
-        labels = stored(touched.join(bridges, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")).distinct(), "labels")
-    nodes = nodes.join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "id", "copies", F.coalesce("comp", "key").alias("comp"))
-    return sketches.select("id", "key"), stored(nodes, "classes")
+    strays = prefixed(placed.join(main, "band").where("comp != main").drop("main"), "s_")
+    found = strays.join(placed, "band").where((F.col("s_comp") != F.col("comp")) & may_match("s_", "", threshold))
+    return found.select(F.least("s_key", "key").alias("a"), F.greatest("s_key", "key").alias("b"))
 
 
 def report(docs: DataFrame, **settings) -> DataFrame:
