@@ -25,15 +25,18 @@ from pyspark.sql import types as T
 from mnemograph.llm.common import byte_texts, unused
 from mnemograph.llm.pretokens import PartCache, read_ranks, splitter
 
-#: Bits of a leaf word of the bitmap.
-LEAF = 256
+#: Ranks that one leaf of the bitmap stands for, as a power of two.
+LEAF_BITS = 9
+LEAF_MASK = (1 << LEAF_BITS) - 1
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one pre-token.
 
-    The rank queue: buckets (positions by rank), leaves (bitmaps of LEAF ranks
-    each) and top (the bitmap of leaves in use).
+    The rank queue: buckets (by rank, a position or a heap of several), leaves
+    (bitmaps of 2^LEAF_BITS ranks each) and top (the bitmap of leaves in use). now has
+    the rank of the pair that begins at a position, so that a popped entry with
+    another rank is known as stale.
     """
     rank_of = ranks.get
     whole = rank_of(piece)
@@ -42,49 +45,75 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     n = len(piece)
     ends = list(range(1, n + 1))  # end of the part that starts here; its neighbour to the right starts there
     before = list(range(-1, n - 1))
-    buckets: dict[int, list[int]] = {}
+    now = [rank_of(piece[i : i + 2]) for i in range(n - 1)]
+    now.append(None)
+    buckets: dict[int, int | list[int]] = {}
     leaves: dict[int, int] = {}
     top = 0
-    fresh = [(i, rank_of(piece[i : i + 2])) for i in range(n - 1)]
-    while True:
-        for i, rank in fresh:
-            if rank is None:
-                continue
-            bucket = buckets.get(rank)
-            if bucket:
-                heappush(bucket, i)
-            else:
-                buckets[rank] = [i]
-                high = rank // LEAF
-                leaves[high] = leaves.get(high, 0) | 1 << rank % LEAF
-                top |= 1 << high
-        while top:
-            high = (top & -top).bit_length() - 1
-            leaf = leaves[high]
-            rank = high * LEAF + (leaf & -leaf).bit_length() - 1
+    for i, rank in enumerate(now):
+        if rank is None:
+            continue
+        if rank in buckets:
             bucket = buckets[rank]
-            i = heappop(bucket)
-            if not bucket:
-                leaves[high] = leaf & (leaf - 1)
-                if not leaves[high]:
-                    top &= top - 1
-            j = ends[i]
-            if 0 < j < n and rank_of(piece[i : ends[j]]) == rank:
-                break  # else the entry is stale
+            if type(bucket) is int:
+                buckets[rank] = [bucket, i]
+            else:
+                bucket.append(i)  # in order, so still a heap
+        else:
+            buckets[rank] = i
+            high = rank >> LEAF_BITS
+            leaves[high] = leaves.get(high, 0) | 1 << (rank & LEAF_MASK)
+            top |= 1 << high
+    while top:
+        low_top = top & -top
+        high = low_top.bit_length() - 1
+        leaf = leaves[high]
+        low = leaf & -leaf
+        rank = (high << LEAF_BITS) + low.bit_length() - 1
+        i = buckets[rank]
+        if type(i) is int:
+            del buckets[rank]
+            leaves[high] = leaf = leaf ^ low
+            if not leaf:
+                top ^= low_top
         else:
-            break
-        end = ends[i] = ends[j]
-        ends[j] = 0  # no part starts here any more
-        fresh = []
+            bucket = i
+            i = heappop(bucket)
+            if len(bucket) == 1:
+                buckets[rank] = bucket[0]
+        if now[i] != rank:
+            continue  # stale
+        middle = ends[i]
+        ends[i] = end = ends[middle]
+        now[middle] = None
         if end < n:
             before[end] = i
-            fresh.append((i, rank_of(piece[i : ends[end]])))
-        if (left := before[i]) >= 0:
-            fresh.append((left, rank_of(piece[left:end])))
+            now[i] = rank_of(piece[i : ends[end]])
+        else:
+            now[i] = None
+        left = before[i]
+        if left >= 0:
+            now[left] = rank_of(piece[left:end])
+        for at in (left, i) if left >= 0 else (i,):
+            rank = now[at]
+            if rank is None:
+                continue
+            if rank in buckets:
+                bucket = buckets[rank]
+                if type(bucket) is int:
+                    buckets[rank] = [bucket, at] if bucket < at else [at, bucket]
+                else:
+                    heappush(bucket, at)
+            else:
+                buckets[rank] = at
+                high = rank >> LEAF_BITS
+                leaves[high] = leaves.get(high, 0) | 1 << (rank & LEAF_MASK)
+                top |= 1 << high
     ids, i = [], 0
     while i < n:
-        ids.append(ranks[piece[i : ends[i]]])
-        i = ends[i]
+        end = ends[i]
+        ids.append(ranks[piece[i:end]])
+        i = end
     return ids
 
 

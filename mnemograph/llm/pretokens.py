@@ -8,7 +8,7 @@ import public_tokenizers
 import regex
 
 #: Entries in either half of a cache.
-CACHE_SIZE = 200_000
+CACHE_SIZE = 400_000
 #: Longer pre-tokens aren't kept.
 CACHE_CHARS = 64
 
