@@ -64,7 +64,10 @@ def build(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     m = mentions(triples)
     nodes = m.select(F.col("entity").alias("id"), F.lit("entity").alias("kind")).union(m.select("chunk_id", F.lit("passage"))).distinct()
-    return nodes, valid_edges(fact_edges(triples).union(passage_edges(triples)), nodes)
+    # both ends of each edge are mentions, so only loops can be invalid
+    facts = triples.select(F.explode(F.array(F.struct(F.col("s").alias("src"), F.col("o").alias("dst")), F.struct(F.col("o").alias("src"), F.col("s").alias("dst")))).alias("e")).select("e.src", "e.dst")
+    edges = facts.union(m.select("chunk_id", "entity")).where("src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
+    return nodes, edges
 
 
 def pagerank(edges: DataFrame, reset: DataFrame, damping: float = DAMPING, steps: int = STEPS, keep_every: int = 5) -> DataFrame:
@@ -76,7 +79,9 @@ def pagerank(edges: DataFrame, reset: DataFrame, damping: float = DAMPING, steps
     """
     both = edges.select("src", "dst", "w").union(edges.select(F.col("dst"), F.col("src"), F.col("w"))).groupBy("src", "dst").agg(F.sum("w").alias("w"))
     out = both.groupBy("src").agg(F.sum("w").alias("out"))
-    walk = stores.kept(both.join(out, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("p")).repartition("src"), "walk")
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    walk = stores.kept(both.join(out, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("p")), "walk")
+    walk = walk.repartition(parts, "src").persist()  # dealt once for all steps; a lost part is read again from the table
     clean = reset.where("w > 0 AND NOT isnan(w)").groupBy("qid", "node").agg(F.sum("w").alias("w"))
     whole = clean.groupBy("qid").agg(F.sum("w").alias("t"))
     r = stores.kept(clean.join(F.broadcast(whole), "qid").select("qid", "node", (F.col("w") / F.col("t")).alias("r")), "reset")
@@ -90,6 +95,7 @@ def pagerank(edges: DataFrame, reset: DataFrame, damping: float = DAMPING, steps
         x = flow.select("qid", "node", (F.col("f") * damping).alias("f")).union(home).groupBy("qid", "node").agg(F.sum("f").alias("x"))
         if step % keep_every == 0 or step == steps:
             x = stores.kept(x, "rank")
+    walk.unpersist()
     return x.withColumnRenamed("x", "score")
 
 
@@ -124,11 +130,10 @@ def expansion_score(pairs: DataFrame) -> DataFrame:
     return d.select("qid", "node", F.when(top > 0, F.col("s") / top).otherwise(0.0).alias("w"))
 
 
-def survivors(mentions_: DataFrame, deleted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Mentions left when chunks go, and entities that no remaining chunk names."""
-    left = mentions_.join(deleted.select("chunk_id"), "chunk_id", "left_anti")
-    gone = mentions_.select("entity").distinct().join(left.select("entity").distinct(), "entity", "left_anti")
-    return left, gone
+def survivors(mentions_: DataFrame, deleted: DataFrame) -> DataFrame:
+    """(entity, chunks_left) when chunks go; an entity that no remaining chunk names has 0 and goes too."""
+    left = mentions_.join(deleted.select("chunk_id"), "chunk_id", "left_anti").groupBy("entity").agg(F.count("*").alias("n"))
+    return mentions_.select("entity").distinct().join(left, "entity", "left").select("entity", F.coalesce("n", F.lit(0)).alias("chunks_left"))
 
 
 def entity_ids(names: DataFrame, name: str = "name") -> DataFrame:

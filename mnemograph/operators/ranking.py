@@ -10,6 +10,11 @@ def per(*keys: str):
     return Window.partitionBy(*keys)
 
 
+def fresh(key: str) -> Column:
+    """A numeric key as a computed column: Spark 4.1 may pair unequal partitions where a union's sides share a partitioning by key."""
+    return (F.col(key) + F.lit(0).cast("long")).alias(key)
+
+
 def best_first(score: str = "score", ident: str = "id", key: str = "qid"):
     return Window.partitionBy(key).orderBy(F.desc(score), F.asc(ident))
 

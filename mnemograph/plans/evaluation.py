@@ -211,7 +211,7 @@ def ag20_method_comparison(spark, sf_dir):
 SELECT CASE WHEN NOT x AND NOT y THEN 'all missed' WHEN NOT x THEN 'only a missed' WHEN NOT y THEN 'only b missed' ELSE 'all hit' END AS bucket, count(*) AS n, round(avg(qlabel), 6) AS mean_label FROM h GROUP BY 1""")
 def ag21_miss_analysis(spark, sf_dir):
     g = gold(spark, sf_dir)
-    both = first(spark, sf_dir).where("rank <= 3").select("qid", "id", F.lit("a").alias("method")).union(second(spark, sf_dir).where("rank <= 3").select("qid", "id", F.lit("b")))
+    both = first(spark, sf_dir).where("rank <= 3").select(ranking.fresh("qid"), "id", F.lit("a").alias("method")).union(second(spark, sf_dir).where("rank <= 3").select(ranking.fresh("qid"), "id", F.lit("b")))
     flags = evaluate.judged(both, g).groupBy("qid").pivot("method", ["a", "b"]).agg(F.max("hit"))
     d = query_vectors(spark, sf_dir).select("qid", "qlabel").join(flags, "qid", "left").fillna(0, ["a", "b"])
     a, b = F.col("a") == 1, F.col("b") == 1

@@ -85,7 +85,7 @@ def ag7_graph_statistics(spark, sf_dir):
     return a.join(b, F.lit(True)).join(facts, F.lit(True)).select("entities", "passages", "facts", "passage_edges")  # one row each
 
 
-@query(f"{RAW}, {FACTS}, {PASSAGES}, n AS (SELECT DISTINCT entity AS id, 'entity' AS kind FROM m UNION ALL SELECT DISTINCT chunk_id, 'passage' FROM m), e AS (SELECT * FROM fe UNION ALL SELECT * FROM pe) SELECT k.kind, k.n AS nodes, coalesce(d.edges, 0) AS edges, coalesce(d.w, 0) AS weight FROM (SELECT kind, count(*) AS n FROM n GROUP BY 1) k LEFT JOIN (SELECT kind, count(*) AS edges, sum(w) AS w FROM e JOIN n ON n.id = e.src WHERE src <> dst GROUP BY 1) d USING (kind)", also=("jn6_edge_validity",))
+@query(f"{RAW}, {FACTS}, {PASSAGES}, n AS (SELECT DISTINCT entity AS id, 'entity' AS kind FROM m UNION ALL SELECT DISTINCT chunk_id, 'passage' FROM m), e AS (SELECT * FROM fe UNION ALL SELECT * FROM pe) SELECT k.kind, k.n AS nodes, coalesce(d.edges, 0) AS edges, coalesce(d.w, 0) AS weight FROM (SELECT kind, count(*) AS n FROM n GROUP BY 1) k LEFT JOIN (SELECT kind, count(*) AS edges, sum(w) AS w FROM e JOIN n ON n.id = e.src WHERE src <> dst GROUP BY 1) d USING (kind)")
 def gr1_graph_build(spark, sf_dir):
     nodes, edges = graph.build(triples(spark, sf_dir))
     n = nodes.groupBy("kind").agg(F.count("*").alias("nodes"))
@@ -93,6 +93,14 @@ def gr1_graph_build(spark, sf_dir):
     return n.join(e, "kind", "left").select("kind", "nodes", F.coalesce("edges", F.lit(0)).alias("edges"), F.coalesce("weight", F.lit(0.0)).alias("weight"))
 
 
+@query(f"{RAW}, {FACTS}, n AS (SELECT DISTINCT s AS id FROM triples WHERE p IN ('in nation', 'in region') UNION SELECT DISTINCT o FROM triples WHERE p IN ('in nation', 'in region')) SELECT src, dst, w FROM fe WHERE src <> dst AND src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n)")
+def jn6_edge_validity(spark, sf_dir):
+    """Fact edges between places and those who live there alone."""
+    t = triples(spark, sf_dir)
+    nodes = t.where("p IN ('in nation', 'in region')").select(F.explode(F.array("s", "o")).alias("id")).distinct()
+    return graph.valid_edges(graph.fact_edges(t), nodes)
+
+
 SYN = "e AS (SELECT vec_id AS id, 'entity ' || vec_id AS name, CAST(embedding AS DOUBLE[]) AS v, sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings), sy AS (SELECT a.id AS src, b.id AS dst, list_inner_product(a.v, b.v) / (a.n * b.n) AS w FROM e a JOIN e b ON a.id <> b.id WHERE list_inner_product(a.v, b.v) / (a.n * b.n) >= 0.3 QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY list_inner_product(a.v, b.v) / (a.n * b.n) DESC, b.id) <= 101)"
 
 
@@ -235,7 +243,7 @@ def rt3_graph_retrieval(spark, sf_dir):
     scores = graph.pagerank(edges, reset, steps=8, keep_every=4).where("node LIKE 'v%'")
     found = ranking.top_k(scores.withColumn("s", F.round("score", 9)), 10, "s", "node").select("qid", "node", r6("score").alias("score"), F.lit("graph").alias("way"))
     rest = dense.join(hit.select("qid").distinct(), "qid", "left_anti")
-    return found.union(rest.select("qid", F.concat(F.lit("v"), F.col("id").cast("string")), r6("score"), F.lit("dense")))
+    return found.union(rest.select(ranking.fresh("qid"), F.concat(F.lit("v"), F.col("id").cast("string")), r6("score"), F.lit("dense")))
 
 
 @query(f"""{RAW}, m AS (SELECT DISTINCT chunk_id, unnest([s, o]) AS entity FROM triples), dl AS (SELECT 'chunk-' || md5(CAST(o_orderkey AS VARCHAR)) AS chunk_id FROM orders WHERE o_orderstatus = 'F'),
@@ -243,8 +251,7 @@ lf AS (SELECT * FROM m WHERE chunk_id NOT IN (SELECT chunk_id FROM dl)) SELECT e
 def jn12_delete_with_references(spark, sf_dir):
     m = graph.mentions(triples(spark, sf_dir))
     gone = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.concat(F.lit("chunk-"), F.md5(F.col("o_orderkey").cast("string").cast("binary"))).alias("chunk_id"))
-    left, lost = graph.survivors(m, gone)
-    return left.groupBy("entity").agg(F.count("*").alias("chunks_left")).union(lost.select("entity", F.lit(0).cast("long")))
+    return graph.survivors(m, gone)
 
 
 @query(f"{RAW}, a AS (SELECT DISTINCT s AS entity FROM triples WHERE p = 'in nation'), b AS (SELECT DISTINCT o AS entity FROM triples WHERE p IN ('in nation', 'in region')) SELECT entity FROM a UNION SELECT entity FROM b")
