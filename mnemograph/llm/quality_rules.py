@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from mnemograph.llm.common import stored, unused
 
 SPACE = r"[ \t-\r]"
-SAMPLE_ROWS = 20_000
+#: Labelled rows that the rules and the lexicon are fitted on, at most about, by kind.
+SAMPLE = {"toxic": 8000, "bad": 6000, "good": 10_000}
 #: Thresholds per statistic at most.
 THRESHOLDS = 24
 #: Rules of the list, conditions of a rule, precision on pruning rows, rows covered there.
@@ -107,22 +108,28 @@ def base_failed(at: str = "") -> Column:
     return (n < 50) | (100 * r > 50 * n)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(id, text, bad, toxic) of the labelled rows."""
+def sampled(labels: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """(id, toxic, bad, weight) of about sizes[kind] labelled ids of each kind: toxic, else bad, else good. Bounded, drawn by a hash."""
     worst = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(
         F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic"), F.max(F.coalesce((F.col("toxic") == 1) | (F.col("quality") == 0), F.lit(False))).alias("bad")
     )
-    return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("text IS NOT NULL").join(worst, "id")
+    worst = worst.withColumn("kind", F.when(F.col("toxic"), "toxic").when(F.col("bad"), "bad").otherwise("good"))
+    share = {r["kind"]: min(1.0, sizes[r["kind"]] / r["count"]) for r in worst.groupBy("kind").count().collect()}  # three rows
+    drawn, weight = F.lit(False), F.lit(1.0)
+    for kind, part in share.items():
+        own = F.col("kind") == kind
+        drawn, weight = drawn | (own & (F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) < int(part * (1 << 30)))), F.when(own, 1 / part).otherwise(weight)
+    return worst.where(drawn).select("id", "toxic", "bad", weight.alias("weight")).limit(2 * sum(sizes.values()))
 
 
 def learn_lexicon(rows: DataFrame) -> list[str]:
     """Words in at least LEXICON_ROWS toxic rows, nearly all of whose rows are toxic."""
     distinct = F.array_distinct(letters(F.col("text")))
-    toxic = rows.where("toxic").select(F.explode(distinct).alias("word")).where("word != ''").groupBy("word").agg(F.count("*").alias("toxic"))
-    frequent = stored(toxic.where(F.col("toxic") >= LEXICON_ROWS).orderBy(F.desc("toxic"), "word").limit(CANDIDATES), "candidates")
-    clean = rows.where("NOT toxic").select(F.explode(distinct).alias("word")).join(F.broadcast(frequent.select("word")), "word").groupBy("word").agg(F.count("*").alias("clean"))
-    found = frequent.join(clean, "word", "left").where(F.col("toxic") >= LEXICON_SHARE * (F.col("toxic") + F.coalesce("clean", F.lit(0))))
-    return [r["word"] for r in found.orderBy(F.desc("toxic"), "word").limit(LEXICON).collect()]
+    toxic = rows.where("toxic").select(F.explode(distinct).alias("word"), "weight").where("word != ''").groupBy("word").agg(F.count("*").alias("n"), F.sum("weight").alias("toxic"))
+    frequent = stored(toxic.where(F.col("n") >= LEXICON_ROWS).orderBy(F.desc("n"), "word").limit(CANDIDATES), "candidates")
+    clean = rows.where("NOT toxic").select(F.explode(distinct).alias("word"), "weight").join(F.broadcast(frequent.select("word")), "word").groupBy("word").agg(F.sum("weight").alias("clean"))
+    found = frequent.join(clean, "word", "left").where(F.col("toxic") >= LEXICON_SHARE * (F.col("toxic") + F.coalesce("clean", F.lit(0.0))))
+    return [r["word"] for r in found.orderBy(F.desc("n"), "word").limit(LEXICON).collect()]
 
 
 class Learner:
@@ -130,13 +137,13 @@ class Learner:
 
     def __init__(self, rows: DataFrame):
         names = list(statistics())
-        values = rows.select((F.pmod(F.xxhash64("id"), F.lit(3)) == 2).alias("prune"), "bad", *(c.alias(n) for n, c in statistics().items()))
+        values = rows.select((F.pmod(F.xxhash64("id"), F.lit(3)) == 2).alias("prune"), "bad", "weight", *(c.alias(n) for n, c in statistics().items()))
         points = [i / (THRESHOLDS - 1) for i in range(THRESHOLDS)]
         both = [F.percentile_approx(F.when(c, F.col(n)), points, 2000).alias(f"{n}_{k}") for n in names for k, c in (("all", F.lit(True)), ("bad", F.col("bad")))]
         cuts = values.agg(*both).first()
         self.cuts = {n: sorted({round(x, 6) for k in ("all", "bad") for x in (cuts[f"{n}_{k}"] or []) if x > 0} | {1e-6}) for n in names}
         bins = [sum(((F.col(n) >= cut).cast("int") for cut in self.cuts[n]), F.lit(0)).alias(n) for n in names]
-        self.rows = stored(values.select("prune", "bad", *bins), "binned")
+        self.rows = stored(values.select("prune", "bad", "weight", *bins), "binned")
         self.names = names
 
     def where(self, rule: list[tuple[str, str, int]]) -> Column:
@@ -146,11 +153,11 @@ class Learner:
         return found
 
     def histograms(self, rows: DataFrame) -> dict[str, np.ndarray]:
-        """By statistic: rows by bin and label (0 good, 1 bad)."""
+        """By statistic: weight of the rows by bin and label (0 good, 1 bad)."""
         pairs = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).alias("bin")) for n in self.names)))
         out = {n: np.zeros((len(self.cuts[n]) + 1, 2)) for n in self.names}
-        for r in rows.select(pairs.alias("x"), "bad").groupBy("x.name", "x.bin", "bad").count().collect():
-            out[r["name"]][r["bin"], int(r["bad"])] += r["count"]
+        for r in rows.select(pairs.alias("x"), "bad", "weight").groupBy("x.name", "x.bin", "bad").agg(F.sum("weight").alias("w")).collect():
+            out[r["name"]][r["bin"], int(r["bad"])] += r["w"]
         return out
 
     def grow(self, rows: DataFrame) -> list[tuple[str, str, int]]:
@@ -174,9 +181,9 @@ class Learner:
         return rule
 
     def prune(self, rows: DataFrame, rule: list) -> tuple[list, float, float]:
-        """The best beginning of the rule on the pruning rows, with its bad and good rows there."""
+        """The best beginning of the rule on the pruning rows, with its bad and good weight there."""
         ends = range(1, len(rule) + 1)
-        got = rows.agg(*(F.count_if(self.where(rule[:k]) & (F.col("bad") == b)).alias(f"c{k}{int(b)}") for k in ends for b in (True, False))).first()
+        got = rows.agg(*(F.coalesce(F.sum(F.when(self.where(rule[:k]) & (F.col("bad") == b), F.col("weight"))), F.lit(0.0)).alias(f"c{k}{int(b)}") for k in ends for b in (True, False))).first()
         value = {k: (got[f"c{k}1"], got[f"c{k}0"]) for k in ends}
         k = max(ends, key=lambda k: ((value[k][0] - value[k][1]) / max(1, sum(value[k])), -k))
         return rule[:k], *value[k]
@@ -195,14 +202,13 @@ class Learner:
         return found
 
 
-def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE_ROWS) -> tuple[list[str], list]:
-    """(lexicon, rules) from the rows of docs that labels name."""
-    rows = stored(labelled(docs, labels, doc_id, text), "labelled")
+def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", sizes: dict[str, int] = SAMPLE) -> tuple[list[str], list]:
+    """(lexicon, rules) from a bounded sample of the rows of docs that labels name."""
+    few = stored(sampled(labels, sizes), "labels")
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("text IS NOT NULL").join(F.broadcast(few), "id")
+    rows = stored(rows, "labelled")
     lexicon = learn_lexicon(rows)
-    n = rows.count()
-    if n > sample:
-        rows = rows.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
-    counted = stored(measured(rows, "text", lexicon, "m").select("id", "bad", "m.*"), "statistics").where(~base_failed())
+    counted = stored(measured(rows, "text", lexicon, "m").select("id", "bad", "weight", "m.*"), "statistics").where(~base_failed())
     return lexicon, [] if counted.where("bad").isEmpty() else Learner(counted).rules()
 
 
