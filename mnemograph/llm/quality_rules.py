@@ -35,7 +35,7 @@ THRESHOLDS = 24
 #: Rules of the list, conditions of a rule, precision on pruning rows, rows covered there.
 MOST_RULES, MOST_CONDITIONS, PRECISION, LEAST_COVER = 12, 4, 0.9, 4
 #: The lexicon: words at most, labelled toxic rows and share of a word's rows that are toxic at least.
-LEXICON, LEXICON_ROWS, LEXICON_SHARE = 600, 3, 0.8
+LEXICON, LEXICON_ROWS, LEXICON_SHARE = 600, 4, 0.98
 CANDIDATES = 3000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_shouts", "n_flagged")
 
