@@ -39,12 +39,18 @@ def opened(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + os.path.abspath(uri))
 
 
+#: Chunks in either half of the cache.
+CHUNKS = 600_000
+
+
 class ChunkEncoder:
     """Ids of whole texts by the tokenizers library, each distinct white-space-free chunk encoded once.
 
     The vocabulary's rules (composition, lower case, removed white space, word
     pattern, special strings) never reach over ASCII white space, so a text's ids
-    are its chunks' ids in order.
+    are its chunks' ids in order. ASCII letters are folded first, as the rules do
+    later, unless a combining mark might compose with one case only or a special
+    string might arise.
     """
 
     def __init__(self, path: str):
@@ -52,7 +58,7 @@ class ChunkEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache = TwoHalves(self._fill)
+        self.cache = TwoHalves(self._fill, CHUNKS)
 
     def _fill(self, chunks: list[bytes]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
@@ -60,7 +66,11 @@ class ChunkEncoder:
 
     def encode(self, text: bytes | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        return b"".join(self.cache.of(text.split())) if text else b""
+        if not text:
+            return b""
+        if b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text:
+            text = text.lower()
+        return b"".join(self.cache.of(text.split()))
 
 
 @lru_cache(maxsize=2)
