@@ -20,7 +20,6 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mnemograph.llm.common import byte_texts, scratch, stored
+from mnemograph.llm.common import byte_texts, resident, scratch, stored
 from mnemograph.llm.pretokens import TwoHalves
 
 MAGIC, VERSION = 0x4D474944, 1
@@ -73,10 +72,9 @@ class ChunkEncoder:
         return b"".join(self.cache.of(text.split()))
 
 
-@lru_cache(maxsize=2)
 def encoder_of(path: str) -> ChunkEncoder:
     """One per Python worker, so that its cache outlives a task."""
-    return ChunkEncoder(path)
+    return resident(("token-ids", path), lambda: ChunkEncoder(path))
 
 
 def write(docs: DataFrame, tokenizer: str, folder: str, end: int | None = END, width: int = 2, shards: int | None = None) -> DataFrame:

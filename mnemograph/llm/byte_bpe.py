@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 from heapq import heappop, heappush
 from itertools import chain
 
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from mnemograph.llm.common import byte_texts, unused
+from mnemograph.llm.common import byte_texts, resident, unused
 from mnemograph.llm.pretokens import PartCache, read_ranks, splitter
 
 #: Ranks that one leaf of the bitmap stands for, as a power of two.
@@ -134,10 +133,9 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-@lru_cache(maxsize=2)
 def codec_of(path: str) -> Codec:
     """One per Python worker, so that its cache outlives a task."""
-    return Codec(path)
+    return resident(("byte-bpe", path), lambda: Codec(path))
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> tuple[DataFrame, str]:

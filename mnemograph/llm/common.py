@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,6 +43,23 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_kept: dict[tuple, Any] = {}
+
+
+def resident(key: tuple, make: Callable[[], Any]) -> Any:
+    """The one large object (tables, caches) that a Python worker keeps between tasks.
+
+    Another operator's tasks in the same worker replace it, so that a pipeline's
+    stages don't add up in memory.
+    """
+    if key not in _kept:
+        _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name like `name` that df doesn't have (names compare without case)."""
     have = {c.lower() for c in df.columns}

@@ -15,13 +15,14 @@ in the output and aren't listed among items.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from mnemograph.llm.common import ASCII_WORDS, byte_texts, unused
+from mnemograph.llm.common import ASCII_WORDS, byte_texts, resident, unused
 
 WINDOW = 13
 #: Item words per automaton; an automaton has at most twice as many states.
@@ -161,18 +162,23 @@ def item_blocks(items: DataFrame, item_id: str, text: str, window: int, block_wo
         yield block
 
 
-def find_spans(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, name: str = "hits") -> tuple[DataFrame, str]:
-    """docs with a struct column: n_words, spans (flat from, to pairs), items. Returns the frame and the column's name."""
-    spark, out = docs.sparkSession, unused(docs, name)
+def find_spans(docs: DataFrame, items: DataFrame, finish: Callable[[pa.RecordBatch, list[dict]], pa.RecordBatch], schema: T.StructType | str, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """docs through one pass per block of items; the last pass ends with finish(batch, hits).
+
+    hits per row: n_words, spans (flat from, to pairs) and items.
+    """
+    spark, out = docs.sparkSession, unused(docs, "hits")
     kind = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))])
     arrow = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
+    between = T.StructType([*docs.schema.fields, T.StructField(out, kind)])
     blocks = item_blocks(items, item_id, item_text, window, block_words)
     block, first = next(blocks, []), True
-    while first or block:
-        shared, again = spark.sparkContext.broadcast(block), not first
+    while True:
+        following = next(blocks, None)
+        shared, again, last, tag = spark.sparkContext.broadcast(block), not first, following is None, uuid.uuid4().hex
 
-        def search(batches: Iterator[pa.RecordBatch], shared=shared, again=again) -> Iterator[pa.RecordBatch]:
-            sam = build(shared.value, window)
+        def search(batches: Iterator[pa.RecordBatch], shared=shared, again=again, last=last, tag=tag) -> Iterator[pa.RecordBatch]:
+            sam = resident(("automaton", tag), lambda: build(shared.value, window))
             for batch in batches:
                 old = batch.column(out).to_pylist() if again else None
                 rows = []
@@ -184,12 +190,16 @@ def find_spans(docs: DataFrame, items: DataFrame, text: str = "text", item_id: s
                         spans = union([*zip(before[::2], before[1::2]), *spans])
                         hit |= set(old[n]["items"])
                     rows.append({"n_words": len(words), "spans": [x for s in spans for x in s], "items": sorted(hit)})
-                cols = [batch.column(c) for c in batch.schema.names if c != out]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(rows, arrow)], [*(c for c in batch.schema.names if c != out), out])
+                if last:
+                    yield finish(batch, rows)
+                    continue
+                names = [c for c in batch.schema.names if c != out]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(rows, arrow)], [*names, out])
 
-        docs = docs.mapInArrow(search, T.StructType([f for f in docs.schema.fields if f.name != out] + [T.StructField(out, kind)]))
-        block, first = next(blocks, []), False
-    return docs, out
+        docs = docs.mapInArrow(search, schema if last else between)
+        if last:
+            return docs
+        block, first = following, False
 
 
 def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -213,25 +223,23 @@ def is_contaminated(hits: dict, coverage: int = COVERAGE) -> bool:
 
 def report(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: int = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    found, col = find_spans(docs.select("doc_id", "text"), items, window=window, block_words=block_words)
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hits = batch.column(col).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array([h["n_words"] for h in hits], pa.int64()),
-                    pa.array([n_hit(h) for h in hits], pa.int64()),
-                    pa.array([len(h["items"]) for h in hits], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(h["items"]).encode()).hexdigest() for h in hits], pa.string()),
-                    pa.array([is_contaminated(h, coverage) for h in hits], pa.bool_()),
-                ],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-            )
+
+    def digest(batch: pa.RecordBatch, hits: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id"),
+                pa.array([h["n_words"] for h in hits], pa.int64()),
+                pa.array([n_hit(h) for h in hits], pa.int64()),
+                pa.array([len(h["items"]) for h in hits], pa.int64()),
+                pa.array([hashlib.sha256(",".join(h["items"]).encode()).hexdigest() for h in hits], pa.string()),
+                pa.array([is_contaminated(h, coverage) for h in hits], pa.bool_()),
+            ],
+            ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+        )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return found.select("doc_id", col).mapInArrow(digest, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    schema = f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+    return find_spans(docs.select("doc_id", "text"), items, digest, schema, window=window, block_words=block_words)
 
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WINDOW, coverage: int = COVERAGE, remove_spans: bool = False, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -240,24 +248,18 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", window: int = W
     remove_spans: instead of dropping a contaminated text, cut its hit spans out
     (from the first byte of the first hit word to the last byte of the last).
     """
-    found, col = find_spans(docs, items, text=text, window=window, block_words=block_words)
     names = docs.columns
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hits = batch.column(col).to_pylist()
-            bad = [is_contaminated(h, coverage) for h in hits]
-            at = names.index(text)
-            cols = [batch.column(c) for c in names]
-            if remove_spans:
-                old = byte_texts(batch.column(text))
-                new = [cut(t, h["spans"]) if b else t for t, h, b in zip(old, hits, bad)]
-                cols[at] = pa.array(new, pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays(cols, names)
-            else:
-                yield pa.RecordBatch.from_arrays(cols, names).filter(pa.array([not b for b in bad], pa.bool_()))
+    def keep(batch: pa.RecordBatch, hits: list[dict]) -> pa.RecordBatch:
+        bad = [is_contaminated(h, coverage) for h in hits]
+        cols = [batch.column(c) for c in names]
+        if remove_spans:
+            new = [cut(t, h["spans"]) if b else t for t, h, b in zip(byte_texts(batch.column(text)), hits, bad)]
+            cols[names.index(text)] = pa.array(new, pa.binary()).cast(pa.string())
+            return pa.RecordBatch.from_arrays(cols, names)
+        return pa.RecordBatch.from_arrays(cols, names).filter(pa.array([not b for b in bad], pa.bool_()))
 
-    return found.mapInArrow(keep, docs.schema)
+    return find_spans(docs, items, keep, docs.schema, text=text, window=window, block_words=block_words)
 
 
 def cut(text: bytes, spans: list[int]) -> bytes:

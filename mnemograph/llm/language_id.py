@@ -17,6 +17,7 @@ alphabetical order.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemograph.llm.common import id_hash
+from mnemograph.llm.common import id_hash, resident
 
 SAMPLE_DOCS = 2400
 SAMPLE_CHARS = 8000
@@ -71,6 +72,7 @@ class Model:
 
     def __init__(self, letters: str, langs: list[str], columns: np.ndarray, landmarks: np.ndarray, norms: np.ndarray, weights: np.ndarray):
         self.letters, self.langs, self.columns, self.landmarks, self.norms, self.weights = letters, langs, columns, landmarks, norms, weights
+        self.tag = uuid.uuid4().hex
 
     def scorer(self):
         alphabet = Alphabet(self.letters)
@@ -148,7 +150,7 @@ def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang",
 
 def scored(batches: Iterator[pa.RecordBatch], model: Model | None, text: str):
     """Each batch with its predictions and scores."""
-    score = model.scorer() if model else lambda texts: ([UNKNOWN] * len(texts), [0.0] * len(texts))
+    score = resident(("language-id", model.tag), model.scorer) if model else lambda texts: ([UNKNOWN] * len(texts), [0.0] * len(texts))
     for batch in batches:
         lang, value = [], []
         for a in range(0, batch.num_rows, BATCH):

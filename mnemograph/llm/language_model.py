@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from hashlib import blake2b
 from pickle import dumps, loads
 
 import numpy as np
@@ -34,7 +34,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemograph.llm.common import byte_texts, id_hash, stored
+from mnemograph.llm.common import byte_texts, id_hash, resident, stored
 
 VOCAB = 1024
 SIZE = 16
@@ -269,10 +269,9 @@ class Scorer:
         return n, int(known.sum()) + (lex.end > 0), base, model, rest
 
 
-@lru_cache(maxsize=1)
 def scorer_of(packed: bytes) -> Scorer:
     """One per Python worker, so that its normalisers outlive a task."""
-    return Scorer(packed)
+    return resident(("lm-scorer", blake2b(packed).digest()), lambda: Scorer(packed))
 
 
 def score(docs: DataFrame, counts: DataFrame, lex: Lexicon, flat: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

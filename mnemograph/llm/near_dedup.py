@@ -29,7 +29,6 @@ row. Equal rows are in one class; null ids take part.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -38,14 +37,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mnemograph.llm.common import ASCII_WORDS, byte_texts, stored, unused
+from mnemograph.llm.common import ASCII_WORDS, byte_texts, resident, stored, unused
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
 #: Shingles that one numpy batch holds at most, unless a single text has more.
-BATCH_SHINGLES = 200_000
-WORD_CACHE = 300_000
+BATCH_SHINGLES = 100_000
+WORD_CACHE = 100_000
 #: Rows of node ids up to which the texts to verify are found by a broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -80,9 +79,8 @@ class WordHashes(dict):
         return h
 
 
-@lru_cache(maxsize=1)
 def word_hashes() -> WordHashes:
-    return WordHashes()
+    return resident(("word-hashes",), WordHashes)
 
 
 def shingles(words: list[bytes]) -> np.ndarray:

@@ -7,8 +7,8 @@ import base64
 import public_tokenizers
 import regex
 
-#: Entries in either half of a cache.
-CACHE_SIZE = 400_000
+#: Entries in either half of a cache of text parts, and of pre-tokens.
+PARTS, PIECES = 250_000, 100_000
 #: Longer pre-tokens aren't kept.
 CACHE_CHARS = 64
 
@@ -16,7 +16,7 @@ CACHE_CHARS = 64
 class TwoHalves:
     """A mapping that drops the half of its entries that went unused longest. fill(keys) gives values."""
 
-    def __init__(self, fill, size: int = CACHE_SIZE):
+    def __init__(self, fill, size: int):
         self.fill, self.size, self.new, self.old = fill, size, {}, {}
 
     def of(self, keys: list) -> list:
@@ -69,8 +69,8 @@ class PartCache:
 
     def __init__(self, split, fill, joined):
         self.split, self.joined = split, joined
-        self.pieces = TwoHalves(fill)
-        self.parts = TwoHalves(self._fill)
+        self.pieces = TwoHalves(fill, PIECES)
+        self.parts = TwoHalves(self._fill, PARTS)
 
     def _fill(self, parts: list[str]) -> list:
         cut = [self.split(" " + p) for p in parts]

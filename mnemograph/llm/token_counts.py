@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 from unicodedata import category
 
 import numpy as np
@@ -24,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers.pre_tokenizers import ByteLevel
 
-from mnemograph.llm.common import byte_texts
+from mnemograph.llm.common import byte_texts, resident
 from mnemograph.llm.pretokens import PartCache, byte_alphabet, splitter
 
 LIMIT = 512
@@ -103,9 +102,8 @@ def unknown(text: str) -> bool:
     return not text.isascii() and max(text) > "\u0557" and any(category(c) == "Cn" for c in set(text))
 
 
-@lru_cache(maxsize=2)
 def counter(path: str):
-    """A function from text to its number of tokens, with its own bounded cache. One per Python worker."""
+    """A function from text to its number of tokens, with its own bounded cache."""
     table, split = MergeTable(path), splitter()
     cut = regex.compile("|".join(map(regex.escape, sorted(table.special, key=len, reverse=True)))) if table.special else None
     cache = PartCache(split, lambda keys: merge_counts([k.encode() for k in keys], table).tolist(), sum)
@@ -129,7 +127,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of each row of docs(doc_id, text). One narrow pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(path)
+        count = resident(("token-counts", path), lambda: counter(path))
         for batch in batches:
             texts = [t or b"" for t in byte_texts(batch.column("text"))]
             tokens = [count(t.decode()) for t in texts]
