@@ -1,15 +1,17 @@
 """Near-duplicate documents by ProbMinHash signatures, banding and verification.
 
 Texts are word sequences (ASCII letters folded, words as in the decontamination
-operator); equal sequences are one node, whatever their number. A node's
-shingles of five words are weighted by their counts. ProbMinHash: each shingle
-emits arrivals of a Poisson process whose rate is its weight; an arrival falls
-into a random slot and a slot keeps its earliest one; a shingle stops as soon as
-its next arrival is later than the latest slot. Two signatures agree in a slot
-with the probability Jaccard similarity. Slots are banded; nodes that share a
-band are candidates, and a candidate becomes a link if the exact Jaccard
-similarity of the shingle sets reaches the threshold. Classes are connected
-components of links.
+operator); equal sequences are one node, whatever their number. A node is the
+set of its shingles of five words. ProbMinHash: each shingle emits arrivals of a
+Poisson process whose rate is its weight; an arrival falls into a random slot and
+a slot keeps its earliest one; a shingle stops as soon as its next arrival is
+later than the latest slot. Two signatures agree in a slot with the probability
+Jaccard similarity. Every shingle weighs 1 however often it occurs, so that this
+is the Jaccard similarity of the sets, by which links are decided; weights by
+count would hide copies whose passages repeat differently. Slots are banded;
+nodes that share a band are candidates, and a candidate becomes a link if the
+exact Jaccard similarity of the shingle sets reaches the threshold. Classes are
+connected components of links.
 
 No bucket is expanded into all its pairs. First each node is held against one
 representative, the bucket minimum it shares most bands with. In a few turns, nodes whose bucket holds
@@ -152,9 +154,9 @@ def sketched(docs: DataFrame, doc_id: str, text: str, bands: int, rows: int) ->
             def flush() -> None:
                 if not where:
                     return
-                distinct = [np.unique(p, return_counts=True) for p in parts]
-                owner = np.repeat(np.arange(len(distinct)), [len(u) for u, _ in distinct])
-                sig = signatures(np.concatenate([u for u, _ in distinct]), np.concatenate([c for _, c in distinct]).astype(float), owner, len(distinct), bands * rows)
+                distinct = [np.unique(p) for p in parts]
+                owner = np.repeat(np.arange(len(distinct)), [len(u) for u in distinct])
+                sig = signatures(np.concatenate(distinct), np.ones(len(owner)), owner, len(distinct), bands * rows)
                 for at, row in zip(where, band_hashes(sig, bands, rows).tolist()):
                     out[at] = row
 

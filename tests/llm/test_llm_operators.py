@@ -294,6 +294,18 @@ def test_near_dedup(spark):
     assert near_dedup.report(d.limit(0)).count() == 0
 
 
+def test_near_dedup_repetition(spark):
+    """Copies that differ only in how often a passage repeats: equal shingle sets, unequal counts."""
+    texts = []
+    for n in range(20):
+        ring = [f"r{n}x{k}" for k in range(20)]
+        tail = [f"t{n}x{k}" for k in range(200)]
+        texts += [" ".join(ring * times + ring[:4] + tail) for times in (2, 50)]
+    r = near_dedup.report(frame(spark, texts)).toPandas()
+    assert brute_classes(texts) == [i - i % 2 for i in range(40)]
+    assert dict(zip(r.doc_id, r.class_id)) == {i: i - i % 2 for i in range(40)}
+
+
 def test_signature_estimates_similarity():
     a = near_dedup.mixed(np.arange(300, dtype=np.uint64))
     b = np.concatenate([a[:200], near_dedup.mixed(np.arange(1000, 1100, dtype=np.uint64))])
