@@ -10,9 +10,10 @@ over the labelled statistics that gives counts per statistic and threshold (a fe
 hundred numbers). The list becomes one ordered conditional expression.
 
 A statistic of its own counts words of a lexicon that labels single out: words
-frequent in toxic rows and nearly absent from the others. Its counts cover all
-labelled rows; the list is fitted on at most about SAMPLE_ROWS of them, drawn by
-a hash of the id.
+frequent in toxic rows and nearly absent from the others. Lexicon and list are
+fitted on a bounded sample of the labelled rows (SAMPLE, by kind), drawn by a hash
+of the id; within it every word is tested and every word that passes is kept. Up
+to LITERAL_WORDS words are matched in place, more by a join.
 
 Defined results: a null or empty text has no words and fails the base rules.
 Without labels, no rule is learned. If an id is labelled more than once, the
@@ -34,9 +35,10 @@ SAMPLE = {"toxic": 8000, "bad": 6000, "good": 10_000}
 THRESHOLDS = 24
 #: Rules of the list, conditions of a rule, precision on pruning rows, rows covered there.
 MOST_RULES, MOST_CONDITIONS, PRECISION, LEAST_COVER = 12, 4, 0.9, 4
-#: The lexicon: words at most, labelled toxic rows and share of a word's rows that are toxic at least.
-LEXICON, LEXICON_ROWS, LEXICON_SHARE = 600, 4, 0.98
-CANDIDATES = 3000
+#: The lexicon: labelled toxic rows and share of a word's rows that are toxic at least.
+LEXICON_ROWS, LEXICON_SHARE = 4, 0.98
+#: Words up to which the lexicon is a list in the plan; a larger one stays a table.
+LITERAL_WORDS = 5000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_shouts", "n_flagged")
 
 def letters(text: Column) -> Column:
@@ -49,8 +51,21 @@ def left(text: Column, kept: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{kept}]+", ""))
 
 
-def measured(docs: DataFrame, text: str, lexicon: list[str], name: str) -> DataFrame:
-    """docs with a struct column `name` of counts. No shuffle, no Python."""
+def flagged_counts(docs: DataFrame, text: str, lexicon: DataFrame, name: str) -> DataFrame:
+    """docs with the number of lexicon words of each text, by joins. lexicon(word), distinct."""
+    key = unused(docs, "text_key_")
+    d = docs.withColumn(key, F.md5(F.col(text).cast("binary")))
+    once = d.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")).dropDuplicates(["k"])
+    found = once.select("k", F.explode(letters(F.col("t"))).alias("word")).join(lexicon, "word").groupBy("k").agg(F.count("*").alias(name))
+    return d.join(found.withColumnRenamed("k", key), key, "left").drop(key)
+
+
+def measured(docs: DataFrame, text: str, lexicon: list[str] | DataFrame, name: str) -> DataFrame:
+    """docs with a struct column `name` of counts. No Python; no shuffle unless the lexicon is a table."""
+    columns, joined = docs.columns, isinstance(lexicon, DataFrame)
+    hits = unused(docs, "hits_")
+    if joined:
+        docs = flagged_counts(docs, text, lexicon, hits)
     words = unused(docs, "words_")
     t = F.coalesce(F.col(text), F.lit(""))
     d = docs.withColumn(words, F.array_remove(F.split(t, SPACE + "+"), ""))
@@ -67,7 +82,7 @@ def measured(docs: DataFrame, text: str, lexicon: list[str], name: str) -> DataF
     twice = F.zip_with(F.slice(o, 1, m - 1), F.slice(o, 2, m - 1), lambda a, b: F.when(a["h"] == b["h"], F.array(a["p"], b["p"])).otherwise(F.array().cast("array<int>")))
     places = F.array_distinct(F.flatten(F.transform(F.flatten(twice), lambda p: F.array(p, p + 1, p + 2))))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^ \t-\r]"))
-    flagged = F.size(F.filter(letters(t), lambda x: x.isin(lexicon))) if lexicon else F.lit(0)
+    flagged = F.col(hits) if joined else F.size(F.filter(letters(t), lambda x: x.isin(lexicon))) if lexicon else F.lit(0)
     counts = F.struct(
         n.cast("long").alias("n_words"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
@@ -82,7 +97,7 @@ def measured(docs: DataFrame, text: str, lexicon: list[str], name: str) -> DataF
         # a non-deterministic field keeps the optimizer from copying the counts into each later use and filter
         F.monotonically_increasing_id().alias("row"),
     )
-    return d.withColumn(name, counts).drop(words, some, order)
+    return d.withColumn(name, counts).select(*columns, name)
 
 
 def statistics(at: str = "") -> dict[str, Column]:
@@ -122,14 +137,13 @@ def sampled(labels: DataFrame, sizes: dict[str, int]) -> DataFrame:
     return worst.where(drawn).select("id", "toxic", "bad", weight.alias("weight")).limit(2 * sum(sizes.values()))
 
 
-def learn_lexicon(rows: DataFrame) -> list[str]:
-    """Words in at least LEXICON_ROWS toxic rows, nearly all of whose rows are toxic."""
-    distinct = F.array_distinct(letters(F.col("text")))
-    toxic = rows.where("toxic").select(F.explode(distinct).alias("word"), "weight").where("word != ''").groupBy("word").agg(F.count("*").alias("n"), F.sum("weight").alias("toxic"))
-    frequent = stored(toxic.where(F.col("n") >= LEXICON_ROWS).orderBy(F.desc("n"), "word").limit(CANDIDATES), "candidates")
-    clean = rows.where("NOT toxic").select(F.explode(distinct).alias("word"), "weight").join(F.broadcast(frequent.select("word")), "word").groupBy("word").agg(F.sum("weight").alias("clean"))
-    found = frequent.join(clean, "word", "left").where(F.col("toxic") >= LEXICON_SHARE * (F.col("toxic") + F.coalesce("clean", F.lit(0.0))))
-    return [r["word"] for r in found.orderBy(F.desc("n"), "word").limit(LEXICON).collect()]
+def learn_lexicon(rows: DataFrame) -> list[str] | DataFrame:
+    """All words in at least LEXICON_ROWS toxic rows, nearly all of whose rows are toxic; a table (word) if over LITERAL_WORDS."""
+    words = rows.select(F.explode(F.array_distinct(letters(F.col("text")))).alias("word"), "toxic", "weight").where("word != ''")
+    counted = words.groupBy("word").agg(F.count_if("toxic").alias("n"), F.sum(F.when(F.col("toxic"), F.col("weight"))).alias("bad"), F.sum("weight").alias("all"))
+    found = stored(counted.where((F.col("n") >= LEXICON_ROWS) & (F.col("bad") >= LEXICON_SHARE * F.col("all"))).select("word"), "lexicon")
+    few = [r["word"] for r in found.limit(LITERAL_WORDS + 1).collect()]
+    return sorted(few) if len(few) <= LITERAL_WORDS else found
 
 
 class Learner:
@@ -202,7 +216,7 @@ class Learner:
         return found
 
 
-def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", sizes: dict[str, int] = SAMPLE) -> tuple[list[str], list]:
+def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", sizes: dict[str, int] = SAMPLE) -> tuple[list[str] | DataFrame, list]:
     """(lexicon, rules) from a bounded sample of the rows of docs that labels name."""
     few = stored(sampled(labels, sizes), "labels")
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("text IS NOT NULL").join(F.broadcast(few), "id")

@@ -243,6 +243,26 @@ def test_quality_rules(spark, texts):
     assert quality_rules.report(d.limit(0), none).count() == 0
 
 
+def test_lexicon_has_every_word(spark, monkeypatch):
+    """Everyday words don't take a rarer toxic word's place, and a large lexicon is kept whole, also as a table."""
+    def words(stem, n):
+        return [stem + chr(97 + k // 676) + chr(97 + k // 26 % 26) + chr(97 + k % 26) for k in range(n)]
+
+    common, many = " ".join(words("c", 3100)), words("z", 700)
+    rows = [(n, f"{common} {' '.join(many)}{' slur' if n < 4 else ''}", True, 1.0) for n in range(8)] + [(n, common, False, 1.0) for n in range(8, 16)]
+    d = spark.createDataFrame(rows, "id long, text string, toxic boolean, weight double")
+    lexicon = quality_rules.learn_lexicon(d)
+    assert lexicon == sorted([*many, "slur"])
+    docs = frame(spark, [*ODD, "Slur, zaaa zaaa!", "slur", "slur"]).withColumn("k", F.lit(1))
+    monkeypatch.setattr(quality_rules, "LITERAL_WORDS", 3)
+    table = quality_rules.learn_lexicon(d)
+    assert table.count() == 701
+    plain, joined = (quality_rules.measured(docs, "text", x, "m") for x in (lexicon, table))
+    assert joined.columns == plain.columns == [*docs.columns, "m"]
+    got = [{r["doc_id"]: r["m"]["n_flagged"] for r in x.collect()} for x in (plain, joined)]
+    assert got[0] == got[1] and [got[1][len(ODD) + k] for k in range(3)] == [3, 1, 1] and sum(got[1].values()) == 5
+
+
 # 9
 def brute_classes(texts):
     words = [decontaminate.words_of((t or "").encode()) for t in texts]
