@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from mnemograph.llm import byte_bpe, decontaminate, language_id, near_dedup, quality_rules
 from mnemograph.llm.common import stored, table
 
-#: Scores below this are no language; clean texts of a few letters score 0.3 and more.
+#: Scores below this are no language. With k languages the best is 1/k at least, so up to five the floor of coverage decides.
 LEAST_SCORE = 0.2
 
 

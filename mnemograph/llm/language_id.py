@@ -10,6 +10,12 @@ Fitted on a bounded sample: about SAMPLE_DOCS labelled texts, drawn by a hash of
 their id with equal shares of the languages, of at most SAMPLE_CHARS characters
 each. Every text is scored whole.
 
+The regression's best score can't tell a text of no learned language (the values
+of the k languages always sum to 2 - k, so the best is never low). For that there
+is coverage: the share of a text's distinct n-grams that the landmarks have and
+that are of learned letters. Its floor is calibrated on the fitted rows that are
+no landmarks.
+
 Defined results: text null or without a letter: `und`, score 0. Without any
 labelled text to learn from, all are `und`. Ties go to the first language in
 alphabetical order.
@@ -34,6 +40,8 @@ LANDMARKS = 128
 RIDGE = 1e-3
 #: Symbols: 0 any run without letters, 1 a letter outside the alphabet, others the learned letters.
 SYMBOLS = 64
+#: The floor of coverage: this part of this quantile of the fitted rows.
+FLOOR_QUANTILE, FLOOR_PART = 0.01, 0.8
 GRAMS = SYMBOLS + SYMBOLS**2 + SYMBOLS**3
 BATCH = 256
 UNKNOWN = "und"
@@ -70,8 +78,8 @@ class Alphabet:
 class Model:
     """Landmarks and weights. Small: LANDMARKS texts of bounded length."""
 
-    def __init__(self, letters: str, langs: list[str], columns: np.ndarray, landmarks: np.ndarray, norms: np.ndarray, weights: np.ndarray):
-        self.letters, self.langs, self.columns, self.landmarks, self.norms, self.weights = letters, langs, columns, landmarks, norms, weights
+    def __init__(self, letters: str, langs: list[str], columns: np.ndarray, landmarks: np.ndarray, norms: np.ndarray, weights: np.ndarray, floor: float):
+        self.letters, self.langs, self.columns, self.landmarks, self.norms, self.weights, self.floor = letters, langs, columns, landmarks, norms, weights, floor
         self.tag = uuid.uuid4().hex
 
     def scorer(self):
@@ -79,19 +87,27 @@ class Model:
         column = np.full(GRAMS, -1, np.int64)
         column[self.columns] = np.arange(len(self.columns))
         matrix = np.ascontiguousarray(self.landmarks.T, np.float32)
+        plain = learned(self.columns)
 
-        def score(texts: list[str | None]) -> tuple[list[str], list[float]]:
-            kernel, some = kernels(texts, alphabet, column, matrix, self.norms)
+        def score(texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+            kernel, some, cover = kernels(texts, alphabet, column, matrix, self.norms, plain)
             values = kernel @ self.weights[:-1] + self.weights[-1]
             best = values.argmax(1)
             top = np.clip((values[np.arange(len(texts)), best] + 1) / 2, 0, 1)
-            return [self.langs[b] if s else UNKNOWN for b, s in zip(best, some)], np.where(some, top, 0.0).tolist()
+            return [self.langs[b] if s else UNKNOWN for b, s in zip(best, some)], np.where(some, top, 0.0).tolist(), cover.tolist()
 
         return score
 
 
-def kernels(texts, alphabet: Alphabet, column: np.ndarray, matrix: np.ndarray, norms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Normalised kernel of each text with each landmark; whether the text has letters."""
+def learned(codes: np.ndarray) -> np.ndarray:
+    """1 for n-grams without a letter outside the alphabet, else 0."""
+    one, two, three = codes, codes - SYMBOLS, codes - SYMBOLS - SYMBOLS**2
+    parts = [np.where(three >= 0, three // SYMBOLS**2, 0), np.where(three >= 0, three // SYMBOLS % SYMBOLS, np.where(two >= 0, two // SYMBOLS, 0)), np.where(three >= 0, three, np.where(two >= 0, two, one)) % SYMBOLS]
+    return np.all([p != 1 for p in parts], axis=0).astype(np.float32)
+
+
+def kernels(texts, alphabet: Alphabet, column: np.ndarray, matrix: np.ndarray, norms: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Normalised kernel of each text with each landmark; whether the text has letters; its coverage."""
     presence = np.zeros((len(texts), matrix.shape[0]), np.float32)
     size = np.ones(len(texts))
     some = np.zeros(len(texts), bool)
@@ -101,7 +117,7 @@ def kernels(texts, alphabet: Alphabet, column: np.ndarray, matrix: np.ndarray, n
             at = column[found]
             presence[n, at[at >= 0]] = 1
             size[n], some[n] = len(found), True
-    return presence @ matrix / np.sqrt(size)[:, None] / np.sqrt(norms)[None, :], some
+    return presence @ matrix / np.sqrt(size)[:, None] / np.sqrt(norms)[None, :], some, presence @ plain / size
 
 
 def sample(docs: DataFrame, text: str, lang: str, doc_id: str, train: Column, size: int, chars: int) -> list:
@@ -126,7 +142,8 @@ def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang",
     known = "".join(sorted(letters, key=lambda c: (-letters[c], c))[: SYMBOLS - 2])
     alphabet = Alphabet(known)
     each = max(1, landmarks // len(langs))
-    chosen = [r["text"] for g in langs for r in [x for x in rows if x["lang"] == g][:each]]
+    marked = [n for g in langs for n in [n for n, x in enumerate(rows) if x["lang"] == g][:each]]
+    chosen = [rows[n]["text"] for n in marked]
     grams = [alphabet.grams(t) for t in chosen]
     columns = np.unique(np.concatenate(grams))
     marks = np.zeros((len(chosen), len(columns)), np.float32)
@@ -140,24 +157,28 @@ def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang",
     column = np.full(GRAMS, -1, np.int64)
     column[columns] = np.arange(len(columns))
     matrix = np.ascontiguousarray(marks.T)
-    kernel = np.concatenate([kernels([r["text"] for r in rows[a : a + BATCH]], alphabet, column, matrix, norms)[0] for a in range(0, len(rows), BATCH)])
+    found = [kernels([r["text"] for r in rows[a : a + BATCH]], alphabet, column, matrix, norms, learned(columns)) for a in range(0, len(rows), BATCH)]
+    kernel, cover = (np.concatenate([x[n] for x in found]) for n in (0, 2))
+    others = np.delete(cover, marked)
+    floor = FLOOR_PART * float(np.quantile(others, FLOOR_QUANTILE)) if len(others) else 0.0
     features = np.hstack([kernel @ root, np.ones((len(rows), 1))])
     goal = np.array([[1.0 if r["lang"] == g else -1.0 for g in langs] for r in rows])
     penalty = np.diag([ridge * len(rows)] * root.shape[1] + [0.0])
     solved = np.linalg.solve(features.T @ features + penalty + 1e-9 * np.eye(len(penalty)), features.T @ goal)
-    return Model(known, langs, columns, marks, norms, np.vstack([root @ solved[:-1], solved[-1:]]))
+    return Model(known, langs, columns, marks, norms, np.vstack([root @ solved[:-1], solved[-1:]]), floor)
 
 
 def scored(batches: Iterator[pa.RecordBatch], model: Model | None, text: str):
-    """Each batch with its predictions and scores."""
-    score = resident(("language-id", model.tag), model.scorer) if model else lambda texts: ([UNKNOWN] * len(texts), [0.0] * len(texts))
+    """Each batch with its predictions, scores and coverages."""
+    score = resident(("language-id", model.tag), model.scorer) if model else lambda texts: ([UNKNOWN] * len(texts), *([0.0] * len(texts) for _ in range(2)))
     for batch in batches:
-        lang, value = [], []
+        lang, value, cover = [], [], []
         for a in range(0, batch.num_rows, BATCH):
             got = score(batch.column(text).slice(a, BATCH).to_pylist())
             lang += got[0]
             value += got[1]
-        yield batch, lang, value
+            cover += got[2]
+        yield batch, lang, value, cover
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str], text: str = "text") -> DataFrame:
@@ -166,7 +187,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], text: str = "
     need = list(dict.fromkeys([*keep, text]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, lang, value in scored(batches, shared.value, text):
+        for batch, lang, value, _ in scored(batches, shared.value, text):
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(value, pa.float64())], [*keep, "lang_pred", "score"])
 
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
@@ -174,12 +195,12 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], text: str = "
 
 
 def accepted(docs: DataFrame, model: Model | None, least: float, text: str = "text") -> DataFrame:
-    """docs, all columns, without the rows whose language is unknown or scored below `least`."""
+    """docs, all columns, without the rows whose language is unknown, scored below `least` or covered below the model's floor."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, lang, value in scored(batches, shared.value, text):
-            yield batch.filter(pa.array([g != UNKNOWN and v >= least for g, v in zip(lang, value)], pa.bool_()))
+        for batch, lang, value, cover in scored(batches, shared.value, text):
+            yield batch.filter(pa.array([g != UNKNOWN and v >= least and c >= shared.value.floor for g, v, c in zip(lang, value, cover)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -129,6 +129,21 @@ def test_language_id_without_labels(spark):
     assert language_id.report(d.limit(0)).count() == 0
 
 
+def test_language_id_rejects_other_languages(spark):
+    """Texts in none of the learned languages go; clean texts of the learned ones stay."""
+    rnd = random.Random(3)
+    parts = {"en": "the ing er on an re and th tion ha".split(), "de": "sch der ung ein keit zu en ver ß ü".split(), "fr": "eau que les ille oui ç é è ais".split(), "es": "ción los ñ que as mos ar al do".split()}
+
+    def made(units, n):
+        return " ".join("".join(rnd.choice(units) for _ in range(rnd.randrange(1, 4))) for _ in range(n))
+
+    rows = [(n, made(parts[g], 80), g) for n, g in enumerate([*parts] * 60)]
+    odd = [made(list(abc), 80) for abc in ("абвгдежзиклмнопрст", "αβγδεζηθικλμ", "qxzjkvwpbf", "語日本文字学校人")]
+    d = spark.createDataFrame([*rows, *((1000 + n, t, None) for n, t in enumerate(odd))], "doc_id long, text string, lang string")
+    model = language_id.fit(d, ~language_id.held_out())
+    assert {r["doc_id"] for r in language_id.accepted(d, model, 0.2).collect()} == set(range(len(rows)))
+
+
 # 4
 def test_token_counts(spark, texts):
     path = public_tokenizers.path("byte_bpe_50k.json")
