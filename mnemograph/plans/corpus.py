@@ -107,10 +107,26 @@ def src7_extraction_stats(spark, sf_dir):
 
 @query()
 def src8_text_with_fallback(spark, sf_dir):
-    """Pages written as text files by host, read as whole files whatever their charset."""
-    p = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "://([^/]*)", 1).alias("host"), F.concat_ws(" ", "url", F.regexp_replace("html", r"\s+", " ")).alias("value"))
-    path = saved(p.select("value"), "pages", "text")
-    return stores.read_any_text(spark, path).select(F.length("text").alias("chars"), F.md5(F.col("text").cast("binary")).alias("hash"))
+    """Pages stored as bytes, a third each as UTF-8, GBK and Latin-1 where these can hold them, decoded page by page whatever their charset."""
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    def encoded(page_id: int | None, value: str) -> bytes:
+        try:
+            return value.encode(("utf-8", "gbk", "latin-1")[(page_id or 0) % 3])
+        except UnicodeEncodeError:
+            return value.encode()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, values = (batch.column(c).to_pylist() for c in ("page_id", "value"))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(map(encoded, ids, values), pa.binary())], ["page_id", "content"])
+
+    p = table(spark, sf_dir, "pages").select("page_id", F.concat_ws(" ", "url", F.regexp_replace("html", r"\s+", " ")).alias("value"))
+    pages = p.mapInArrow(run, f"page_id {p.schema['page_id'].dataType.simpleString()}, content binary")
+    back = spark.read.schema(pages.schema).parquet(saved(pages, "pages"))
+    return stores.decoded_rows(back, "page_id").select("page_id", F.length("text").alias("chars"), F.md5(F.col("text").cast("binary")).alias("hash"))
 
 
 @query("SELECT o_orderkey AS question, count(DISTINCT l_partkey) AS parts, min(l_partkey) AS first_part FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")

@@ -85,23 +85,38 @@ def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> Dat
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def any_text(b: bytes) -> str:
+    """Decoded by the first charset that fits."""
+    for charset in ("utf-8", "gbk", "gb2312", "latin-1", "cp1252"):
+        try:
+            return b.decode(charset)
+        except UnicodeDecodeError:
+            continue
+    return b.decode("utf-8", "ignore")
+
+
+def decoded_rows(rows: DataFrame, key: str, content: str = "content") -> DataFrame:
+    """(key, text) of each row's bytes, decoded on their own."""
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([None if b is None else any_text(b) for b in batch.column(content).to_pylist()], pa.string())], [key, "text"])
+
+    return rows.select(key, content).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, text string")
+
+
 def read_any_text(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of whole files, decoded by the first charset that fits: utf-8, gbk, gb2312, latin-1."""
     from collections.abc import Iterator
 
     import pyarrow as pa
 
-    def one(b: bytes) -> str:
-        for charset in ("utf-8", "gbk", "gb2312", "latin-1", "cp1252"):
-            try:
-                return b.decode(charset)
-            except UnicodeDecodeError:
-                continue
-        return b.decode("utf-8", "ignore")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array([one(b) for b in batch.column("content").to_pylist()], pa.string())], ["path", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array([any_text(b) for b in batch.column("content").to_pylist()], pa.string())], ["path", "text"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, text string")
 

@@ -215,3 +215,17 @@ def test_eviction(spark, tmp_path):
     got = streams.drained(streams.decay_states(s, 1 / 86400, late="1 hour")).collect()
     assert sum(r["event"] == "set" for r in got) == 4
     assert 1 in {r["id"] for r in got if r["event"] == "forgotten"}
+
+
+def test_pages_with_fallback(spark, tmp_path):
+    """One row per page however the table is dealt, each decoded by its own charset."""
+    import hashlib
+
+    from mnemograph.plans import corpus
+
+    html = ["<p>plain</p>", "<p>日本 中文</p>", "<p>caf\u00e9 </p>", "<p>ünï</p>", "<p>中文 \n 字</p>", "<p>日本</p>", None]
+    rows = [(n, f"http://h/{n}", t) for n, t in enumerate(html)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["chars"], r["hash"]) for r in corpus.src8_text_with_fallback(spark, str(tmp_path)).collect()}
+    want = [" ".join([u, *([" ".join(t.split())] if t else [])]) for _, u, t in rows]
+    assert got == {n: (len(w), hashlib.md5(w.encode()).hexdigest()) for n, w in enumerate(want)}
