@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import base64
+from collections.abc import Iterable, Iterator
 
 import public_tokenizers
 import regex
 
-#: Entries in either half of a cache of text parts, and of pre-tokens.
-PARTS, PIECES = 250_000, 100_000
+#: Entries in either half of a cache of text parts; of pre-tokens, a third as many.
+PARTS = 450_000
 #: Longer pre-tokens aren't kept.
 CACHE_CHARS = 64
+#: Characters of the texts whose unknown parts are computed together.
+GROUP_CHARS = 400_000
 
 
 class TwoHalves:
@@ -65,26 +68,57 @@ def spaced_parts(text: str) -> list[str] | None:
 
 
 class PartCache:
-    """Results by text part, from results by pre-token: of(text) gives a value for each part in order."""
+    """Results by text part, from results by pre-token.
 
-    def __init__(self, split, fill, joined):
-        self.split, self.joined = split, joined
-        self.pieces = TwoHalves(fill, PIECES)
-        self.parts = TwoHalves(self._fill, PARTS)
+    fill(pre-tokens) gives values, joined(values) the value of a part of several.
+    """
+
+    def __init__(self, split, fill, joined, size: int = PARTS):
+        self.split, self.fill, self.joined = split, fill, joined
+        self.pieces = TwoHalves(fill, size // 3)
+        self.parts = TwoHalves(self._fill, size)
 
     def _fill(self, parts: list[str]) -> list:
-        cut = [self.split(" " + p) for p in parts]
-        values, out, at = self.pieces.of([x for c in cut for x in c]), [], 0
-        for c in cut:
-            out.append(self.joined(values[at : at + len(c)]))
-            at += len(c)
+        whole = [p.isascii() and p.isalpha() for p in parts]  # one pre-token with its space
+        cut = [self.split(" " + p) for p, w in zip(parts, whole) if not w]
+        plain = iter(self.fill([" " + p for p, w in zip(parts, whole) if w]))
+        values, out, at, n = self.pieces.of([x for c in cut for x in c]), [], 0, 0
+        for w in whole:
+            if w:
+                out.append(next(plain))
+                continue
+            end = at + len(cut[n])
+            out.append(self.joined(values[at:end]))
+            at, n = end, n + 1
         return out
 
-    def of(self, text: str) -> list:
-        parts = spaced_parts(text)
-        if parts is None:
-            return self.pieces.of(self.split(text))
-        return [*self.pieces.of(self.split(parts[0])), *self.parts.of(parts[1:])]
+    def of_all(self, texts: list[str]) -> Iterator[list]:
+        """A list of values for each text, in order. What is unknown in all of them is filled at once."""
+        pieces, parts, cut = [], [], []
+        for text in texts:
+            spaced = spaced_parts(text)
+            first = self.split(text if spaced is None else spaced[0])
+            rest = spaced[1:] if spaced else []
+            cut.append((len(first), len(rest)))
+            pieces += first
+            parts += rest
+        pieces, parts, a, b = self.pieces.of(pieces), self.parts.of(parts), 0, 0
+        for n, m in cut:
+            yield pieces[a : a + n] + parts[b : b + m]
+            a, b = a + n, b + m
+
+
+def grouped(texts: Iterable[str], chars: int = GROUP_CHARS) -> Iterator[list[str]]:
+    """texts in groups of about that many characters, or one longer text."""
+    held, n = [], 0
+    for text in texts:
+        if held and n + len(text) > chars:
+            yield held
+            held, n = [], 0
+        held.append(text)
+        n += len(text)
+    if held:
+        yield held
 
 
 def splitter(pattern: str = public_tokenizers.PATTERN):

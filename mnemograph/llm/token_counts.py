@@ -7,14 +7,15 @@ pair leave. The symbols that survive are the tokens. Applying all occurrences
 of one pair in a round equals merging them one by one, since a merge only makes
 pairs of later rank.
 
-Defined results: a null text counts as empty (0 tokens). The vocabulary's
+Defined results: a null text counts as empty (0 tokens); repeated rows are
+counted each. The vocabulary's
 special strings inside a text are one token each, as the library does.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from unicodedata import category
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from tokenizers.pre_tokenizers import ByteLevel
 
 from mnemograph.llm.common import byte_texts, resident
-from mnemograph.llm.pretokens import PartCache, byte_alphabet, splitter
+from mnemograph.llm.pretokens import PARTS, PartCache, byte_alphabet, grouped, splitter
 
 LIMIT = 512
 
@@ -102,35 +103,35 @@ def unknown(text: str) -> bool:
     return not text.isascii() and max(text) > "\u0557" and any(category(c) == "Cn" for c in set(text))
 
 
-def counter(path: str):
-    """A function from text to its number of tokens, with its own bounded cache."""
-    table, split = MergeTable(path), splitter()
-    cut = regex.compile("|".join(map(regex.escape, sorted(table.special, key=len, reverse=True)))) if table.special else None
-    cache = PartCache(split, lambda keys: merge_counts([k.encode() for k in keys], table).tolist(), sum)
-    by_library = ByteLevel(add_prefix_space=False, use_regex=True)
+class Counter:
+    """Numbers of tokens of texts, with a bounded cache."""
 
-    def plain(text: str) -> int:
-        if unknown(text):
-            return sum(cache.pieces.of([text[a:b] for _, (a, b) in by_library.pre_tokenize_str(text)]))
-        return sum(cache.of(text))
+    def __init__(self, path: str, size: int = PARTS):
+        table = MergeTable(path)
+        self.cut = regex.compile("|".join(map(regex.escape, sorted(table.special, key=len, reverse=True)))) if table.special else None
+        self.by_library = ByteLevel(add_prefix_space=False, use_regex=True)
+        split = splitter()
+        self.cache = PartCache(lambda t: self.library_split(t) if unknown(t) else split(t), lambda keys: merge_counts([k.encode() for k in keys], table).tolist(), sum, size)
 
-    def count(text: str) -> int:
-        if cut is None or not cut.search(text):
-            return plain(text)
-        parts = cut.split(text)
-        return len(parts) - 1 + sum(map(plain, parts))
+    def library_split(self, text: str) -> list[str]:
+        return [text[a:b] for _, (a, b) in self.by_library.pre_tokenize_str(text)]
 
-    return count
+    def count_all(self, texts: Iterable[str]) -> Iterator[int]:
+        for group in grouped(texts):
+            cut = [self.cut.split(t) if self.cut and self.cut.search(t) else [t] for t in group]
+            found = map(sum, self.cache.of_all([x for parts in cut for x in parts]))
+            for parts in cut:
+                yield len(parts) - 1 + sum(next(found) for _ in parts)
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of each row of docs(doc_id, text). One narrow pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = resident(("token-counts", path), lambda: counter(path))
+        counter = resident(("token-counts", path), lambda: Counter(path))
         for batch in batches:
             texts = [t or b"" for t in byte_texts(batch.column("text"))]
-            tokens = [count(t.decode()) for t in texts]
+            tokens = list(counter.count_all(t.decode() for t in texts))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(map(len, texts), pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())],
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
