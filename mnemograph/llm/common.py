@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -26,11 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new path in the folder that driver and executors share.
 
-    The session's spark.checkpoint.dir names it; only where that is unset (local
-    tests) is a folder made and set.
+    The session's spark.checkpoint.dir names it; only where that is unset and the
+    master is local (tests) is a folder made and set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-mnemograph-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
@@ -43,6 +46,22 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a small table up to which joined() broadcasts it.
+BROADCAST_ROWS = 200_000
+
+
+def joined(rows: DataFrame, few: DataFrame, on: str | list[str], how: str = "inner", bound: int = BROADCAST_ROWS) -> DataFrame:
+    """rows joined to a table of a few narrow columns that has far fewer rows.
+
+    That table is stored and counted first. Up to `bound` rows it is broadcast, so
+    that rows stay where they are, however hot a key is; beyond, both sides are dealt
+    by key and sorted, where Spark splits skewed keys.
+    """
+    few = stored(few, "few")
+    small = few.limit(bound + 1).count() <= bound
+    return rows.join(F.broadcast(few) if small else few.hint("merge"), on, how)
+
+
 _kept: dict[tuple, Any] = {}
 
 

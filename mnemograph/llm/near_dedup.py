@@ -20,7 +20,8 @@ bucket's largest component are compared with the bucket's nodes of other
 components by size and a parity bitmap, an exact filter inside the join; only
 pairs that pass leave it to be verified.
 Nothing of a whole bucket is in one task: representatives are map-side minima,
-joins by bucket split where hot. Probability of a pair at similarity 0.8 sharing
+and a join by bucket broadcasts its smaller side behind a count or, past that, is
+a sorted join whose skewed buckets Spark splits. Probability of a pair at similarity 0.8 sharing
 no band of the defaults: (1 - 0.8^4)^24, under 4e-6.
 
 Defined results: fewer than five words, but not none, are one shingle. A text
@@ -39,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mnemograph.llm.common import ASCII_WORDS, byte_texts, resident, stored, unused
+from mnemograph.llm.common import ASCII_WORDS, byte_texts, joined, resident, stored, unused
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -50,6 +51,9 @@ WORD_CACHE = 100_000
 #: Rows of node ids up to which the texts to verify are found by a broadcast.
 BROADCAST_ROWS = 500_000
 
+#: The same for rows with parity bitmaps, about 200 bytes each.
+WIDE_ROWS = 50_000
+
 #: 64-bit words of a node's parity bitmap.
 PARITY = 16
 #: Turns in which nodes of different components in one bucket are held against a hub, before the rest is compared in full.
@@ -294,7 +298,7 @@ def rerooted(rows: DataFrame, moved: DataFrame) -> DataFrame:
 def mixed_only(placed: DataFrame) -> DataFrame:
     """The rows of buckets that hold several components."""
     mixed_up = placed.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("band")
-    return placed.join(mixed_up, "band", "left_semi")
+    return joined(placed, mixed_up, "band", "left_semi")
 
 
 def prefixed(rows: DataFrame, prefix: str) -> DataFrame:
@@ -304,8 +308,8 @@ def prefixed(rows: DataFrame, prefix: str) -> DataFrame:
 def hub_pairs(placed: DataFrame, turn: int, threshold: float) -> DataFrame:
     """Per node of a mixed bucket one hub to be held against: another turn, other hubs. Linear in the rows."""
     hubs = placed.groupBy("band").agg(F.min_by("key", F.struct(F.xxhash64("key", F.lit(turn)), "key")).alias("key"))
-    hubs = prefixed(placed.join(hubs, ["band", "key"], "left_semi"), "h_")
-    found = placed.join(hubs, "band").where((F.col("comp") != F.col("h_comp")) & may_match("", "h_", threshold))
+    hubs = prefixed(joined(placed, hubs, ["band", "key"], "left_semi"), "h_")  # a row for each bucket
+    found = joined(placed, hubs, "band", bound=WIDE_ROWS).where((F.col("comp") != F.col("h_comp")) & may_match("", "h_", threshold))
     best = found.groupBy("key", "h_key").agg(F.count("*").alias("bands")).groupBy("key").agg(F.max(F.struct("bands", "h_key"))["h_key"].alias("b"))
     return best.select(F.col("key").alias("a"), "b")
 
@@ -313,8 +317,8 @@ def hub_pairs(placed: DataFrame, turn: int, threshold: float) -> DataFrame:
 def stray_pairs(placed: DataFrame, threshold: float) -> DataFrame:
     """Each bucket's nodes outside its largest component with all nodes of other components that may match."""
     main = placed.groupBy("band", "comp").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"))
-    strays = prefixed(placed.join(main, "band").where("comp != main").drop("main"), "s_")
-    found = strays.join(placed, "band").where((F.col("s_comp") != F.col("comp")) & may_match("s_", "", threshold))
+    strays = prefixed(joined(placed, main, "band").where("comp != main").drop("main"), "s_")
+    found = joined(placed, strays, "band", bound=WIDE_ROWS).where((F.col("s_comp") != F.col("comp")) & may_match("s_", "", threshold))
     return found.select(F.least("s_key", "key").alias("a"), F.greatest("s_key", "key").alias("b"))
 
 
