@@ -1,37 +1,42 @@
 """URL filtering: fixed host-and-path rules, then mined association rules.
 
-Labelled URLs become sets of tokens (host suffixes, path words, file endings,
-query keys) with a class item. Spark's FP-growth mines the combinations that are
-frequent; those whose share of bad URLs reaches the confidence bound, and whose
-rule no part of theirs states already, are kept. Their tokens form an inverted
-index: a URL meets a rule when it holds as many of the rule's tokens as the rule
-has. Only DataFrame operations run.
+Labelled URLs become sets of tokens (host suffixes, path words, file ending,
+query keys) with a class item. Tokens that are in exactly the same labelled URLs
+are one item, by the longest of them, so that a chain of host suffixes or a bundle
+of query keys doesn't multiply the combinations. Spark's FP-growth mines the
+frequent combinations; those whose share of bad URLs reaches the confidence and
+lift bounds, and no part of which is such a rule itself, are kept. The inverted
+index lists each rule under its rarest token; a URL with that token meets the rule
+if it holds the others too. Only DataFrame operations run.
 
 Defined results: a null URL, or one without ://, has an empty host and path, no
 tokens, no rule, and is allowed. Among fixed rules the longest (host and path)
-wins. Without labels, nothing is mined. A row is judged on its own, so repeated
-rows get the same verdict each.
+wins, among mined ones the most confident, then the last by name. Without labels,
+nothing is mined; if an id is labelled more than once, the worst label holds. A
+row is judged on its own, so repeated rows get the same verdict each.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import ceil
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemograph.llm.common import stored
+from mnemograph.llm.common import joined, stored
 
 #: Fixed rules: (verdict, host and path).
 FIXED = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 SUPPORT = 0.005
 #: Rows that hold a frequent combination at least, however few are labelled.
 LEAST_ROWS = 5
-CONFIDENCE = 0.8
+#: A rule's share of bad rows at least, and how many times the share of all rows that must be.
+CONFIDENCE, LIFT = 0.6, 2.0
 #: Tokens of a rule at most.
 LONGEST = 3
 BAD = "class=bad"
-#: Rules with fewer tokens than these are kept by confidence; the index of so many is broadcast, of more it is shuffled.
-BROADCAST_TOKENS = 100_000
 
 
 def lower(c: Column) -> Column:
@@ -61,36 +66,58 @@ def tokens() -> Column:
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("host="), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
     words = F.transform(F.filter(F.split(lower(F.col("path")), "[^a-z]+"), lambda w: w != ""), lambda w: F.concat(F.lit("path="), w))
+    ending = F.regexp_extract("path", r"\.([A-Za-z0-9]{1,5})$", 1)
     keys = F.transform(F.regexp_extract_all("url", F.lit(r"[?&]([^=&#]+)="), F.lit(1)), lambda k: F.concat(F.lit("query="), k))
-    parts = F.array(F.concat(F.lit("scheme="), F.substring_index("url", "://", 1)), F.concat(F.lit("first="), F.element_at(labels, 1)), F.concat(F.lit("fragment="), (F.instr("url", "#") > 0).cast("string")))
-    return F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.array_compact(F.concat(suffixes, words, keys, parts))))
+    last = F.when(ending != "", F.array(F.concat(F.lit("ending="), lower(ending)))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.array_compact(F.concat(suffixes, words, last, keys))))
+
+
+def parts_of(tokens: str, longest: int) -> Column:
+    """All proper, non-empty parts of a short sorted array, as arrays."""
+    def part(places: tuple[int, ...]) -> Column:
+        return F.filter(tokens, lambda _, i: i.isin(*places))
+
+    chosen = [part(places) for size in range(1, longest) for places in combinations(range(longest), size)]
+    return F.filter(F.array_distinct(F.array(*chosen)), lambda p: (F.size(p) > 0) & (F.size(p) < F.size(tokens)))
+
+
+def rule_name(tokens: str | Column) -> Column:
+    return F.concat_ws(" & ", tokens)
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, longest: int = LONGEST) -> DataFrame:
-    """(rule_id, tokens, confidence, n) from labelled(host, path, url, bad boolean)."""
-    items = stored(labelled.select(F.concat(tokens(), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items")).where(F.size("items") > 0), "url-items")
-    support = max(support, LEAST_ROWS / max(items.count(), LEAST_ROWS))
-    sets = stored(FPGrowth(itemsCol="items", minSupport=support).fit(items).freqItemsets.where(F.size("items") <= longest + 1), "itemsets")
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT, longest: int = LONGEST) -> DataFrame:
+    """(rule_id, tokens, confidence, n, lead) from labelled(host, path, url, bad boolean); lead: the rule's rarest token."""
+    urls = stored(labelled.select(F.monotonically_increasing_id().alias("row"), tokens().alias("tokens"), "bad").where(F.size("tokens") > 0), "url-tokens")
+    total, bad = urls.agg(F.count("*"), F.count_if("bad")).first()
+    least = max(ceil(support * total), LEAST_ROWS)
+    seen = urls.select("row", F.explode("tokens").alias("token"))
+    counted = seen.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("rows")).where(F.col("n") >= least)
+    items = stored(counted.groupBy("n", "rows").agg(F.max(F.struct(F.length("token"), "token"))["token"].alias("token")).select("token", "n"), "url-items")
+    held = joined(seen, items.select("token"), "token", "left_semi").groupBy("row").agg(F.collect_list("token").alias("items"))  # of one url
+    held = urls.select("row", "bad").join(held, "row").select(F.concat("items", F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
+    held = stored(held, "url-sets")
+    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / max(held.count(), least))).fit(held).freqItemsets
+    sets = stored(sets.where(F.size("items") <= longest + 1), "itemsets")
     plain = sets.where(~F.array_contains("items", BAD)).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("n"))
-    bad = sets.where(F.array_contains("items", BAD)).select(F.array_sort(F.array_remove("items", BAD)).alias("tokens"), F.col("freq").alias("n_bad"))
-    rules = plain.join(bad, "tokens").withColumn("confidence", F.col("n_bad") / F.col("n")).where((F.col("confidence") >= confidence) & (F.size("tokens") > 0))
-    rules = stored(rules.select(F.concat_ws(" & ", "tokens").alias("rule_id"), "tokens", "confidence", "n"), "rules")
-    # a rule that some part of its tokens already states is redundant
-    parts = rules.select("rule_id", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
-    index = parts.select(F.col("rule_id").alias("short"), F.col("size").alias("short_size"), "token")
-    redundant = parts.join(index, "token").where("short_size < size").groupBy("rule_id", "short", "short_size").count().where("count = short_size").select("rule_id").distinct()
-    return rules.join(redundant, "rule_id", "left_anti")
+    with_bad = sets.where(F.array_contains("items", BAD)).select(F.array_sort(F.array_remove("items", BAD)).alias("tokens"), F.col("freq").alias("n_bad"))
+    bound = max(confidence, lift * bad / max(total, 1))
+    rules = plain.where(F.size("tokens") <= longest).join(with_bad, "tokens").withColumn("confidence", F.col("n_bad") / F.col("n")).where((F.col("confidence") >= bound) & (F.size("tokens") > 0))
+    rules = stored(rules.select(rule_name("tokens").alias("rule_id"), "tokens", "confidence", "n"), "rules")
+    parts = rules.select("rule_id", F.explode(parts_of("tokens", longest)).alias("part")).select("rule_id", rule_name("part").alias("part"))
+    redundant = parts.join(rules.select(F.col("rule_id").alias("part")), "part").select("rule_id").distinct()
+    rules = rules.join(redundant, "rule_id", "left_anti")
+    lead = rules.select("rule_id", F.explode("tokens").alias("token")).join(items.withColumnRenamed("n", "uses"), "token").groupBy("rule_id").agg(F.min(F.struct("uses", "token"))["token"].alias("lead"))
+    return rules.join(lead, "rule_id")
 
 
 def judge(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict, mined (the best mined rule that the url meets, or null)."""
-    parts = stored(rules.select("rule_id", F.size("tokens").alias("size"), "confidence", F.explode("tokens").alias("token")), "rule-index")
-    few = parts.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS
+    index = rules.select(F.col("lead").alias("token"), "rule_id", "tokens", "confidence")
     urls = parsed(pages, page_id, url)
     # each distinct url is matched once
-    held = urls.where("host != ''").select("url", "host", "path").distinct().select("url", F.explode(tokens()).alias("token"))
-    met = held.join(F.broadcast(parts) if few else parts, "token").groupBy("url", "rule_id").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.first("confidence").alias("confidence"))
-    best = met.where("n = size").groupBy("url").agg(F.max(F.struct("confidence", "rule_id"))["rule_id"].alias("mined"))
+    held = urls.where("host != ''").select("url", "host", "path").distinct().select("url", tokens().alias("own"))
+    met = joined(held.select("url", "own", F.explode("own").alias("token")), index, "token").where(F.size(F.array_except("tokens", "own")) == 0)
+    best = met.groupBy("url").agg(F.max(F.struct("confidence", "rule_id"))["rule_id"].alias("mined"))
     rule, verdict = fixed()
     found = urls.join(best, "url", "left")
     return found.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("mined").isNotNull(), "block").otherwise("allow")).alias("verdict"), "mined")
