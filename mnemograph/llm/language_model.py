@@ -2,22 +2,28 @@
 
 Tokens are the words of a text (ASCII letters folded, cut at white space) and one
 end. Training tokens of the whole corpus are counted; the most frequent words are
-the model's vocabulary, all others share one class. The model predicts a token's
-vector from the vectors of the two tokens before it, each weighted per position;
-its probability is the softmax over the vocabulary, and within the class of other
-words that of their smoothed counts. Every partition of the training texts makes
-one pass of gradient steps from the same start, with noise from the unigram
-distribution; the results are averaged, weighted by tokens (parameter mixing).
-All training texts take part, so counts, passes and what is averaged grow with
-the corpus. Scores are exact normalised log-probabilities: normalisers come from
-matrix products, once per context and worker.
+the model's vocabulary, all others fall into TAILS classes by a hash of their last
+two bytes. The model predicts a token's vector from the vectors of the two tokens
+before it, each weighted per position; its probability is the softmax over
+vocabulary and classes, and within a class that of its words' smoothed counts.
+
+Training goes in synchronised rounds. The texts are dealt into blocks of about
+BLOCK_TOKENS tokens by a hash of the id, whatever the partitions. In a round each
+of its blocks makes gradient steps from the round's common start, with noise from
+the unigram distribution and a seed of its own; the results are averaged, weighted
+by tokens, and are the next round's start. Over a corpus of ROUNDS blocks or more
+each text is used once, over a smaller one several times. All training texts take
+part, so counts, blocks and what is averaged grow with the corpus. Scores are exact
+normalised log-probabilities: normalisers come from matrix products, once per
+context and worker.
 
 What reaches every task has a fixed bound: the model (VOCAB rows) and the counts
 of at most KNOWN_WORDS words. Rarer words are looked up by a join on the word.
 
 Defined results: a null or empty text is its end alone. Without training texts
 all counts are 0 and the model is uniform over an empty vocabulary's classes.
-Repeated rows are scored each.
+Words of equal counts are ranked by their bytes. Repeated rows are counted,
+trained on and scored each.
 """
 
 from __future__ import annotations
@@ -26,6 +32,7 @@ from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 from pickle import dumps, loads
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -36,19 +43,22 @@ from pyspark.sql import functions as F
 
 from mnemograph.llm.common import byte_texts, id_hash, resident, stored
 
-VOCAB = 1024
+#: Rows of the model: classes of rarer words, end, begin, and the most frequent words.
+VOCAB, TAILS = 1088, 64
 SIZE = 16
 CONTEXT = 2
-#: Words whose counts every task holds, at most; longer ones than WORD_BYTES aren't among them.
-KNOWN_WORDS = 200_000
+#: Words whose counts every task holds, at most: of up to WORD_BYTES bytes, and the most frequent longer ones.
+KNOWN_WORDS, LONG_WORDS = 200_000, 1000
 WORD_BYTES = 64
+#: Tokens of a block on average; rounds.
+BLOCK_TOKENS, ROUNDS = 1_000_000, 4
 #: Distinct words a task counts before it passes them on.
 COUNT_WORDS = 300_000
 NOISE, BATCH, RATE = 64, 8192, 0.1
 SMOOTHING = 0.1
-#: Parameter rows that are averaged as one vector.
-BLOCKS = 16
-OTHER, END, BEGIN = 0, 1, 2
+#: Parts of the parameters, each averaged as one vector.
+PARTS = 16
+END, BEGIN, FIRST = TAILS, TAILS + 1, TAILS + 2
 LOG10 = 1 / np.log(10)
 
 
@@ -77,18 +87,29 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(text).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def tail(word: bytes) -> int:
+    """Class of a word outside the vocabulary."""
+    return crc32(word[-2:]) % TAILS
+
+
 class Lexicon:
-    """Corpus totals and the frequent words' counts. rows: [(word, count)], most frequent first."""
+    """Corpus totals and the frequent words' counts. rows: [(word, count)], most frequent first; tails: (class, tokens, words) over all words."""
 
-    def __init__(self, total: int, distinct: int, rows: list[tuple[bytes, int]], end: int, vocab: int):
+    def __init__(self, total: int, distinct: int, rows: list[tuple[bytes, int]], end: int, vocab: int, tails: list[tuple[int, int, int]]):
         self.total, self.distinct, self.end = total, distinct, end
         self.words = [w for w, _ in rows]
         self.counts = np.array([c for _, c in rows], np.float64)
-        self.vocab = min(len(rows), vocab - 3)  # the first so many are the model's own
-        inside = end + self.counts[: self.vocab].sum()
-        self.other_total = total - inside
-        self.other_distinct = distinct - self.vocab - (end > 0)
-        own = np.concatenate([[self.other_total, end, 0], self.counts[: self.vocab]]) + SMOOTHING
+        self.vocab = min(len(rows), vocab - FIRST)  # the first so many are the model's own
+        self.tails = np.array([tail(w) for w in self.words], np.int64)
+        tokens, words = np.zeros(TAILS), np.zeros(TAILS)
+        for k, n, m in tails:
+            tokens[k], words[k] = n, m
+        own = self.tails[: self.vocab]
+        tokens -= np.bincount(own, self.counts[: self.vocab], TAILS)
+        words -= np.bincount(own, minlength=TAILS)
+        #: log10 of each class's smoothed total, one unseen word included
+        self.tail_norm = np.log10(tokens + SMOOTHING * (words + 1))
+        own = np.concatenate([tokens, [end, 0], self.counts[: self.vocab]]) + SMOOTHING
         own[BEGIN] = 0
         self.unigram = own / own.sum()
 
@@ -96,15 +117,18 @@ class Lexicon:
     def base_norm(self) -> float:
         return np.log10(self.total + SMOOTHING * (self.distinct + 1))
 
-    @property
-    def other_norm(self) -> float:
-        return np.log10(self.other_total + SMOOTHING * (self.other_distinct + 1))
+    def ids(self) -> np.ndarray:
+        """The model's row of each word."""
+        at = np.arange(len(self.words))
+        return np.where(at < self.vocab, at + FIRST, self.tails)
 
 
 def lexicon(counts: DataFrame, vocab: int = VOCAB, known: int = KNOWN_WORDS) -> Lexicon:
-    """Of the stored word counts. Takes at most `known` words to the driver: those over a count bound found from a histogram."""
-    totals = counts.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("word") == b"", F.col("n")))).first()
-    usable = counts.where((F.col("word") != b"") & (F.octet_length("word") <= WORD_BYTES))
+    """Of the stored word counts. Takes at most `known` words and LONG_WORDS long ones to the driver: those over a count bound found from a histogram."""
+    word = F.col("word")
+    totals = counts.agg(F.sum("n"), F.count("*"), F.sum(F.when(word == b"", F.col("n")))).first()
+    named = counts.where(word != b"")
+    usable = named.where(F.octet_length("word") <= WORD_BYTES)
     step = F.floor(F.log2("n") * 16)
     bound, room = None, known
     for row in usable.groupBy(step.alias("s")).count().orderBy(F.desc("s")).collect():  # under a thousand steps
@@ -112,9 +136,11 @@ def lexicon(counts: DataFrame, vocab: int = VOCAB, known: int = KNOWN_WORDS) ->
             break
         room -= row["count"]
         bound = row["s"]
-    rows = [] if bound is None else [(bytes(r["word"]), r["n"]) for r in usable.where(step >= bound).collect()]
+    rows = [] if bound is None else usable.where(step >= bound).collect()
+    rows = [(bytes(r["word"]), r["n"]) for r in [*rows, *named.where(F.octet_length("word") > WORD_BYTES).orderBy(F.desc("n"), "word").limit(LONG_WORDS).collect()]]
     rows.sort(key=lambda r: (-r[1], r[0]))
-    return Lexicon(totals[0] or 0, totals[1], rows, totals[2] or 0, vocab)
+    tails = named.groupBy((F.crc32(F.substring("word", -2, 2)) % TAILS).alias("k")).agg(F.sum("n"), F.count("*")).collect()  # TAILS rows
+    return Lexicon(totals[0] or 0, totals[1], rows, totals[2] or 0, vocab, [tuple(r) for r in tails])
 
 
 class Parameters:
@@ -146,12 +172,11 @@ def summed(rows: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 class Trainer:
-    """Noise-contrastive steps (Adagrad) over token ids."""
+    """Noise-contrastive steps (Adagrad) over token ids. state: parameters and summed squares of gradients."""
 
-    def __init__(self, flat: np.ndarray, unigram: np.ndarray, seed: int):
-        self.flat = flat.copy()
+    def __init__(self, state: np.ndarray, unigram: np.ndarray, seed: int):
+        self.flat, self.power = (x.copy() for x in np.split(state, 2))
         self.p = Parameters(self.flat, len(unigram))  # views into flat
-        self.power = np.full(len(flat), 1e-6)
         self.log_noise = np.log(NOISE * np.maximum(unigram, 1e-12))
         self.cumulative, self.rng = np.cumsum(unigram), np.random.default_rng(seed)
 
@@ -178,43 +203,69 @@ class Trainer:
         self.flat -= RATE * grad / np.sqrt(self.power)
 
 
-def indexed(lex: Lexicon) -> dict[bytes, int]:
-    return {w: n + 3 for n, w in enumerate(lex.words[: lex.vocab])}
-
-
-def train(docs: DataFrame, lex: Lexicon, text: str = "text") -> np.ndarray:
-    """Mixed parameters of one pass over all rows."""
-    spark, begin = docs.sparkSession, start(lex)
-    shared = spark.sparkContext.broadcast(dumps((lex.words[: lex.vocab], lex.unigram, begin)))
+def encoded(docs: DataFrame, lex: Lexicon, blocks: int, doc_id: str, text: str) -> DataFrame:
+    """(block, place, ids): the model's rows of each text's tokens as 16-bit numbers."""
+    shared = docs.sparkSession.sparkContext.broadcast(dumps((lex.words, lex.ids())))
+    d = docs.select(F.col(text).alias("text"), F.xxhash64(F.col(doc_id).cast("string"), F.col(text)).alias("place"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        words, unigram, flat = loads(shared.value)
-        of = {w: n + 3 for n, w in enumerate(words)}.get
-        trainer = Trainer(flat, unigram, TaskContext.get().partitionId())
-        rest, seen = np.zeros(0, np.int64), 0
+        words, ids = loads(shared.value)
+        of = dict(zip(words, ids.tolist())).get
         for batch in batches:
-            ids = [BEGIN] * CONTEXT
-            for t in byte_texts(batch.column(text)):
-                ids += [of(w, OTHER) for w in words_of(t)]
-                ids += [END, *[BEGIN] * CONTEXT]
-                if len(ids) < 8 * BATCH:
-                    continue
-                rest, ids = np.concatenate([rest, np.array(ids, np.int64)]), []
-                while len(rest) > BATCH + CONTEXT:
-                    seen += learn(trainer, rest[: BATCH + CONTEXT])
-                    rest = rest[BATCH:]
-            rest = np.concatenate([rest, np.array(ids, np.int64)])
-        for a in range(0, max(0, len(rest) - CONTEXT), BATCH):
-            seen += learn(trainer, rest[a : a + BATCH + CONTEXT])
-        parts = np.array_split(trainer.flat, BLOCKS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([float(seen)] * BLOCKS, pa.float64()), pa.array([p.tolist() for p in parts], pa.list_(pa.float64()))], ["block", "tokens", "part"])
-
-    parts = docs.select(text).mapInArrow(run, "block int, tokens double, part array<double>").where("tokens > 0")
-    mean = parts.groupBy("block").agg(vector_to_array(Summarizer.mean(array_to_vector(F.col("part")), F.col("tokens"))).alias("part"))
-    got = {r["block"]: np.array(r["part"]) for r in mean.collect()}  # one model
-    return np.concatenate([got[n] for n in range(BLOCKS)]) if got else begin
+            got = []
+            for t in byte_texts(batch.column("text")):
+                found = words_of(t)
+                row = [of(w, -1) for w in found]
+                if -1 in row:
+                    row = [tail(w) if n < 0 else n for n, w in zip(row, found)]
+                got.append(np.array([*row, END], "<i2").tobytes())
+            place = batch.column("place")
+            block = np.asarray(place) % blocks
+            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), place, pa.array(got, pa.binary())], ["block", "place", "ids"])
+
+    return d.mapInArrow(run, "block long, place long, ids binary")
+
+
+def trained_block(table: pa.Table, state: np.ndarray, unigram: np.ndarray, seed: int) -> tuple[int, np.ndarray]:
+    """Tokens and state after one pass over a block's texts, in order of their places."""
+    trainer, seen = Trainer(state, unigram, seed), 0
+    rows = sorted(zip(table.column("place").to_pylist(), table.column("ids").to_pylist()))
+    start = np.full(CONTEXT, BEGIN, "<i2").tobytes()
+    ids = np.frombuffer(b"".join(x for _, r in rows for x in (start, r)), "<i2").astype(np.int64)
+    for a in range(0, max(0, len(ids) - CONTEXT), BATCH):
+        seen += learn(trainer, ids[a : a + BATCH + CONTEXT])
+    return seen, np.concatenate([trainer.flat, trainer.power])
+
+
+def train(docs: DataFrame, lex: Lexicon, doc_id: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS, rounds: int = ROUNDS) -> np.ndarray:
+    """Parameters after all rounds."""
+    spark, flat = docs.sparkSession, start(lex)
+    state = np.concatenate([flat, np.full(len(flat), 1e-6)])
+    if not lex.total:
+        return flat
+    blocks = max(1, round(lex.total / block_tokens))
+    groups = min(rounds, blocks)
+    rows = stored(encoded(docs, lex, blocks, doc_id, text), "lm-tokens")
+    for turn in range(rounds):
+        shared = spark.sparkContext.broadcast(dumps((lex.unigram, state)))
+        ended = rows.where(F.col("block") % groups == turn % groups).groupBy("block").applyInArrow(block_step(shared, turn), "part int, tokens double, values array<double>").where("tokens > 0")
+        mean = ended.groupBy("part").agg(vector_to_array(Summarizer.mean(array_to_vector(F.col("values")), F.col("tokens"))).alias("values"))
+        got = {r["part"]: np.array(r["values"]) for r in mean.collect()}  # one model
+        if got:
+            state = np.concatenate([got[n] for n in range(PARTS)])
+        shared.unpersist()
+    return np.split(state, 2)[0]
+
+
+def block_step(shared, turn: int):
+    """What a round does with one block: its new state in PARTS parts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        unigram, begin = loads(shared.value)
+        seen, end = trained_block(table, begin, unigram, table.column("block")[0].as_py() * 1000 + turn)
+        return pa.table({"part": pa.array(range(PARTS), pa.int32()), "tokens": pa.array([float(seen)] * PARTS), "values": pa.array([p.tolist() for p in np.array_split(end, PARTS)], pa.list_(pa.float64()))})
+
+    return run
 
 
 def learn(trainer: Trainer, ids: np.ndarray) -> int:
@@ -233,7 +284,7 @@ class Scorer:
         lex, flat = loads(packed)
         self.lex, self.rows = lex, len(lex.unigram)
         self.p = Parameters(flat, self.rows)
-        self.at = {w: n for n, w in enumerate(lex.words)}
+        self.at, self.ids = {w: n for n, w in enumerate(lex.words)}, lex.ids()
         self.log = np.log10(np.concatenate([lex.counts, [lex.end]]) + SMOOTHING)
         self.norm = np.full(self.rows**CONTEXT, np.nan, np.float32)
 
@@ -256,15 +307,18 @@ class Scorer:
         at = np.fromiter((get(w, -1) for w in words), np.int64, n - 1)
         known = at >= 0
         ids = np.full(n + CONTEXT, BEGIN, np.int64)
-        ids[CONTEXT:-1] = np.where(known & (at < lex.vocab), at + 3, OTHER)
+        if len(self.ids):
+            ids[CONTEXT:-1] = self.ids[at]
+        for k in np.flatnonzero(~known).tolist():
+            ids[k + CONTEXT] = tail(words[k])
         ids[-1] = END
         target, before = ids[CONTEXT:], [ids[CONTEXT - k - 1 : n + CONTEXT - k - 1] for k in range(CONTEXT)]
         context = before[0] * self.rows + before[1]
         scores = np.einsum("ij,ij->i", self.p.predicted(before), self.p.q[target]) + self.p.b[target] - self.normalisers(context, before)
         logs = self.log[at[known]]
         base = float(logs.sum() + self.log[-1] - n * lex.base_norm)
-        other = target[:-1] == OTHER
-        model = float(scores.sum() * LOG10 + self.log[at[known & other]].sum() - other.sum() * lex.other_norm)
+        rare = target[:-1] < TAILS
+        model = float(scores.sum() * LOG10 + self.log[at[known & rare]].sum() - lex.tail_norm[target[:-1][rare]].sum())
         rest = Counter(w for w, k in zip(words, known.tolist()) if not k) if not known.all() else {}
         return n, int(known.sum()) + (lex.end > 0), base, model, rest
 
