@@ -14,6 +14,8 @@ from mnemograph.llm.common import stored, table
 
 #: Scores below this are no language. With k languages the best is 1/k at least, so up to five the floor of coverage decides.
 LEAST_SCORE = 0.2
+#: Text parts that the encoder's cache remembers: fewer than by default, as its workers have served the other stages before.
+CACHE_PARTS = 200_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +40,7 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, with the byte-level BPE ids of their texts in column ids."""
-    return byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))[0]
+    return byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), cache=CACHE_PARTS)[0]
 
 
 STAGES = [
