@@ -10,18 +10,27 @@ over the labelled statistics that gives counts per statistic and threshold (a fe
 hundred numbers). The list becomes one ordered conditional expression.
 
 A statistic of its own counts words of a lexicon that labels single out: words
-frequent in toxic rows and nearly absent from the others. Lexicon and list are
-fitted on a bounded sample of the labelled rows (SAMPLE, by kind), drawn by a hash
-of the id; within it every word is tested and every word that passes is kept. Up
-to LITERAL_WORDS words are matched in place, more by a join.
+nearly absent from rows that aren't toxic, and in so many toxic rows that not one
+of all the words tested would be there by chance (an error of CHANCE for the whole
+lexicon). Copies of one text are no independent witnesses: of rows with an equal
+least window hash, by any of COPY_MARKS hash functions, one counts. The lexicon is
+learned from the growing rows alone, so that the pruning rows are
+an honest test of it. Lexicon and list are fitted on a bounded sample of the
+labelled rows (SAMPLE, by kind), drawn by a hash of the id; within it every word is
+tested and every word that passes is kept. Up to LITERAL_WORDS words are matched in
+place, more by a join.
 
 Defined results: a null or empty text has no words and fails the base rules.
 Without labels, no rule is learned. If an id is labelled more than once, the
-worst label holds. Repeated rows are judged each.
+worst label holds. Of conditions with equal gain the first statistic's lowest
+threshold is taken, of equally good beginnings of a rule the shortest. Repeated
+rows are judged each.
 """
 
 from __future__ import annotations
 
+from math import log
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,12 +44,15 @@ SAMPLE = {"toxic": 8000, "bad": 6000, "good": 10_000}
 THRESHOLDS = 24
 #: Rules of the list, conditions of a rule, precision on pruning rows, rows covered there.
 MOST_RULES, MOST_CONDITIONS, PRECISION, LEAST_COVER = 12, 4, 0.9, 4
-#: The lexicon: labelled toxic rows and share of a word's rows that are toxic at least.
-LEXICON_ROWS, LEXICON_SHARE = 4, 0.98
+#: The lexicon: labelled toxic rows and share of a word's rows that are toxic at least; the chance that it has a word by accident.
+LEXICON_ROWS, LEXICON_SHARE, CHANCE = 4, 0.98, 0.01
+#: Hash functions over five-word windows that tell copies among the lexicon's rows.
+COPY_MARKS = 4
 #: Words up to which the lexicon is a list in the plan; a larger one stays a table.
 LITERAL_WORDS = 5000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_shouts", "n_flagged")
 
+
 def letters(text: Column) -> Column:
     """Lower-case runs of letters."""
     return F.split(F.lower(text), r"[^\p{L}]+")
@@ -137,21 +149,54 @@ def sampled(labels: DataFrame, sizes: dict[str, int]) -> DataFrame:
     return worst.where(drawn).select("id", "toxic", "bad", weight.alias("weight")).limit(2 * sum(sizes.values()))
 
 
+def without_copies(rows: DataFrame) -> DataFrame:
+    """rows of a bounded sample (id, text, toxic, ...) with one of each group that shares a least window hash: of the least id."""
+    w = F.array_remove(F.split(F.lower("text"), SPACE + "+"), "")
+    d = rows.select("id", "toxic", "text", w.alias("w"))
+
+    def mark(seed: int) -> Column:
+        windows = F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.xxhash64(F.lit(seed), *(F.element_at("w", i + k) for k in range(5))))
+        return F.when(F.size("w") >= 5, F.array_min(windows)).otherwise(F.xxhash64("text")).alias(f"m{seed}")
+
+    names = [f"m{k}" for k in range(COPY_MARKS)]
+    left = stored(d.select("id", "toxic", *map(mark, range(COPY_MARKS))), "copy-marks")
+    for name in names:
+        left = left.groupBy("toxic", name).agg(F.min(F.struct("id", *(n for n in names if n != name))).alias("x")).select("toxic", name, "x.*")
+    return rows.join(F.broadcast(left.select("id")), "id", "left_semi")
+
+
 def learn_lexicon(rows: DataFrame) -> list[str] | DataFrame:
-    """All words in at least LEXICON_ROWS toxic rows, nearly all of whose rows are toxic; a table (word) if over LITERAL_WORDS."""
+    """All words nearly all of whose rows are toxic and that are in too many toxic rows for chance; a table (word) if over LITERAL_WORDS.
+
+    A word that has nothing to do with toxicity is in toxic rows alone with the
+    chance p^n for n rows, p being the share of toxic ones; n must be so large that
+    this, times the number of words tested, is at most CHANCE.
+    """
+    rows = without_copies(rows)
+    total, toxic = rows.agg(F.count("*"), F.count_if("toxic")).first()
     words = rows.select(F.explode(F.array_distinct(letters(F.col("text")))).alias("word"), "toxic", "weight").where("word != ''")
     counted = words.groupBy("word").agg(F.count_if("toxic").alias("n"), F.sum(F.when(F.col("toxic"), F.col("weight"))).alias("bad"), F.sum("weight").alias("all"))
-    found = stored(counted.where((F.col("n") >= LEXICON_ROWS) & (F.col("bad") >= LEXICON_SHARE * F.col("all"))).select("word"), "lexicon")
+    counted = stored(counted.where(F.col("n") >= LEXICON_ROWS), "toxic-words")
+    tested = counted.count()
+    if not tested or toxic == total:
+        return []
+    least = max(LEXICON_ROWS, log(tested / CHANCE) / log(total / toxic))
+    found = stored(counted.where((F.col("n") >= least) & (F.col("bad") >= LEXICON_SHARE * F.col("all"))).select("word"), "lexicon")
     few = [r["word"] for r in found.limit(LITERAL_WORDS + 1).collect()]
     return sorted(few) if len(few) <= LITERAL_WORDS else found
 
 
+def for_pruning() -> Column:
+    """A third of the labelled rows, by a hash of the id."""
+    return F.pmod(F.xxhash64("id"), F.lit(3)) == 2
+
+
 class Learner:
     """Sequential covering over a stored table (id hash third, bad, one bin per statistic)."""
 
     def __init__(self, rows: DataFrame):
         names = list(statistics())
-        values = rows.select((F.pmod(F.xxhash64("id"), F.lit(3)) == 2).alias("prune"), "bad", "weight", *(c.alias(n) for n, c in statistics().items()))
+        values = rows.select(for_pruning().alias("prune"), "bad", "weight", *(c.alias(n) for n, c in statistics().items()))
         points = [i / (THRESHOLDS - 1) for i in range(THRESHOLDS)]
         both = [F.percentile_approx(F.when(c, F.col(n)), points, 2000).alias(f"{n}_{k}") for n in names for k, c in (("all", F.lit(True)), ("bad", F.col("bad")))]
         cuts = values.agg(*both).first()
@@ -221,7 +266,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     few = stored(sampled(labels, sizes), "labels")
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("text IS NOT NULL").join(F.broadcast(few), "id")
     rows = stored(rows, "labelled")
-    lexicon = learn_lexicon(rows)
+    lexicon = learn_lexicon(rows.where(~for_pruning()))
     counted = stored(measured(rows, "text", lexicon, "m").select("id", "bad", "weight", "m.*"), "statistics").where(~base_failed())
     return lexicon, [] if counted.where("bad").isEmpty() else Learner(counted).rules()
 

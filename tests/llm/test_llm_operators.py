@@ -357,7 +357,14 @@ def test_lexicon_has_every_word(spark, monkeypatch):
         return [stem + chr(97 + k // 676) + chr(97 + k // 26 % 26) + chr(97 + k % 26) for k in range(n)]
 
     common, many = " ".join(words("c", 3100)), words("z", 700)
-    rows = [(n, f"{common} {' '.join(many)}{' slur' if n < 4 else ''}", True, 1.0) for n in range(8)] + [(n, common, False, 1.0) for n in range(8, 16)]
+    # in 20 toxic rows alone a word is no accident among 3,800, in 15 it may be
+    def varied(n, more):
+        every = [*common.split(), *more]
+        random.Random(n).shuffle(every)
+        return " ".join(every)
+
+    rows = [(n, varied(n, [*many, *["slur"] * (n < 20), *["chance"] * (n < 15)]), True, 1.0) for n in range(24)] + [(n, varied(n, []), False, 1.0) for n in range(24, 48)]
+    rows += [(100 + n, rows[0][1] + f" copied c{n}", True, 1.0) for n in range(40)]  # copies are one witness
     d = spark.createDataFrame(rows, "id long, text string, toxic boolean, weight double")
     lexicon = quality_rules.learn_lexicon(d)
     assert lexicon == sorted([*many, "slur"])
