@@ -19,22 +19,32 @@ EMOTIONS = [
     "anger", "annoyance", "disappointment", "disapproval", "disgust", "embarrassment", "fear", "grief", "nervousness", "remorse", "sadness",
     "confusion", "curiosity", "realization", "surprise", "neutral",
 ]
-#: Categories of the lexicon classifier, and the words of each; fixed values. Words of other categories count nowhere.
+#: Categories of the lexicon classifier; fixed values.
 CATEGORIES = ["neutral", "joy", "sadness", "anger", "fear", "surprise", "disgust", "love", "hate", "interest"]
+#: Category of each word of the lexicon classifier; fixed values. Words of other categories count nowhere.
 LEXICON = {
-    "neutral": "calm peaceful serene relaxed tranquil",
-    "joy": "joy happiness happy excited enthusiasm cheerful delight elated hope hopeful optimistic",
-    "sadness": "sadness sad sorrow grief melancholy depressed despair hopeless pessimistic desperate",
-    "anger": "anger angry rage furious irritated annoyed frustrated",
-    "fear": "fear afraid terrified anxious worried nervous scared tense stressed uneasy restless",
-    "surprise": "surprise surprised amazed shocked astonished",
-    "disgust": "disgust disgusted revolted repulsed",
-    "love": "love affection tenderness warmth fondness adoring",
-    "hate": "hate hatred contempt loathing dislike",
-    "interest": "interest curiosity intrigue engaged fascinated expectant",
-}
+    "joy": "joy", "happiness": "joy", "happy": "joy", "excited": "joy", "enthusiasm": "joy", "cheerful": "joy", "delight": "joy", "elated": "joy",
+    "sadness": "sadness", "sad": "sadness", "sorrow": "sadness", "grief": "sadness", "melancholy": "sadness", "depressed": "sadness",
+    "anger": "anger", "angry": "anger", "rage": "anger", "furious": "anger", "irritated": "anger", "annoyed": "anger", "frustrated": "anger",
+    "fear": "fear", "afraid": "fear", "terrified": "fear", "anxious": "fear", "worried": "fear", "nervous": "fear", "scared": "fear",
+    "surprise": "surprise", "surprised": "surprise", "amazed": "surprise", "shocked": "surprise", "astonished": "surprise",
+    "disgust": "disgust", "disgusted": "disgust", "revolted": "disgust", "repulsed": "disgust",
+    "love": "love", "affection": "love", "tenderness": "love", "warmth": "love", "fondness": "love", "adoring": "love",
+    "hate": "hate", "hatred": "hate", "contempt": "hate", "loathing": "hate", "dislike": "hate",
+    "interest": "interest", "curiosity": "interest", "intrigue": "interest", "engaged": "interest", "fascinated": "interest",
+    "calm": "neutral", "peaceful": "neutral", "serene": "neutral", "relaxed": "neutral", "tranquil": "neutral",
+    "tense": "fear", "stressed": "fear", "uneasy": "fear", "restless": "fear",
+    "hope": "joy", "hopeful": "joy", "optimistic": "joy", "expectant": "interest",
+    "despair": "sadness", "hopeless": "sadness", "pessimistic": "sadness", "desperate": "sadness",
+}
+#: Words that no description consists of; fixed values.
+FILLERS = ["the", "and", "for", "are"]
+#: A chapter heading, and a run of capitalised words; fixed values.
 CHAPTER = r"(?i)(?U)\bChapter\s+\d+"
+CAPITALISED = r"(?U)\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+){%s}\b"
 SPACE_RUN = r"(?U)\s+"
+#: Nesting of brackets that a cut-off JSON answer may have.
+JSON_DEPTH = 8
 
 
 def hash_id(text: Column, prefix: str = "") -> Column:
@@ -84,7 +94,7 @@ def by_place(found: Column, text: Column) -> Column:
 
 def rule_entities(text: Column) -> Column:
     """Capitalised runs, quoted phrases and their words, titles; minus stop words; by first place."""
-    names = F.regexp_extract_all(text, F.lit(r"(?U)\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b"), F.lit(0))
+    names = F.regexp_extract_all(text, F.lit(CAPITALISED % "0,"), F.lit(0))
     phrases = F.regexp_extract_all(text, F.lit('"([^"]+)"'), F.lit(1))
     words = F.flatten(F.transform(phrases, lambda p: F.array_remove(F.split(p, SPACE_RUN), "")))
     several = F.filter(phrases, lambda p: F.size(F.array_remove(F.split(p, SPACE_RUN), "")) > 1)
@@ -92,13 +102,22 @@ def rule_entities(text: Column) -> Column:
     return F.array_distinct(F.transform(by_place(F.array_except(F.concat(names, several, words, titles), F.array(*map(F.lit, ENTITY_STOP_WORDS))), text), squeezed))
 
 
+def pattern_entities(text: Column, most: int = 20, shortest: int = 2) -> Column:
+    """Capitalised words, runs of two and more, runs of up to four, and quoted text; minus stop words in any case; the first by place, ties by string."""
+    runs = [F.regexp_extract_all(text, F.lit(CAPITALISED % times), F.lit(0)) for times in ("0", "1,", "1,3")]
+    quoted = F.regexp_extract_all(text, F.lit('"([^"]+)"'), F.lit(1))
+    found = F.transform(F.concat(*runs, quoted), lambda e: F.regexp_replace(e, r"(?U)^\s+|\s+$", ""))
+    kept = F.filter(found, lambda e: (F.length(e) >= shortest) & ~F.lower(e).isin(PATTERN_STOP_WORDS))
+    return F.slice(by_place(kept, text), 1, most)
+
+
 def spans_pattern() -> str:
     """Two or more capitalised words."""
-    return r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b"
+    return (CAPITALISED % "1,").removeprefix("(?U)")
 
 
 def emotion_words() -> list[tuple[str, str]]:
-    return [(w, c) for c, words in LEXICON.items() for w in words.split()]
+    return list(LEXICON.items())
 
 
 def emotion_shares(text: Column) -> Column:
@@ -106,7 +125,7 @@ def emotion_shares(text: Column) -> Column:
     words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0))
 
     def named(category: str) -> Column:
-        known = LEXICON[category].split()
+        known = [w for w, c in LEXICON.items() if c == category]
         return F.size(F.filter(words, lambda w: w.isin(known)))
 
     counts = {c: named(c) for c in CATEGORIES}
@@ -124,7 +143,7 @@ def emotion_vector(response: Column) -> Column:
     """Unit vector of the scores in a model's response: JSON, else name by name; uniform where all are 0."""
     text = F.regexp_extract(response, r"\{[^{}]*\}", 0)
     parsed = F.from_json(F.when(text != "", text).otherwise(response), "map<string,double>")
-    by_name = lambda e: F.nullif(F.regexp_extract(response, rf'"{e}"\s*:\s*([0-9]+\.?[0-9]*)', 1), F.lit("")).cast("double")
+    by_name = lambda e: F.nullif(F.regexp_extract(response, rf'"{e}"\s*:\s*([0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?)', 1), F.lit("")).cast("double")
     raw = F.array(*(F.coalesce(F.when(parsed.isNotNull(), parsed[e]).otherwise(by_name(e)), F.lit(0.0)) for e in EMOTIONS))
     size = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
     return F.when(size > 0, F.transform(raw, lambda x: x / size)).otherwise(F.array_repeat(F.lit(1.0 / len(EMOTIONS)), len(EMOTIONS)))
@@ -132,3 +151,43 @@ def emotion_vector(response: Column) -> Column:
 
 def answer_after_marker(text: Column, marker: str = "Answer:") -> Column:
     return F.trim(F.when(F.instr(text, marker) > 0, F.substring_index(text, marker, -1)).otherwise(text))
+
+
+def json_repaired(json: Column) -> Column:
+    """A cut-off JSON text without what follows its last comma, closed by the brackets that are still open there."""
+    cut = F.when(F.instr(json, ",") > 0, F.regexp_extract(json, r"(?s)^(.*),", 1)).otherwise(json)
+    open_ = F.regexp_replace(F.regexp_replace(cut, r'(?s)"(?:\\.|[^"\\])*(?:"|$)', ""), r"[^\[\]{}]", "")
+    for _ in range(JSON_DEPTH):  # each turn takes away the innermost closed pairs
+        open_ = F.regexp_replace(open_, r"\[\]|\{\}", "")
+    return F.concat(cut, F.reverse(F.translate(open_, "[{", "]}")))
+
+
+def json_field(response: Column, name: str, kind: str) -> Column:
+    """Field `name` of the first object in a model's answer, repaired if it was cut short; null if there is none."""
+    whole, rest = F.regexp_extract(response, r"(?s)\{.*\}", 0), F.regexp_extract(response, r"(?s)\{.*", 0)
+    read = lambda text: F.from_json(text, f"`{name}` {kind}")[name]
+    return F.coalesce(read(F.nullif(whole, F.lit(""))), read(json_repaired(F.nullif(rest, F.lit("")))))
+
+
+def named_entities(response: Column) -> Column:
+    """Distinct entity names of an answer, in order; empty without any."""
+    found = F.coalesce(json_field(response, "named_entities", "array<string>"), F.array().cast("array<string>"))
+    return F.array_distinct(F.array_compact(found))
+
+
+def triples(response: Column) -> Column:
+    """Distinct triples of an answer, in order; only those of three parts."""
+    found = F.coalesce(json_field(response, "triples", "array<array<string>>"), F.array().cast("array<array<string>>"))
+    return F.array_distinct(F.filter(found, lambda t: (F.size(t) == 3) & ~F.exists(t, lambda x: x.isNull())))
+
+
+def description(rest: Column) -> Column:
+    """What follows an entity's name, without numbering and outer punctuation."""
+    return F.regexp_replace(F.regexp_replace(F.trim(rest), r"^\d+[.)]\s*", ""), r"^[,.:\-; ]+|[,.:\-; ]+$", "")
+
+
+def loose_description(line: Column, words: int = 8) -> Column:
+    """The first words of a line that say something, joined by commas."""
+    bare = F.transform(F.split(line, SPACE_RUN), lambda w: F.regexp_replace(w, r"^[,.:\-;]+|[,.:\-;]+$", ""))
+    kept = F.filter(bare, lambda w: (F.length(w) > 2) & ~F.lower(w).isin(FILLERS))
+    return F.array_join(F.slice(kept, 1, words), ", ")

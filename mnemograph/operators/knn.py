@@ -1,34 +1,28 @@
-"""Exact vector search: a stated query set, in blocks, against all keys.
+"""Exact vector search: a table of queries against all keys, in one plan.
 
-Each block of queries (bounded) reaches every partition of the keys, which
-answers with matrix products and keeps a running top k or the pairs over a
-threshold. Keys are never shuffled; per query only k rows leave a partition.
-A block more is a pass more, whatever the number of queries.
+The queries are written to the shared folder as files of at most BLOCK rows. Each
+task holds one slab of its keys at a time and goes through the files, with matrix
+products, so the plan has one pass over the keys whatever the number of queries,
+nothing goes through the driver and nothing is broadcast. Keys are never shuffled;
+per query and slab only k rows, or the pairs over a threshold, leave a task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors that are held at once.
-BLOCK = 4096
+from mnemograph.sources import stores
 
-
-def blocks(queries: DataFrame, size: int = BLOCK) -> Iterator[tuple[list, np.ndarray]]:
-    ids, rows = [], []
-    for r in queries.select("qid", "qvec").where("qvec IS NOT NULL").toLocalIterator():
-        ids.append(r["qid"])
-        rows.append(r["qvec"])
-        if len(ids) == size:
-            yield ids, np.array(rows, np.float64)
-            ids, rows = [], []
-    if ids:
-        yield ids, np.array(rows, np.float64)
+#: Queries of a file; keys a task holds; keys of one matrix product.
+BLOCK, SLAB, STEP = 4096, 65_536, 1024
 
 
 def unit_rows(m: np.ndarray) -> np.ndarray:
@@ -37,63 +31,91 @@ def unit_rows(m: np.ndarray) -> np.ndarray:
 
 
 def matrix(column: pa.Array) -> np.ndarray:
+    """Vectors as rows of doubles; all of one length."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def search(queries: DataFrame, keys: DataFrame, k: int | None = None, least: float | None = None, metric: str = "cosine", ids: str = "long", block: int = BLOCK, beta: float = 10.0) -> DataFrame:
+def blocks(rows: DataFrame, size: int = BLOCK) -> str:
+    """rows written as files of at most `size` rows; the folder's path."""
+    path = stores.shared_path(rows.sparkSession, "blocks")
+    rows.write.option("maxRecordsPerFile", size).parquet(path)
+    return path
+
+
+def read_blocks(path: str, wanted: Callable[[pq.FileMetaData], bool] = lambda _: True) -> Iterator[pa.Table]:
+    """The files of a folder one by one, in a task."""
+    store, root = fs.FileSystem.from_uri(path if "://" in path else "file://" + os.path.abspath(path.removeprefix("file:")))
+    for name in sorted(f.path for f in store.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet")):
+        with store.open_input_file(name) as source:
+            file = pq.ParquetFile(source)
+            if file.metadata.num_rows and wanted(file.metadata):
+                yield file.read()
+
+
+def slabs(batches: Iterator[pa.RecordBatch], size: int = SLAB) -> Iterator[pa.Table]:
+    """A task's rows in tables of about `size` rows."""
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= size:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def best_of(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best of each row, ties to the lesser id."""
+    order = np.lexsort((ids, -scores, rows))
+    sorted_rows = rows[order]
+    first = np.searchsorted(sorted_rows, sorted_rows)
+    return order[np.arange(len(order)) - first < k]
+
+
+def search(queries: DataFrame, keys: DataFrame, k: int | None = None, least: float | None = None, metric: str = "cosine", ids: str = "long", block: int = BLOCK, slab: int = SLAB, beta: float = 10.0) -> DataFrame:
     """(qid, id, score): per query the k best keys other than itself, or all that score `least` or more.
 
     queries(qid, qvec), keys(id, vec). metric: cosine, dot, or warped, which is
     -(1 - cosine) / (1 + beta * mass) for keys(id, vec, mass). Null vectors are
     skipped; a zero vector has cosine 0 with all. Ties go to the lesser id.
     """
-    spark, found = queries.sparkSession, None
     keys = keys.select("id", "vec", *(["mass"] if metric == "warped" else [])).where("vec IS NOT NULL")
-    cosine = metric != "dot"
-
-    def table(q, key, score) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(key, pa.int64() if ids == "long" else pa.string()), pa.array(score, pa.float64())], ["qid", "id", "score"])
-
-    for qids, qm in blocks(queries, block):
-        shared = spark.sparkContext.broadcast((qids, unit_rows(qm) if cosine else qm))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            qid, q = shared.value
-            held: list[list[tuple]] = [[] for _ in qid]
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                key = batch.column("id").to_pylist()
-                m = matrix(batch.column("vec"))
-                for a in range(0, len(key), 2048):
-                    part = m[a : a + 2048]
-                    scores = q @ (unit_rows(part) if cosine else part).T
-                    if metric == "warped":
-                        scores = (scores - 1) / (1 + beta * np.asarray(batch.column("mass"), np.float64)[a : a + 2048])
-                    if k is None:
-                        i, j = np.nonzero(scores >= least)
-                        here = np.array(key[a : a + 2048], dtype=object)[j]
-                        other = np.array(qid, dtype=object)[i]
-                        on = here != other
-                        yield table(other[on].tolist(), here[on].tolist(), scores[i, j][on].tolist())
-                        continue
-                    for i in range(len(qid)):
-                        row = scores[i]
-                        if len(row) > k + 1:
-                            at = np.flatnonzero(row >= np.partition(row, len(row) - k - 1)[len(row) - k - 1])
-                        else:
-                            at = range(len(row))
-                        held[i] += [(-row[j], key[a + j]) for j in at if key[a + j] != qid[i]]
-                        if len(held[i]) > 4 * k:
-                            held[i] = sorted(held[i])[:k]
-            if k is not None:
-                yield table(*(list(zip(*((g, x[1], -x[0]) for g, h in zip(qid, held) for x in sorted(h)[:k]))) or [(), (), ()]))
-
-        one = keys.mapInArrow(run, f"qid long, id {ids}, score double")
-        found = one if found is None else found.union(one)
-    if found is None:
-        return spark.createDataFrame([], f"qid long, id {ids}, score double")
+    cosine, path = metric != "dot", blocks(queries.select("qid", "qvec").where("qvec IS NOT NULL"), block)
+
+    def pairs(qid: np.ndarray, q: np.ndarray, key: np.ndarray, m: np.ndarray, mass: np.ndarray | None) -> tuple[np.ndarray, ...]:
+        """(row of q, id, score) of what may be in the result."""
+        found = []
+        for a in range(0, len(key), STEP):
+            scores = q @ m[a : a + STEP].T
+            if mass is not None:
+                scores = (scores - 1) / (1 + beta * mass[a : a + STEP])
+            if k is None:
+                bound = least
+            else:  # one more than k, as the query itself may be among them
+                bound = np.partition(scores, -k - 1, axis=1)[:, -k - 1 :][:, :1] if scores.shape[1] > k + 1 else -np.inf
+            i, j = np.nonzero(scores >= bound)
+            on = qid[i] != key[a + j]
+            i, j = i[on], j[on]
+            found.append((i, key[a + j], scores[i, j]))
+        i, near, score = (np.concatenate(x) for x in zip(*found))
+        on = slice(None) if k is None else best_of(i, near, score, k)
+        return i[on], near[on], score[on]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in slabs(batches, slab):
+            key, m = np.array(held.column("id").to_pylist()), matrix(held.column("vec"))
+            m = unit_rows(m) if cosine else m
+            mass = np.asarray(held.column("mass"), np.float64) if metric == "warped" else None
+            for table in read_blocks(path):
+                qid, q = np.array(table.column("qid").to_pylist()), matrix(table.column("qvec"))
+                i, near, score = pairs(qid, unit_rows(q) if cosine else q, key, m, mass)
+                yield pa.RecordBatch.from_arrays([pa.array(qid[i], pa.int64()), pa.array(near.tolist(), pa.int64() if ids == "long" else pa.string()), pa.array(score, pa.float64())], ["qid", "id", "score"])
+
+    found = keys.mapInArrow(run, f"qid long, id {ids}, score double")
     if k is None:
         return found
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "id")

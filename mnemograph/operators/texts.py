@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,51 +18,52 @@ from mnemograph.functions import text as tx
 CHUNK_WORDS, OVERLAP_WORDS = 300, 50
 
 
-def chunk_text(text: str, size: int = CHUNK_WORDS, overlap: int = OVERLAP_WORDS, separator: str = "\n\n") -> list[tuple[str, int, int]]:
-    """(chunk, start, end): paragraphs packed up to `size` words.
+class Unit(NamedTuple):
+    """A paragraph, or a sentence of one that is too long to be a chunk."""
 
-    A longer paragraph is cut into sentences; a chunk that begins inside one repeats
-    the last `overlap` words of the chunk before. Offsets are of the text, for
-    overlapping chunks counted back from the end of the one before.
-    """
-    out: list[tuple[str, int, int]] = []
-    held, n_held, start = "", 0, 0
+    body: str
+    words: int
+    place: int
+    glue: str
+    opens: bool
 
-    def flush() -> None:
-        if held:
-            out.append((held, start, start + len(held)))
 
+def text_units(text: str, size: int, separator: str) -> Iterator[Unit]:
     at = 0
-    for raw in text.split(separator):
-        para = raw.strip()
-        if not para:
+    for body in filter(None, map(str.strip, text.split(separator))):
+        at = text.find(body, at)
+        words = len(body.split())
+        if words <= size:
+            yield Unit(body, words, at, separator, False)
             continue
-        place = text.find(para, at)
-        at = place
-        n = len(para.split())
-        if n_held + n <= size:
-            if not held:
-                start = place
-            held, n_held = (held + separator + para if held else para), n_held + n
-            continue
-        flush()
-        if n <= size:
-            held, n_held, start = para, n, place
-            continue
-        held, n_held, start = "", 0, place
-        for sentence in filter(None, (s.strip() for s in re.split(r"[.!?]+", para))):
-            m = len(sentence.split())
-            if n_held + m <= size:
-                held, n_held = (held + " " + sentence if held else sentence), n_held + m
-                continue
-            flush()
-            if out:
-                tail = " ".join(out[-1][0].split()[-overlap:])
-                held, start = tail + " " + sentence, out[-1][2] - len(tail)
-            else:
-                held, start = sentence, text.find(sentence)
-            n_held = len(held.split())
-    flush()
+        sentences = filter(None, map(str.strip, re.split(r"[.!?]+", body)))
+        yield from (Unit(s, len(s.split()), at, " ", n == 0) for n, s in enumerate(sentences))
+
+
+def chunk_text(text: str, size: int = CHUNK_WORDS, overlap: int = OVERLAP_WORDS, separator: str = "\n\n") -> list[tuple[str, int, int]]:
+    """(chunk, start, end): runs of units of up to `size` words.
+
+    Runs are found on the running word totals. A run ends before a long paragraph. One
+    that goes on inside a long paragraph begins with the last `overlap` words of the
+    chunk before, and its offsets are counted back from that chunk's end.
+    """
+    units = list(text_units(text, size, separator))
+    totals = [0, *accumulate(u.words for u in units)]
+    stops = [*(n for n, u in enumerate(units) if u.opens), len(units)]
+    out: list[tuple[str, int, int]] = []
+    i = 0
+    while i < len(units):
+        unit = units[i]
+        within = unit.glue == " " and bool(out) and not (unit.opens and unit.words <= size)
+        lead = out[-1][0].split()[-overlap:] if within else []
+        fits = bisect_right(totals, totals[i] + size - len(lead)) - 1
+        j = min(max(i + 1, fits), stops[bisect_right(stops, i)])
+        body = unit.body + "".join(u.glue + u.body for u in units[i + 1 : j])
+        start = text.find(body, unit.place) if unit.words > size else unit.place
+        if lead:
+            start, body = out[-1][2] - len(" ".join(lead)), " ".join([*lead, body])
+        out.append((body, start, start + len(body)))
+        i = j
     return out
 
 

@@ -62,7 +62,7 @@ def test_knn_brute_force(spark, seed):
     m = rng.integers(-2, 3, (40, 4)).astype(float)
     keys = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "id long, vec array<float>")
     q = keys.where("id % 7 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
-    got = {(r["qid"], r["id"]) for r in knn.search(q, keys, k=3, block=2).collect()}
+    got = {(r["qid"], r["id"]) for r in knn.search(q, keys, k=3, block=2, slab=9).collect()}
     n = np.linalg.norm(m, axis=1)
     u = np.divide(m, n[:, None], out=np.zeros_like(m), where=n[:, None] > 0)
     want = set()
