@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import os
 import re
 import tempfile
 import uuid
@@ -10,6 +11,8 @@ from collections.abc import Callable
 from typing import Any
 
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +49,21 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def opened(uri: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + os.path.abspath(uri.removeprefix("file:")))
+
+
+def table_files(path: str) -> list[str]:
+    """Names of a stored table's files, for tasks that read them one by one."""
+    store, root = opened(path)
+    return sorted(f.path for f in store.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet"))
+
+
+def table_file(path: str, name: str) -> pa.Table:
+    with opened(path)[0].open_input_file(name) as source:
+        return pq.read_table(source)
+
+
 #: Rows of a small table up to which joined() broadcasts it.
 BROADCAST_ROWS = 200_000
 

@@ -1,28 +1,30 @@
 """Benchmark decontamination with a generalised suffix automaton over words.
 
-The test items' words form one automaton per block of bounded size. Training
-texts stream through it word by word; the state gives the longest suffix of the
-text that occurs in some item. A window (13 consecutive item words, or a whole
-shorter item) is found where that length reaches it. Texts aren't shuffled and
-the items aren't gathered beyond one block at a time, however many there are:
-each block is one more narrow pass that adds its spans to those found so far.
+The test items' words form one automaton per block of bounded size; the blocks are
+files of the shared folder. Training texts stream through word by word; the state
+gives the longest suffix of the text that occurs in some item. A window (13
+consecutive item words, or a whole shorter item) is found where that length
+reaches it. Texts aren't shuffled and the items aren't gathered: a task holds one
+automaton at a time. With one block it keeps it for all its texts; with more it
+goes through the blocks for each slab of texts and joins what they find.
 
 Defined results: a null text has no words and no hits; an empty item has no
-window; repeated items count with each of their ids; null ids are kept as null
-in the output and aren't listed among items.
+window; repeated items count with each of their ids; windows of an item with a
+null id are hits, but it isn't among the items. Null document ids are kept.
+Repeated rows are judged each.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mnemograph.llm.common import ASCII_WORDS, byte_texts, resident, unused
+from mnemograph.llm.common import ASCII_WORDS, byte_texts, resident, scratch, table_file, table_files
 
 WINDOW = 13
 #: Item words per automaton; an automaton has at most twice as many states.
@@ -43,7 +45,7 @@ class SuffixAutomaton:
         self.next: list[dict[bytes, int]] = [{}]
         self.link = [-1]
         self.len = [0]
-        self.items: dict[int, set[str]] = {}
+        self.items: dict[int, set[str | None]] = {}
 
     def _clone(self, p: int, q: int, word: bytes) -> int:
         self.next.append(dict(self.next[q]))
@@ -77,7 +79,7 @@ class SuffixAutomaton:
         for w in words:
             state = self._extend(state, w)
 
-    def mark(self, words: list[bytes], item: str) -> None:
+    def mark(self, words: list[bytes], item: str | None) -> None:
         """Note the item at the state of each of its windows. After all add()."""
         state, want = 0, min(self.window, len(words))
         for i, w in enumerate(words):
@@ -96,7 +98,7 @@ class SuffixAutomaton:
         # a marked state stands for strings of one length: the window, or a whole shorter item
         self.size = {s: min(self.window, self.len[s]) for s in self.items}
 
-    def spans(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+    def spans(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str | None]]:
         """Merged [from, to) word spans inside any window's occurrence; the items found."""
         nxt, link, length, marked, size = self.next, self.link, self.len, self.marked, self.size
         root, state, matched = nxt[0], 0, 0
@@ -134,7 +136,7 @@ class SuffixAutomaton:
         return [(a, b) for a, b in merged], set().union(*(self.items[s] for s in hit))
 
 
-def build(items: list[tuple[str, list[bytes]]], window: int = WINDOW) -> SuffixAutomaton:
+def build(items: list[tuple[str | None, list[bytes]]], window: int = WINDOW) -> SuffixAutomaton:
     sam = SuffixAutomaton(window)
     for _, words in items:
         sam.add(words)
@@ -144,62 +146,93 @@ def build(items: list[tuple[str, list[bytes]]], window: int = WINDOW) -> SuffixA
     return sam
 
 
-def item_blocks(items: DataFrame, item_id: str, text: str, window: int, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Blocks of (item, words) of bounded size; longer items are cut with an overlap that keeps every window."""
-    block, total, piece = [], 0, max(block_words, 2 * window)
-    for row in items.select(items[item_id].cast("string").alias("i"), items[text].cast("binary").alias("t")).toLocalIterator():
-        words = words_of(bytes(row.t) if row.t is not None else None)
-        if row.i is None or not words:
-            continue
-        for at in range(0, max(1, len(words) - window + 1), piece - window + 1):
-            part = words[at : at + piece]
-            if block and total + len(part) > block_words:
-                yield block
-                block, total = [], 0
-            block.append((row.i, part))
-            total += len(part)
-    if block:
-        yield block
+def item_blocks(items: DataFrame, item_id: str, text: str, window: int, block_words: int) -> str:
+    """The items as a stored table with one block a file; its path. Long items are cut with an overlap that keeps every window."""
+    d = items.select(F.col(item_id).cast("string").alias("item"), F.col(text).cast("binary").alias("text"))
+    piece = max(block_words, 2 * window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, texts, total = [], [], 0
+        for batch in batches:
+            for item, t in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist()):
+                words = words_of(t)
+                for at in range(0, max(1, len(words) - window + 1), piece - window + 1) if words else ():
+                    part = words[at : at + piece]
+                    if names and total + len(part) > block_words:
+                        yield block_row(names, texts)
+                        names, texts, total = [], [], 0
+                    names.append(item)
+                    texts.append(b" ".join(part))
+                    total += len(part)
+        if names:
+            yield block_row(names, texts)
+
+    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    path = scratch(items.sparkSession, "item-blocks")
+    d.repartition(1 + size // (4 * block_words)).mapInArrow(run, "items array<string>, texts array<binary>").write.option("maxRecordsPerFile", 1).parquet(path)
+    return path
+
+
+def block_row(names: list[str | None], texts: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([names], pa.list_(pa.string())), pa.array([texts], pa.list_(pa.binary()))], ["items", "texts"])
+
+
+def automata(path: str, window: int) -> list[Callable[[], SuffixAutomaton]]:
+    """A maker of each block's automaton. The last one made stays with the worker."""
+
+    def made(name: str) -> SuffixAutomaton:
+        row = table_file(path, name).to_pylist()[0]
+        return build([(item, t.split()) for item, t in zip(row["items"], row["texts"])], window)
+
+    names = [n for n in table_files(path) if table_file(path, n).num_rows]
+    return [lambda name=name: resident(("automaton", name), lambda: made(name)) for name in names]
+
+
+#: Bytes of text that a task holds while it goes through several blocks.
+SLAB_BYTES = 32 << 20
+
+
+def slabs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[pa.RecordBatch]]:
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.nbytes
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
 
 
 def find_spans(docs: DataFrame, items: DataFrame, finish: Callable[[pa.RecordBatch, list[dict]], pa.RecordBatch], schema: T.StructType | str, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs through one pass per block of items; the last pass ends with finish(batch, hits).
+    """docs through one pass that ends with finish(batch, hits) for each batch.
 
     hits per row: n_words, spans (flat from, to pairs) and items.
     """
-    spark, out = docs.sparkSession, unused(docs, "hits")
-    kind = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))])
-    arrow = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
-    between = T.StructType([*docs.schema.fields, T.StructField(out, kind)])
-    blocks = item_blocks(items, item_id, item_text, window, block_words)
-    block, first = next(blocks, []), True
-    while True:
-        following = next(blocks, None)
-        shared, again, last, tag = spark.sparkContext.broadcast(block), not first, following is None, uuid.uuid4().hex
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared, again=again, last=last, tag=tag) -> Iterator[pa.RecordBatch]:
-            sam = resident(("automaton", tag), lambda: build(shared.value, window))
-            for batch in batches:
-                old = batch.column(out).to_pylist() if again else None
-                rows = []
-                for n, t in enumerate(byte_texts(batch.column(text))):
+    path = item_blocks(items, item_id, item_text, window, block_words)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        makers = automata(path, window)
+        for held in slabs(batches, SLAB_BYTES if len(makers) > 1 else 1):
+            texts = [t for batch in held for t in byte_texts(batch.column(text))]
+            found: list[tuple[list[tuple[int, int]], set[str]]] = [([], set()) for _ in texts]
+            sizes = [0] * len(texts)
+            for make in makers or [SuffixAutomaton]:
+                sam = make()
+                for n, t in enumerate(texts):
                     words = words_of(t)
-                    spans, hit = sam.spans(words)
-                    if old is not None:
-                        before = old[n]["spans"]
-                        spans = union([*zip(before[::2], before[1::2]), *spans])
-                        hit |= set(old[n]["items"])
-                    rows.append({"n_words": len(words), "spans": [x for s in spans for x in s], "items": sorted(hit)})
-                if last:
-                    yield finish(batch, rows)
-                    continue
-                names = [c for c in batch.schema.names if c != out]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(rows, arrow)], [*names, out])
-
-        docs = docs.mapInArrow(search, schema if last else between)
-        if last:
-            return docs
-        block, first = following, False
+                    sizes[n] = len(words)
+                    if makers:
+                        spans, hit = sam.spans(words)
+                        if spans:
+                            found[n] = union([*found[n][0], *spans]), found[n][1] | hit
+            rows = [{"n_words": size, "spans": [x for s in spans for x in s], "items": sorted(i for i in hit if i is not None)} for size, (spans, hit) in zip(sizes, found)]
+            at = 0
+            for batch in held:
+                yield finish(batch, rows[at : at + batch.num_rows])
+                at += batch.num_rows
+
+    return docs.mapInArrow(search, schema)
 
 
 def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
