@@ -7,8 +7,11 @@ regression per language is solved in closed form. Scoring is one product of a
 batch's presence matrix with the landmarks' and one with the weights.
 
 Fitted on a bounded sample: about SAMPLE_DOCS labelled texts, drawn by a hash of
-their id with equal shares of the languages, of at most SAMPLE_CHARS characters
-each. Every text is scored whole.
+their id with equal shares of the languages (the SAMPLE_DOCS / 8 most frequent
+ones), of at most SAMPLE_CHARS characters each; of a language that has longer texts
+only, their first so many characters are fitted. Every text is scored whole.
+Letters beyond the most frequent ones of the sample share a few symbols by their
+place in Unicode, so that scripts stay apart.
 
 The regression's best score can't tell a text of no learned language (the values
 of the k languages always sum to 2 - k, so the best is never low). For that there
@@ -38,8 +41,8 @@ SAMPLE_DOCS = 2400
 SAMPLE_CHARS = 8000
 LANDMARKS = 128
 RIDGE = 1e-3
-#: Symbols: 0 any run without letters, 1 a letter outside the alphabet, others the learned letters.
-SYMBOLS = 64
+#: Symbols: 0 any run without letters, 1 to OTHERS letters outside the alphabet by blocks of 128, the rest learned letters.
+SYMBOLS, OTHERS = 64, 8
 #: The floor of coverage: this part of this quantile of the fitted rows.
 FLOOR_QUANTILE, FLOOR_PART = 0.01, 0.8
 GRAMS = SYMBOLS + SYMBOLS**2 + SYMBOLS**3
@@ -53,9 +56,9 @@ class Alphabet:
     def __init__(self, letters: str):
         self.of = np.zeros(0x110000, np.uint8)
         self.letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
-        self.of[self.letter] = 1
-        for n, c in enumerate(letters[: SYMBOLS - 2]):
-            self.of[ord(c)] = n + 2
+        self.of[self.letter] = 1 + (np.flatnonzero(self.letter) >> 7) % OTHERS
+        for n, c in enumerate(letters[: SYMBOLS - OTHERS - 1]):
+            self.of[ord(c)] = n + OTHERS + 1
         self.flags = np.zeros(GRAMS, bool)
 
     def grams(self, text: str) -> np.ndarray:
@@ -103,7 +106,7 @@ def learned(codes: np.ndarray) -> np.ndarray:
     """1 for n-grams without a letter outside the alphabet, else 0."""
     one, two, three = codes, codes - SYMBOLS, codes - SYMBOLS - SYMBOLS**2
     parts = [np.where(three >= 0, three // SYMBOLS**2, 0), np.where(three >= 0, three // SYMBOLS % SYMBOLS, np.where(two >= 0, two // SYMBOLS, 0)), np.where(three >= 0, three, np.where(two >= 0, two, one)) % SYMBOLS]
-    return np.all([p != 1 for p in parts], axis=0).astype(np.float32)
+    return np.all([(p == 0) | (p > OTHERS) for p in parts], axis=0).astype(np.float32)
 
 
 def kernels(texts, alphabet: Alphabet, column: np.ndarray, matrix: np.ndarray, norms: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,14 +125,15 @@ def kernels(texts, alphabet: Alphabet, column: np.ndarray, matrix: np.ndarray, n
 
 def sample(docs: DataFrame, text: str, lang: str, doc_id: str, train: Column, size: int, chars: int) -> list:
     """Bounded: about size rows in all, an equal share for each language."""
-    usable = docs.where(train & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & (F.length(text) <= chars)).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1 << 30)).alias("h"))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(size // 8).collect()
+    usable = docs.where(train & F.col(lang).isNotNull() & F.substring(text, 1, chars).rlike(r"\p{L}")).select(F.substring(text, 1, chars).alias("text"), (F.length(text) > chars).alias("long"), F.col(lang).alias("lang"), F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1 << 30)).alias("h"))
+    counts = usable.groupBy("lang").agg(F.count("*").alias("all"), F.count_if(~F.col("long")).alias("short")).orderBy(F.desc("all"), "lang").limit(size // 8).collect()
     if not counts:
         return []
     share = size / len(counts)
     keep = F.lit(False)
     for row in counts:
-        keep = keep | ((F.col("lang") == row["lang"]) & (F.col("h") < int(min(1.0, share / row["count"]) * (1 << 30))))
+        own, n = (F.col("lang") == row["lang"]) & (~F.col("long") | F.lit(row["short"] == 0)), row["short"] or row["all"]
+        keep = keep | (own & (F.col("h") < int(min(1.0, share / n) * (1 << 30))))
     return usable.where(keep).orderBy("h", "text").limit(2 * size).collect()
 
 
@@ -139,7 +143,7 @@ def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang",
         return None
     langs = sorted({r["lang"] for r in rows})
     letters = Counter(c for r in rows for c in r["text"].lower() if c.isalpha())
-    known = "".join(sorted(letters, key=lambda c: (-letters[c], c))[: SYMBOLS - 2])
+    known = "".join(sorted(letters, key=lambda c: (-letters[c], c))[: SYMBOLS - OTHERS - 1])
     alphabet = Alphabet(known)
     each = max(1, landmarks // len(langs))
     marked = [n for g in langs for n in [n for n, x in enumerate(rows) if x["lang"] == g][:each]]
