@@ -53,13 +53,14 @@ def test_decontamination(spark, block):
     a, b = prose(40), prose(20)
     small = [f"s{RND.randrange(6)}" for _ in range(300)]
     items = [(1, a), (2, b), (3, a), (4, "two words"), (5, ""), (6, None), (7, " ".join(small[:60])), (None, "x y"), (8, "s1 s2 s1")]
-    docs = [None, "", "clean text", a.upper(), f"pre {a} post {b}", f"{prose(300)} {' '.join(a.split()[5:18])}", "Two, words! two words", " ".join(small), "two", " ".join(small[30:90])]
+    docs = [None, "", "clean text", a.upper(), f"pre {a} post {b}", f"{prose(300)} {' '.join(a.split()[5:18])}", "Two, words! two words", " ".join(small), "two", " ".join(small[30:90]), "about x y here", None]
     got = decontaminate.report(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), block_words=block).collect()
-    parsed = [(i, decontaminate.words_of((t or "").encode())) for i, t in items if i is not None]
+    parsed = [(i, decontaminate.words_of((t or "").encode())) for i, t in items]
     assert len(got) == len(docs)
     for r in got:
         words = decontaminate.words_of((docs[r["doc_id"]] or "").encode())
         hit, found = brute_windows(words, parsed)
+        found.discard("None")  # hits of an item without id count, the item doesn't
         assert (r["n_words"], r["n_hit"], r["n_items"]) == (len(words), len(hit), len(found))
         assert r["items_sha256"] == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
         assert r["contaminated"] == (len(hit) > 0 and 20 * len(hit) >= len(words))
@@ -167,6 +168,50 @@ def test_language_id(spark):
     assert all(h == (zlib.crc32(str(i).encode()) % 3 == 1) for i, h in zip(r.doc_id, r.held_out))
 
 
+def brute_grams(text, letters):
+    """n-grams of one to three symbols; runs without letters are one mark."""
+    s = []
+    for c in f" {text.lower()} ":
+        k = c if c in letters else f"other{(ord(c) >> 7) % language_id.OTHERS}" if c.isalpha() else " "
+        if k != " " or s[-1:] != [" "]:
+            s.append(k)
+    return {tuple(s[i : i + n]) for n in (1, 2, 3) for i in range(len(s) - n + 1)} if any(k != " " for k in s) else set()
+
+
+def test_language_id_brute_force(spark):
+    """With every fitted text a landmark the method is kernel ridge regression itself; kernels from n-gram sets."""
+    rnd = random.Random(6)
+    units = {"xx": "the ing er on".split(), "yy": "sch der ung ß".split(), "zz": "что как это не".split()}
+    rows = [(n, " ".join("".join(rnd.choice(units[g]) for _ in range(2)) for _ in range(rnd.randrange(1, 12))), g) for n, g in enumerate(["xx", "yy", "zz"] * 12)]
+    more = [(100, "THE ing, 12 sch", None), (101, "日本 the", None), (102, None, None), (103, "34 !", None), (104, rows[0][1], None), (104, rows[0][1], None)]
+    d = spark.createDataFrame([*rows, *more], "doc_id long, text string, lang string").withColumn("score", F.lit("x")).withColumn("accepted", F.lit(1))
+    model = language_id.fit(d, F.lit(True), landmarks=36)
+    assert len(model.norms) == 36
+    held = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("text", "lang", "pmod(xxhash64(doc_id), 1 << 30) AS h").orderBy("h", "text").collect()
+    sets = [brute_grams(r["text"], model.letters) for r in held]
+    kernel = lambda a: np.array([len(a & b) / math.sqrt(len(a) * len(b)) for b in sets])
+    k, n = np.array([kernel(a) for a in sets]), len(sets)
+    y = np.array([[1.0 if r["lang"] == g else -1.0 for g in model.langs] for r in held])
+    lam = language_id.RIDGE * n
+    left = np.block([[k @ k + lam * k, k.sum(1)[:, None]], [k.sum(0)[None, :], np.array([[n]])]])
+    solved = np.linalg.lstsq(left, np.vstack([k @ y, y.sum(0)]), rcond=1e-12)[0]
+    for r in language_id.predict(d, model, ["doc_id", "text"]).collect():
+        a = brute_grams(r["text"] or "", model.letters)
+        if not a:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        values = kernel(a) @ solved[:-1] + solved[-1]
+        assert r["lang_pred"] == model.langs[int(values.argmax())]
+        assert r["score"] == pytest.approx(min(max((values.max() + 1) / 2, 0), 1), abs=2e-3)
+    assert language_id.accepted(d, model, 0.0).columns == d.columns
+
+
+def test_language_of_long_texts_only(spark):
+    long = spark.createDataFrame([(n, "sch der ung " * 900, "de") for n in range(9)] + [(20 + n, "the ing er on " * 20, "en") for n in range(9)], "doc_id long, text string, lang string")
+    model = language_id.fit(long, F.lit(True))
+    assert model.langs == ["de", "en"] and {(r["doc_id"] >= 20, r["lang_pred"]) for r in language_id.predict(long, model, ["doc_id"]).collect()} == {(False, "de"), (True, "en")}
+
+
 def test_language_id_without_labels(spark):
     d = spark.createDataFrame([(1, "abc", None), (2, None, None)], "doc_id long, text string, lang string")
     assert {r["lang_pred"] for r in language_id.report(d).collect()} == {"und"}
@@ -319,6 +364,20 @@ def test_token_id_files(spark, texts):
     assert binary_ids.round_trip(frame(spark, texts).limit(0), path).count() == 0
 
 
+def test_token_id_files_of_other_ids(spark):
+    """Null ids, the least 64-bit number, and text ids come back as they are; the width follows the vocabulary."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    for kind, ids in (("long", [None, -(2**63), 7, 7]), ("string", [None, "a", "b", "b"])):
+        d = spark.createDataFrame([(i, f"text {n}") for n, i in enumerate(ids)], f"doc_id {kind}, text string")
+        got = binary_ids.round_trip(d, path).orderBy("start").collect()
+        assert [r["doc_id"] for r in got] == ids
+    assert (binary_ids.id_bytes(path, 1), binary_ids.id_bytes(path, 70_000)) == (2, 4)
+    folder = binary_ids.scratch(spark, "wide")
+    wide = binary_ids.read(binary_ids.write(d, path, folder, end=70_000), folder, "string").orderBy("start").collect()
+    lib = Tokenizer.from_file(path)
+    assert [r["ids_crc32"] for r in wide if r["doc_id"] == "a"] == [zlib.crc32(np.array([*lib.encode("text 1", add_special_tokens=False).ids, 70_000], "<u4").tobytes())]
+
+
 # 8
 def brute_counts(t):
     w = [x for x in re.split("[ \t-\r]+", t or "") if x]
