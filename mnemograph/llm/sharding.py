@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemograph.llm.common import stored
+from mnemograph.llm.common import joined, stored
 
 LIMIT = 64 << 20
 STEP = 16
@@ -45,7 +45,7 @@ def directory(sized: DataFrame, limit: int, step: int = STEP) -> DataFrame:
         tried = sums.select("prefix", "bytes", F.explode(F.sequence(F.lit(at), F.lit(depth))).alias("depth"))
         tried = tried.withColumn("shard", F.expr("substring(prefix, 1, depth)"))
         fits = tried.groupBy("depth", "shard").agg(F.sum("bytes").alias("shard_bytes")).where(F.col("shard_bytes") <= limit)
-        best = tried.join(fits, ["depth", "shard"]).groupBy("prefix").agg(F.min(F.struct("depth", "shard", "shard_bytes")).alias("m"))
+        best = joined(tried, fits, ["depth", "shard"]).groupBy("prefix").agg(F.min(F.struct("depth", "shard", "shard_bytes")).alias("m"))
         level = stored(sums.join(best, "prefix", "left").select("prefix", "bytes", "m.shard", "m.shard_bytes"), "directory")
         over = level.where("shard IS NULL").select("prefix")
         last = depth >= BITS
