@@ -106,3 +106,13 @@ def entropy(v: Column, eps: float = 1e-10) -> Column:
     """Of |v| / |v|_1 in nats; 0 for a zero vector."""
     one = l1_norm(v)
     return F.when(one < eps, F.lit(0.0)).otherwise(-total(F.transform(doubles(v), lambda x: F.when(F.abs(x) / one > eps, F.abs(x) / one * F.ln(F.abs(x) / one)).otherwise(0.0))))
+
+
+def similar(u: Column, v: Column, metric: str, bound: float) -> Column:
+    """Cosine of at least `bound`, or hyperbolic distance of at most it; vectors of norm 1 or more are cut to 0.99."""
+    if metric == "cosine":
+        return cosine(u, v) >= bound
+    s, t = (F.when(norm(x) >= 1, 0.99 / norm(x)).otherwise(1.0) for x in (u, v))
+    uu, vv = s * s * sq_norm(u), t * t * sq_norm(v)
+    distance = F.acosh(1 + 2 * (uu + vv - 2 * s * t * dot(u, v)) / ((1 - uu) * (1 - vv)))
+    return 1 / (1 + distance) >= 1 / (1 + bound)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemograph.functions import text
+from mnemograph.functions import text, vec
+from mnemograph.operators import ranking
 
 #: Recall cut-offs; fixed values.
 CUTS = [1, 2, 5, 10, 20, 30, 50, 100, 150, 200]
@@ -32,8 +33,6 @@ def recall_at(rankings: DataFrame, gold: DataFrame, cuts: list[int] = CUTS) -> D
 def rank_metrics(rankings: DataFrame, gold: DataFrame, k: int, keys: list[str] = ["qid"]) -> DataFrame:  # noqa: B006
     """Per query (and further keys): mrr, map, ndcg, precision, f1 at k, with binary gains."""
     d = judged(rankings, gold).where(F.col("rank") <= k)
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*keys).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("seen", F.sum("hit").over(w)).join(gold_counts(gold), "qid")
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.max("n_gold"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
@@ -101,3 +100,89 @@ def label_hit(true: Column, predicted: Column, k: int) -> Column:
     """Whether the true vector's largest dimension is among the k largest predicted ones; ties to the lesser index."""
     best = lambda v: F.transform(F.array_sort(F.transform(v, lambda x, i: F.struct((-x).alias("s"), i.alias("i")))), lambda z: z["i"])
     return F.array_contains(F.slice(best(predicted), 1, k), best(true)[0])
+
+
+def gold_documents(questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(qid, gold array<string>) of questions(qid, chunk_id), chunks(chunk_id, text): empty where the chunk is missing."""
+    d = questions.join(chunks.where("text IS NOT NULL").select("chunk_id", "text").dropDuplicates(["chunk_id"]), "chunk_id", "left")
+    return d.select("qid", F.when(F.col("text").isNotNull(), F.array("text")).otherwise(F.array().cast("array<string>")).alias("gold"))
+
+
+def hits_within(rankings: DataFrame, gold: DataFrame, k: int, name: str) -> DataFrame:
+    """(qid, name): gold items among a query's first k."""
+    return judged(rankings.where(F.col("rank") <= k), gold).groupBy("qid").agg(F.sum("hit").alias(name))
+
+
+def compared(queries: DataFrame, a: DataFrame, b: DataFrame, gold: DataFrame, part: str, k: int = 5) -> DataFrame:
+    """Per part of queries(qid, part): n, wins, ties, hit_a, hit_b, mean_a, mean_b of two rankings at k."""
+    d = queries.join(hits_within(a, gold, k, "x"), "qid", "left").join(hits_within(b, gold, k, "y"), "qid", "left").fillna(0, ["x", "y"])
+    x, y = F.col("x"), F.col("y")
+    return d.groupBy(part).agg(F.count("*").alias("n"), F.count_if(x > y).alias("wins"), F.count_if(x == y).alias("ties"), F.avg((x > 0).cast("double")).alias("hit_a"), F.avg((y > 0).cast("double")).alias("hit_b"), F.avg("x").alias("mean_a"), F.avg("y").alias("mean_b"))
+
+
+def miss_sets(queries: DataFrame, rankings: dict[str, DataFrame], gold: DataFrame, k: int) -> DataFrame:
+    """(qid, bucket): each query of queries(qid, ...) in all sets that hold it: `all missed`, `NAME missed` (another hit), `NAME hit`."""
+    d = queries
+    for name, found in rankings.items():
+        d = d.join(hits_within(found.select(ranking.fresh("qid"), "id", "rank"), gold, k, f"hit_{name}"), "qid", "left").fillna(0, [f"hit_{name}"])
+    hit = {name: F.col(f"hit_{name}") > 0 for name in rankings}
+    some = F.greatest(*(F.col(f"hit_{name}") for name in rankings), F.lit(0)) > 0
+    sets = [F.when(~some, F.lit("all missed"))]
+    for name, met in hit.items():
+        sets += [F.when(met, F.lit(f"{name} hit")), F.when(~met & some, F.lit(f"{name} missed"))]
+    return d.select("*", F.explode(F.array_compact(F.array(*sets))).alias("bucket")).drop(*(f"hit_{name}" for name in rankings))
+
+
+def set_profiles(rows: DataFrame, words: list[str], most: int = 10) -> DataFrame:
+    """(bucket, n, question_chars, answer_chars, chunk_chars, min_mass, mean_mass, max_mass, keywords) of rows(bucket, question, answer, chunk, mass).
+
+    keywords: the most frequent of the given words in the questions, as `word:count`, ties by word.
+    """
+    base = rows.groupBy("bucket").agg(
+        F.count("*").alias("n"), *(F.avg(F.length(c)).alias(f"{c}_chars") for c in ("question", "answer", "chunk")),
+        F.min("mass").alias("min_mass"), F.avg("mass").alias("mean_mass"), F.max("mass").alias("max_mass"),
+    )
+    named = rows.select("bucket", F.explode(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower("question"), w))).alias("word")).groupBy("bucket", "word").agg(F.count("*").alias("times"))
+    best = ranking.top_k(named, most, "times", "word", "bucket")
+    lists = best.groupBy("bucket").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word", "times"))), lambda x: F.concat(x["word"], F.lit(":"), x["times"].cast("string"))), ",").alias("keywords"))
+    return base.join(lists, "bucket", "left").fillna("", ["keywords"])
+
+
+def best_settings(runs: DataFrame, gold: DataFrame, k: int = 10, metrics: tuple[str, ...] = ("mrr", "map", "ndcg")) -> DataFrame:
+    """(metric, setting, value): the setting of runs(setting, qid, id, score) with the best mean of each metric, ties to the last by name."""
+    w = Window.partitionBy("setting", "qid").orderBy(F.desc(F.round("score", 9)), "id")
+    ranked = runs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    per = rank_metrics(ranked, gold, k, ["setting", "qid"]).groupBy("setting").agg(*(F.round(F.avg(m), 6).alias(m) for m in metrics))
+    best = per.agg(*(F.max(F.struct(F.col(m), F.col("setting"))).alias(m) for m in metrics))
+    return best.select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m)["setting"].alias("setting"), F.col(m)[m].alias("value")) for m in metrics))).alias("x")).select("x.*")
+
+
+def set_similarity(vectors: DataFrame) -> DataFrame:
+    """(q, sim) of vectors(q, side 0 or 1, vec): mean cosine over all pairs of a query's two sets.
+
+    It equals the dot product of the sets' mean unit vectors: no pair is formed.
+    """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    means = vectors.groupBy("q", "side").agg(vector_to_array(Summarizer.mean(array_to_vector(vec.unit(F.col("vec"))))).alias("m"))
+    a, b = means.where("side = 0").select("q", F.col("m").alias("a")), means.where("side = 1").select("q", F.col("m").alias("b"))
+    return a.join(b, "q").select("q", vec.dot(F.col("a"), F.col("b")).alias("sim"))
+
+
+def experiment_table(queries: DataFrame, arms: dict[str, DataFrame], gold: DataFrame, k: int = 3) -> DataFrame:
+    """(qid, gold_id, and per arm its first k ids and whether they hold gold)."""
+    d = queries.select("qid").join(gold.groupBy("qid").agg(F.min("id").alias("gold_id")), "qid", "left")
+    for name, found in arms.items():
+        j = judged(found.where(F.col("rank") <= k), gold)
+        ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"].cast("string")), ",")  # k ids
+        d = d.join(j.groupBy("qid").agg(ids.alias(name), (F.max("hit") == 1).alias(name + "_hit")), "qid", "left")
+    return d.select("qid", "gold_id", *arms, *(F.coalesce(n + "_hit", F.lit(False)).alias(n + "_hit") for n in arms))
+
+
+def qa_run(rankings: DataFrame, gold: DataFrame, answers: DataFrame, cuts: list[int]) -> DataFrame:
+    """(metric, value) of one run: recall at the cut-offs, mean exact match and token F1."""
+    recall = recall_at(rankings, gold, cuts).select(F.concat(F.lit("recall@"), F.col("k").cast("string")).alias("metric"), F.col("recall").alias("value"))
+    em = exact_match(answers).agg(F.round(F.avg("em"), 4).alias("value")).select(F.lit("em").alias("metric"), "value")
+    f1 = token_f1(answers).agg(F.round(F.avg("f1"), 4).alias("value")).select(F.lit("f1").alias("metric"), "value")
+    return recall.union(em).union(f1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemograph.functions import text
@@ -21,6 +21,21 @@ def valid_triples(raw: DataFrame) -> DataFrame:
     return raw.select("chunk_id", F.explode(F.array_distinct(three)).alias("triple"))
 
 
+def triple_index(triples: DataFrame) -> DataFrame:
+    """(s, p, o, chunks, first_chunk): in how many chunks a fact is, and the least of them."""
+    return triples.select("chunk_id", "s", "p", "o").distinct().groupBy("s", "p", "o").agg(F.count("*").alias("chunks"), F.min("chunk_id").alias("first_chunk"))
+
+
+def statistics(triples: DataFrame) -> DataFrame:
+    """One row: entities, passages, facts, passage_edges."""
+    t = stores.kept(triples.select("chunk_id", "s", "p", "o"), "triples")
+    m = mentions(t)
+    facts = t.select("s", "p", "o").distinct().agg(F.count("*").alias("facts"))
+    a = m.groupBy("entity").count().agg(F.count("*").alias("entities"), F.coalesce(F.sum("count"), F.lit(0)).alias("passage_edges"))
+    b = t.select("chunk_id").distinct().agg(F.count("*").alias("passages"))
+    return a.join(b, F.lit(True)).join(facts, F.lit(True)).select("entities", "passages", "facts", "passage_edges")  # one row each
+
+
 def fact_edges(triples: DataFrame) -> DataFrame:
     """(src, dst, w): one per triple in each direction."""
     both = triples.select(F.explode(F.array(F.struct(F.col("s").alias("src"), F.col("o").alias("dst")), F.struct(F.col("o").alias("src"), F.col("s").alias("dst")))).alias("e"))
@@ -57,46 +72,99 @@ def valid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def build(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """nodes(id, kind) and undirected edges(src, dst, w) of fact and passage edges.
+    """nodes(id, kind) and undirected edges(src, dst, w, kind) of fact and passage edges; an edge's kind is its source's.
 
     A fact pair is stored in both directions and both become edges, so its weight
-    counts twice against a passage edge's.
+    counts twice against a passage edge's. Triples are computed once and stored.
     """
-    m = mentions(triples)
-    nodes = m.select(F.col("entity").alias("id"), F.lit("entity").alias("kind")).union(m.select("chunk_id", F.lit("passage"))).distinct()
+    t = stores.kept(triples.select("chunk_id", "s", "o"), "triples")
+    m = stores.kept(mentions(t), "mentions")
+    entities = m.select(F.col("entity").alias("id")).distinct().withColumn("kind", F.lit("entity"))
+    nodes = entities.union(m.select("chunk_id").distinct().withColumn("kind", F.lit("passage")))
     # both ends of each edge are mentions, so only loops can be invalid
-    facts = triples.select(F.explode(F.array(F.struct(F.col("s").alias("src"), F.col("o").alias("dst")), F.struct(F.col("o").alias("src"), F.col("s").alias("dst")))).alias("e")).select("e.src", "e.dst")
-    edges = facts.union(m.select("chunk_id", "entity")).where("src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
-    return nodes, edges
+    facts = t.select(F.explode(F.array(F.struct(F.col("s").alias("src"), F.col("o").alias("dst")), F.struct(F.col("o").alias("src"), F.col("s").alias("dst")))).alias("e")).select("e.src", "e.dst", F.lit("entity").alias("kind"))
+    edges = facts.union(m.select("chunk_id", "entity", F.lit("passage"))).where("src <> dst").groupBy("src", "dst", "kind").agg(F.count("*").cast("double").alias("w"))
+    return nodes, edges.select("src", "dst", "w", "kind")
+
+
+#: Queries whose scores are columns of one row; edges of a hub that stay together.
+SLOTS, HUB_EDGES = 16, 100_000
+#: Rows of hubs up to which they are broadcast.
+HUB_ROWS = 200_000
+
+
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """Distinct values of a column with a number each (not without gaps), stored."""
+    return stores.kept(rows.select(name).distinct().withColumn("n", F.monotonically_increasing_id()), "numbers")
 
 
-def pagerank(edges: DataFrame, reset: DataFrame, damping: float = DAMPING, steps: int = STEPS, keep_every: int = 5) -> DataFrame:
+def query_slots(reset: DataFrame, slots: int) -> tuple[DataFrame, int]:
+    """(qid, block, slot), stored: at most `slots` queries share a block; and the number of slots in use."""
+    ids = stores.kept(reset.select("qid").distinct(), "queries")
+    n = ids.count()
+    width = min(slots, max(n, 1))
+    from pyspark.sql import Window
+
+    dealt = ids.withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(max(1, n // 1024))))  # about a thousand queries each
+    at = F.row_number().over(Window.partitionBy("part").orderBy("qid")) - 1
+    d = dealt.withColumn("at", at).select("qid", F.struct("part", F.floor(F.col("at") / width).alias("k")).alias("b"), (F.col("at") % width).alias("slot"))
+    return stores.kept(d.select("qid", F.xxhash64("b.part", "b.k").alias("block"), "slot"), "slots"), width
+
+
+def pagerank(edges: DataFrame, reset: DataFrame, damping: float = DAMPING, steps: int = STEPS, keep_every: int = 5, hub_edges: int = HUB_EDGES) -> DataFrame:
     """(qid, node, score) for reset(qid, node, w): a fixed number of power steps for all queries at once.
 
     Edges are symmetrised and row-normalised; negative and NaN weights count 0; mass
-    at nodes without edges returns to the reset vector. State is written to the shared
-    folder every few steps, which cuts lineage and outlives executors.
+    at nodes without edges returns to the reset vector. Nodes are numbered, and up to
+    SLOTS queries are columns of one row, so that a step is one join with the edges and
+    one sum for all of them. The edges of a hub are split by a salt, which its state
+    rows repeat. State is written to the shared folder every few steps, which cuts
+    lineage and outlives executors.
     """
-    both = edges.select("src", "dst", "w").union(edges.select(F.col("dst"), F.col("src"), F.col("w"))).groupBy("src", "dst").agg(F.sum("w").alias("w"))
-    out = both.groupBy("src").agg(F.sum("w").alias("out"))
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    walk = stores.kept(both.join(out, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("p")), "walk")
-    walk = walk.repartition(parts, "src").persist()  # dealt once for all steps; a lost part is read again from the table
-    clean = reset.where("w > 0 AND NOT isnan(w)").groupBy("qid", "node").agg(F.sum("w").alias("w"))
-    whole = clean.groupBy("qid").agg(F.sum("w").alias("t"))
-    r = stores.kept(clean.join(F.broadcast(whole), "qid").select("qid", "node", (F.col("w") / F.col("t")).alias("r")), "reset")
-    x = r.withColumnRenamed("r", "x")
-    sources = walk.select("src").distinct()
-    lonely = stores.kept(r.join(sources.withColumnRenamed("src", "node"), "node", "left_anti").select("qid", "node"), "lonely")
+    clean = stores.kept(reset.where("w > 0 AND NOT isnan(w)").groupBy("qid", "node").agg(F.sum("w").alias("w")), "reset")
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node")).union(clean.select("node"))
+    names = numbered(ends, "node")
+    at = lambda end: names.select(F.col("node").alias(end), F.col("n").alias(end + "_n"))
+    e = edges.select("src", "dst", "w").join(at("src"), "src").join(at("dst"), "dst").select("src_n", "dst_n", "w")
+    both = e.union(e.select("dst_n", "src_n", "w")).groupBy("src_n", "dst_n").agg(F.sum("w").alias("w"))
+    both = stores.kept(both.select(ranking.fresh("src_n"), ranking.fresh("dst_n"), "w"), "edges")
+    out = stores.kept(both.groupBy("src_n").agg(F.sum("w").alias("out"), F.ceil(F.count("*") / hub_edges).alias("salts")), "degrees")
+    hubs = out.where("salts > 1").select(F.col("src_n").alias("node"), "salts")
+    few = hubs.limit(HUB_ROWS + 1).count() <= HUB_ROWS
+    walk = both.join(out, "src_n").select("src_n", F.pmod(F.xxhash64("dst_n"), F.col("salts")).alias("edge_salt"), "dst_n", (F.col("w") / F.col("out")).alias("p"))
+    walk = walk.repartition(parts, "src_n", "edge_salt").persist()  # dealt once for all steps; a lost part is made again from the stored tables
+
+    slots, width = query_slots(clean, SLOTS)
+    r = clean.join(at("node"), "node").select("qid", F.col("node_n").alias("node"), "w").join(out.select(F.col("src_n").alias("node"), F.lit(True).alias("linked")), "node", "left")
+    whole = r.groupBy("qid").agg(F.sum("w").alias("t"), F.coalesce(F.sum(F.when(F.col("linked").isNull(), F.col("w"))), F.lit(0.0)).alias("lonely")).join(slots, "qid")
+    r = r.join(whole, "qid").select("block", "node", "slot", (F.col("w") / F.col("t")).alias("r"), (F.col("lonely") / F.col("t")).alias("l"))
+    own = lambda c, i: F.sum(F.when(F.col("slot") == i, F.col(c)))
+    r = stores.kept(r.groupBy("block", "node").agg(*(F.coalesce(own(c, i), F.lit(0.0)).alias(f"{c}{i}") for i in range(width) for c in ("r", "l"))), "reset")
+
+    def home(step: int, i: int) -> Column:
+        """The reset's share after a step. A query with the share l at nodes without edges has the mass
+        m(t+1) = l * (1 - d + d * m(t)) there from m(0) = l on."""
+        l, q = F.col(f"l{i}"), damping * F.col(f"l{i}")
+        lost = F.when(q < 1, (1 - damping) * l * (1 - F.pow(q, F.lit(step - 1))) / (1 - q) + F.pow(q, F.lit(step - 1)) * l).otherwise(F.lit(1.0))
+        return F.col(f"r{i}") * ((1 - damping) + damping * lost)
+
+    def salted(x: DataFrame) -> DataFrame:
+        d = x.join(F.broadcast(hubs) if few else hubs, "node", "left")
+        return d.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1).cast("long")) - 1)))
+
+    x = r.select("block", "node", *(F.col(f"r{i}").alias(f"x{i}") for i in range(width)))
     for step in range(1, steps + 1):
-        flow = x.join(walk, x["node"] == walk["src"]).select("qid", F.col("dst").alias("node"), (F.col("x") * F.col("p")).alias("f"))
-        back = x.join(lonely, ["qid", "node"]).groupBy("qid").agg(F.sum("x").alias("lost"))
-        home = r.join(back, "qid", "left").select("qid", "node", (F.col("r") * ((1 - damping) + damping * F.coalesce("lost", F.lit(0.0)))).alias("f"))
-        x = flow.select("qid", "node", (F.col("f") * damping).alias("f")).union(home).groupBy("qid", "node").agg(F.sum("f").alias("x"))
+        flow = salted(x).join(walk, (F.col("node") == F.col("src_n")) & (F.col("salt") == F.col("edge_salt")))
+        flow = flow.select(ranking.fresh("block"), (F.col("dst_n") + 0).alias("node"), *((damping * F.col(f"x{i}") * F.col("p")).alias(f"x{i}") for i in range(width)))
+        back = r.select(ranking.fresh("block"), ranking.fresh("node"), *(home(step, i).alias(f"x{i}") for i in range(width)))
+        x = flow.union(back).groupBy("block", "node").agg(*(F.sum(f"x{i}").alias(f"x{i}") for i in range(width)))
         if step % keep_every == 0 or step == steps:
             x = stores.kept(x, "rank")
     walk.unpersist()
-    return x.withColumnRenamed("x", "score")
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("slot"), F.col(f"x{i}").alias("score")) for i in range(width)))).alias("s")
+    d = x.select("block", F.col("node").alias("n"), each).select("block", "n", "s.*").where("score > 0")
+    return d.join(slots, ["block", "slot"]).join(names, "n").select("qid", "node", "score")
 
 
 def phrase_scores(facts: DataFrame, mentions_: DataFrame) -> DataFrame:
@@ -136,5 +204,18 @@ def survivors(mentions_: DataFrame, deleted: DataFrame) -> DataFrame:
     return mentions_.select("entity").distinct().join(left, "entity", "left").select("entity", F.coalesce("n", F.lit(0)).alias("chunks_left"))
 
 
+def delete(triples: DataFrame, edges: DataFrame, deleted: DataFrame) -> dict[str, DataFrame]:
+    """What is left of a graph when chunks go: triples, facts(s, p, o), entities(entity), nodes(id, kind) and edges.
+
+    A fact or entity stays while a remaining chunk states or names it; an edge goes
+    with either end.
+    """
+    left = stores.kept(triples.join(deleted.select("chunk_id").distinct(), "chunk_id", "left_anti"), "triples-left")
+    m = mentions(left)
+    entities, chunks = m.select("entity").distinct(), left.select("chunk_id").distinct()
+    nodes = stores.kept(entities.select(F.col("entity").alias("id"), F.lit("entity").alias("kind")).union(chunks.select("chunk_id", F.lit("passage"))), "nodes-left")
+    return {"triples": left, "facts": left.select("s", "p", "o").distinct(), "entities": entities, "nodes": nodes, "edges": valid_edges(edges, nodes)}
+
+
 def entity_ids(names: DataFrame, name: str = "name") -> DataFrame:
     return names.withColumn("entity_id", text.hash_id(text.normalised(F.col(name)), "entity-"))

@@ -55,3 +55,21 @@ def top_k(df: DataFrame, k: int, score: str = "score", ident: str = "id", key: s
 def position_weight(score: str = "score", ident: str = "id", key: str = "qid") -> Column:
     """Number of the query's rows less the row's place, from 0."""
     return F.count("*").over(per(key)) - F.row_number().over(best_first(score, ident, key)) + 1
+
+
+def numbered(df: DataFrame, *order: str, name: str = "place") -> DataFrame:
+    """df with each row's place from 0 in the given order, without holes: sorted ranges, each counted, numbered from the sum of those before."""
+    from mnemograph.sources import stores
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = stores.kept(df.repartitionByRange(parts, *order).withColumn("range_", F.spark_partition_id()), "ranges")
+    sizes = d.groupBy("range_").agg(F.count("*").alias("size_"))
+    before = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    bases = sizes.select("range_", F.coalesce(F.sum("size_").over(before), F.lit(0)).alias("base_"))
+    within = F.row_number().over(Window.partitionBy("range_").orderBy(*order))
+    return d.join(F.broadcast(bases), "range_").withColumn(name, F.col("base_") + within - 1).drop("range_", "base_")
+
+
+def first_rows(df: DataFrame, k: int, *order: str) -> DataFrame:
+    """The first k rows in the given order, however large k is, without one task that holds them all."""
+    return numbered(df, *order, name="place_").where(F.col("place_") < k).drop("place_")

@@ -6,13 +6,18 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
+from math import gcd
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemograph.functions import text as tx
+from mnemograph.operators import ranking
+from mnemograph.operators.ranking import first_rows
+from mnemograph.sources import stores
 
 #: Words of a chunk at most, words repeated from the chunk before; fixed values.
 CHUNK_WORDS, OVERLAP_WORDS = 300, 50
@@ -93,6 +98,21 @@ def entity_spans(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, span_text string, char_start int, char_end int, entity_type string")
 
 
+def tokens(docs: DataFrame) -> DataFrame:
+    """(doc_id, token_no, tok_start, tok_end) of the runs without white space in each text."""
+    pattern = re.compile(r"\S+")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                places = [m.span() for m in pattern.finditer(t or "")]
+                if places:
+                    a, b = zip(*places)
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(a), pa.int64()), pa.array(range(len(a)), pa.int32()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["doc_id", "token_no", "tok_start", "tok_end"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, token_no int, tok_start int, tok_end int")
+
+
 def overlaps(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     """Tokens joined to the spans of their text that they overlap. tokens(doc_id, token_no, tok_start, tok_end)."""
     return tokens.join(spans, "doc_id").where((F.col("tok_start") < F.col("char_end")) & (F.col("tok_end") > F.col("char_start")))
@@ -106,21 +126,71 @@ def mean_pooled(vectors: DataFrame, keys: list[str]) -> DataFrame:
     return vectors.groupBy(*keys).agg(vector_to_array(Summarizer.mean(array_to_vector("vec"))).alias("mean"), F.count("*").alias("n"))
 
 
-def fuzzy_equal(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(lid, rid): equal after white space is squeezed; the least right id per left row. left(lid, text), right(rid, text)."""
-    a = left.select("lid", tx.squeezed(F.col("text")).alias("t"))
-    b = right.select("rid", tx.squeezed(F.col("text")).alias("t")).groupBy("t").agg(F.min("rid").alias("rid"))
-    return a.join(b, "t").select("lid", "rid")
+#: Characters of a fingerprint, and the share of the longer text by which lengths may differ.
+GRAM, LENGTH_GAP = 8, 0.1
+
+
+def fuzzy_match(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(lid, rid): equal after white space is squeezed; else one text contains the other and lengths differ by less than a tenth. The least right id. left(lid, text), right(rid, text).
+
+    Texts that contain one another are found by winnowed fingerprints: the least hash of
+    each window of character n-grams. All windows of the contained text are windows of the
+    other, so the pair shares a fingerprint; window and n-gram depend on the length's power
+    of two, and a text whose shorter partner may be of the power below has both.
+    """
+    a = left.where("text IS NOT NULL").select("lid", tx.squeezed(F.col("text")).alias("t"))
+    b = right.where("text IS NOT NULL").select("rid", tx.squeezed(F.col("text")).alias("t")).groupBy("t").agg(F.min("rid").alias("rid"))
+    equal = a.join(b, "t").select("lid", "rid")
+    rest = a.join(b, "t", "left_anti")
+    x = fingerprints(rest.select("t").distinct(), "t").withColumnRenamed("t", "x")
+    y = fingerprints(b.select("t"), "t").withColumnRenamed("t", "y")
+    m, n = F.length("x"), F.length("y")
+    pairs = x.join(y, ["level", "mark"]).where((F.abs(m - n) < LENGTH_GAP * F.greatest(m, n)) & (F.contains("x", F.col("y")) | F.contains("y", F.col("x"))))
+    best = pairs.select("x", "y").distinct().join(b.withColumnRenamed("t", "y"), "y").groupBy("x").agg(F.min("rid").alias("rid"))
+    return equal.union(rest.join(best.withColumnRenamed("x", "t"), "t").select("lid", "rid"))
+
+
+def winnowed(text: str) -> list[tuple[int, int]]:
+    """(level, fingerprint) of a text."""
+    top = len(text).bit_length() - 1
+    levels = [k for k in (top, top - 1) if k >= 1 and len(text) * (1 - LENGTH_GAP) < 2 ** (k + 1)]
+    codes, out = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64), []
+    for level in levels:
+        gram, width = min(GRAM, 1 << (level - 1)), 1 << (level - 1)
+        h = np.zeros(len(codes) - gram + 1, np.uint64)
+        for k in range(gram):
+            h = (h ^ codes[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        for step in (1 << k for k in range(level - 1)):  # least of 2, 4, 8 ... neighbours
+            h = np.minimum(h[:-step], h[step:])
+        out += [(level, int(v)) for v in np.unique(h[: max(1, len(h))]).view(np.int64)]
+    return out
+
+
+def fingerprints(texts: DataFrame, column: str) -> DataFrame:
+    """(text, level, mark) of each text of two characters and more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(t, *f) for t in batch.column(column).to_pylist() if t for f in winnowed(t)]
+            cols = list(zip(*rows)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64())], [column, "level", "mark"])
+
+    return texts.select(column).mapInArrow(run, f"{column} string, level int, mark long")
 
 
 def merged_by_first_line(passages: DataFrame, prefix: str = "Wikipedia Title: ") -> DataFrame:
-    """(first_line, merged): passages (place, text) with one first line are joined, the first whole, of the others what follows that line."""
+    """(first_line, place, part) of passages(place, text): those with one first line are one text, whose parts follow by place.
+
+    The first is whole, after the prefix; of the others there is what follows the first
+    line, on a new line. The parts stay rows: no text of a common first line is gathered.
+    """
     first = F.substring_index("text", "\n", 1)
     rest = F.regexp_replace(F.expr("substring(text, length(substring_index(text, '\\n', 1)) + 1)"), r"^\n+|\n+$", "")
     d = passages.where("text IS NOT NULL").select(first.alias("first_line"), "place", "text", rest.alias("rest"))
-    parts = F.array_sort(F.collect_list(F.struct("place", "text", "rest")))
-    joined = F.array_join(F.transform(parts, lambda x, i: F.when(i == 0, x["text"]).otherwise(x["rest"])), "\n")
-    return d.groupBy("first_line").agg(F.concat(F.lit(prefix), joined).alias("merged"))
+    starts = d.groupBy("first_line").agg(F.min("place").alias("start"))
+    part = F.when(F.col("place") == F.col("start"), F.concat(F.lit(prefix), "text")).otherwise(F.concat(F.lit("\n"), "rest"))
+    return d.join(starts, "first_line").select("first_line", "place", part.alias("part"))
 
 
 def dataset_checks(samples: DataFrame, size: int = 28, soft: bool = True) -> DataFrame:
@@ -146,22 +216,77 @@ def quality_score(checks: DataFrame) -> DataFrame:
     return checks.agg(F.count("*").alias("targets"), F.countDistinct("id").alias("samples"), *(F.count_if(n).alias(n) for n in names), F.round(sum(F.avg(F.col(n).cast("double")) for n in names), 6).alias("score"))
 
 
+def strides(n: int, most: int = 64) -> list[int]:
+    """Steps that visit all of n places: coprime with n, spread over the range."""
+    spread = (1 + int(n * 0.6180339887 * k) % n for k in range(1, 8 * most))
+    return list(dict.fromkeys(s for s in spread if gcd(s, n) == 1))[:most] or [1]
+
+
 def seeded_others(questions: DataFrame, ids: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """(qid, id, place): n ids per question other than its gold, without replacement, the same for the same seed.
+    """(qid, id, place): n ids per question(qid, gold) other than its gold, without replacement, the same for the same seed; all others if there are fewer.
 
-    ids(place from 0, id) is numbered; a question draws places by hash, more than
-    it needs, and keeps the first n distinct ones. No pair of all questions and ids is formed.
+    The ids are numbered; a question starts at a place by hash and goes on by a stride
+    that is coprime with their number, so its first n + 1 places are distinct. No pair of
+    all questions and ids is formed.
     """
-    total = ids.count()
-    draws = F.transform(F.sequence(F.lit(0), F.lit(8 * n + 8)), lambda i: F.pmod(F.xxhash64(F.lit(seed), F.col("qid"), i), F.lit(max(total, 1))))
-    d = questions.select("qid", "gold", F.posexplode(F.array_distinct(draws)).alias("draw", "place"))
-    from pyspark.sql import Window
-
-    d = d.join(ids, "place").where("id <> gold")
-    w = Window.partitionBy("qid").orderBy("draw")
+    placed = stores.kept(ranking.numbered(ids.select("id").distinct(), "id"), "numbered")
+    total = placed.count()
+    if not total:
+        return questions.select("qid", F.lit(None).cast(ids.schema["id"].dataType).alias("id"), F.lit(0).alias("place")).limit(0)
+    steps = strides(total)
+    draw = lambda salt, size: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col("qid")), F.lit(size))
+    step = F.element_at(F.array(*map(F.lit, steps)), (draw(1, len(steps)) + 1).cast("int")).cast("long")
+    places = F.transform(F.sequence(F.lit(0), F.lit(min(n, total - 1))), lambda k: F.pmod(draw(0, total) + k * step, F.lit(total)))
+    d = questions.select("qid", "gold", F.posexplode(places).alias("draw", "place")).join(placed, "place").where(~F.col("id").eqNullSafe(F.col("gold")))
+    w = Window.partitionBy("qid").orderBy("draw")  # n + 1 rows a question
     return d.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select("qid", "id", "place")
 
 
+def proportional_mix(main: DataFrame, other: DataFrame, share: float, *order: str) -> DataFrame:
+    """All rows of main and as many of other, in the given order, as make `share` of the whole."""
+    return main.unionByName(first_rows(other, int(main.count() * share / (1 - share)), *order))
+
+
+def described(responses: DataFrame, entities: DataFrame) -> DataFrame:
+    """(id, entity, description) of responses(id, response), entities(id, entity): what a line says of the entity.
+
+    Lines `entity: ...` and `entity - ...`, the first that says something; else of the
+    first line that names the entity, in any case, the first words; else empty.
+    """
+    lines = responses.select("id", F.posexplode(F.split("response", "\n")).alias("n", "line")).select("id", "n", F.trim("line").alias("line"))
+    d = entities.join(lines, "id").where(F.contains(F.lower("line"), F.lower("entity")))
+    after = lambda mark: F.when(F.instr(F.col("line"), F.concat("entity", F.lit(mark))) > 0, F.expr(f"substring(line, instr(line, concat(entity, '{mark}')) + length(entity) + {len(mark)})"))
+    said = F.nullif(tx.description(F.coalesce(after(":"), after(" -"))), F.lit(""))
+    loose = F.nullif(tx.loose_description(F.col("line")), F.lit(""))
+    found = d.select("id", "entity", "n", said.alias("said"), loose.alias("loose")).groupBy("id", "entity").agg(F.min_by("said", F.when(F.col("said").isNotNull(), F.col("n"))).alias("said"), F.min_by("loose", F.when(F.col("loose").isNotNull(), F.col("n"))).alias("loose"))
+    return entities.join(found, ["id", "entity"], "left").select("id", "entity", F.coalesce("said", "loose", F.lit("")).alias("description"))
+
+
+def prompts(passages: DataFrame, k: int = 5, mark: str = "|") -> DataFrame:
+    """(qid, prompt): a question's best k passages in order and the question. passages(qid, question, rank, text)."""
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), mark)  # k rows a question
+    return passages.where(F.col("rank") <= k).groupBy("qid", "question").agg(F.concat(parts, F.lit(f"{mark}Question: "), F.col("question")).alias("prompt"))
+
+
+def gold_by_title(nested: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(corpus, gold) of nested(question, facts array<struct<title, i>>, context array<struct<title, sentences>>).
+
+    corpus(title, text), one row per title; gold(question, title) of the facts whose title is in the context.
+    """
+    c = nested.select("question", F.explode("context").alias("c")).select("question", "c.title", F.array_join("c.sentences", " ").alias("text"))
+    f = nested.select("question", F.explode("facts").alias("f")).select("question", "f.title").distinct()
+    return c.groupBy("title").agg(F.min("text").alias("text")), f.join(c.select("question", "title"), ["question", "title"], "left_semi")
+
+
+def span_labels(docs: DataFrame, most: int = 10, context: int = 100) -> DataFrame:
+    """(doc_id, targets) of the cleaned texts: their first spans, each with the key of its label, a hash of span and context."""
+    d = docs.select("doc_id", tx.cleaned(F.col("text")).alias("text")).where("text IS NOT NULL")
+    w = Window.partitionBy("doc_id").orderBy("char_start")
+    s = entity_spans(d).withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).join(d, "doc_id")
+    key = F.md5(F.concat("span_text", F.lit("|"), F.substring("text", 1, context)).cast("binary"))
+    return s.withColumn("label_key", key).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("char_start", "char_end", "span_text", "label_key"))).alias("targets"))
+
+
 def closest_strings(facts: DataFrame, candidates: DataFrame) -> DataFrame:
     """(fact_id, match): per fact the candidate of its own short list with the least edit distance; ties by text. candidates(fact_id, candidate)."""
     d = facts.join(candidates, "fact_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mnemograph.functions import decay, text, vec
-from mnemograph.operators import texts
+from mnemograph.operators import enrich, texts
 from mnemograph.plans.fixtures import table
 from mnemograph.sources import stores
 
@@ -53,14 +53,13 @@ def src2_conversation_store(spark, sf_dir):
     return spark.read.schema(stores.CONVERSATIONS).parquet(saved(d, "conversations"))
 
 
-@query("SELECT user_id, count(*) AS n, string_agg('p-' || event_id, ',' ORDER BY event_id) AS particles FROM events GROUP BY user_id")
+@query("SELECT user_id, 'p-' || event_id AS particle, count(*) OVER (PARTITION BY user_id) AS n FROM events")
 def src3_particle_conversations(spark, sf_dir):
-    m = table(spark, sf_dir, "events").select("user_id", "event_id")
-    ids = F.transform(F.array_sort(F.collect_list("event_id")), lambda e: F.concat(F.lit("p-"), e.cast("string")))
-    return m.groupBy("user_id").agg(F.count("*").alias("n"), F.array_join(ids, ",").alias("particles"))
+    m = table(spark, sf_dir, "events").select("user_id", F.concat(F.lit("p-"), F.col("event_id").cast("string")).alias("particle"))
+    return stores.members(m, "user_id", "particle")
 
 
-@query("SELECT 'c-' || doc_id AS id, text FROM documents WHERE trim(text) <> ''", also=("src15_result_sink",))
+@query("SELECT 'c-' || doc_id AS id, text FROM documents WHERE trim(text) <> ''")
 def src4_jsonl_scan(spark, sf_dir):
     """Documents written as JSON lines under alternating field names, read back as (id, text)."""
     d = table(spark, sf_dir, "documents")
@@ -72,13 +71,11 @@ def src4_jsonl_scan(spark, sf_dir):
 
 @query("SELECT conv_id, turn, role, text FROM conversations")
 def src5_json_array(spark, sf_dir):
-    """Conversations as one JSON array per file, read with a schema."""
-    d = table(spark, sf_dir, "conversations")
-    arrays = d.groupBy("conv_id").agg(F.to_json(F.collect_list(F.struct("conv_id", "turn", "role", "text"))).alias("value"))
+    """Conversations as files of one JSON array each, read with a schema."""
+    d = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     path = stores.shared_path(spark, "arrays")
-    arrays.select("value").write.text(path)
-    schema = T.ArrayType(T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("role", T.StringType()), T.StructField("text", T.StringType())]))
-    return spark.read.text(path).select(F.explode(F.from_json("value", schema)).alias("x")).select("x.*")
+    stores.write_json_arrays(d, path)
+    return stores.read_json_array(spark, path, d.schema)
 
 
 EXTRACT = """WITH d AS (SELECT o_orderkey, 'chunk-' || md5('order ' || o_orderkey) AS idx, o_orderstatus, o_orderpriority FROM orders)"""
@@ -96,13 +93,13 @@ def src6_missing_extractions(spark, sf_dir):
     d = extractions(spark, sf_dir)
     done = d.where(F.col("extracted_triples")[0][2] == "F")
     back = spark.read.schema(done.schema).json(saved(done, "extractions", "json"))
-    return d.select("o_orderkey", "idx").join(back.select("idx"), "idx", "left_anti")
+    return stores.not_extracted(d.select("o_orderkey", "idx"), back)
 
 
 @query("SELECT count(*) AS docs, round(avg(length(e)), 4) AS avg_ent_chars, round(avg(len(string_split(e, ' '))), 4) AS avg_ent_words FROM (SELECT unnest(['order ' || o_orderkey, o_orderpriority]) AS e FROM orders)")
 def src7_extraction_stats(spark, sf_dir):
-    e = extractions(spark, sf_dir).select(F.explode("extracted_entities").alias("e"))
-    return e.agg(F.count("*").alias("docs"), F.round(F.avg(F.length("e")), 4).alias("avg_ent_chars"), F.round(F.avg(F.size(F.split("e", " "))), 4).alias("avg_ent_words"))
+    d = stores.extraction_stats(extractions(spark, sf_dir))
+    return d.select(F.col("entities").alias("docs"), F.round("avg_ent_chars", 4).alias("avg_ent_chars"), F.round("avg_ent_words", 4).alias("avg_ent_words"))
 
 
 @query()
@@ -134,8 +131,7 @@ def src9_multi_hop_gold(spark, sf_dir):
     """Nested context (title, sentences) per question, exploded into a corpus and gold rows by title."""
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("question"), F.struct(F.col("l_partkey").alias("title"), F.array(F.concat(F.lit("part "), F.col("l_partkey").cast("string"))).alias("sentences")).alias("c"), F.struct(F.col("l_partkey").alias("title"), F.lit(0).alias("i")).alias("f"))
     nested = lines.groupBy("question").agg(F.collect_list("c").alias("context"), F.collect_set("f").alias("facts"))
-    facts = nested.select("question", F.explode("facts").alias("f"), "context")
-    found = facts.select("question", F.col("f.title").alias("title"), F.exists("context", lambda c: c["title"] == F.col("f.title")).alias("ok")).where("ok")
+    _, found = texts.gold_by_title(nested)
     return found.groupBy("question").agg(F.countDistinct("title").alias("parts"), F.min("title").alias("first_part"))
 
 
@@ -155,7 +151,7 @@ def src11_vector_scan(spark, sf_dir):
     return d.groupBy("label").agg(F.count("*").alias("n"), r6(F.avg("x")).alias("mean_first"))
 
 
-@query("WITH b AS (SELECT user_id AS id, event_id AS version, value FROM events) SELECT id, version, value FROM b QUALIFY row_number() OVER (PARTITION BY id ORDER BY version DESC) = 1", also=("st2_stream_final_state",))
+@query("WITH b AS (SELECT user_id AS id, event_id AS version, value FROM events) SELECT id, version, value FROM b QUALIFY row_number() OVER (PARTITION BY id ORDER BY version DESC) = 1")
 def src12_upsert(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("version"), "value")
     return stores.upsert(e.where("version % 2 = 0"), e.where("version % 2 = 1"), "id", "version")
@@ -168,22 +164,45 @@ def src13_delete(spark, sf_dir):
     return stores.delete(e.select("event_id", "value", "event_type"), least, "event_type").select("event_id", "value")
 
 
+@query("SELECT event_id, event_type, value FROM events WHERE event_id IN (SELECT c_custkey FROM customer) AND value > 100")
+def src13_point_get(spark, sf_dir):
+    """Events by the ids of customers and a bound on the value."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("event_id"))
+    return stores.get(e, keys, F.col("value") > 100, "event_id")
+
+
+@query("SELECT conv_id, turn, role = 'user' AS hit, md5(coalesce(text, '')) AS hash, length(coalesce(text, '')) AS chars FROM conversations")
+def src15_result_sink(spark, sf_dir):
+    """Nested records of each turn through the sink and back."""
+    t = F.coalesce("text", F.lit(""))
+    d = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.struct(t.alias("context"), F.array(F.length(t)).alias("scores"), (F.col("role") == "user").alias("hit")).alias("arm"))
+    path = stores.shared_path(spark, "records")
+    stores.write_records(d, path)
+    back = spark.read.schema(d.schema).json(path)
+    return back.select("conv_id", "turn", F.coalesce("arm.hit", F.lit(False)).alias("hit"), F.md5(F.col("arm.context").cast("binary")).alias("hash"), F.col("arm.scores")[0].alias("chars"))
+
+
 @query("SELECT event_id, event_type, round(value, 2) AS value FROM events")
 def src14_metadata_json(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", stores.metadata_json(F.struct("event_type", F.round("value", 2).alias("value"))).alias("m"))
     return e.select("event_id", F.from_json("m", "event_type string, value double").alias("x")).select("event_id", "x.*")
 
 
-@query("SELECT doc_id, length(trim(t)) < 50 AND regexp_matches(t, '(?i)chapter\\s+[0-9]+') AS title FROM (SELECT doc_id, 'Chapter ' || doc_id || ' ' || coalesce(text, '') AS t FROM documents)")
+@query("WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Chapter ' || doc_id WHEN doc_id % 3 = 1 THEN coalesce(text, '') || chr(10) || 'see chapter 2' ELSE 'Chapter ' || doc_id || ' ' || replace(coalesce(text, ''), chr(10), ' ') || chr(10) || 'x' || chr(10) || 'y' END AS t FROM documents) SELECT doc_id, (length(trim(t)) < 50 AND regexp_matches(t, '(?i)\\bchapter\\s+[0-9]+')) OR (len(string_split(trim(t), chr(10))) <= 2 AND regexp_matches(t, '(?i)\\bchapter[ \\t]+[0-9]+')) AS title FROM t")
 def flt6_chapter_title(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Chapter "), F.col("doc_id").cast("string"), F.lit(" "), F.coalesce("text", F.lit(""))).alias("t"))
-    return d.select("doc_id", ((F.length(F.trim("t")) < 50) & F.col("t").rlike(text.CHAPTER)).alias("title"))
+    """Headings alone, a line after the text, and long first lines of three."""
+    n, t = F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))
+    made = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Chapter "), n)).when(F.col("doc_id") % 3 == 1, F.concat(t, F.lit("\nsee chapter 2"))).otherwise(F.concat(F.lit("Chapter "), n, F.lit(" "), F.replace(t, F.lit("\n"), F.lit(" ")), F.lit("\nx\ny")))
+    return table(spark, sf_dir, "documents").select("doc_id", text.chapter_title(made).alias("title"))
 
 
-@query("WITH d AS (SELECT doc_id, trim(text) AS t FROM documents WHERE text IS NOT NULL) SELECT doc_id, md5(t) AS hash FROM d WHERE length(t) >= 10")
+@query("WITH d AS (SELECT doc_id, trim(text, ' ') AS t FROM documents WHERE text IS NOT NULL) SELECT doc_id, md5(t) AS hash, CASE WHEN length(t) + 21 >= 50 THEN md5(t) END AS after_heading FROM d WHERE length(t) >= 10 AND NOT regexp_matches(t, '^\\s|\\s$') AND NOT regexp_matches(t, '(?i)\\bchapter\\s+[0-9]+')")
 def flt7_text_cleaning(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", text.cleaned(F.concat(F.lit("Chapter 1\n"), F.col("text"), F.lit("\n\n\n"))).alias("a"), text.cleaned(F.col("text")).alias("b"))
-    return d.where("b IS NOT NULL").select("doc_id", F.md5(F.col("b").cast("binary")).alias("hash"))
+    """Texts without outer white space, as they are and after a heading: both are the text, or a title if it is short."""
+    d = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"^ *[\t\n\r]|[\t\n\r] *$"))
+    d = d.select("doc_id", text.cleaned(F.concat(F.lit("Chapter 1\nchapter 22\n"), F.trim("text"))).alias("a"), text.cleaned(F.col("text")).alias("b"))
+    return d.where("b IS NOT NULL").select("doc_id", F.md5(F.col("b").cast("binary")).alias("hash"), F.md5(F.col("a").cast("binary")).alias("after_heading"))
 
 
 @query("SELECT conv_id, turn, md5(coalesce(text, '')) AS hash FROM conversations WHERE text <> '' AND NOT (text LIKE '%Error%' OR text LIKE '%error%' OR text LIKE '%Timeout%' OR text LIKE '%HTTPSConnectionPool%' OR text LIKE '%ConnectionError%' OR text LIKE '%出错%')")
@@ -209,7 +228,7 @@ def tk3_top_chunks_by_mass(spark, sf_dir):
     return masses(spark, sf_dir).orderBy(F.desc("mass"), "event_id").limit(50).select("event_id", r6("mass").alias("mass"))
 
 
-@query("WITH i AS (SELECT DISTINCT md5(text) AS h FROM conversations WHERE text IS NOT NULL), s AS (SELECT DISTINCT md5(text) AS h FROM conversations WHERE text IS NOT NULL AND role = 'user') SELECT h AS hash_id FROM i WHERE h NOT IN (SELECT h FROM s)", also=("st1_stream_final_state",))
+@query("WITH i AS (SELECT DISTINCT md5(text) AS h FROM conversations WHERE text IS NOT NULL), s AS (SELECT DISTINCT md5(text) AS h FROM conversations WHERE text IS NOT NULL AND role = 'user') SELECT h AS hash_id FROM i WHERE h NOT IN (SELECT h FROM s)")
 def jn1_insert_if_absent(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     return stores.absent(stores.hashed(c, "text", ""), stores.hashed(c.where("role = 'user'"), "text", "")).select("hash_id")
@@ -221,18 +240,28 @@ def jn2_id_lookup(spark, sf_dir):
     return stores.lookup(o, table(spark, sf_dir, "customer"), "c_custkey").select("o_orderkey", "c_name", "c_nationkey")
 
 
-@query("WITH t AS (SELECT doc_id, unnest(range(0, 200, 10)) AS a FROM documents), s AS (SELECT doc_id, 5 AS x, 47 AS y FROM documents) SELECT doc_id, a AS tok_start FROM t JOIN s USING (doc_id) WHERE a < y AND a + 8 > x")
+@query()
 def jn9_interval_overlap(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id")
-    tokens = d.select("doc_id", F.explode(F.expr("sequence(0L, 190L, 10L)")).alias("tok_start")).withColumn("tok_end", F.col("tok_start") + 8)
-    spans = d.select("doc_id", F.lit(5).alias("char_start"), F.lit(47).alias("char_end"))
-    return texts.overlaps(tokens, spans).select("doc_id", "tok_start")
+    """The words of each text by place, joined to the capitalised spans that they overlap."""
+    d = table(spark, sf_dir, "documents")
+    return texts.overlaps(texts.tokens(d), texts.entity_spans(d)).select("doc_id", "token_no", "tok_start", "tok_end", "char_start")
 
 
 @query("WITH t AS (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL) SELECT doc_id AS lid, min(doc_id) OVER (PARTITION BY t) AS rid FROM t")
 def jn10_fuzzy_text_join(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    return texts.fuzzy_equal(d.select(F.col("doc_id").alias("lid"), "text"), d.select(F.col("doc_id").alias("rid"), "text"))
+    return texts.fuzzy_match(d.select(F.col("doc_id").alias("lid"), "text"), d.select(F.col("doc_id").alias("rid"), "text"))
+
+
+@query("""WITH t AS (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, trim(substr(t, 1 + length(t) // 25, length(t) - length(t) // 25 - length(t) // 30)) AS t FROM t),
+r AS (SELECT t, min(doc_id) AS rid FROM t GROUP BY t), e AS (SELECT l.doc_id, r.rid FROM l JOIN r USING (t)),
+c AS (SELECT l.doc_id, min(r.rid) AS rid FROM l JOIN r ON abs(length(l.t) - length(r.t)) < 0.1 * greatest(length(l.t), length(r.t)) AND (contains(r.t, l.t) OR contains(l.t, r.t)) WHERE l.doc_id NOT IN (SELECT doc_id FROM e) GROUP BY 1)
+SELECT doc_id AS lid, rid FROM e UNION ALL SELECT doc_id, rid FROM c""")
+def jn10_contained_text_join(spark, sf_dir):
+    """Texts without their first and last few hundredths find the whole ones."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", text.squeezed(F.col("text")).alias("t"))
+    inner = F.expr("substring(t, 1 + length(t) div 25, length(t) - length(t) div 25 - length(t) div 30)")
+    return texts.fuzzy_match(d.select(F.col("doc_id").alias("lid"), inner.alias("text")), d.select(F.col("doc_id").alias("rid"), F.col("t").alias("text")))
 
 
 @query("WITH f AS (SELECT c_custkey AS i, c_name AS f, c_nationkey AS k FROM customer), c AS (SELECT n_nationkey AS k, unnest([n_name, 'Customer', n_name || ' customer']) AS c FROM nation) SELECT i AS fact_id, arg_min(c, (levenshtein(f, c), c)) AS match FROM f JOIN c USING (k) GROUP BY i")
@@ -246,8 +275,7 @@ def jn11_closest_string(spark, sf_dir):
 def jn13_negative_sampling(spark, sf_dir):
     """Five other vectors for each vector, drawn by hash."""
     e = table(spark, sf_dir, "embeddings")
-    ids = e.select(F.col("vec_id").alias("place"), F.col("vec_id").alias("id"))
-    return texts.seeded_others(e.select(F.col("vec_id").alias("qid"), F.col("vec_id").alias("gold")), ids, 5)
+    return texts.seeded_others(e.select(F.col("vec_id").alias("qid"), F.col("vec_id").alias("gold")), e.select(F.col("vec_id").alias("id")), 5)
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'fixed' ELSE event_type END AS event_type FROM events")
@@ -256,12 +284,11 @@ def jn14_result_patching(spark, sf_dir):
     return stores.patched(e, e.where("event_id % 3 = 0").select("event_id", F.lit("fixed").alias("event_type")), "event_id", "event_type").select("event_id", "event_type")
 
 
-@query("WITH p AS (SELECT doc_id, text, string_split(text, chr(10))[1] AS f FROM documents WHERE text IS NOT NULL) SELECT f AS first_line, count(*) AS n FROM p GROUP BY 1")
+@query("""WITH p AS (SELECT doc_id, text, string_split(text, chr(10))[1] AS f FROM documents WHERE text IS NOT NULL), m AS (SELECT *, min(doc_id) OVER (PARTITION BY f) AS s FROM p),
+x AS (SELECT f, doc_id, CASE WHEN doc_id = s THEN 'Wikipedia Title: ' || text ELSE chr(10) || trim(substr(text, length(f) + 1), chr(10)) END AS part FROM m) SELECT f AS first_line, doc_id AS place, length(part) AS chars, md5(part) AS hash FROM x""")
 def ag24_merge_by_first_line(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("place"), "text")
-    m = texts.merged_by_first_line(d)
-    n = d.where("text IS NOT NULL").groupBy(F.substring_index("text", "\n", 1).alias("first_line")).agg(F.count("*").alias("n"))
-    return m.join(n, "first_line").select("first_line", "n")
+    m = texts.merged_by_first_line(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("place"), "text"))
+    return m.select("first_line", "place", F.length("part").alias("chars"), F.md5(F.col("part").cast("binary")).alias("hash"))
 
 
 def samples(spark, sf_dir):
@@ -287,13 +314,14 @@ def ag26_mean_pooling(spark, sf_dir):
     return texts.mean_pooled(d, ["label"]).select("label", "n", r6(vec.norm(F.col("mean"))).alias("norm"))
 
 
-@query("WITH t AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) AS n FROM documents), k AS (SELECT CAST(floor(count(*) * 0.3 / 0.7) AS BIGINT) AS k FROM documents), q AS (SELECT conv_id, turn, text, row_number() OVER (ORDER BY conv_id, turn, text) AS n FROM conversations WHERE text IS NOT NULL) SELECT 'doc' AS source, md5(coalesce(text, '')) AS hash FROM t UNION ALL SELECT 'qa', md5(text) FROM q, k WHERE q.n <= k.k")
+@query("WITH t AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) AS n FROM documents), k AS (SELECT CAST(floor(count(*) * 0.3 / 0.7) AS BIGINT) AS k FROM documents), q AS (SELECT conv_id, turn, text, row_number() OVER (ORDER BY conv_id, turn, text) AS n FROM conversations WHERE text <> '') SELECT 'doc' AS source, md5(coalesce(text, '')) AS hash FROM t UNION ALL SELECT 'qa', md5(text) FROM q, k WHERE q.n <= k.k")
 def so4_proportional_mix(spark, sf_dir):
     """All documents and as many turns as make three tenths of the whole."""
-    docs = table(spark, sf_dir, "documents").select(F.lit("doc").alias("source"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("hash"))
-    k = int(docs.count() * 0.3 / 0.7)
-    qa = table(spark, sf_dir, "conversations").where("text IS NOT NULL").orderBy("conv_id", "turn", "text").limit(k)
-    return docs.union(qa.select(F.lit("qa"), F.md5(F.col("text").cast("binary"))))
+    own = lambda source, name, *more: table(spark, sf_dir, name).select(F.lit(source).alias("source"), F.coalesce("text", F.lit("")).alias("text"), *more)
+    none = [F.lit(None).cast("long").alias(c) for c in ("conv_id", "turn")]
+    turns = own("qa", "conversations", "conv_id", "turn").where("text <> ''")
+    mixed = texts.proportional_mix(own("doc", "documents", *none), turns, 0.3, "conv_id", "turn", "text")
+    return mixed.select("source", F.md5(F.col("text").cast("binary")).alias("hash"))
 
 
 @query("SELECT doc_id, 'chunk-' || md5(text) AS id FROM documents WHERE text IS NOT NULL")
@@ -323,10 +351,7 @@ def tx5_rule_entities(spark, sf_dir):
 
 @query()
 def tx6_pattern_entities(spark, sf_dir):
-    """Capitalised runs of two characters and more, minus stop words in any case, the first 20 by place."""
-    found = F.regexp_extract_all("text", F.lit(r"(?U)\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b"), F.lit(0))
-    kept = F.filter(text.by_place(found, F.col("text")), lambda e: (F.length(e) >= 2) & ~F.lower(e).isin(text.PATTERN_STOP_WORDS))
-    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.slice(kept, 1, 20).alias("entities"))
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", text.pattern_entities(F.col("text")).alias("entities"))
 
 
 @query()
@@ -346,12 +371,23 @@ LEX = "VALUES " + ", ".join(f"({n}, '{w}', '{c}')" for n, (w, c) in enumerate(te
 N_LEX = len(text.emotion_words())
 
 
-@query(f"WITH l(n, w, c) AS ({LEX}), e AS (SELECT event_id, a.c AS a, b.c AS b FROM events JOIN l a ON a.n = event_id % {N_LEX} JOIN l b ON b.n = event_id * 7 % {N_LEX}) SELECT event_id, CASE WHEN a = 'joy' AND b = 'joy' THEN 1.0 WHEN a = 'joy' OR b = 'joy' THEN 0.5 ELSE 0.0 END AS joy, CASE WHEN a = 'neutral' AND b = 'neutral' THEN 0.0 WHEN a = b THEN 1.0 ELSE 0.5 END AS intensity FROM e", also=("ud2_emotion_extractor",))
+@query(f"WITH l(n, w, c) AS ({LEX}), e AS (SELECT event_id, a.c AS a, b.c AS b FROM events JOIN l a ON a.n = event_id % {N_LEX} JOIN l b ON b.n = event_id * 7 % {N_LEX}) SELECT event_id, CASE WHEN a = 'joy' AND b = 'joy' THEN 1.0 WHEN a = 'joy' OR b = 'joy' THEN 0.5 ELSE 0.0 END AS joy, CASE WHEN a = 'neutral' AND b = 'neutral' THEN 0.0 WHEN a = b THEN 1.0 ELSE 0.5 END AS intensity FROM e")
 def tx8_lexicon_emotions(spark, sf_dir):
     d = emotions(spark, sf_dir).withColumn("s", text.emotion_shares(F.col("text")))
     return d.select("event_id", F.col("s")["joy"].alias("joy"), text.intensity(F.col("s")).alias("intensity"))
 
 
+SHARES = "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-zà-ÿœæß0-9_]+')) AS w FROM documents WHERE text IS NOT NULL), l AS (SELECT * FROM (" + "VALUES " + ", ".join(f"('{w}', '{c}')" for w, c in text.emotion_words()) + ") l(w, c)), n AS (SELECT doc_id, count(*) AS n, count(*) FILTER (c = 'joy') AS joy, count(*) FILTER (c = 'anger') AS anger, count(*) FILTER (c = 'neutral') AS neutral FROM w JOIN l USING (w) GROUP BY doc_id)"
+
+
+@query(SHARES + " SELECT d.doc_id, CASE WHEN trim(d.text) = '' THEN 0 WHEN n.n IS NULL THEN 1 ELSE round(neutral / n.n, 6) END AS neutral, coalesce(round(joy / n.n, 6), 0) AS joy, coalesce(round(anger / n.n, 6), 0) AS anger FROM documents d LEFT JOIN n USING (doc_id) WHERE d.text IS NOT NULL")
+def ud2_emotion_extractor(spark, sf_dir):
+    """The lexicon's shares over whole texts, by the extractor's default."""
+    d = enrich.emotions(table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text"))
+    at = text.CATEGORIES.index
+    return d.select("doc_id", *(r6(F.col("emotions")[at(c)]).alias(c) for c in ("neutral", "joy", "anger")))
+
+
 @query()
 def tx9_chunker(spark, sf_dir):
     return texts.chunks(table(spark, sf_dir, "documents"), separator="\n")
@@ -374,21 +410,35 @@ def tx10_emotion_response(spark, sf_dir):
 
 @query("SELECT o_orderkey, 'order ' || o_orderkey AS s, 'has status' AS p, o_orderstatus AS o FROM orders")
 def tx11_triple_response(spark, sf_dir):
+    """Answers with the triple twice and a part of one; every fifth is cut short inside a last triple."""
     d = extractions(spark, sf_dir)
-    answer = F.concat(F.lit("Here: "), F.to_json(F.struct(F.col("extracted_triples").alias("triples"))))
-    d = d.select("o_orderkey", F.from_json(F.regexp_extract(answer, r"(?s)\{.*\}", 0), "triples array<array<string>>").alias("j"))
-    d = d.select("o_orderkey", F.explode(F.array_distinct(F.filter("j.triples", lambda t: F.size(t) == 3))).alias("t"))
+    odd = F.array(F.lit("order"), F.lit("alone"))
+    full = F.to_json(F.struct(F.concat("extracted_triples", "extracted_triples", F.array(odd)).alias("triples")))
+    short = F.concat(F.regexp_replace(F.to_json(F.struct(F.col("extracted_triples").alias("triples"))), r"\]\}$", ""), F.lit(', ["order", "is c'))
+    answer = F.concat(F.lit("Here: "), F.when(F.col("o_orderkey") % 5 == 0, short).otherwise(F.concat(full, F.lit(" done"))))
+    d = d.select("o_orderkey", F.explode(text.triples(answer)).alias("t"))
     return d.select("o_orderkey", F.col("t")[0].alias("s"), F.col("t")[1].alias("p"), F.col("t")[2].alias("o"))
 
 
-@query("SELECT c_custkey, c_name AS entity, 'nation ' || c_nationkey AS description FROM customer")
+@query("SELECT o_orderkey, unnest(CASE WHEN o_orderkey % 5 = 0 THEN ['order ' || o_orderkey] ELSE ['order ' || o_orderkey, o_orderpriority] END) AS entity FROM orders")
+def tx11_entity_response(spark, sf_dir):
+    """Entity answers; every fifth is cut short inside the second name."""
+    d = extractions(spark, sf_dir)
+    full = F.to_json(F.struct(F.concat("extracted_entities", "extracted_entities").alias("named_entities")))
+    short = F.concat(F.lit('{"named_entities": ["'), "passage", F.lit('", "2-H'))
+    return d.select("o_orderkey", F.explode(text.named_entities(F.when(F.col("o_orderkey") % 5 == 0, short).otherwise(full))).alias("entity"))
+
+
+@query("SELECT c_custkey, c_name AS entity, CASE c_custkey % 3 WHEN 0 THEN 'nation ' || c_nationkey WHEN 1 THEN 'calm and ' || c_nationkey ELSE 'People, name, ' || c_name || ', warm, glad' END AS description FROM customer")
 def tx12_entity_descriptions(spark, sf_dir):
-    """Lines `entity: description` of a response, joined to the entities asked for."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("entity"), F.concat(F.lit("- "), F.col("c_name"), F.lit(": 1. nation "), F.col("c_nationkey").cast("string"), F.lit(" ;\nother - none")).alias("response"))
-    d = c.select("c_custkey", "entity", F.posexplode(F.split("response", "\n")).alias("n", "line"))
-    d = d.where(F.contains("line", F.concat("entity", F.lit(":"))) | F.contains("line", F.concat("entity", F.lit(" -"))))
-    rest = F.trim(F.regexp_replace(F.regexp_replace(F.trim(F.expr("substring(line, position(entity IN line) + length(entity) + 1)")), r"^\d+[.)]\s*", ""), r"^[,.:\-; ]+|[,.:\-; ]+$", ""))
-    return d.groupBy("c_custkey", "entity").agg(F.min_by(rest, "n").alias("description"))
+    """Lines `entity: description` and `entity - description`, and lines that only name the entity."""
+    n = F.col("c_nationkey").cast("string")
+    first = F.concat(F.lit("- "), "c_name", F.lit(": 1. nation "), n, F.lit(" ;\nother - none"))
+    second = F.concat(F.lit("intro\n"), "c_name", F.lit(" - 2) calm and "), n, F.lit("."))
+    third = F.concat(F.lit("nothing\nPeople name "), F.lower("c_name"), F.lit(", warm and glad"))
+    kind = F.col("c_custkey") % 3
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("entity"), F.when(kind == 0, first).when(kind == 1, second).otherwise(F.replace(third, F.lower("c_name"), F.col("c_name"))).alias("response"))
+    return texts.described(c.select("id", "response"), c.select("id", "entity")).select(F.col("id").alias("c_custkey"), "entity", "description")
 
 
 @query("SELECT event_id, event_type AS answer FROM events")
@@ -401,28 +451,25 @@ def tx13_answer_after_marker(spark, sf_dir):
 @query("WITH t AS (SELECT conv_id, turn, role, md5(coalesce(text, '')) AS h, row_number() OVER (PARTITION BY conv_id ORDER BY turn, md5(coalesce(text, ''))) AS n FROM conversations QUALIFY n <= 5) SELECT conv_id, string_agg(h, '|' ORDER BY n) || '|Question: ' || conv_id AS prompt FROM t GROUP BY conv_id")
 def tx14_prompt_assembly(spark, sf_dir):
     h = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", h.alias("h"))
     w = Window.partitionBy("conv_id").orderBy("turn", "h")
-    top = c.withColumn("n", F.row_number().over(w)).where("n <= 5")
-    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "h"))), lambda x: x["h"]), "|")
-    return top.groupBy("conv_id").agg(F.concat(parts, F.lit("|Question: "), F.col("conv_id").cast("string")).alias("prompt"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", h.alias("h")).withColumn("rank", F.row_number().over(w))
+    return texts.prompts(c.select(F.col("conv_id").alias("qid"), F.col("conv_id").cast("string").alias("question"), "rank", F.col("h").alias("text"))).select(F.col("qid").alias("conv_id"), "prompt")
 
 
-@query("SELECT count(DISTINCT md5(text)) AS stored, count(*) AS asked FROM conversations WHERE text IS NOT NULL")
+@query("""WITH n AS (SELECT DISTINCT md5(text) AS h FROM documents WHERE text IS NOT NULL), a AS (SELECT DISTINCT md5(text) AS h FROM documents WHERE text IS NOT NULL AND doc_id % 3 = 0), b AS (SELECT DISTINCT md5(text) AS h FROM conversations WHERE text IS NOT NULL)
+SELECT 'graph' AS store, (SELECT count(*) FROM (SELECT h FROM n UNION SELECT h FROM a)) AS stored, (SELECT count(*) FROM n WHERE h NOT IN (SELECT h FROM a)) AS added
+UNION ALL SELECT 'emotion', (SELECT count(*) FROM (SELECT h FROM n UNION SELECT h FROM b)), (SELECT count(*) FROM n WHERE h NOT IN (SELECT h FROM b))""")
 def rt15_dual_ingest(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where("text IS NOT NULL")
-    stored = stores.insert(stores.hashed(c, "text", ""), stores.hashed(c.where("role = 'user'"), "text", ""))
-    return stored.agg(F.count("*").alias("stored")).join(c.agg(F.count("*").alias("asked")), F.lit(True))  # one row each
+    """All documents into a store that has a third of them and into one of conversations."""
+    d = table(spark, sf_dir, "documents")
+    old = {"graph": stores.hashed(d.where("doc_id % 3 = 0"), "text", "chunk-"), "emotion": stores.hashed(table(spark, sf_dir, "conversations"), "text", "chunk-")}
+    return stores.ingest(d, old)[1]
 
 
 @query()
 def rt16_span_label_dataset(spark, sf_dir):
     """Clean texts with up to ten spans each, every span with a label row by the hash of span and context."""
-    d = table(spark, sf_dir, "documents").select("doc_id", text.cleaned(F.col("text")).alias("text")).where("text IS NOT NULL")
-    w = Window.partitionBy("doc_id").orderBy("char_start")
-    s = texts.entity_spans(d).withColumn("n", F.row_number().over(w)).where("n <= 10")
-    s = s.join(d, "doc_id").withColumn("label_key", F.md5(F.concat("span_text", F.lit("|"), F.substring("text", 1, 100)).cast("binary")))
-    return s.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("char_start", "char_end", "span_text", "label_key"))).alias("targets"))
+    return texts.span_labels(table(spark, sf_dir, "documents"))
 
 
 @query(f"SELECT e.event_id, e.event_type, v.label, round({MASS}, 6) AS mass FROM events e JOIN embeddings v ON v.vec_id = e.event_id % (SELECT count(*) FROM embeddings)")
@@ -434,15 +481,9 @@ def rt17_chunk_features(spark, sf_dir):
 
 @query()
 def ud1_vector_encoder(spark, sf_dir):
-    """The default encoder: counts of hashed character trigrams, unit length, in one expression."""
-    from pyspark.ml.feature import HashingTF
-    from pyspark.ml.functions import vector_to_array
-
-    t = F.lower(F.coalesce("text", F.lit("")))
-    grams = F.when(F.length(t) >= 3, F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substring(t, i, F.lit(3)))).otherwise(F.array(t))
-    d = table(spark, sf_dir, "conversations").select("conv_id", "turn", grams.alias("grams"))
-    coded = HashingTF(inputCol="grams", outputCol="v", numFeatures=64).transform(d)
-    return coded.select("conv_id", "turn", vec.unit(vector_to_array("v")).alias("vector"))
+    """The default encoder over whole documents, with a passage instruction."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return enrich.encoded(d, instruction="passage: ").select("doc_id", "vector")
 
 
 @query(f"WITH l(n, w, c) AS ({LEX}), e AS (SELECT event_id, a.c AS a, b.c AS b FROM events JOIN l a ON a.n = event_id % {N_LEX} JOIN l b ON b.n = event_id * 7 % {N_LEX}), s AS (SELECT event_id, CASE WHEN a = b THEN 1.0 ELSE sqrt(0.5) END AS i, CASE WHEN a = b THEN 1.0 ELSE 0.5 END AS p FROM e) SELECT event_id, round(i, 6) AS intensity, round(p, 6) AS purity, round(1 + 50 * i, 6) AS weight FROM s")
@@ -453,6 +494,13 @@ def ud4_particle_build(spark, sf_dir):
     return d.select("event_id", r6("i").alias("intensity"), r6("p").alias("purity"), r6(decay.modulus(F.col("i"))).alias("weight"))
 
 
+@query()
+def ud4_particles_of_texts(spark, sf_dir):
+    """Whole documents to entities, their sentences, emotion vectors and particle properties."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
+    return enrich.particles(d)
+
+
 @query("WITH e AS (SELECT md5(event_type || CAST(user_id AS VARCHAR)) AS k, event_id FROM events), done AS (SELECT DISTINCT k FROM e WHERE event_id % 2 = 0), t AS (SELECT k FROM e WHERE event_id % 2 = 1) SELECT count(*) FILTER (k IN (SELECT k FROM done)) AS hits, count(*) FILTER (k NOT IN (SELECT k FROM done)) AS misses FROM t")
 def ud5_cached_enrichment(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.md5(F.concat("event_type", F.col("user_id").cast("string")).cast("binary")).alias("k"), "event_id")

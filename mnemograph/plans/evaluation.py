@@ -35,9 +35,9 @@ gold AS (SELECT qid, vec_id AS id FROM pairs WHERE label = qlabel), ng AS (SELEC
 JOINED = LISTS + ", o AS (SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.id, b.id) AS id, coalesce(a.score, 0) AS s, coalesce(b.score, 0) AS e, a.id IS NOT NULL AS in_s, b.id IS NOT NULL AS in_e FROM a FULL JOIN b ON a.qid = b.qid AND a.id = b.id)"
 
 
-def first(spark, sf_dir):
+def first(spark, sf_dir, k=20):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    return ranking.ranked(knn.search(query_vectors(spark, sf_dir), e, k=20))
+    return ranking.ranked(knn.search(query_vectors(spark, sf_dir), e, k=k))
 
 
 def second(spark, sf_dir):
@@ -46,7 +46,7 @@ def second(spark, sf_dir):
 
 def gold(spark, sf_dir):
     q = query_vectors(spark, sf_dir).select("qid", F.col("qlabel").alias("label"))
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label").join(F.broadcast(q), "label").where("id <> qid").select("qid", "id")
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label").join(q, "label").where("id <> qid").select("qid", "id")
 
 
 @query(LISTS + " SELECT qid, id, round(CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1 END, 6) AS score FROM a WINDOW w AS (PARTITION BY qid)")
@@ -64,24 +64,41 @@ def wn3_z_score_l2(spark, sf_dir):
     return first(spark, sf_dir).select("qid", "id", r6(ranking.z_score()).alias("z"), r6(ranking.l2()).alias("l2"))
 
 
-@query(LISTS + " SELECT qid, id, rank, 21 - rank AS weight FROM a", also=("wn5_position_weight", "tk1_top_k"))
+@query(LISTS + " SELECT qid, id, rank, 21 - rank AS weight FROM a")
 def wn4_rank_numbering(spark, sf_dir):
     return first(spark, sf_dir).select("qid", "id", "rank", ranking.position_weight().alias("weight"))
 
 
-@query(LISTS + " SELECT * FROM (SELECT a.qid, a.id, round(a.score, 6) AS first_score, round(b.score, 6) AS score, row_number() OVER (PARTITION BY a.qid ORDER BY round(b.score, 6) DESC, a.id) AS rank FROM a JOIN b ON a.qid = b.qid AND a.id = b.id) WHERE rank <= 5", also=("rt8_cascade_fusion",))
+@query(LISTS + " SELECT qid, id, 21 - rank AS weight FROM a WHERE rank <= 20")
+def wn5_position_weight(spark, sf_dir):
+    return first(spark, sf_dir).select("qid", "id", ranking.position_weight().alias("weight"))
+
+
+@query(LISTS + " SELECT qid, id, rank FROM a WHERE rank <= 7")
+def tk1_top_k(spark, sf_dir):
+    return ranking.top_k(first(spark, sf_dir).drop("rank"), 7).select("qid", "id", "rank")
+
+
+@query(LISTS + " SELECT * FROM (SELECT a.qid, a.id, round(a.score, 6) AS first_score, round(b.score, 6) AS score, row_number() OVER (PARTITION BY a.qid ORDER BY round(b.score, 6) DESC, a.id) AS rank FROM a JOIN b ON a.qid = b.qid AND a.id = b.id) WHERE rank <= 5")
 def jn4_cascade_join(spark, sf_dir):
     d = fusion.cascade(first(spark, sf_dir), second(spark, sf_dir))
     return ranking.top_k(d.withColumn("score", r6("score")), 5).select("qid", "id", r6("first_score").alias("first_score"), "score", "rank")
 
 
+@query(LISTS + " SELECT * FROM (SELECT a.qid, a.id, round(a.score, 6) AS first_score, round(b.score, 6) AS score, row_number() OVER (PARTITION BY a.qid ORDER BY round(b.score, 6) DESC, a.id) AS rank FROM a JOIN b ON a.qid = b.qid AND a.id = b.id WHERE a.rank <= 12) WHERE rank <= 3")
+def rt8_cascade_fusion(spark, sf_dir):
+    """Twelve candidates of the first stage, the three best of them by the second."""
+    d = fusion.cascade(ranking.top_k(first(spark, sf_dir).drop("rank"), 12), second(spark, sf_dir))
+    return ranking.top_k(d.withColumn("score", r6("score")), 3).select("qid", "id", r6("first_score").alias("first_score"), "score", "rank")
+
+
 @query(JOINED + " SELECT qid, id, round(s, 6) AS s, round(e, 6) AS e FROM o")
 def jn5_score_outer_join(spark, sf_dir):
     return fusion.outer(first(spark, sf_dir), second(spark, sf_dir)).select("qid", "id", r6("s").alias("s"), r6("e").alias("e"))
 
 
 @query(JOINED + """, n AS (SELECT *, (s - min(s) FILTER (in_s) OVER w) / (max(s) FILTER (in_s) OVER w - min(s) FILTER (in_s) OVER w + 1e-6) AS ns, (e - min(e) FILTER (in_e) OVER w) / (max(e) FILTER (in_e) OVER w - min(e) FILTER (in_e) OVER w + 1e-6) AS ne FROM o WINDOW w AS (PARTITION BY qid))
-SELECT qid, id, round(0.4 * ns + 0.6 * ne, 6) AS score FROM n QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(0.4 * ns + 0.6 * ne, 6) DESC, id) <= 10""", also=("tk4_overfetch_rerank",))
+SELECT qid, id, round(0.4 * ns + 0.6 * ne, 6) AS score FROM n QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(0.4 * ns + 0.6 * ne, 6) DESC, id) <= 10""")
 def rt9_parallel_fusion(spark, sf_dir):
     d = fusion.parallel(first(spark, sf_dir), second(spark, sf_dir)).withColumn("score", r6("score"))
     return ranking.top_k(d, 10).select("qid", "id", "score")
@@ -98,6 +115,13 @@ def pair_scores(spark, sf_dir):
 EMO = LISTS + ", em AS (SELECT a.qid, a.id, a.score AS s, (list_inner_product(CAST(x.embedding AS DOUBLE[])[1:28], CAST(y.embedding AS DOUBLE[])[1:28]) / sqrt(list_inner_product(CAST(x.embedding AS DOUBLE[])[1:28], CAST(x.embedding AS DOUBLE[])[1:28]) * list_inner_product(CAST(y.embedding AS DOUBLE[])[1:28], CAST(y.embedding AS DOUBLE[])[1:28])) + 1) / 2 AS e FROM a JOIN embeddings x ON x.vec_id = a.qid JOIN embeddings y ON y.vec_id = a.id)"
 
 
+@query(EMO + " SELECT qid, id, round(e, 6) AS score FROM em QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(e, 6) DESC, id) <= 5")
+def tk4_overfetch_rerank(spark, sf_dir):
+    """Four times as many by cosine as wanted, the best of them by the emotion score."""
+    d = pair_scores(spark, sf_dir).select("qid", "id", r6("e").alias("score"))
+    return ranking.top_k(d, 5).select("qid", "id", "score")
+
+
 @query(EMO + """, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS rs, row_number() OVER (PARTITION BY qid ORDER BY e DESC, id) AS re FROM em)
 SELECT qid, id, round(CASE WHEN s > 0 AND e > 0 THEN 1 / (0.6 / s + 0.4 / e) ELSE 0 END, 6) AS harmonic, round(0.6 * s + 0.4 * e, 6) AS linear, round(CASE WHEN s > 0 AND e > 0 THEN pow(s, 0.6) * pow(e, 0.4) ELSE 0 END, 6) AS geometric, round(1.0 / (60 + rs) + 1.0 / (60 + re), 6) AS rank_fusion FROM r""")
 def rt10_emotion_rerank(spark, sf_dir):
@@ -107,9 +131,19 @@ def rt10_emotion_rerank(spark, sf_dir):
     return d.select("qid", "id", *cols)
 
 
-@query(LISTS + f", h AS (SELECT a.qid, a.rank FROM a SEMI JOIN gold ON gold.qid = a.qid AND gold.id = a.id) SELECT k, round(avg(coalesce(c, 0) / n_gold), 4) AS recall FROM (SELECT unnest({evaluate.CUTS}) AS k) ks CROSS JOIN ng LEFT JOIN (SELECT qid, k, count(*) AS c FROM h JOIN (SELECT unnest({evaluate.CUTS}) AS k) ON rank <= k GROUP BY ALL) c USING (qid, k) GROUP BY k", also=("so2_intersection",))
+LONG = f"""WITH {PAIRS}, a AS (SELECT qid, vec_id AS id, cos AS score, row_number() OVER (PARTITION BY qid ORDER BY cos DESC, vec_id) AS rank FROM pairs QUALIFY rank <= 200),
+gold AS (SELECT qid, vec_id AS id FROM pairs WHERE label = qlabel), ng AS (SELECT qid, count(*) AS n_gold FROM gold GROUP BY 1)"""
+
+
+@query(LONG + f", h AS (SELECT a.qid, a.rank FROM a SEMI JOIN gold ON gold.qid = a.qid AND gold.id = a.id) SELECT k, round(avg(coalesce(c, 0) / n_gold), 4) AS recall FROM (SELECT unnest({evaluate.CUTS}) AS k) ks CROSS JOIN ng LEFT JOIN (SELECT qid, k, count(*) AS c FROM h JOIN (SELECT unnest({evaluate.CUTS}) AS k) ON rank <= k GROUP BY ALL) c USING (qid, k) GROUP BY k")
 def ag11_retrieval_recall(spark, sf_dir):
-    return evaluate.recall_at(first(spark, sf_dir), gold(spark, sf_dir))
+    return evaluate.recall_at(first(spark, sf_dir, max(evaluate.CUTS)), gold(spark, sf_dir))
+
+
+@query(LISTS + " SELECT a.qid, a.id FROM a SEMI JOIN gold ON gold.qid = a.qid AND gold.id = a.id")
+def so2_intersection(spark, sf_dir):
+    """Results that are gold."""
+    return first(spark, sf_dir).select("qid", "id").intersect(gold(spark, sf_dir).select("qid", "id"))
 
 
 def answer_pairs(spark, sf_dir):
@@ -128,34 +162,42 @@ def ag12_exact_match(spark, sf_dir):
     return evaluate.exact_match(answer_pairs(spark, sf_dir))
 
 
-@query()
+TOKENS = """t AS (SELECT conv_id || '-' || turn || '-' || md5(text) AS qid, row_number() OVER () AS r, text AS a, coalesce(other, text) AS g FROM c WHERE text IS NOT NULL),
+w AS (SELECT qid, r, [x for x in string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower(a), '[[:punct:]]', '', 'g'), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g')), ' ') if x <> ''] AS a, [x for x in string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower(g), '[[:punct:]]', '', 'g'), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g')), ' ') if x <> ''] AS g FROM t),
+x AS (SELECT qid, r, unnest(a) AS y FROM w), z AS (SELECT qid, r, unnest(g) AS y FROM w), m AS (SELECT r, sum(least(n, k)) AS common FROM (SELECT r, y, count(*) AS n FROM x GROUP BY ALL) JOIN (SELECT r, y, count(*) AS k FROM z GROUP BY ALL) USING (r, y) GROUP BY r),
+f AS (SELECT qid, max(CASE WHEN coalesce(common, 0) > 0 THEN 2 * (common / len(a)) * (common / len(g)) / (common / len(a) + common / len(g)) ELSE 0 END) AS f1, max(CASE WHEN a = g THEN 1.0 ELSE 0.0 END) AS em FROM w LEFT JOIN m USING (r) GROUP BY qid)"""
+TURNS = "c AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, text) AS other FROM conversations)"
+
+
+@query(f"WITH {TURNS}, {TOKENS} SELECT qid, round(f1, 6) AS f1 FROM f")
 def ag13_token_f1(spark, sf_dir):
     return evaluate.token_f1(answer_pairs(spark, sf_dir)).withColumn("f1", r6("f1"))
 
 
-@query(LISTS + ", v AS (SELECT qid, count(*) AS n, min(rank) FILTER (score >= 0.3) AS f FROM a GROUP BY qid) SELECT k, round(avg(CASE WHEN coalesce(f <= k, false) AND n >= k THEN 1.0 ELSE 0.0 END), 6) AS recall FROM v, (SELECT unnest([1, 2, 5, 10, 20, 30]) AS k) GROUP BY k")
+@query(LONG.replace("<= 200", "<= 30") + ", v AS (SELECT qid, count(*) AS n, min(rank) FILTER (score >= 0.3) AS f FROM a GROUP BY qid) SELECT k, round(avg(CASE WHEN coalesce(f <= k, false) AND n >= k THEN 1.0 ELSE 0.0 END), 6) AS recall FROM v, (SELECT unnest([1, 2, 5, 10, 20, 30]) AS k) GROUP BY k")
 def ag14_vector_recall(spark, sf_dir):
-    return evaluate.vector_recall(first(spark, sf_dir), [1, 2, 5, 10, 20, 30], 0.3)
+    return evaluate.vector_recall(first(spark, sf_dir, 30), [1, 2, 5, 10, 20, 30], 0.3)
 
 
 @query("""WITH e AS (SELECT vec_id, [CAST(x AS DOUBLE) for x in embedding] AS v FROM embeddings), n AS (SELECT a.vec_id, list_inner_product(a.v, a.v) AS uu, list_inner_product(b.v, b.v) AS vv, list_inner_product(a.v, b.v) AS uv FROM e a JOIN e b ON b.vec_id = (a.vec_id + 1) % (SELECT count(*) FROM e)),
 k AS (SELECT vec_id, uv / sqrt(uu * vv) AS cos, CASE WHEN sqrt(uu) >= 1 THEN 0.99 / sqrt(uu) ELSE 1 END AS s, CASE WHEN sqrt(vv) >= 1 THEN 0.99 / sqrt(vv) ELSE 1 END AS t, uu, vv, uv FROM n)
-SELECT vec_id, cos >= 0.1 AS cosine_similar, 1 / (1 + acosh(1 + 2 * (s * s * uu + t * t * vv - 2 * s * t * uv) / ((1 - s * s * uu) * (1 - t * t * vv)))) >= 1 / (1 + 10.5) AS hyperbolic_similar FROM k""", also=("ud3_pluggable_similarity",))
+SELECT vec_id, cos >= 0.1 AS cosine_similar, 1 / (1 + acosh(1 + 2 * (s * s * uu + t * t * vv - 2 * s * t * uv) / ((1 - s * s * uu) * (1 - t * t * vv)))) >= 1 / (1 + 10.5) AS hyperbolic_similar FROM k""")
 def ag15_similarity_predicate(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     n = max(e.count(), 1)
     d = e.join(e.select(F.pmod(F.col("vec_id") - 1, F.lit(n)).alias("vec_id"), F.col("embedding").alias("w")), "vec_id")
-    return d.select("vec_id", similar(F.col("embedding"), F.col("w"), "cosine", 0.1).alias("cosine_similar"), similar(F.col("embedding"), F.col("w"), "hyperbolic", 10.5).alias("hyperbolic_similar"))
+    return d.select("vec_id", vec.similar(F.col("embedding"), F.col("w"), "cosine", 0.1).alias("cosine_similar"), vec.similar(F.col("embedding"), F.col("w"), "hyperbolic", 10.5).alias("hyperbolic_similar"))
 
 
-def similar(u, v, metric: str, bound: float):
-    """Cosine of at least `bound`, or hyperbolic distance of at most it; vectors of norm 1 or more are cut to 0.99."""
-    if metric == "cosine":
-        return vec.cosine(u, v) >= bound
-    s, t = (F.when(vec.norm(x) >= 1, 0.99 / vec.norm(x)).otherwise(1.0) for x in (u, v))
-    uu, vv = s * s * vec.sq_norm(u), t * t * vec.sq_norm(v)
-    distance = F.acosh(1 + 2 * (uu + vv - 2 * s * t * vec.dot(u, v)) / ((1 - uu) * (1 - vv)))
-    return 1 / (1 + distance) >= 1 / (1 + bound)
+@query("""WITH q AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS u FROM embeddings WHERE vec_id % 50 = 0), p AS (SELECT qid, vec_id AS id, list_inner_product(u, CAST(embedding AS DOUBLE[])) AS uv, list_inner_product(u, u) AS uu, list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS vv FROM q JOIN embeddings e ON e.label = qid % 10),
+s AS (SELECT qid, id, uv / sqrt(uu * vv) AS cosine, CASE WHEN sqrt(uu) >= 1 THEN 0.99 / sqrt(uu) ELSE 1 END AS a, CASE WHEN sqrt(vv) >= 1 THEN 0.99 / sqrt(vv) ELSE 1 END AS b, uu, vv, uv FROM p)
+SELECT qid, id FROM s WHERE cosine >= 0.05 AND acosh(1 + 2 * (a * a * uu + b * b * vv - 2 * a * b * uv) / ((1 - a * a * uu) * (1 - b * b * vv))) <= 10.55""")
+def ud3_pluggable_similarity(spark, sf_dir):
+    """Vectors of one label that are similar to a query by both measures."""
+    e = table(spark, sf_dir, "embeddings")
+    q = query_vectors(spark, sf_dir).select("qid", "qvec", (F.col("qid") % 10).cast("int").alias("label"))
+    both = vec.similar(F.col("qvec"), F.col("embedding"), "cosine", 0.05) & vec.similar(F.col("qvec"), F.col("embedding"), "hyperbolic", 10.55)
+    return e.join(q, "label").where(both).select("qid", F.col("vec_id").alias("id"))
 
 
 METRICS = """, j AS (SELECT l.qid, l.rank, CASE WHEN g.id IS NULL THEN 0 ELSE 1 END AS hit FROM {src} l LEFT JOIN gold g ON g.qid = l.qid AND g.id = l.id WHERE l.rank <= 10),
@@ -199,74 +241,65 @@ def ag19_margin_loss(spark, sf_dir):
 @query(LISTS + """, h AS (SELECT q.qid, qlabel, (SELECT count(*) FROM a SEMI JOIN gold ON gold.qid = a.qid AND gold.id = a.id WHERE a.qid = q.qid AND a.rank <= 5) AS x, (SELECT count(*) FROM b SEMI JOIN gold ON gold.qid = b.qid AND gold.id = b.id WHERE b.qid = q.qid AND b.rank <= 5) AS y FROM q)
 SELECT qlabel % 2 AS part, count(*) AS n, count(*) FILTER (x > y) AS wins, count(*) FILTER (x = y) AS ties, round(avg(CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_a, round(avg(CASE WHEN y > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_b, round(avg(x), 6) AS mean_a, round(avg(y), 6) AS mean_b FROM h GROUP BY 1""")
 def ag20_method_comparison(spark, sf_dir):
-    g = gold(spark, sf_dir)
-    hits = lambda d, name: evaluate.judged(d.where("rank <= 5"), g).groupBy("qid").agg(F.sum("hit").alias(name))
     q = query_vectors(spark, sf_dir).select("qid", (F.col("qlabel") % 2).alias("part"))
-    d = q.join(hits(first(spark, sf_dir), "x"), "qid", "left").join(hits(second(spark, sf_dir), "y"), "qid", "left").fillna(0)
-    x, y = F.col("x"), F.col("y")
-    return d.groupBy("part").agg(F.count("*").alias("n"), F.count_if(x > y).alias("wins"), F.count_if(x == y).alias("ties"), r6(F.avg((x > 0).cast("double"))).alias("hit_a"), r6(F.avg((y > 0).cast("double"))).alias("hit_b"), r6(F.avg("x")).alias("mean_a"), r6(F.avg("y")).alias("mean_b"))
+    d = evaluate.compared(q, first(spark, sf_dir), second(spark, sf_dir), gold(spark, sf_dir), "part")
+    return d.select("part", "n", "wins", "ties", *(r6(c).alias(c) for c in ("hit_a", "hit_b", "mean_a", "mean_b")))
+
+
+MISS = LISTS + """, c AS (SELECT qid, vec_id AS id, row_number() OVER (PARTITION BY qid ORDER BY list_inner_product(CAST(qvec AS DOUBLE[])[1:28], CAST(v.embedding AS DOUBLE[])[1:28]) DESC, vec_id) AS rank FROM q, embeddings v WHERE v.vec_id <> qid QUALIFY rank <= 3),
+h AS (SELECT q.qid, """ + ", ".join(f"EXISTS (SELECT 1 FROM {t} JOIN gold g ON g.qid = {t}.qid AND g.id = {t}.id WHERE {t}.qid = q.qid AND {t}.rank <= 3) AS {n}" for t, n in (("a", "x"), ("b", "y"), ("c", "z"))) + """ FROM q),
+s AS (SELECT qid, unnest(list_filter([CASE WHEN NOT x AND NOT y AND NOT z THEN 'all missed' END, """ + ", ".join(f"CASE WHEN {v} THEN '{n} hit' END, CASE WHEN NOT {v} AND (x OR y OR z) THEN '{n} missed' END" for v, n in (("x", "plain"), ("y", "warped"), ("z", "part"))) + """], lambda t: t IS NOT NULL)) AS bucket FROM h),
+r AS (SELECT s.bucket, coalesce(d.text, '') AS question, coalesce(d.lang, '') AS answer, coalesce(d.source, '') AS chunk, coalesce(d.n_chars, 0) / 100.0 AS mass FROM s LEFT JOIN documents d ON d.doc_id = s.qid),
+k AS (SELECT bucket, w, count(*) AS n FROM r, (SELECT unnest(['the', 'die', 'que', 'les']) AS w) WHERE contains(lower(question), w) GROUP BY ALL),
+l AS (SELECT bucket, string_agg(w || ':' || n, ',' ORDER BY n DESC, w) AS keywords FROM k GROUP BY 1)
+SELECT bucket, count(*) AS n, round(avg(length(question)), 4) AS question_chars, round(avg(length(answer)), 4) AS answer_chars, round(avg(length(chunk)), 4) AS chunk_chars, round(min(mass), 4) AS min_mass, round(avg(mass), 4) AS mean_mass, round(max(mass), 4) AS max_mass, coalesce(any_value(keywords), '') AS keywords FROM r LEFT JOIN l USING (bucket) GROUP BY bucket"""
 
 
-@query(LISTS + """, h AS (SELECT q.qid, qlabel, EXISTS (SELECT 1 FROM a JOIN gold g ON g.qid = a.qid AND g.id = a.id WHERE a.qid = q.qid AND a.rank <= 3) AS x, EXISTS (SELECT 1 FROM b JOIN gold g ON g.qid = b.qid AND g.id = b.id WHERE b.qid = q.qid AND b.rank <= 3) AS y FROM q)
-SELECT CASE WHEN NOT x AND NOT y THEN 'all missed' WHEN NOT x THEN 'only a missed' WHEN NOT y THEN 'only b missed' ELSE 'all hit' END AS bucket, count(*) AS n, round(avg(qlabel), 6) AS mean_label FROM h GROUP BY 1""")
+@query(MISS)
 def ag21_miss_analysis(spark, sf_dir):
-    g = gold(spark, sf_dir)
-    both = first(spark, sf_dir).where("rank <= 3").select(ranking.fresh("qid"), "id", F.lit("a").alias("method")).union(second(spark, sf_dir).where("rank <= 3").select(ranking.fresh("qid"), "id", F.lit("b")))
-    flags = evaluate.judged(both, g).groupBy("qid").pivot("method", ["a", "b"]).agg(F.max("hit"))
-    d = query_vectors(spark, sf_dir).select("qid", "qlabel").join(flags, "qid", "left").fillna(0, ["a", "b"])
-    a, b = F.col("a") == 1, F.col("b") == 1
-    bucket = F.when(~a & ~b, "all missed").when(~a, "only a missed").when(~b, "only b missed").otherwise("all hit")
-    return d.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), r6(F.avg("qlabel")).alias("mean_label"))
+    """Three methods: cosine, mass-warped, inner product of the first 28 dimensions. A query's question is the document of its number."""
+    cut28 = lambda d, a, b: d.select(F.col(a), F.slice(b, 1, 28).alias(b))
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    third = ranking.ranked(knn.search(cut28(query_vectors(spark, sf_dir), "qid", "qvec"), cut28(e, "id", "vec"), k=3, metric="dot"))
+    sets = evaluate.miss_sets(query_vectors(spark, sf_dir).select("qid"), {"plain": first(spark, sf_dir), "warped": second(spark, sf_dir), "part": third}, gold(spark, sf_dir), 3)
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("qid"), F.col("text").alias("question"), F.col("lang").alias("answer"), F.col("source").alias("chunk"), F.col("n_chars").alias("mass"))
+    rows = sets.join(d, "qid", "left").select("bucket", *(F.coalesce(c, F.lit("")).alias(c) for c in ("question", "answer", "chunk")), (F.coalesce("mass", F.lit(0)) / 100.0).alias("mass"))
+    out = evaluate.set_profiles(rows, ["the", "die", "que", "les"])
+    return out.select("bucket", "n", *(F.round(c, 4).alias(c) for c in ("question_chars", "answer_chars", "chunk_chars", "min_mass", "mean_mass", "max_mass")), "keywords")
 
 
 @query()
 def ag22_best_configuration(spark, sf_dir):
     """The setting with the best mean of each metric, of all strategies, normalisers and weights."""
-    runs = fusion.grid(pair_scores(spark, sf_dir), [0.1, 0.2, 0.3, 0.4, 0.5])
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("setting", "qid").orderBy(F.desc(F.round("score", 9)), "id")
-    ranked = runs.withColumn("rank", F.row_number().over(w))
-    per = evaluate.rank_metrics(ranked, gold(spark, sf_dir), 10, ["setting", "qid"]).groupBy("setting").agg(*(r6(F.avg(m)).alias(m) for m in ("mrr", "map", "ndcg")))
-    best = per.agg(*(F.max(F.struct(F.col(m), F.col("setting"))).alias(m) for m in ("mrr", "map", "ndcg")))
-    return best.select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m)["setting"].alias("setting"), F.col(m)[m].alias("value")) for m in ("mrr", "map", "ndcg")))).alias("x")).select("x.*")
+    return evaluate.best_settings(fusion.grid(pair_scores(spark, sf_dir), [0.1, 0.2, 0.3, 0.4, 0.5]), gold(spark, sf_dir))
 
 
 @query("""WITH e AS (SELECT vec_id, label, user_id % 20 AS q, CAST(embedding AS DOUBLE[]) AS v FROM embeddings JOIN (SELECT DISTINCT user_id FROM events) ON user_id = vec_id), l AS (SELECT * FROM e WHERE vec_id % 2 = 0), r AS (SELECT * FROM e WHERE vec_id % 2 = 1)
 SELECT l.q // 2 AS q, round(avg(list_inner_product(l.v, r.v) / sqrt(list_inner_product(l.v, l.v) * list_inner_product(r.v, r.v))), 6) AS sim FROM l JOIN r ON l.q // 2 = r.q // 2 GROUP BY 1""")
 def ag27_set_similarity(spark, sf_dir):
-    """Mean cosine over all pairs of two sets equals the dot product of the sets' mean unit vectors: no pair is formed."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-
+    """Mean cosine over all pairs of two sets of a query."""
     users = table(spark, sf_dir, "events").select(F.col("user_id").alias("vec_id")).distinct()
-    d = table(spark, sf_dir, "embeddings").join(users, "vec_id").select(((F.col("vec_id") % 20) / 2).cast("long").alias("q"), (F.col("vec_id") % 2).alias("side"), vec.unit(F.col("embedding")).alias("u"))
-    means = d.groupBy("q", "side").agg(vector_to_array(Summarizer.mean(array_to_vector("u"))).alias("m"))
-    a, b = means.where("side = 0").select("q", F.col("m").alias("a")), means.where("side = 1").select("q", F.col("m").alias("b"))
-    return a.join(b, "q").select("q", r6(vec.dot(F.col("a"), F.col("b"))).alias("sim"))
+    d = table(spark, sf_dir, "embeddings").join(users, "vec_id").select(((F.col("vec_id") % 20) / 2).cast("long").alias("q"), (F.col("vec_id") % 2).alias("side"), F.col("embedding").alias("vec"))
+    return evaluate.set_similarity(d).withColumn("sim", r6("sim"))
 
 
 @query(LISTS + """, x AS (SELECT qid, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank) AS plain FROM a WHERE rank <= 3 GROUP BY 1), y AS (SELECT qid, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank) AS warped FROM b WHERE rank <= 3 GROUP BY 1), g AS (SELECT qid, min(id) AS gold_id FROM gold GROUP BY 1),
 ha AS (SELECT qid, true AS h FROM a WHERE rank <= 3 AND EXISTS (SELECT 1 FROM gold WHERE gold.qid = a.qid AND gold.id = a.id) GROUP BY 1), hb AS (SELECT qid, true AS h FROM b WHERE rank <= 3 AND EXISTS (SELECT 1 FROM gold WHERE gold.qid = b.qid AND gold.id = b.id) GROUP BY 1)
-SELECT q.qid, g.gold_id, plain, warped, coalesce(ha.h, false) AS plain_hit, coalesce(hb.h, false) AS warped_hit FROM q LEFT JOIN g USING (qid) LEFT JOIN x USING (qid) LEFT JOIN y USING (qid) LEFT JOIN ha USING (qid) LEFT JOIN hb USING (qid)""", also=("jn3_gold_join",))
+SELECT q.qid, g.gold_id, plain, warped, coalesce(ha.h, false) AS plain_hit, coalesce(hb.h, false) AS warped_hit FROM q LEFT JOIN g USING (qid) LEFT JOIN x USING (qid) LEFT JOIN y USING (qid) LEFT JOIN ha USING (qid) LEFT JOIN hb USING (qid)""")
 def rt13_experiment_table(spark, sf_dir):
-    g = gold(spark, sf_dir)
+    return evaluate.experiment_table(query_vectors(spark, sf_dir), {"plain": first(spark, sf_dir), "warped": second(spark, sf_dir)}, gold(spark, sf_dir))
 
-    def arm(d, name):
-        d = evaluate.judged(d.where("rank <= 3"), g)
-        ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"].cast("string")), ",")
-        return d.groupBy("qid").agg(ids.alias(name), (F.max("hit") == 1).alias(name + "_hit"))
 
-    d = query_vectors(spark, sf_dir).select("qid").join(g.groupBy("qid").agg(F.min("id").alias("gold_id")), "qid", "left")
-    d = d.join(arm(first(spark, sf_dir), "plain"), "qid", "left").join(arm(second(spark, sf_dir), "warped"), "qid", "left")
-    return d.select("qid", "gold_id", "plain", "warped", F.coalesce("plain_hit", F.lit(False)).alias("plain_hit"), F.coalesce("warped_hit", F.lit(False)).alias("warped_hit"))
+@query("SELECT item_id AS qid, CASE WHEN d.text IS NULL THEN 0 ELSE 1 END AS n, md5(coalesce(d.text, '')) AS hash FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id * 37")
+def jn3_gold_join(spark, sf_dir):
+    """Items whose gold chunk is a document by number; the list is empty where there is none."""
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), (F.col("item_id") * 37).alias("chunk_id"))
+    d = evaluate.gold_documents(q, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"))
+    return d.select("qid", F.size("gold").alias("n"), F.md5(F.array_join("gold", "").cast("binary")).alias("hash"))
 
 
-@query()
+@query(f"""{LONG}, {TURNS}, {TOKENS}, h AS (SELECT a.qid, a.rank FROM a SEMI JOIN gold ON gold.qid = a.qid AND gold.id = a.id)
+SELECT 'recall@' || k AS metric, round(avg(coalesce(c, 0) / n_gold), 4) AS value FROM (SELECT unnest([1, 5, 10]) AS k) ks CROSS JOIN ng LEFT JOIN (SELECT qid, k, count(*) AS c FROM h JOIN (SELECT unnest([1, 5, 10]) AS k) ON rank <= k GROUP BY ALL) n USING (qid, k) GROUP BY k UNION ALL SELECT 'em', round(avg(em), 4) FROM f UNION ALL SELECT 'f1', round(avg(f1), 4) FROM f""")
 def rt14_qa_run(spark, sf_dir):
     """Recall table and answer scores of one run."""
-    recall = evaluate.recall_at(first(spark, sf_dir), gold(spark, sf_dir), [1, 5, 10]).select(F.concat(F.lit("recall@"), F.col("k").cast("string")).alias("metric"), F.col("recall").alias("value"))
-    a = answer_pairs(spark, sf_dir)
-    em = evaluate.exact_match(a).agg(F.round(F.avg("em"), 4).alias("value")).select(F.lit("em").alias("metric"), "value")
-    f1 = evaluate.token_f1(a).agg(F.round(F.avg("f1"), 4).alias("value")).select(F.lit("f1").alias("metric"), "value")
-    return recall.union(em).union(f1)
+    return evaluate.qa_run(first(spark, sf_dir), gold(spark, sf_dir), answer_pairs(spark, sf_dir), [1, 5, 10])

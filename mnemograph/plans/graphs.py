@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from mnemograph.operators import graph, knn, ranking
 from mnemograph.plans.fixtures import PAIRS, TRIPLES, query_vectors, table, triples
+from mnemograph.sources import stores
 
 QUERIES, ORACLES = {}, {}
 
@@ -71,25 +72,19 @@ def ag5_passage_edges(spark, sf_dir):
 
 @query(f"{RAW}, d AS (SELECT DISTINCT s, p, o, chunk_id FROM triples) SELECT s, p, o, count(*) AS chunks, min(chunk_id) AS first_chunk FROM d GROUP BY ALL")
 def ag6_triple_index(spark, sf_dir):
-    d = triples(spark, sf_dir).distinct()
-    return d.groupBy("s", "p", "o").agg(F.count("*").alias("chunks"), F.min("chunk_id").alias("first_chunk"))
+    return graph.triple_index(triples(spark, sf_dir))
 
 
 @query(f"{RAW}, {PASSAGES} SELECT (SELECT count(DISTINCT entity) FROM m) AS entities, (SELECT count(DISTINCT chunk_id) FROM m) AS passages, (SELECT count(*) FROM (SELECT DISTINCT s, p, o FROM triples)) AS facts, (SELECT count(*) FROM pe) AS passage_edges")
 def ag7_graph_statistics(spark, sf_dir):
-    t = triples(spark, sf_dir)
-    m = graph.mentions(t)
-    facts = t.select("s", "p", "o").distinct().agg(F.count("*").alias("facts"))
-    a = m.groupBy("entity").count().agg(F.count("*").alias("entities"), F.sum("count").alias("passage_edges"))
-    b = m.groupBy("chunk_id").count().agg(F.count("*").alias("passages"))
-    return a.join(b, F.lit(True)).join(facts, F.lit(True)).select("entities", "passages", "facts", "passage_edges")  # one row each
+    return graph.statistics(triples(spark, sf_dir))
 
 
 @query(f"{RAW}, {FACTS}, {PASSAGES}, n AS (SELECT DISTINCT entity AS id, 'entity' AS kind FROM m UNION ALL SELECT DISTINCT chunk_id, 'passage' FROM m), e AS (SELECT * FROM fe UNION ALL SELECT * FROM pe) SELECT k.kind, k.n AS nodes, coalesce(d.edges, 0) AS edges, coalesce(d.w, 0) AS weight FROM (SELECT kind, count(*) AS n FROM n GROUP BY 1) k LEFT JOIN (SELECT kind, count(*) AS edges, sum(w) AS w FROM e JOIN n ON n.id = e.src WHERE src <> dst GROUP BY 1) d USING (kind)")
 def gr1_graph_build(spark, sf_dir):
     nodes, edges = graph.build(triples(spark, sf_dir))
     n = nodes.groupBy("kind").agg(F.count("*").alias("nodes"))
-    e = edges.join(nodes.withColumnRenamed("id", "src"), "src").groupBy("kind").agg(F.count("*").alias("edges"), F.sum("w").alias("weight"))
+    e = edges.groupBy("kind").agg(F.count("*").alias("edges"), F.sum("w").alias("weight"))
     return n.join(e, "kind", "left").select("kind", "nodes", F.coalesce("edges", F.lit(0)).alias("edges"), F.coalesce("weight", F.lit(0.0)).alias("weight"))
 
 
@@ -101,13 +96,32 @@ def jn6_edge_validity(spark, sf_dir):
     return graph.valid_edges(graph.fact_edges(t), nodes)
 
 
+def entities(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("entity "), F.col("vec_id").cast("string")).alias("name"), F.col("embedding").alias("vec"))
+
+
 SYN = "e AS (SELECT vec_id AS id, 'entity ' || vec_id AS name, CAST(embedding AS DOUBLE[]) AS v, sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings), sy AS (SELECT a.id AS src, b.id AS dst, list_inner_product(a.v, b.v) / (a.n * b.n) AS w FROM e a JOIN e b ON a.id <> b.id WHERE list_inner_product(a.v, b.v) / (a.n * b.n) >= 0.3 QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY list_inner_product(a.v, b.v) / (a.n * b.n) DESC, b.id) <= 101)"
 
 
-@query(f"WITH {SYN} SELECT src, dst, round(w, 6) AS w FROM sy", also=("tk5_synonym_cut", "flt11_synonym_eligibility"))
+@query(f"WITH {SYN} SELECT src, dst, round(w, 6) AS w FROM sy")
 def gr2_synonym_edges(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("entity "), F.col("vec_id").cast("string")).alias("name"), F.col("embedding").alias("vec"))
-    return graph.synonym_edges(e, least=0.3).withColumn("w", r6("w"))
+    return graph.synonym_edges(entities(spark, sf_dir), least=0.3).withColumn("w", r6("w"))
+
+
+@query(f"WITH {SYN.replace('<= 101', '<= 2')} SELECT src, dst, round(w, 6) AS w FROM sy")
+def tk5_synonym_cut(spark, sf_dir):
+    """At most two neighbours: most entities have more over the bound."""
+    return graph.synonym_edges(entities(spark, sf_dir), least=0.3, most=2).withColumn("w", r6("w"))
+
+
+NAMES = "CASE WHEN vec_id % 7 = 0 THEN 'a-' || vec_id % 10 WHEN vec_id % 11 = 0 THEN '' ELSE 'entity ' || vec_id END"
+ELIGIBLE = SYN.replace("'entity ' || vec_id AS name", f"{NAMES} AS name").replace("ON a.id <> b.id", "ON a.id <> b.id AND length(regexp_replace(a.name, '[^A-Za-z0-9]', '', 'g')) > 2 AND length(b.name) > 0")
+
+
+@query(f"WITH {ELIGIBLE} SELECT src, dst, round(w, 6) AS w FROM sy")
+def flt11_synonym_eligibility(spark, sf_dir):
+    """Every seventh name has two characters that count, every eleventh is empty: neither looks for synonyms, and an empty one is none."""
+    return graph.synonym_edges(entities(spark, sf_dir).withColumn("name", F.expr(NAMES.replace("vec_id", "id"))), least=0.3).withColumn("w", r6("w"))
 
 
 def reset_regions(t):
@@ -129,14 +143,14 @@ def pagerank_sql(steps: int, damping: float = 0.5) -> str:
     return "WITH " + ",\n".join(ctes)
 
 
-STEPS = 8
+STEPS = graph.STEPS
 
 
 @query(pagerank_sql(STEPS) + f" SELECT qid, node, round(x, 6) AS score FROM x{STEPS} WHERE node LIKE 'chunk-%' QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(x, 9) DESC, node) <= 200")
 def gr3_personalised_pagerank(spark, sf_dir):
     t = triples(spark, sf_dir)
     _, edges = graph.build(t)
-    scores = graph.pagerank(edges, reset_regions(t), steps=STEPS, keep_every=2).where("node LIKE 'chunk-%'")
+    scores = graph.pagerank(edges, reset_regions(t)).where("node LIKE 'chunk-%'")
     return ranking.top_k(scores.withColumn("s", F.round("score", 9)), 200, "s", "node").select("qid", "node", r6("score").alias("score"))
 
 
@@ -198,7 +212,7 @@ def gr5_merged_reset(spark, sf_dir):
 
 
 def label_reset(spark, sf_dir):
-    x = graph.expansion_score(label_pairs(spark, sf_dir))
+    x = stores.kept(graph.expansion_score(label_pairs(spark, sf_dir)), "expansion")  # it stands for three expansions
     own = query_vectors(spark, sf_dir).select("qid", F.col("qlabel").alias("node"))
     m = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("entity"))
     return graph.merged_reset([(x, 0.5), (x, 0.3), (x, 0.2)], own, m)
@@ -246,17 +260,36 @@ def rt3_graph_retrieval(spark, sf_dir):
     return found.union(rest.select(ranking.fresh("qid"), F.concat(F.lit("v"), F.col("id").cast("string")), r6("score"), F.lit("dense")))
 
 
+def finished(spark, sf_dir):
+    return table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.concat(F.lit("chunk-"), F.md5(F.col("o_orderkey").cast("string").cast("binary"))).alias("chunk_id"))
+
+
 @query(f"""{RAW}, m AS (SELECT DISTINCT chunk_id, unnest([s, o]) AS entity FROM triples), dl AS (SELECT 'chunk-' || md5(CAST(o_orderkey AS VARCHAR)) AS chunk_id FROM orders WHERE o_orderstatus = 'F'),
-lf AS (SELECT * FROM m WHERE chunk_id NOT IN (SELECT chunk_id FROM dl)) SELECT entity, coalesce(chunks_left, 0) AS chunks_left FROM (SELECT DISTINCT entity FROM m) LEFT JOIN (SELECT entity, count(*) AS chunks_left FROM lf GROUP BY 1) USING (entity)""", also=("so3_set_difference",))
+lf AS (SELECT * FROM m WHERE chunk_id NOT IN (SELECT chunk_id FROM dl)) SELECT entity, coalesce(chunks_left, 0) AS chunks_left FROM (SELECT DISTINCT entity FROM m) LEFT JOIN (SELECT entity, count(*) AS chunks_left FROM lf GROUP BY 1) USING (entity)""")
 def jn12_delete_with_references(spark, sf_dir):
     m = graph.mentions(triples(spark, sf_dir))
-    gone = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.concat(F.lit("chunk-"), F.md5(F.col("o_orderkey").cast("string").cast("binary"))).alias("chunk_id"))
-    return graph.survivors(m, gone)
+    return graph.survivors(m, finished(spark, sf_dir))
+
+
+@query(f"""{RAW}, {FACTS}, {PASSAGES}, dl AS (SELECT 'chunk-' || md5(CAST(o_orderkey AS VARCHAR)) AS chunk_id FROM orders WHERE o_orderstatus = 'F'), lt AS (SELECT * FROM triples WHERE chunk_id NOT IN (SELECT chunk_id FROM dl)),
+le AS (SELECT s AS id FROM lt UNION SELECT o FROM lt), n AS (SELECT id FROM le UNION SELECT chunk_id FROM lt), e AS (SELECT * FROM fe UNION ALL SELECT * FROM pe)
+SELECT 'fact' AS kind, md5(s || '|' || p || '|' || o) AS id FROM (SELECT DISTINCT s, p, o FROM lt) UNION ALL SELECT 'entity', md5(id) FROM le UNION ALL SELECT 'node', md5(id) FROM n UNION ALL SELECT 'edge', md5(src || '|' || dst) FROM e WHERE src <> dst AND src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n)""")
+def jn12_delete_from_graph(spark, sf_dir):
+    """What is left of facts, entities, nodes and edges when the chunks of finished orders go."""
+    t = triples(spark, sf_dir)
+    _, edges = graph.build(t)
+    left = graph.delete(t, edges, finished(spark, sf_dir))
+    row = lambda kind, d, *columns: d.select(F.lit(kind).alias("kind"), F.md5(F.concat_ws("|", *columns).cast("binary")).alias("id"))
+    return row("fact", left["facts"], "s", "p", "o").union(row("entity", left["entities"], "entity")).union(row("node", left["nodes"], "id")).union(row("edge", left["edges"], "src", "dst"))
+
+
+@query(f"{RAW} SELECT chunk_id FROM triples EXCEPT SELECT 'chunk-' || md5(CAST(o_orderkey AS VARCHAR)) FROM orders WHERE o_orderstatus = 'F'")
+def so3_set_difference(spark, sf_dir):
+    """Chunks that outlive a deletion."""
+    return triples(spark, sf_dir).select("chunk_id").subtract(finished(spark, sf_dir))
 
 
 @query(f"{RAW}, a AS (SELECT DISTINCT s AS entity FROM triples WHERE p = 'in nation'), b AS (SELECT DISTINCT o AS entity FROM triples WHERE p IN ('in nation', 'in region')) SELECT entity FROM a UNION SELECT entity FROM b")
 def so1_entity_union(spark, sf_dir):
     t = triples(spark, sf_dir)
     return t.where("p = 'in nation'").select(F.col("s").alias("entity")).union(t.where("p IN ('in nation', 'in region')").select("o")).distinct()
-
-

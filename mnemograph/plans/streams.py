@@ -38,7 +38,7 @@ def st2_stream_upsert(spark, sf_dir):
     path = stores.shared_path(spark, "snapshots")
     q = streams.upserted(e, "id", "version", path).option("checkpointLocation", stores.shared_path(spark, "stream-state")).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{path}/{q.lastProgress['batchId']:08d}")
+    return streams.snapshot(spark, path, q.lastProgress["batchId"], spark.createDataFrame([], e.schema))
 
 
 @query("SELECT user_id AS id, 'set' AS event, round(epoch_us(ts) / 1e6, 3) AS at, greatest(value / 10, 0.01) AS mass FROM events")
@@ -56,3 +56,16 @@ WINDOWS = "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, user_id, round(sum(e
 def st4_windowed_strength(spark, sf_dir):
     d = streams.drained(streams.windowed_strength(particles(spark, sf_dir), NOW, GAMMA), mode="complete")
     return d.select(F.col("start").cast("timestamp_ntz").alias("start"), "user_id", F.round("strength", 6).alias("strength"), "n")
+
+
+@query("SELECT event_type, count(DISTINCT user_id) AS n FROM events GROUP BY 1")
+def st1_stream_final_state(spark, sf_dir):
+    """The deduplicated stream's final store, counted by event type."""
+    e = streams.events(spark, sf_dir).withColumn("content", F.concat("event_type", F.lit("-"), F.col("user_id").cast("string")))
+    return streams.drained(streams.deduplicated(e, "content", late="60 days")).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT user_id % 10 AS part, count(*) AS n, max(event_id) AS newest FROM (SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1) GROUP BY 1")
+def st2_stream_final_state(spark, sf_dir):
+    """The upserted snapshot after the last batch, counted by a part of the key."""
+    return st2_stream_upsert(spark, sf_dir).groupBy((F.col("id") % 10).alias("part")).agg(F.count("*").alias("n"), F.max("version").alias("newest"))

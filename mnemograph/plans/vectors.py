@@ -300,20 +300,16 @@ def rt4_hyperbolic_search(spark, sf_dir):
 def rt5_chunk_mode(spark, sf_dir):
     hits = hyperbolic(spark, sf_dir)
     users = particles(spark, sf_dir).select("id", F.concat(F.lit("conv-"), F.col("user_id").cast("string")).alias("conversation"))
-    return chunk_scores(hits.join(users, "id"))
+    return retrieve.chunk_scores(hits.join(users, "id"))
 
 
-def chunk_scores(hits):
-    """Conversations by the summed place weights of their particles."""
-    from pyspark.sql import Window
-
-    d = hits.withColumn("weight", F.count("*").over(Window.partitionBy("qid")) + 1 - F.col("rank"))
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]), ",")
-    return d.groupBy("qid", "conversation").agg(F.sum("weight").alias("score"), F.count("*").alias("particles"), ids.alias("ids"))
-
 
-QUERIES["ag8_chunk_score"] = rt5_chunk_mode
-ORACLES["ag8_chunk_score"] = ORACLES["rt5_chunk_mode"]
+@query(f"WITH {PAIRS}, t AS (SELECT qid, vec_id, label, row_number() OVER (PARTITION BY qid ORDER BY cos DESC, vec_id) AS rank, count(*) OVER (PARTITION BY qid) AS n FROM (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY qid ORDER BY cos DESC, vec_id) <= 30)) SELECT qid, label AS conversation, CAST(sum(n + 1 - rank) AS BIGINT) AS score, count(*) AS particles FROM t GROUP BY ALL")
+def ag8_chunk_score(spark, sf_dir):
+    """Labels as chunks of the 30 vectors nearest to a query."""
+    top = ranking.ranked(knn.search(query_vectors(spark, sf_dir), keys_of(spark, sf_dir), k=30))
+    labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("conversation"))
+    return retrieve.chunk_scores(top.join(labels, "id")).drop("ids")
 
 LINKS = """WITH e AS (SELECT vec_id, [CAST(x AS DOUBLE) / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * tanh((1 + vec_id % 6) / 4.0) for x in embedding] AS z FROM embeddings),
 n AS (SELECT vec_id, z, list_inner_product(z, z) AS zz FROM e),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,9 +17,11 @@ CONVERSATIONS = T.StructType(STORE.fields[:2])
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder named by spark.checkpoint.dir; one is set only where it is unset."""
+    """A new path in the folder named by spark.checkpoint.dir; one is set only where it is unset and the master is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-mnemograph-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
@@ -61,6 +64,45 @@ def delete(store: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return store.join(keys.select(key).distinct(), key, "left_anti")
 
 
+def get(store: DataFrame, keys: DataFrame | None = None, where: Column | None = None, key: str = "hash_id") -> DataFrame:
+    """The store's rows with one of the keys that meet a condition; either may be left out."""
+    found = store if keys is None else store.join(keys.select(key).distinct(), key, "left_semi")
+    return found if where is None else found.where(where)
+
+
+def ingest(chunks: DataFrame, stores: dict[str, DataFrame], column: str = "text", prefix: str = "chunk-") -> tuple[dict[str, DataFrame], DataFrame]:
+    """The same chunks put into each store if absent: the new stores, and (store, stored, added) of each."""
+    new = kept(hashed(chunks, column, prefix), "incoming")
+    after = {name: insert(new, old) for name, old in stores.items()}
+    counts = [rows.agg(F.lit(name).alias("store"), F.count("*").alias("stored")).join(absent(new, stores[name]).agg(F.count("*").alias("added")), F.lit(True)) for name, rows in after.items()]  # one row each
+    whole = counts[0]
+    for c in counts[1:]:
+        whole = whole.union(c)
+    return after, whole
+
+
+def write_records(records: DataFrame, path: str, kind: str = "json") -> None:
+    """A result sink: nested records, one a row, as JSON lines or Parquet."""
+    getattr(records.write.mode("overwrite"), kind)(path)
+
+
+def members(mapping: DataFrame, group: str, member: str) -> DataFrame:
+    """(group, member, n): each member of a group as a row, with the group's size."""
+    sizes = mapping.groupBy(group).agg(F.count("*").alias("n"))
+    return mapping.select(group, member).join(sizes, group)
+
+
+def not_extracted(chunks: DataFrame, results: DataFrame, key: str = "idx") -> DataFrame:
+    """Chunks that the extraction results don't have yet."""
+    return chunks.join(results.select(key), key, "left_anti")
+
+
+def extraction_stats(results: DataFrame, entities: str = "extracted_entities") -> DataFrame:
+    """One row: entities, and their mean characters and words."""
+    e = results.select(F.explode(entities).alias("e"))
+    return e.agg(F.count("*").alias("entities"), F.avg(F.length("e")).alias("avg_ent_chars"), F.avg(F.size(F.split("e", " "))).alias("avg_ent_words"))
+
+
 def patched(rows: DataFrame, fixes: DataFrame, key: str, value: str) -> DataFrame:
     """Values of fixes replace those of rows with the same key."""
     f = fixes.dropDuplicates([key]).select(key, F.col(value).alias("fix_"))
@@ -85,6 +127,24 @@ def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> Dat
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def write_json_arrays(rows: DataFrame, path: str) -> None:
+    """rows as files of one JSON array each, a record a line."""
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mark = "["
+        for batch in batches:
+            lines = batch.column("j").to_pylist()
+            if lines:
+                yield pa.RecordBatch.from_arrays([pa.array([mark + lines[0], *("," + x for x in lines[1:])])], ["value"])
+                mark = ","
+        yield pa.RecordBatch.from_arrays([pa.array(["]" if mark == "," else "[]"])], ["value"])
+
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("j")).mapInArrow(run, "value string").write.text(path)
+
+
 def any_text(b: bytes) -> str:
     """Decoded by the first charset that fits."""
     for charset in ("utf-8", "gbk", "gb2312", "latin-1", "cp1252"):

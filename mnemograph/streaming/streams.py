@@ -7,10 +7,12 @@ drained() runs one over what its source holds now and returns the final table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import log
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from mnemograph.functions import decay, text
@@ -54,38 +56,66 @@ def decay_states(stream: DataFrame, gamma: float, late: str = LATE) -> DataFrame
             state.remove()
             yield pd.DataFrame({"id": [key[0]], "event": ["forgotten"], "at": [at], "mass": [mass]})
             return
-        rows = pd.concat(list(batches)).sort_values("ts")
-        last = rows.iloc[-1]
-        mass = float(last["mass"])
-        born = last["ts"].timestamp()
-        at = born + mass / gamma * float(_log(2 * mass / decay.FORGET)) if 2 * mass > decay.FORGET else born
+        last = None
+        for rows in batches:  # one at a time: a busy particle's events are never all held
+            newest = rows.loc[rows["ts"].idxmax()]
+            if last is None or newest["ts"] >= last["ts"]:
+                last = newest
+            yield pd.DataFrame({"id": [key[0]] * len(rows), "event": ["set"] * len(rows), "at": [t.timestamp() for t in rows["ts"]], "mass": rows["mass"].astype(float).tolist()})
+        mass, born = float(last["mass"]), last["ts"].timestamp()
+        at = born + mass / gamma * log(2 * mass / decay.FORGET) if 2 * mass > decay.FORGET else born
         state.update((mass, at))
-        limit = int(at * 1000)
-        state.setTimeoutTimestamp(max(limit, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"id": [key[0]] * len(rows), "event": ["set"] * len(rows), "at": [t.timestamp() for t in rows["ts"]], "mass": rows["mass"].astype(float).tolist()})
+        state.setTimeoutTimestamp(max(int(at * 1000), state.getCurrentWatermarkMs() + 1))
 
     grouped = stream.select("id", "ts", "mass").withWatermark("ts", late).groupBy("id")
     return grouped.applyInPandasWithState(step, "id long, event string, at double, mass double", "mass double, at double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def _log(x: float) -> float:
-    from math import log
+#: Buckets of an upserted snapshot.
+BUCKETS = 32
 
-    return log(x)
 
+def upserted(stream: DataFrame, key: str, version: str, path: str, buckets: int = BUCKETS):
+    """A stream writer that merges each micro-batch into the snapshot under path.
 
-def upserted(stream: DataFrame, key: str, version: str, path: str):
-    """A stream writer that merges each micro-batch into the snapshot under path; the newest snapshot is the highest batch number."""
+    Rows lie in buckets by the key's hash. A batch rewrites the buckets it touches and
+    notes, in a manifest of one row a bucket, which batch holds which bucket now. A batch
+    that runs again writes the same files again.
+    """
     spark = stream.sparkSession
 
     def merge(batch: DataFrame, number: int) -> None:
-        from_last = f"{path}/{number - 1:08d}"
-        old = spark.read.parquet(from_last) if number else batch.limit(0)
-        stores.upsert(old.select(batch.columns), batch, key, version).write.mode("overwrite").parquet(f"{path}/{number:08d}")
+        batch = stores.kept(batch.withColumn("bucket_", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")), "micro-batch")
+        touched = [r[0] for r in batch.select("bucket_").distinct().collect()]  # `buckets` values at most
+        held = manifest(spark, path, number - 1) if number else {}
+        old = read_buckets(spark, path, {b: n for b, n in held.items() if b in touched}, batch)
+        new = stores.upsert(old, batch, key, version)
+        new.repartition(min(buckets, max(len(touched), 1)), "bucket_").write.mode("overwrite").partitionBy("bucket_").parquet(f"{path}/data/{number:08d}")
+        now = held | {b: number for b in touched}
+        spark.createDataFrame(sorted(now.items()) or [], "bucket int, batch long").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/{number:08d}")
 
     return stream.writeStream.foreachBatch(merge)
 
 
+def manifest(spark: SparkSession, path: str, number: int) -> dict[int, int]:
+    """Which batch holds each bucket after a batch."""
+    return {r["bucket"]: r["batch"] for r in spark.read.parquet(f"{path}/manifest/{number:08d}").collect()}  # a row a bucket
+
+
+def read_buckets(spark: SparkSession, path: str, held: dict[int, int], like: DataFrame) -> DataFrame:
+    files = [f"{path}/data/{n:08d}/bucket_={b}" for b, n in sorted(held.items())]
+    if not files:
+        return like.limit(0)
+    columns = [f for f in like.schema.fields if f.name != "bucket_"]
+    d = spark.read.schema(T.StructType(columns)).parquet(*files)
+    return d.withColumn("bucket_", F.regexp_extract(F.input_file_name(), r"bucket_=(\d+)", 1).cast("int")).select(like.columns)
+
+
+def snapshot(spark: SparkSession, path: str, number: int, like: DataFrame) -> DataFrame:
+    """The merged table after a batch, with the columns of `like`."""
+    return read_buckets(spark, path, manifest(spark, path, number), like.withColumn("bucket_", F.lit(0))).select(like.columns)
+
+
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """What the stream gives for all its source holds now, as a table in the shared folder."""
     spark = stream.sparkSession

@@ -115,6 +115,41 @@ def test_pagerank_dense_solve(spark):
     assert all(got.get(k, 0) == pytest.approx(x[at[k]], abs=1e-6) for k in names)
 
 
+def test_pagerank_many_queries_and_hubs(spark):
+    """More queries than share a row, a hub whose edges are split, and mass without edges, against plain power steps."""
+    rng = np.random.default_rng(4)
+    n = 30
+    pairs = {(0, b) for b in range(1, n)} | {(int(a), int(b)) for a, b in rng.integers(0, n, (40, 2)) if a != b}
+    w = np.zeros((n + 1, n + 1))
+    for a, b in pairs:
+        w[a, b] += 1 + a % 3
+        w[b, a] += 1 + a % 3
+    edges = [(f"n{a}", f"n{b}", float(1 + a % 3)) for a, b in pairs]
+    reset = [(q, f"n{int(a)}", float(x)) for q in range(40) for a, x in zip(rng.integers(0, n + 1, 3), rng.integers(1, 5, 3))]
+    got = {(r["qid"], r["node"]): r["score"] for r in graph.pagerank(spark.createDataFrame(edges, "src string, dst string, w double"), spark.createDataFrame(reset, "qid long, node string, w double"), steps=6, keep_every=3, hub_edges=7).collect()}
+    p = np.divide(w, w.sum(1)[:, None], out=np.zeros_like(w), where=w.sum(1)[:, None] > 0)
+    for q in range(40):
+        r = np.zeros(n + 1)
+        for g, node, x in reset:
+            if g == q:
+                r[int(node[1:])] += x
+        r /= r.sum()
+        x = r
+        for _ in range(6):
+            x = 0.5 * r + 0.5 * (p.T @ x + x[w.sum(1) == 0].sum() * r)
+        assert all(got.get((q, f"n{i}"), 0) == pytest.approx(x[i], abs=1e-9) for i in range(n + 1))
+
+
+def test_delete_from_graph(spark):
+    t = spark.createDataFrame([("c1", "a", "p", "b"), ("c2", "a", "p", "b"), ("c2", "b", "q", "d"), ("c3", "d", "q", "d")], "chunk_id string, s string, p string, o string")
+    _, edges = graph.build(t)
+    left = graph.delete(t, edges, spark.createDataFrame([("c2",), ("c3",)], "chunk_id string"))
+    assert {tuple(r) for r in left["facts"].collect()} == {("a", "p", "b")}
+    assert {r[0] for r in left["entities"].collect()} == {"a", "b"}
+    assert {r["id"] for r in left["nodes"].collect()} == {"a", "b", "c1"}
+    assert {(r["src"], r["dst"]) for r in left["edges"].collect()} == {("a", "b"), ("b", "a"), ("c1", "a"), ("c1", "b")}
+
+
 def test_fusion_formulas(spark):
     f = lambda s, e, kind: one(spark, fusion.fused(F.lit(s), F.lit(e), 0.4, kind))
     assert f(0.5, 1.0, "linear") == pytest.approx(0.7)
@@ -145,21 +180,53 @@ def test_answers(spark):
     assert got == {1: pytest.approx(0.8), 2: 0.0}
 
 
-def rule_entities(t):
-    found = set(re.findall(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b", t))
-    for phrase in re.findall(r'"([^"]+)"', t):
-        if len(phrase.split()) > 1:
-            found.add(phrase)
-        found.update(phrase.split())
-    found |= {m.title() for m in re.findall(rf"\b({'|'.join(text.TITLES)})\b", t, re.I)}
-    return {" ".join(x.split()) for x in found - set(text.ENTITY_STOP_WORDS)}
-
-
 def test_rule_entities(spark):
-    cases = ['The Count of Monte Cristo said "sacred tie" to mr Danglars', "no names here", 'Été Zoé "East" Paris', ""]
+    """Expected sets written by hand."""
+    cases = {
+        'The Count of Monte Cristo said "sacred tie" to mr Danglars': {"The Count", "Monte Cristo", "sacred tie", "sacred", "tie", "Mr", "Count", "Danglars"},
+        "no names here": set(),
+        '\u00c9t\u00e9 Zo\u00e9 "East" Paris': {"East", "Paris"},
+        "In Paris, The King": {"In Paris", "The King", "King"},
+        "": set(),
+    }
+    d = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i long, t string")
+    assert [set(r[0]) for r in d.orderBy("i").select(text.rule_entities(F.col("t"))).collect()] == list(cases.values())
+
+
+def test_pattern_entities(spark):
+    """Expected lists written by hand: by first place, ties by string."""
+    cases = {
+        '"tie" Monte Cristo': ["tie", "Monte", "Monte Cristo", "Cristo"],
+        "The Old Man And The Sea Of Time": ["The Old Man And", "The Old Man And The Sea Of Time", "Old", "Man", "The Sea Of Time", "Sea", "Time"],
+        '" x " said Al': ["Al"],
+        "no names": [],
+        "": [],
+        " ".join(f"Name{chr(97 + n)}" for n in range(25)): None,
+    }
     d = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i long, t string")
-    got = [set(r[0]) for r in d.orderBy("i").select(text.rule_entities(F.col("t"))).collect()]
-    assert got == [rule_entities(c) for c in cases]
+    got = [r[0] for r in d.orderBy("i").select(text.pattern_entities(F.col("t"))).collect()]
+    assert got[:5] == list(cases.values())[:5] and len(got[5]) == 20
+
+
+def test_emotion_vector_exponents(spark):
+    d = spark.createDataFrame([('{"joy": 8.0E-4, "fear": 6e-4}',), ('"joy": 8.0E-4, "fear": 6e-4 cut',), ("nothing",)], "t string")
+    at = text.EMOTIONS.index
+    got = [(r[0][at("joy")], r[0][at("fear")]) for r in d.select(text.emotion_vector(F.col("t"))).collect()]
+    assert got[0] == pytest.approx((0.8, 0.6)) and got[1] == pytest.approx((0.8, 0.6)) and got[2] == pytest.approx((1 / 28, 1 / 28))
+
+
+def test_answers_to_arrays(spark):
+    cases = [
+        ('Sure: {"triples": [["a", "b", "c"], ["a", "b", "c"], ["x", "y"], ["d", "e,]", "f"]]} done', [["a", "b", "c"], ["d", "e,]", "f"]]),
+        ('{"triples": [["a", "b", "c"], ["d", "e", "f"], ["g", "h', [["a", "b", "c"], ["d", "e", "f"]]),
+        ('{"triples": [["a", "b", "c"], ["d", "e"', [["a", "b", "c"]]),
+        ("no object", []),
+        (None, []),
+    ]
+    d = spark.createDataFrame([(n, c[0]) for n, c in enumerate(cases)], "n int, t string").orderBy("n")
+    assert [r[0] for r in d.select(text.triples(F.col("t"))).collect()] == [c[1] for c in cases]
+    names = spark.createDataFrame([('{"named_entities": ["Paris", "Paris", "R\\u00f6m [x]"]}',), ('{"named_entities": ["Paris", "Lon',), ("",)], "t string")
+    assert [r[0] for r in names.select(text.named_entities(F.col("t"))).collect()] == [["Paris", "R\u00f6m [x]"], ["Paris"], []]
 
 
 def test_chunker():
