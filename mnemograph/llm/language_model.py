@@ -163,7 +163,7 @@ def start(lex: Lexicon, size: int = SIZE) -> np.ndarray:
 
 def summed(rows: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Rows of values added up by their index."""
-    out = np.zeros((rows, values.shape[1]))
+    out = np.zeros((rows, values.shape[1]), values.dtype)
     order = np.argsort(at, kind="stable")
     sorted_at = at[order]
     first = np.flatnonzero(np.r_[True, sorted_at[1:] != sorted_at[:-1]])
@@ -172,12 +172,12 @@ def summed(rows: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 class Trainer:
-    """Noise-contrastive steps (Adagrad) over token ids. state: parameters and summed squares of gradients."""
+    """Noise-contrastive steps (Adagrad) over token ids, in single precision. state: parameters and summed squares of gradients."""
 
     def __init__(self, state: np.ndarray, unigram: np.ndarray, seed: int):
-        self.flat, self.power = (x.copy() for x in np.split(state, 2))
+        self.flat, self.power = (x.astype(np.float32) for x in np.split(state, 2))
         self.p = Parameters(self.flat, len(unigram))  # views into flat
-        self.log_noise = np.log(NOISE * np.maximum(unigram, 1e-12))
+        self.log_noise = np.log(NOISE * np.maximum(unigram, 1e-12)).astype(np.float32)
         self.cumulative, self.rng = np.cumsum(unigram), np.random.default_rng(seed)
 
     def step(self, target: np.ndarray, before: list[np.ndarray]) -> None:
@@ -283,7 +283,7 @@ class Scorer:
     def __init__(self, packed: bytes):
         lex, flat = loads(packed)
         self.lex, self.rows = lex, len(lex.unigram)
-        self.p = Parameters(flat, self.rows)
+        self.p = Parameters(flat.astype(np.float32), self.rows)
         self.at, self.ids = {w: n for n, w in enumerate(lex.words)}, lex.ids()
         self.log = np.log10(np.concatenate([lex.counts, [lex.end]]) + SMOOTHING)
         self.norm = np.full(self.rows**CONTEXT, np.nan, np.float32)

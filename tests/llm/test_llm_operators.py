@@ -320,7 +320,7 @@ def test_language_model_brute_force(spark, texts, monkeypatch):
     assert lex.vocab == 40 and len(lex.words) < 400
     flat = language_model.train(training, lex, block_tokens=700)
     again = language_model.train(training.repartition(7), lex, block_tokens=700)
-    assert np.allclose(flat, again, atol=1e-9) and not np.allclose(flat, language_model.start(lex))
+    assert np.allclose(flat, again, atol=1e-4) and not np.allclose(flat, language_model.start(lex))
     c = collections.Counter({bytes(r["word"]): r["n"] for r in counts.collect()})
     for r in language_model.score(docs, counts, lex, flat).collect():
         assert r["score"] == pytest.approx(brute_score(rows[r["doc_id"]], c, lex, flat), abs=1e-3 * r["n_tokens"])
