@@ -56,7 +56,8 @@ def test_same_rows(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_runs(spark, name):
-    assert registry.QUERIES[name](spark, SF).schema.fields
+    """Without SQL: the whole result is computed; the operators themselves are tested against brute force elsewhere."""
+    assert len(registry.QUERIES[name](spark, SF).toPandas()) > 0
 
 
 def test_entry(spark):
