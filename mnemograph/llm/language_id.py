@@ -95,7 +95,7 @@ class Model:
         def score(texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
             kernel, some, cover = kernels(texts, alphabet, column, matrix, self.norms, plain)
             values = kernel @ self.weights[:-1] + self.weights[-1]
-            best = values.argmax(1)
+            best = values.round(9).argmax(1)  # differences of the last digits are ties
             top = np.clip((values[np.arange(len(texts)), best] + 1) / 2, 0, 1)
             return [self.langs[b] if s else UNKNOWN for b, s in zip(best, some)], np.where(some, top, 0.0).tolist(), cover.tolist()
 
