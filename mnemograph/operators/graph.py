@@ -122,6 +122,7 @@ def pagerank(edges: DataFrame, reset: DataFrame, damping: float = DAMPING, steps
     lineage and outlives executors.
     """
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = stores.kept(edges.select("src", "dst", "w"), "graph")
     clean = stores.kept(reset.where("w > 0 AND NOT isnan(w)").groupBy("qid", "node").agg(F.sum("w").alias("w")), "reset")
     ends = edges.select(F.explode(F.array("src", "dst")).alias("node")).union(clean.select("node"))
     names = numbered(ends, "node")
@@ -133,7 +134,7 @@ def pagerank(edges: DataFrame, reset: DataFrame, damping: float = DAMPING, steps
     hubs = out.where("salts > 1").select(F.col("src_n").alias("node"), "salts")
     few = hubs.limit(HUB_ROWS + 1).count() <= HUB_ROWS
     walk = both.join(out, "src_n").select("src_n", F.pmod(F.xxhash64("dst_n"), F.col("salts")).alias("edge_salt"), "dst_n", (F.col("w") / F.col("out")).alias("p"))
-    walk = walk.repartition(parts, "src_n", "edge_salt").persist()  # dealt once for all steps; a lost part is made again from the stored tables
+    walk = walk.repartition(parts, "src_n", "edge_salt").sortWithinPartitions("src_n", "edge_salt").persist()  # dealt and sorted once for all steps; a lost part is made again from the stored tables
 
     slots, width = query_slots(clean, SLOTS)
     r = clean.join(at("node"), "node").select("qid", F.col("node_n").alias("node"), "w").join(out.select(F.col("src_n").alias("node"), F.lit(True).alias("linked")), "node", "left")

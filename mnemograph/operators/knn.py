@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemograph.sources import stores
@@ -120,3 +120,62 @@ def search(queries: DataFrame, keys: DataFrame, k: int | None = None, least: flo
         return found
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     return found.withColumn("r_", F.row_number().over(best)).where(F.col("r_") <= k).drop("r_")
+
+
+#: Rows that the lists of approximate search are fitted on, at most about.
+SAMPLE = 50_000
+
+
+def listed(keys: DataFrame, lists: int, sample: int = SAMPLE, seed: int = 7) -> tuple[DataFrame, np.ndarray]:
+    """keys with the list of each, and the lists' centres: k-means on unit vectors, fitted on a bounded sample; every key has a list."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    unit = keys.where("vec IS NOT NULL").select(array_to_vector(F.transform("vec", lambda x: x.cast("double"))).alias("features"))
+    n = unit.count()
+    fitted = KMeans(k=max(1, min(lists, n)), seed=seed, distanceMeasure="cosine").fit(unit.where(F.pmod(F.xxhash64("features"), F.lit(1 << 20)) < int(min(1.0, sample / max(n, 1)) * (1 << 20))))
+    centres = unit_rows(np.array(fitted.clusterCenters()))
+    return keys.withColumn("list", nearest(F.col("vec"), centres, 1)[0]), centres
+
+
+def nearest(vector: Column, centres: np.ndarray, probes: int) -> Column:
+    """The centres with the largest inner products, best first."""
+    table = F.array(*(F.array(*(F.lit(float(x)) for x in c)) for c in centres))
+    scores = F.transform(table, lambda c, i: F.struct((-F.aggregate(F.zip_with(vector, c, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)).alias("s"), i.alias("i")))
+    return F.slice(F.transform(F.array_sort(scores), lambda x: x["i"]), 1, probes)
+
+
+def approximate(queries: DataFrame, keys: DataFrame, k: int, lists: int = 16, probes: int = 8, ids: str = "long", slab: int = SLAB) -> DataFrame:
+    """(qid, id, score): like search(), but a query is held only against the keys of its `probes` nearest lists.
+
+    All keys are listed; scores are exact. Recall grows with the probes, up to 1 when they
+    are as many as the lists.
+    """
+    keys, centres = listed(keys.select("id", "vec"), lists)
+    keys = stores.kept(keys.where("vec IS NOT NULL"), "listed").select("id", "vec", "list")
+    asked = queries.where("qvec IS NOT NULL").select("qid", "qvec", nearest(F.col("qvec"), centres, probes).alias("probes"))
+    path = blocks(asked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in slabs(batches, slab):
+            key, m, own = np.array(held.column("id").to_pylist()), unit_rows(matrix(held.column("vec"))), np.asarray(held.column("list"))
+            for table in read_blocks(path):
+                qid, q, near = np.array(table.column("qid").to_pylist()), unit_rows(matrix(table.column("qvec"))), table.column("probes").to_pylist()
+                found = []
+                for n in np.unique(own):
+                    rows, at = np.array([i for i, p in enumerate(near) if n in p], np.int64), np.flatnonzero(own == n)
+                    for a in range(0, len(at), STEP):
+                        scores = q[rows] @ m[at[a : a + STEP]].T
+                        i, j = np.indices(scores.shape)
+                        i, j = rows[i.ravel()], at[a + j.ravel()]
+                        on = qid[i] != key[j]
+                        i, j, s = i[on], j[on], scores.ravel()[on]
+                        best = best_of(i, key[j], s, k)
+                        found.append((i[best], key[j][best], s[best]))
+                i, other, s = (np.concatenate(x) for x in zip(*found))
+                best = best_of(i, other, s, k)
+                yield pa.RecordBatch.from_arrays([pa.array(qid[i[best]], pa.int64()), pa.array(other[best].tolist(), pa.int64() if ids == "long" else pa.string()), pa.array(s[best], pa.float64())], ["qid", "id", "score"])
+
+    found = keys.mapInArrow(run, f"qid long, id {ids}, score double")
+    best = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    return found.withColumn("r_", F.row_number().over(best)).where(F.col("r_") <= k).drop("r_")

@@ -69,3 +69,16 @@ def st1_stream_final_state(spark, sf_dir):
 def st2_stream_final_state(spark, sf_dir):
     """The upserted snapshot after the last batch, counted by a part of the key."""
     return st2_stream_upsert(spark, sf_dir).groupBy((F.col("id") % 10).alias("part")).agg(F.count("*").alias("n"), F.max("version").alias("newest"))
+
+
+#: A faster decay, by which many states end within the table's month.
+FAST = 1.0 / 3600
+
+
+@query("""WITH l AS (SELECT user_id AS id, epoch_us(ts) / 1e6 AS born, greatest(value / 10, 0.01) AS mass FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1),
+f AS (SELECT id, mass, born + mass * 3600 * ln(2 * mass / 1e-3) AS ends FROM l) SELECT id, round(ends, 3) AS at, mass FROM f WHERE floor(ends * 1000) < (SELECT floor(max(epoch_us(ts)) / 1000) FROM events)""")
+def st3_evictions(spark, sf_dir):
+    """States that time ends once the whole table has been read: the watermark then stands at the last event."""
+    p = particles(spark, sf_dir).select(F.col("user_id").alias("id"), "ts", "mass")
+    d = streams.drained(streams.decay_states(p, FAST, late="0 seconds"))
+    return d.where("event = 'forgotten'").select("id", F.round("at", 3).alias("at"), "mass")

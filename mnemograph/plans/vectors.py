@@ -247,6 +247,12 @@ def jn8_knn_join(spark, sf_dir):
     return knn.search(query_vectors(spark, sf_dir), keys_of(spark, sf_dir), k=10).withColumn("score", r6("score"))
 
 
+@query()
+def jn8_approximate_knn(spark, sf_dir):
+    """Ten neighbours by lists of like vectors, two thirds of which a query looks through."""
+    return knn.approximate(query_vectors(spark, sf_dir), keys_of(spark, sf_dir), k=10, lists=12, probes=8).withColumn("score", r6("score"))
+
+
 @query(f"WITH {PAIRS}, t AS (SELECT qid, vec_id AS id, cos, row_number() OVER (PARTITION BY qid ORDER BY cos DESC, vec_id) AS rank FROM pairs QUALIFY rank <= 10) SELECT qid, id, round(cos, 6) AS score, rank FROM t")
 def rt7_cosine_baseline(spark, sf_dir):
     return ranking.ranked(knn.search(query_vectors(spark, sf_dir), keys_of(spark, sf_dir), k=10)).select("qid", "id", r6("score").alias("score"), "rank")
