@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from mnemograph.llm import binary_ids, byte_bpe, decontaminate, language_id, language_model, near_dedup, quality_rules, sharding, token_counts, url_rules
-from mnemograph.llm.common import table
+from mnemograph.llm.common import stored, table
 
 
 def op1_decontamination(spark, sf_dir):
@@ -48,9 +49,32 @@ def op10_byte_bpe(spark, sf_dir):
     return byte_bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+# parts of operators that SQL can express
+
+
+def url_fixed_rules(spark, sf_dir):
+    """Host, path and fixed rule of every page."""
+    return url_rules.parsed(table(spark, sf_dir, "pages")).select("page_id", "host", "path", url_rules.fixed()[0].alias("rule"))
+
+
+def lm_base_scores(spark, sf_dir):
+    """Counts and unigram base of every text, by the model before its training."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counts = stored(language_model.count_words(docs.where(~language_model.held_out())), "word-counts")
+    lex = language_model.lexicon(counts)
+    found = language_model.score(docs, counts, lex, language_model.start(lex))
+    return found.select("doc_id", language_model.held_out().alias("held_out"), "n_tokens", "n_known", F.lit(lex.total).cast("long").alias("train_tokens"), F.round("base_score", 3).alias("base_score"))
+
+
+def quality_counts(spark, sf_dir):
+    """Base statistics and base verdict of every text."""
+    m = quality_rules.measured(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", [], "m")
+    return m.select("doc_id", *(F.col("m." + c).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), quality_rules.base_failed("m.").alias("base_failed"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontamination, op2_url_filter, op3_language_id, op4_token_counts, op5_sharding, op6_lm_scores, op7_token_id_files, op8_quality_rules, op9_near_dedup, op10_byte_bpe)
+    for f in (op1_decontamination, op2_url_filter, op3_language_id, op4_token_counts, op5_sharding, op6_lm_scores, op7_token_id_files, op8_quality_rules, op9_near_dedup, op10_byte_bpe, url_fixed_rules, lm_base_scores, quality_counts)
 }
 
 ORACLES = {
@@ -90,5 +114,34 @@ split AS (
   FROM split WHERE shard_bytes > 67108864 AND depth < 64)
 SELECT doc_id, n_bytes, substr(bits, 1, depth) AS shard, depth, shard_bytes, shard_bytes <= 67108864 AS fits
 FROM split WHERE shard_bytes <= 67108864 OR depth = 64
+""",
+    "url_fixed_rules": r"""
+WITH r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*(/[^?#]*)?', 1) AS path FROM r),
+f AS (SELECT * FROM (VALUES ('com', '/en/', 'com/en/'), ('example.com', '/en/7', 'example.com/en/7'), ('net', '/de/', 'net/de/'), ('example.net', '/de/8', 'example.net/de/8'), ('org', '/es/', 'org/es/')) f(h, s, rule)),
+m AS (SELECT page_id, arg_max(rule, length(rule)) AS rule FROM p JOIN f ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s) GROUP BY page_id)
+SELECT page_id, host, path, rule FROM p LEFT JOIN m USING (page_id)
+""",
+    "lm_base_scores": r"""
+WITH d AS (
+  SELECT doc_id, list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), '') AS w,
+         xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+             lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) % 10 = 0 AS held_out
+  FROM documents),
+t AS (SELECT doc_id, held_out, unnest(w) AS w FROM d),
+c AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w),
+n AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v FROM c)
+SELECT t.doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(*) FILTER (c.c > 0) AS n_known, CAST(any_value(n.n) AS BIGINT) AS train_tokens,
+       round(sum(log10((coalesce(c.c, 0) + 0.1) / (n.n + 0.1 * (n.v + 1)))), 3) AS base_score
+FROM t LEFT JOIN c USING (w) CROSS JOIN n GROUP BY t.doc_id
+""",
+    "quality_counts": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, t, w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (SELECT doc_id, p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM d WHERE len(w) > 2)),
+r AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+       CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(n, 0) > 50 * len(w) AS base_failed
+FROM l LEFT JOIN r USING (doc_id)
 """,
 }
