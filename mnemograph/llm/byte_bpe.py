@@ -25,6 +25,8 @@ from pyspark.sql import types as T
 from mnemograph.llm.common import byte_texts, resident, unused
 from mnemograph.llm.pretokens import PARTS, PartCache, grouped, read_ranks, splitter
 
+#: Rows whose ids are held at once.
+ROWS = 1000
 #: Ranks that one leaf of the bitmap stands for, as a power of two.
 LEAF_BITS = 9
 LEAF_MASK = (1 << LEAF_BITS) - 1
@@ -177,9 +179,11 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", cac
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(path, cache)
-        for batch in batches:
-            got = list(codec.encode_all(strings(batch.column(text))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.list_(pa.int32()))], [*batch.schema.names, name])
+        for whole in batches:
+            for a in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(a, ROWS)
+                got = list(codec.encode_all(strings(batch.column(text))))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.list_(pa.int32()))], [*batch.schema.names, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))])), name
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import re
@@ -93,6 +94,9 @@ def resident(key: tuple, make: Callable[[], Any]) -> Any:
         _kept.clear()
         gc.collect()
         pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed pages otherwise
+        if trim:
+            trim(0)
         _kept[key] = make()
     return _kept[key]
 
