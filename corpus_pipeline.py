@@ -14,8 +14,8 @@ from mnemograph.llm.common import stored, table
 
 #: Scores below this are no language. With k languages the best is 1/k at least, so up to five the floor of coverage decides.
 LEAST_SCORE = 0.2
-#: Text parts that the encoder's cache remembers: fewer than by default, as its workers have served the other stages before.
-CACHE_PARTS = 200_000
+#: Text parts that the encoder's cache remembers: fewer than by default, as all workers that served other stages before may hold one.
+CACHE_PARTS = 50_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
