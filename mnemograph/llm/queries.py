@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from mnemograph.llm import binary_ids, byte_bpe, decontaminate, language_id, language_model, near_dedup, quality_rules, sharding, token_counts, url_rules
+from mnemograph.llm import binary_ids, byte_bpe, decontaminate, fill_in_middle, language_id, language_model, near_dedup, quality_rules, sharding, source_divergence, streaming_bpe, token_counts, url_rules
 from mnemograph.llm.common import stored, table
 
 
@@ -49,6 +49,18 @@ def op10_byte_bpe(spark, sf_dir):
     return byte_bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op11_fill_in_middle(spark, sf_dir):
+    return fill_in_middle.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_streaming_bpe(spark, sf_dir):
+    return streaming_bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_source_divergence(spark, sf_dir):
+    return source_divergence.report(table(spark, sf_dir, "documents"))
+
+
 # parts of operators that SQL can express
 
 
@@ -74,7 +86,7 @@ def quality_counts(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontamination, op2_url_filter, op3_language_id, op4_token_counts, op5_sharding, op6_lm_scores, op7_token_id_files, op8_quality_rules, op9_near_dedup, op10_byte_bpe, url_fixed_rules, lm_base_scores, quality_counts)
+    for f in (op1_decontamination, op2_url_filter, op3_language_id, op4_token_counts, op5_sharding, op6_lm_scores, op7_token_id_files, op8_quality_rules, op9_near_dedup, op10_byte_bpe, op11_fill_in_middle, op12_streaming_bpe, op13_source_divergence, url_fixed_rules, lm_base_scores, quality_counts)
 }
 
 ORACLES = {
@@ -114,6 +126,35 @@ split AS (
   FROM split WHERE shard_bytes > 67108864 AND depth < 64)
 SELECT doc_id, n_bytes, substr(bits, 1, depth) AS shard, depth, shard_bytes, shard_bytes <= 67108864 AS fits
 FROM split WHERE shard_bytes <= 67108864 OR depth = 64
+""",
+    "op11_fill_in_middle": r"""
+WITH h AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT doc_id, t, n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (n + 1) AS x, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (n + 1) AS y,
+             CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 90 THEN 'plain'
+                  WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+c AS (SELECT doc_id, t, n, form, least(x, y) AS a, greatest(x, y) AS b FROM u),
+s AS (SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(a AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(b - a AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM s
+""",
+    "op13_source_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+o AS MATERIALIZED (SELECT k, lang, source, term, count(*) AS c FROM (SELECT k, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+v AS MATERIALIZED (SELECT lang, term, CAST(sum(c) AS HUGEINT) AS n FROM o GROUP BY ALL HAVING count(*) >= 3),
+c AS MATERIALIZED (SELECT lang, source, term, CAST(sum(c) AS HUGEINT) AS c FROM o JOIN v USING (lang, term) GROUP BY ALL),
+l AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v, CAST(sum(n) AS HUGEINT) AS n FROM v GROUP BY lang),
+g AS MATERIALIZED (SELECT lang, source, coalesce(any_value(t.n), 0) AS n, coalesce(any_value(l.v), 0) AS v, coalesce(any_value(l.n), 0) AS ln
+      FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, CAST(sum(c) AS HUGEINT) AS n FROM c GROUP BY ALL) t USING (lang, source) LEFT JOIN l USING (lang) GROUP BY ALL),
+p AS MATERIALIZED (SELECT lang, source, v.term, 1 + 1000000000 * (coalesce(c.c, 0) + 1) // (g.n + g.v) AS p FROM g JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pv AS (SELECT a.lang, a.source, b.source AS item, CAST(coalesce(any_value(x.value), 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source GROUP BY ALL),
+tq AS (SELECT lang, source, term AS item, 1 + 1000000000 * (c + 1) // (g.n + g.v) AS p, 1 + 1000000000 * (v.n + 1) // (g.ln + g.v) AS q FROM c JOIN v USING (lang, term) JOIN g USING (lang, source)),
+tv AS (SELECT lang, source, item, CAST((p - q) * (p - q) // q AS BIGINT) AS value FROM tq WHERE p > q)
+SELECT lang, source, 'pair' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM pv
+UNION ALL
+SELECT lang, source, 'term', item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM tv QUALIFY rank <= 200
 """,
     "url_fixed_rules": r"""
 WITH r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),

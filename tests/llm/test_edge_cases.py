@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from mnemograph.llm import binary_ids, byte_bpe, common, decontaminate, language_id, language_model, near_dedup, quality_rules, sharding, token_counts, url_rules
+from mnemograph.llm import binary_ids, byte_bpe, common, decontaminate, fill_in_middle, language_id, language_model, near_dedup, quality_rules, sharding, source_divergence, streaming_bpe, token_counts, url_rules
 
 RND = random.Random(21)
 LONG = " ".join(RND.choice(["the", "of", "word", "ing"]) + str(RND.randrange(3000)) for _ in range(60_000))
@@ -42,6 +42,8 @@ REPORTS = {
     "op8": lambda d, i, b: quality_rules.report(d, b),
     "op9": lambda d, i, b: near_dedup.report(d),
     "op10": lambda d, i, b: byte_bpe.digest(d, RANKS),
+    "op11": lambda d, i, b: fill_in_middle.digests(d),
+    "op12": lambda d, i, b: streaming_bpe.digest(d, WORDS),
 }
 
 
@@ -70,6 +72,12 @@ def test_tables_keep_their_columns(docs, items, labels):
     assert [r["text"] for r in near_dedup.deduplicated(docs).collect()].count(LONG) + [r["text"] for r in near_dedup.deduplicated(docs).collect()].count(LONG + " tail") == 1
 
 
+def test_divergence_with_clashing_columns(docs):
+    d = docs.withColumn("source", F.when(F.col("doc_id") > 6, F.lit("a"))).withColumns({c: F.lit(1) for c in ("terms", "total", "item", "value", "rank", "counts")})
+    got = source_divergence.report(d).collect()
+    assert {(r["lang"], r["source"], r["item"]) for r in got if r["part"] == "pair"} == {(g, a, b) for g in ("", "de", "en") for a, b in (("", "a"), ("a", ""))}
+
+
 def test_language_ties_and_no_letters(spark):
     """Languages with equal texts tie: the first by name; equal rows get equal scores."""
     d = spark.createDataFrame([(n, "alpha beta", g) for n, g in enumerate(["zz", "aa"] * 20)] + [(99, "12 34", "aa")], "doc_id long, text string, lang string")

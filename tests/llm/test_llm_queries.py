@@ -21,8 +21,8 @@ def duck():
 
 
 def rows(df):
-    key = df.columns[0] if "doc_id" not in df.columns else "doc_id"
-    df = df[sorted(df.columns)].sort_values(key)
+    key = "lang" if "part" in df.columns else df.columns[0] if "doc_id" not in df.columns else "doc_id"
+    df = df[sorted(df.columns)].sort_values([key, *(c for c in ("source", "part", "rank") if "part" in df.columns)])
     return [tuple(None if v != v or v is None else round(v, 3) if isinstance(v, float) else v for v in r) for r in df.astype(object).itertuples(index=False, name=None)]
 
 
@@ -38,5 +38,5 @@ def test_registered():
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14)) and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
