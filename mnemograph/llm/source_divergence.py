@@ -52,11 +52,13 @@ PAIRS = 1 << 20
 #: A-Z to a-z and all other ASCII to a space, for bytes.translate.
 TERMS = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
-BLOCKS = "shard int, lang string, head binary, terms array<binary>, sources array<string>, counts array<long>, docs array<long>"
+BLOCKS = "shard int, lang string, head binary, terms array<binary>, docs array<long>, sizes array<int>, sources array<string>, counts array<long>"
+KINDS = [pa.int32(), pa.string(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int64())]
+NAMES = [c.split()[0] for c in BLOCKS.split(", ")]
 
 
 class Postings:
-    """Counts and documents of each term by (language, source), up to a number of entries."""
+    """Counts of each term by (language, source), and documents by language, up to a number of entries."""
 
     def __init__(self, most: int):
         self.most = most
@@ -70,42 +72,45 @@ class Postings:
         words, own = (text or b"").translate(TERMS).split(), self.counts[lang, source]
         before = len(own)
         own.update(words)
-        self.docs[lang, source].update(set(words))
+        self.docs[lang].update(set(words))
         self.held += len(own) - before
         return self.held >= self.most
 
     def spilled(self, shards: int, block: int) -> Iterator[tuple]:
-        """The run's blocks (shard, lang, head, terms, sources, counts, docs), in order of shard, language and term. Empties it."""
-        by_lang = defaultdict(list)
-        for lang, source in self.counts:
-            by_lang[lang].append(source)
-        for lang, sources in by_lang.items():
+        """The run's blocks (shard, lang, head, terms, docs, sizes, sources, counts), in order of language, shard and term. Empties it."""
+        for lang, docs in self.docs.items():
+            found = defaultdict(list)
+            for (g, source), counts in self.counts.items():
+                if g == lang:
+                    for entry in counts.items():
+                        found[entry[0]].append((source, entry[1]))
             cut = defaultdict(list)
-            for source in sources:
-                docs = self.docs[lang, source]
-                for term, n in self.counts[lang, source].items():
-                    cut[zlib.crc32(term) % shards].append((term, source, n, docs[term]))
-            for shard in cut:
-                run = sorted(cut[shard])
-                for a in range(0, len(run), block):
-                    part = run[a : a + block]
-                    yield shard, lang, part[0][0], *map(list, zip(*part))
+            for term in sorted(found):
+                cut[zlib.crc32(term) % shards].append(term)
+            for shard, terms in cut.items():
+                at = 0
+                while at < len(terms):
+                    own, n, first = [], 0, at
+                    while at < len(terms) and n < block:
+                        own += found[terms[at]]
+                        n = len(own)
+                        at += 1
+                    part = terms[first:at]
+                    yield shard, lang, part[0], part, [docs[t] for t in part], [len(found[t]) for t in part], [s for s, _ in own], [c for _, c in own]
         self.restart()
 
 
 def runs(docs: DataFrame, shards: int, text: str, lang: str, source: str, postings: int, block: int) -> DataFrame:
     """The blocks of all runs."""
-    names = ["shard", "lang", "head", "terms", "sources", "counts", "docs"]
-    kinds = [pa.int32(), pa.string(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
     def packed(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), KINDS)], NAMES)
 
     def spill(held: Postings) -> Iterator[pa.RecordBatch]:
         rows, n = [], 0
         for row in held.spilled(shards, block):
             rows.append(row)
-            n += len(row[3])
+            n += len(row[-1])
             if n >= 50 * block:
                 yield packed(rows)
                 rows, n = [], 0
@@ -124,25 +129,54 @@ def runs(docs: DataFrame, shards: int, text: str, lang: str, source: str, postin
     return docs.select(empty(lang).alias("lang"), empty(source).alias("source"), F.col(text).alias("text")).mapInArrow(run, BLOCKS)
 
 
-def merged(blocks: Iterable[tuple]) -> Iterator[tuple[bytes, str, int, int]]:
-    """(term, source, count, docs) of blocks (head, terms, sources, counts, docs) in order of head, by term: a heap of the open blocks."""
-    heap: list[tuple] = []
-
-    def advance(rest: Iterator[tuple], number: int) -> None:
-        entry = next(rest, None)
-        if entry:
-            heapq.heappush(heap, (entry, number, rest))
+#: Blocks that become Python values at once.
+OPENED = 64
+
+
+def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows of BLOCKS as Python values, a few at a time."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, OPENED):
+            part = batch.slice(a, OPENED)
+            lists = []
+            for column in part.columns[3:]:
+                flat, ends = column.flatten().to_pylist(), np.cumsum(column.value_lengths().to_numpy()).tolist()
+                lists.append([flat[x:y] for x, y in zip([0, *ends], ends)])
+            yield from zip(*(c.to_pylist() for c in part.columns[:3]), *lists)
+
+
+def merged(blocks: Iterable[tuple]) -> Iterator[tuple[bytes, int, dict[str, int]]]:
+    """(term, docs, counts by source) of blocks (head, terms, docs, sizes, sources, counts) in order of head, by term: a heap of the open blocks."""
+    heap: list[tuple[bytes, int]] = []
+    held: dict[int, list] = {}
+
+    def least() -> tuple[bytes, int, dict[str, int]]:
+        term, n, sums = heap[0][0], 0, {}
+        while heap and heap[0][0] == term:
+            number = heap[0][1]
+            block = held[number]
+            k, at, terms, docs, sizes, sources, counts = block
+            n += docs[k]
+            stop = at + sizes[k]
+            for p in range(at, stop):
+                source = sources[p]
+                sums[source] = sums.get(source, 0) + counts[p]
+            k += 1
+            if k < len(terms):
+                block[0], block[1] = k, stop
+                heapq.heapreplace(heap, (terms[k], number))
+            else:
+                heapq.heappop(heap)
+                del held[number]
+        return term, n, sums
 
     for number, (head, *columns) in enumerate(blocks):
-        while heap and heap[0][0][0] < head:
-            entry, place, rest = heapq.heappop(heap)
-            yield entry
-            advance(rest, place)
-        advance(zip(*columns), number)
+        while heap and heap[0][0] < head:
+            yield least()
+        held[number] = [0, 0, *columns]
+        heapq.heappush(heap, (head, number))
     while heap:
-        entry, place, rest = heapq.heappop(heap)
-        yield entry
-        advance(rest, place)
+        yield least()
 
 
 def frequencies(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least_docs: int = LEAST_DOCS, shards: int | None = None, postings: int = POSTINGS, block: int = BLOCK) -> DataFrame:
@@ -150,20 +184,11 @@ def frequencies(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = runs(docs, shards, text, lang, source, postings, block).repartition(shards, "shard").sortWithinPartitions("shard", "lang", "head")
 
-    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
-            for k in range(batch.num_rows):  # a block becomes Python values only when it is reached
-                yield tuple(c[k].as_py() for c in batch.columns)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for (_, own), blocks in groupby(opened(batches), itemgetter(0, 1)):
-            for term, found in groupby(merged(b[2:] for b in blocks), itemgetter(0)):
-                counts, docs_of = Counter(), 0
-                for _, s, n, d in found:
-                    counts[s] += n
-                    docs_of += d
-                if docs_of >= least_docs:
+            for term, n, counts in merged(b[2:] for b in blocks):
+                if n >= least_docs:
                     sources = sorted(counts)
                     rows.append((own, term, sum(counts.values()), sources, [counts[s] for s in sources]))
                     if len(rows) >= 10_000:

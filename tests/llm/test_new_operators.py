@@ -149,10 +149,13 @@ def test_divergence(spark, postings, block):
 
 
 def test_heap_opens_blocks_when_reached():
-    runs = [[(f"{c}{n}".encode(), "s", 1, 1) for c in "abcdef" for n in range(4)] for _ in range(3)]
-    blocks = sorted((part[0][0], *map(list, zip(*part))) for run in runs for part in (run[k : k + 5] for k in range(0, len(run), 5)))
-    opened = []
-    got = list(source_divergence.merged(opened.append(b[0]) or b for b in blocks))
-    assert [g[0] for g in got] == sorted(e[0] for run in runs for e in run)
+    """Equal terms of several runs are one; at most one block of each run is open."""
+    runs = [[f"{c}{n}".encode() for c in "abcdef" for n in range(4)] for _ in range(3)]
+    blocks = sorted((part[0], part, [1] * len(part), [2] * len(part), ["s", "t"] * len(part), [1, 5] * len(part)) for run in runs for part in (run[k : k + 5] for k in range(0, len(run), 5)))
+    reached = []
+    for n, got in enumerate(source_divergence.merged(reached.append(b[0]) or b for b in blocks)):
+        assert got == (runs[0][n], 3, {"s": 3, "t": 15})
+        assert len(reached) <= 3 * (n // 5 + 2)
+    assert n == len(runs[0]) - 1
     large = source_divergence.share(source_divergence.exact([10**12]), source_divergence.exact([10**13]), 7)
     assert large.tolist() == [1 + 10**9 * (10**12 + 1) // (10**13 + 7)]
