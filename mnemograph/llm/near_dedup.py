@@ -2,23 +2,24 @@
 
 Texts are word sequences (ASCII letters folded, words as in the decontamination
 operator); equal sequences are one node, whatever their number. A node is the
-set of its shingles of five words. ProbMinHash: each shingle emits arrivals of a
-Poisson process whose rate is its weight; an arrival falls into a random slot and
-a slot keeps its earliest one; a shingle stops as soon as its next arrival is
-later than the latest slot. Two signatures agree in a slot with the probability
-Jaccard similarity. Every shingle weighs 1 however often it occurs, so that this
-is the Jaccard similarity of the sets, by which links are decided; weights by
-count would hide copies whose passages repeat differently. Slots are banded;
-nodes that share a band are candidates, and a candidate becomes a link if the
-exact Jaccard similarity of the shingle sets reaches the threshold. Classes are
-connected components of links.
+weighted set of its shingles of five words; a shingle weighs its count. ProbMinHash:
+each shingle emits arrivals of a Poisson process whose rate is its weight; an arrival
+falls into a random slot and a slot keeps its earliest one; a shingle stops as soon as
+its next arrival is later than the latest slot. Two signatures agree in a slot with
+the probability Jaccard similarity of the weights. Slots are banded; nodes that share
+a band are candidates. Weights by count alone would hide copies whose passages repeat
+differently, so a node with repeated shingles also has the bands of its plain set, in
+which each weighs 1 (most nodes repeat none, for them both are the same bands).
+A candidate becomes a link if the exact similarity reaches the threshold: the
+probability Jaccard of the counts, or that of the plain sets, which is their Jaccard
+similarity. Classes are connected components of links.
 
 No bucket is expanded into all its pairs. First each node is held against one
 representative, the bucket minimum it shares most bands with. In a few turns, nodes whose bucket holds
 another component are held against one other hub each. Last, the nodes outside a
 bucket's largest component are compared with the bucket's nodes of other
-components by size and a parity bitmap, an exact filter inside the join; only
-pairs that pass leave it to be verified.
+components by size and a parity bitmap, an exact filter inside the join unless a
+node repeats shingles; only pairs that pass leave it to be verified.
 Nothing of a whole bucket is in one task: representatives are map-side minima,
 and a join by bucket broadcasts its smaller side behind a count or, past that, is
 a sorted join whose skewed buckets Spark splits. Probability of a pair at similarity 0.8 sharing
@@ -158,11 +159,16 @@ def sketched(docs: DataFrame, doc_id: str, text: str, bands: int, rows: int) ->
             def flush() -> None:
                 if not where:
                     return
-                distinct = [np.unique(p) for p in parts]
-                owner = np.repeat(np.arange(len(distinct)), [len(u) for u in distinct])
-                sig = signatures(np.concatenate(distinct), np.ones(len(owner)), owner, len(distinct), bands * rows)
-                for at, row in zip(where, band_hashes(sig, bands, rows).tolist()):
+                sets = [np.unique(p, return_counts=True) for p in parts]
+                twice = [n for n, (_, c) in enumerate(sets) if c.max() > 1]
+                own = [(u, np.ones(len(u))) for u, _ in sets] + [(sets[n][0], sets[n][1].astype(np.float64)) for n in twice]
+                owner = np.repeat(np.arange(len(own)), [len(u) for u, _ in own])
+                sig = signatures(np.concatenate([u for u, _ in own]), np.concatenate([w for _, w in own]), owner, len(own), bands * rows)
+                found = band_hashes(sig, bands, rows).tolist()
+                for at, row in zip(where, found):
                     out[at] = row
+                for n, row in zip(twice, found[len(sets) :]):
+                    out[where[n]] = list(dict.fromkeys(out[where[n]] + row))
 
             for n, t in enumerate(byte_texts(batch.column(text))):
                 words = t.translate(ASCII_WORDS).split() if t else []
@@ -182,9 +188,10 @@ def sketched(docs: DataFrame, doc_id: str, text: str, bands: int, rows: int) ->
 
 
 def contents(docs: DataFrame, keys: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(key, grams, n, parity) of the wanted nodes: their sorted distinct shingle hashes, from the texts of their least ids.
+    """(key, grams, counts, n, parity) of the wanted nodes: their sorted distinct shingle hashes, from the texts of their least ids.
 
-    parity: PARITY words of 64 bits; a shingle flips one bit.
+    counts: how often each occurs, null if all do once. parity: PARITY words of 64 bits;
+    a shingle flips one bit.
     """
     ids = nodes.join(keys, "key", "left_semi").select("id").distinct()
     small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
@@ -198,40 +205,64 @@ def contents(docs: DataFrame, keys: DataFrame, nodes: DataFrame, doc_id: str, te
                 words = t.translate(ASCII_WORDS).split() if t else []
                 key = node_key(t, words)
                 if words and key not in got:
-                    grams = np.unique(shingles(words))
+                    grams, counts = np.unique(shingles(words), return_counts=True)
                     bits = np.bincount((grams >> np.uint64(20)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
-                    got[key] = (grams.tobytes(), len(grams), np.packbits(bits.astype(np.uint8)).view(np.int64).tolist())
-            cols = list(zip(*got.values())) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(got.keys(), pa.binary()), pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int64()))], ["key", "grams", "n", "parity"])
+                    got[key] = (grams.tobytes(), counts.astype(np.uint32).tobytes() if counts.max() > 1 else None, len(grams), np.packbits(bits.astype(np.uint8)).view(np.int64).tolist())
+            cols = list(zip(*got.values())) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(got.keys(), pa.binary()), pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.list_(pa.int64()))], ["key", "grams", "counts", "n", "parity"])
 
-    return found.mapInArrow(run, "key binary, grams binary, n long, parity array<long>").dropDuplicates(["key"]).join(keys, "key", "left_semi")
+    return found.mapInArrow(run, "key binary, grams binary, counts binary, n long, parity array<long>").dropDuplicates(["key"]).join(keys, "key", "left_semi")
 
 
 def may_match(a: str, b: str, threshold: float) -> Column:
     """Whether two sets can reach the threshold: sizes are near, and parities differ in no more bits than the sets may.
 
     Each shingle of one set alone flips one bit, so differing bits never outnumber
-    them: no pair over the threshold is lost.
+    them: no pair over the threshold is lost. Sets say nothing of weights, so a pair with
+    a node that repeats shingles always may.
     """
     n, m = F.col(a + "n"), F.col(b + "n")
     apart = sum((F.bit_count(F.col(f"{a}p{k}").bitwiseXOR(F.col(f"{b}p{k}"))) for k in range(PARITY)), F.lit(0))
-    return (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9) & (apart <= (n + m) * ((1 - threshold) / (1 + threshold)) + 1e-9)
+    sets = (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9) & (apart <= (n + m) * ((1 - threshold) / (1 + threshold)) + 1e-9)
+    return F.col(a + "repeats") | F.col(b + "repeats") | sets
+
+
+def probability_jaccard(u: np.ndarray, cu: np.ndarray, v: np.ndarray, cv: np.ndarray) -> float:
+    """Of two weighted sets with sorted distinct elements: the sum over common i of 1 / sum over j of max(x_j / x_i, y_j / y_i).
+
+    In order of x / y, those after i count with x and the others with y, so two running
+    sums give every i's denominator.
+    """
+    _, i, j = np.intersect1d(u, v, assume_unique=True, return_indices=True)
+    if not len(i):
+        return 0.0
+    x, y = cu[i].astype(np.float64), cv[j].astype(np.float64)
+    order = np.argsort(x / y)
+    x, y = x[order], y[order]
+    after = cu.sum() - x.cumsum()  # those only in u are after all
+    upto = cv.sum() - y.sum() + y.cumsum()  # those only in v before all
+    return float((1 / (after / x + upto / y)).sum())
 
 
 def verified(pairs: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets' Jaccard similarity reaches the threshold."""
-    both = pairs.join(grams.select(F.col("key").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("key").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "x", "y")
+    """The pairs (a, b) whose shingles reach the threshold, by their sets or by their counts."""
+    side = lambda a, x: grams.select(F.col("key").alias(a), F.col("grams").alias(x), F.col("counts").alias(x + "n"))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "xn", "y", "yn")
+
+    def counts(scalar: pa.Scalar, n: int) -> np.ndarray:
+        return np.frombuffer(scalar.as_buffer(), np.uint32) if scalar.is_valid else np.ones(n, np.uint32)
+
+    def near(x: pa.Scalar, xn: pa.Scalar, y: pa.Scalar, yn: pa.Scalar) -> bool:
+        u, v = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+        if min(len(u), len(v)) >= threshold * max(len(u), len(v)):
+            common = len(u) + len(v) - len(np.union1d(u, v))
+            if common >= threshold * (len(u) + len(v) - common) - 1e-9:
+                return True
+        return (xn.is_valid or yn.is_valid) and probability_jaccard(u, counts(xn, len(u)), v, counts(yn, len(v))) >= threshold - 1e-9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                u, v = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                if min(len(u), len(v)) < threshold * max(len(u), len(v)):
-                    keep.append(False)
-                    continue
-                common = len(u) + len(v) - len(np.union1d(u, v))
-                keep.append(common >= threshold * (len(u) + len(v) - common) - 1e-9)
+            keep = [near(*row) for row in zip(*(batch.column(c) for c in ("x", "xn", "y", "yn")))]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, "a binary, b binary")
@@ -267,7 +298,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     grams = stored(contents(docs, members.select("key").distinct(), nodes, doc_id, text), "grams")
     links = stored(verified(star, grams, threshold), "links")
     labels = components(links)
-    shape = grams.select("key", "n", *(F.col("parity")[k].alias(f"p{k}") for k in range(PARITY)))
+    shape = grams.select("key", "n", F.col("counts").isNotNull().alias("repeats"), *(F.col("parity")[k].alias(f"p{k}") for k in range(PARITY)))
     placed = members.join(labels.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("comp", "key").alias("comp"))
     placed = stored(mixed_only(placed).join(shape, "key"), "placed")
     moves: list[DataFrame] = []
