@@ -36,6 +36,8 @@ LEAST_ROWS = 5
 CONFIDENCE, LIFT = 0.6, 2.0
 #: Tokens of a rule at most.
 LONGEST = 3
+#: Tokens of a URL up to which it is mined as one transaction; beyond, tokens of a URL for each block.
+WIDE, BLOCK_TOKENS = 12, 3
 BAD = "class=bad"
 
 
@@ -85,6 +87,39 @@ def rule_name(tokens: str | Column) -> Column:
     return F.concat_ws(" & ", tokens)
 
 
+def frequent_sets(urls: DataFrame, items: DataFrame, least: int, longest: int) -> DataFrame:
+    """(items, freq): the sets of at most `longest` tokens, with or without BAD, that at least `least` of urls(row, bad, items) have.
+
+    FP-growth has no bound on a set's length, and k tokens that often go together have
+    2^k frequent sets. So frequent tokens are dealt into blocks in order of their counts,
+    which spreads those that go together, few of a URL's tokens to a block. A URL is a
+    transaction for each choice of up to `longest` of its blocks, with the tokens of those
+    blocks marked by the choice; a set is counted where the choice is exactly the blocks of
+    its tokens, so each counts every URL that has it, once. If no URL has more tokens than
+    WIDE there is one block.
+    """
+    most = urls.agg(F.max(F.size("items"))).first()[0] or 0
+    blocks = 1 if most <= WIDE else -(-most // BLOCK_TOKENS)
+    ordered = stored(items.orderBy(F.desc("n"), "token").withColumn("at", F.monotonically_increasing_id()), "token-order")  # numbers go up by one within a sorted range
+    placed = joined(urls.select("row", F.explode("items").alias("token")), ordered.select("token", F.pmod("at", F.lit(blocks)).cast("int").alias("block")), "token")
+    own = placed.groupBy("row").agg(F.collect_list(F.struct("block", "token")).alias("own"))  # of one url
+    d = urls.select("row", "bad").join(own, "row")
+    singles = F.transform(F.array_sort(F.array_distinct(F.transform("own", lambda x: x["block"]))), lambda b: F.array(b))
+    every = sizes = singles
+    for _ in range(longest - 1):
+        sizes = F.flatten(F.transform(sizes, lambda c: F.transform(F.filter(singles, lambda b: b[0] > F.element_at(c, -1)), lambda b: F.concat(c, b))))
+        every = F.concat(every, sizes)
+    d = d.select("bad", "own", F.explode(every).alias("choice")).withColumn("tag", F.array_join(F.transform("choice", lambda b: b.cast("string")), "-"))
+    marked = lambda block, token: F.concat_ws("|", "tag", block, token)
+    tokens_ = F.transform(F.filter("own", lambda x: F.array_contains(F.col("choice"), x["block"])), lambda x: marked(x["block"].cast("string"), x["token"]))
+    moves = stored(d.select(F.concat(tokens_, F.when(F.col("bad"), F.array(marked(F.lit(""), F.lit(BAD)))).otherwise(F.array().cast("array<string>"))).alias("items")), "url-choices")
+    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / max(moves.count(), least))).fit(moves).freqItemsets.where(F.size("items") <= longest + 1)
+    parts = F.transform("items", lambda x: F.split(x, r"\|", 3))
+    sets = sets.select(F.transform(parts, lambda x: x[2]).alias("items"), "freq", F.size(F.split(parts[0][0], "-")).alias("chosen"), F.array_distinct(F.filter(F.transform(parts, lambda x: x[1]), lambda b: b != "")).alias("used"))
+    within = F.size(F.array_remove("items", BAD)) <= longest
+    return sets.where((F.size("used") == F.col("chosen")) & within).select("items", "freq")
+
+
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT, longest: int = LONGEST) -> DataFrame:
     """(rule_id, tokens, confidence, n, lead) from labelled(host, path, url, bad boolean); lead: the rule's rarest token."""
     urls = stored(labelled.select(F.monotonically_increasing_id().alias("row"), tokens().alias("tokens"), "bad").where(F.size("tokens") > 0), "url-tokens")
@@ -94,10 +129,8 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     counted = seen.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("rows")).where(F.col("n") >= least)
     items = stored(counted.groupBy("n", "rows").agg(F.max(F.struct(F.length("token"), "token"))["token"].alias("token")).select("token", "n"), "url-items")
     held = joined(seen, items.select("token"), "token", "left_semi").groupBy("row").agg(F.collect_list("token").alias("items"))  # of one url
-    held = urls.select("row", "bad").join(held, "row").select(F.concat("items", F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
-    held = stored(held, "url-sets")
-    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / max(held.count(), least))).fit(held).freqItemsets
-    sets = stored(sets.where(F.size("items") <= longest + 1), "itemsets")
+    held = stored(urls.select("row", "bad").join(held, "row").select("row", "bad", "items"), "url-sets")
+    sets = stored(frequent_sets(held, items, least, longest), "itemsets")
     plain = sets.where(~F.array_contains("items", BAD)).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("n"))
     with_bad = sets.where(F.array_contains("items", BAD)).select(F.array_sort(F.array_remove("items", BAD)).alias("tokens"), F.col("freq").alias("n_bad"))
     bound = max(confidence, lift * bad / max(total, 1))

@@ -95,6 +95,33 @@ def test_urls(spark, labels):
     assert len(got) == len(rows) and all(r["verdict"] == "allow" for r in got)
 
 
+def test_urls_of_many_unequal_keys(spark):
+    """400 URLs that each have most of 30 keys: 2^30 frequent sets, of which those of up to three tokens are found, with exact counts."""
+    import itertools
+    import time
+
+    rnd = random.Random(4)
+    rows, counts, bad_counts = [], {}, {}
+    for n in range(400):
+        keys = [f"k{k}" for k in range(30) if rnd.random() < 0.9]
+        bad = "k3" in keys and "k7" not in keys
+        rows.append((f"host{n % 3}.com", "/", f"http://host{n % 3}.com/?" + "&".join(f"{k}=1" for k in keys), bad))
+        for size in (1, 2, 3):
+            for c in itertools.combinations(sorted("query=" + k for k in keys), size):
+                counts[c] = counts.get(c, 0) + 1
+                bad_counts[c] = bad_counts.get(c, 0) + bad
+    began = time.time()
+    urls = spark.createDataFrame(rows, "host string, path string, url string, bad boolean")
+    items = urls.select(F.monotonically_increasing_id().alias("row"), "bad", url_rules.tokens().alias("items"))
+    items = common.stored(items.select("row", "bad", F.filter("items", lambda t: t.startswith("query=")).alias("items")), "items")
+    singles = items.select(F.explode("items").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    found = {tuple(sorted(r["items"])): r["freq"] for r in url_rules.frequent_sets(items, singles, 40, 3).collect()}
+    want = {c: n for c, n in counts.items() if n >= 40} | {tuple(sorted((*c, url_rules.BAD))): n for c, n in bad_counts.items() if n >= 40}
+    assert found == {c: n for c, n in want.items()}
+    assert isinstance(url_rules.mine(urls).collect(), list)
+    assert time.time() - began < 180  # both, on a busy machine
+
+
 def test_scratch_needs_a_shared_folder():
     """Off local masters an unset spark.checkpoint.dir is an error, not a folder of one machine."""
 
