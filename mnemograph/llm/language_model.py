@@ -8,12 +8,14 @@ before it, each weighted per position; its probability is the softmax over
 vocabulary and classes, and within a class that of its words' smoothed counts.
 
 Training goes in synchronised rounds. The texts are dealt into blocks of about
-BLOCK_TOKENS tokens by a hash of the id, whatever the partitions. In a round each
-of its blocks makes gradient steps from the round's common start, with noise from
-the unigram distribution and a seed of its own; the results are averaged, weighted
-by tokens, and are the next round's start. Over a corpus of ROUNDS blocks or more
-each text is used once, over a smaller one several times. All training texts take
-part, so counts, blocks and what is averaged grow with the corpus. Scores are exact
+BLOCK_TOKENS tokens by a hash of the id, whatever the partitions, and the blocks into
+as many rounds as the square root of their number: with the corpus both the rounds
+and the blocks that work side by side in one grow. In a round each of its blocks
+makes gradient steps from the round's common start, with noise from the unigram
+distribution and a seed of its own; the results are averaged, weighted by tokens,
+and are the next round's start. Each text is used PASSES times at every size. All
+training texts take part, so counts, blocks, rounds and what is averaged grow with
+the corpus. Scores are exact
 normalised log-probabilities: normalisers come from matrix products, once per
 context and worker.
 
@@ -31,6 +33,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
+from math import ceil, sqrt
 from pickle import dumps, loads
 from zlib import crc32
 
@@ -51,7 +54,7 @@ CONTEXT = 2
 KNOWN_WORDS, LONG_WORDS = 200_000, 1000
 WORD_BYTES = 64
 #: Tokens of a block on average; rounds.
-BLOCK_TOKENS, ROUNDS = 1_000_000, 4
+BLOCK_TOKENS, PASSES = 250_000, 1
 #: Distinct words a task counts before it passes them on.
 COUNT_WORDS = 300_000
 NOISE, BATCH, RATE = 64, 8192, 0.1
@@ -237,18 +240,19 @@ def trained_block(table: pa.Table, state: np.ndarray, unigram: np.ndarray, seed:
     return seen, np.concatenate([trainer.flat, trainer.power])
 
 
-def train(docs: DataFrame, lex: Lexicon, doc_id: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS, rounds: int = ROUNDS) -> np.ndarray:
-    """Parameters after all rounds."""
+def train(docs: DataFrame, lex: Lexicon, doc_id: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS, passes: int = PASSES) -> np.ndarray:
+    """Parameters after all rounds of all passes."""
     spark, flat = docs.sparkSession, start(lex)
     state = np.concatenate([flat, np.full(len(flat), 1e-6)])
     if not lex.total:
         return flat
     blocks = max(1, round(lex.total / block_tokens))
-    groups = min(rounds, blocks)
-    rows = stored(encoded(docs, lex, blocks, doc_id, text), "lm-tokens")
-    for turn in range(rounds):
+    rounds = ceil(sqrt(blocks))
+    rows = encoded(docs, lex, blocks, doc_id, text).withColumn("turn", F.col("block") % rounds)
+    rows = stored(rows.repartitionByRange("turn", "block"), "lm-tokens")  # a round reads its own files
+    for turn in range(passes * rounds):
         shared = spark.sparkContext.broadcast(dumps((lex.unigram, state)))
-        ended = rows.where(F.col("block") % groups == turn % groups).groupBy("block").applyInArrow(block_step(shared, turn), "part int, tokens double, values array<double>").where("tokens > 0")
+        ended = rows.where(F.col("turn") == turn % rounds).select("block", "place", "ids").groupBy("block").applyInArrow(block_step(shared, turn), "part int, tokens double, values array<double>").where("tokens > 0")
         mean = ended.groupBy("part").agg(vector_to_array(Summarizer.mean(array_to_vector(F.col("values")), F.col("tokens"))).alias("values"))
         got = {r["part"]: np.array(r["values"]) for r in mean.collect()}  # one model
         if got:
