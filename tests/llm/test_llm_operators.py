@@ -338,7 +338,14 @@ def test_language_model_learns(spark):
 
 
 def test_language_model_is_normalised():
-    lex = language_model.Lexicon(100, 12, [(f"w{n}".encode(), 10 - n) for n in range(8)], 10, language_model.FIRST + 4, [])
+    words = [(f"w{n}".encode(), 10 - n) for n in range(8)]
+    tails = collections.defaultdict(lambda: [0, 0])
+    for w, n in [*words, *((f"rare{k}".encode(), 1) for k in range(4))]:
+        tails[language_model.tail(w)][0] += n
+        tails[language_model.tail(w)][1] += 1
+    total = sum(n for n, _ in tails.values())
+    lex = language_model.Lexicon(total + 10, 13, words, 10, language_model.FIRST + 4, [(k, n, m) for k, (n, m) in tails.items()])
+    assert np.isfinite(lex.tail_norm).all()
     rng = np.random.default_rng(0)
     flat = language_model.start(lex) + rng.normal(0, 0.3, len(language_model.start(lex)))
     scorer = language_model.Scorer(language_model.dumps((lex, flat)))
@@ -500,11 +507,58 @@ def test_near_dedup_repetition(spark):
     assert dict(zip(r.doc_id, r.class_id)) == {i: i - i % 2 for i in range(40)}
 
 
-def test_signature_estimates_similarity():
-    a = near_dedup.mixed(np.arange(300, dtype=np.uint64))
-    b = np.concatenate([a[:200], near_dedup.mixed(np.arange(1000, 1100, dtype=np.uint64))])
-    sig = near_dedup.signatures(np.concatenate([a, b]), np.ones(600), np.repeat([0, 1], 300), 2, 2048)
-    assert (sig[0] == sig[1]).mean() == pytest.approx(0.5, abs=0.05)
+def brute_probability_jaccard(x, y):
+    """From the definition, over two counts by element."""
+    every = set(x) | set(y)
+    return sum(1 / sum(max(x.get(j, 0) / x[i], y.get(j, 0) / y[i]) for j in every) for i in set(x) & set(y))
+
+
+def weighted(counts):
+    keys = np.array(sorted(counts), np.uint64)
+    return keys, np.array([counts[int(k)] for k in keys], np.int64)
+
+
+def test_probability_jaccard():
+    """Counts from 1 to 60; equal weights give the Jaccard similarity of the sets; scaling changes nothing."""
+    for n in range(40):
+        keys = RND.sample(range(1, 200), 60)
+        x, y = ({k: RND.randint(1, 60) if n else 1 for k in RND.sample(keys, RND.randint(1, 50))} for _ in range(2))
+        got = near_dedup.probability_jaccard(*weighted(x), *weighted(y))
+        assert got == pytest.approx(brute_probability_jaccard(x, y), abs=1e-9)
+        assert got == pytest.approx(near_dedup.probability_jaccard(*weighted({k: 3 * v for k, v in x.items()}), *weighted(y)), abs=1e-9)
+        if not n:
+            assert got == pytest.approx(len(set(x) & set(y)) / len(set(x) | set(y)))
+
+
+def test_signature_estimates_probability_jaccard():
+    """Slots agree as often as the weighted similarity says, and pairs over the threshold share a band."""
+    for most in (1, 60):
+        found = both = 0
+        for n in range(30):
+            x = {int(k): RND.randint(1, most) for k in near_dedup.mixed(np.arange(n * 1000, n * 1000 + 120, dtype=np.uint64))}
+            y = {k: v for k, v in x.items() if RND.random() < 0.93} | {int(k): RND.randint(1, most) for k in near_dedup.mixed(np.arange(n * 1000 + 500, n * 1000 + 506, dtype=np.uint64))}
+            (a, u), (b, v) = weighted(x), weighted(y)
+            parts, owner = np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)])
+            sig = near_dedup.signatures(parts, np.concatenate([u, v]), owner, 2, 2048)
+            want = brute_probability_jaccard(x, y)
+            assert (sig[0] == sig[1]).mean() == pytest.approx(want, abs=0.06)
+            if want >= 0.8:
+                both += 1
+                h = near_dedup.band_hashes(near_dedup.signatures(parts, np.concatenate([u, v]), owner, 2, 96), 24, 4)
+                found += bool((h[0] == h[1]).any())
+        assert both >= 5 and found >= 0.9 * both
+
+
+def test_near_dedup_by_weights(spark):
+    """A long refrain in both texts beside other verses: unlike sets, but most of the mass is the same."""
+    texts = []
+    for n in range(8):
+        refrain = [f"r{n}x{k}" for k in range(30)]
+        for side in "ab":
+            texts.append(" ".join(refrain * 40 + [f"{side}{n}x{k}" for k in range(25)]))
+    assert brute_classes(texts) == list(range(16))
+    r = near_dedup.report(frame(spark, texts)).toPandas()
+    assert dict(zip(r.doc_id, r.class_id)) == {i: i - i % 2 for i in range(16)}
 
 
 # 10

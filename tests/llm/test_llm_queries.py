@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from mnemograph.llm import queries
@@ -23,7 +24,7 @@ def duck():
 def rows(df):
     key = "lang" if "part" in df.columns else df.columns[0] if "doc_id" not in df.columns else "doc_id"
     df = df[sorted(df.columns)].sort_values([key, *(c for c in ("source", "part", "rank") if "part" in df.columns)])
-    return [tuple(None if v != v or v is None else round(v, 3) if isinstance(v, float) else v for v in r) for r in df.astype(object).itertuples(index=False, name=None)]
+    return [tuple(None if pd.isna(v) else round(v, 3) if isinstance(v, float) else v for v in r) for r in df.astype(object).itertuples(index=False, name=None)]
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
