@@ -65,6 +65,11 @@ def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+def entities_normalised(names: Column) -> Column:
+    """Names trimmed and squeezed; empty ones go, and of equal ones the first stays."""
+    return F.array_distinct(F.filter(F.transform(names, squeezed), lambda n: n != ""))
+
+
 def valid_answer(text: Column) -> Column:
     bad = F.lit(False)
     for word in ERROR_WORDS:
@@ -79,7 +84,7 @@ def chapter_title(text: Column) -> Column:
 
 def cleaned(text: Column) -> Column:
     """Without leading chapter lines; null for titles and texts under 10 characters."""
-    t = F.trim(text)
+    t = F.regexp_replace(text, r"^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$", "")
     lines = F.split(t, "\n")
     first = F.array_position(F.transform(lines, lambda x: (~x.rlike(CHAPTER)).cast("int")), 1)
     kept = F.trim(F.array_join(F.when(first > 0, F.slice(lines, first.cast("int"), F.size(lines))).otherwise(F.array().cast("array<string>")), "\n"))

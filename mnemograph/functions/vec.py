@@ -112,7 +112,12 @@ def similar(u: Column, v: Column, metric: str, bound: float) -> Column:
     """Cosine of at least `bound`, or hyperbolic distance of at most it; vectors of norm 1 or more are cut to 0.99."""
     if metric == "cosine":
         return cosine(u, v) >= bound
-    s, t = (F.when(norm(x) >= 1, 0.99 / norm(x)).otherwise(1.0) for x in (u, v))
-    uu, vv = s * s * sq_norm(u), t * t * sq_norm(v)
-    distance = F.acosh(1 + 2 * (uu + vv - 2 * s * t * dot(u, v)) / ((1 - uu) * (1 - vv)))
+    return hyperbolic_near(sq_norm(u), sq_norm(v), dot(u, v), bound)
+
+
+def hyperbolic_near(uu: Column, vv: Column, uv: Column, bound: float) -> Column:
+    """Hyperbolic distance of at most `bound`, from squared norms and inner product; vectors of norm 1 or more are cut to 0.99."""
+    s, t = (F.when(n >= 1, 0.99 / F.sqrt(n)).otherwise(1.0) for n in (uu, vv))
+    a, b = s * s * uu, t * t * vv
+    distance = F.acosh(1 + 2 * (a + b - 2 * s * t * uv) / ((1 - a) * (1 - b)))
     return 1 / (1 + distance) >= 1 / (1 + bound)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mnemograph.functions import decay, text, vec
+from mnemograph.sources import stores
 
 Model = Callable[[list[str]], Sequence]
 
@@ -89,3 +90,16 @@ def particles(texts: DataFrame, descriptions: DataFrame | None = None, model: Mo
 def missing(asked: DataFrame, cache: DataFrame, key: str = "key") -> tuple[DataFrame, DataFrame]:
     """asked split by a cache of earlier results: rows with their result, and distinct keys that are yet to be worked out."""
     return asked.join(cache, key), asked.join(cache.select(key), key, "left_anti").dropDuplicates([key])
+
+
+def completed(asked: DataFrame, cache: DataFrame, model: Callable[[DataFrame], DataFrame], key: str = "key") -> tuple[DataFrame, DataFrame]:
+    """(rows, new): asked(key, ...) with its result, and the results that the cache hadn't yet.
+
+    model gives the result columns to a frame of distinct keys. It is asked for each
+    missing key once: what it gives is written to the shared folder in one job, committed
+    as a whole, and only read from there, so that neither a repeated task nor the two
+    uses here call it again. cache.union(new) is the next cache.
+    """
+    found, todo = missing(asked, cache, key)
+    new = stores.kept(model(todo).select(cache.columns), "enriched")
+    return found.unionByName(asked.join(new, key)), new

@@ -157,17 +157,25 @@ def best_settings(runs: DataFrame, gold: DataFrame, k: int = 10, metrics: tuple[
     return best.select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m)["setting"].alias("setting"), F.col(m)[m].alias("value")) for m in metrics))).alias("x")).select("x.*")
 
 
-def set_similarity(vectors: DataFrame) -> DataFrame:
+def set_similarity(vectors: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """(q, sim) of vectors(q, side 0 or 1, vec): mean cosine over all pairs of a query's two sets.
 
-    It equals the dot product of the sets' mean unit vectors: no pair is formed.
+    It equals the dot product of the sets' mean unit vectors: no pair is formed. Where a
+    set is empty it is the cosine of the mean vectors of both sides' tokens(q, side, vec),
+    if there are any.
     """
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
-    means = vectors.groupBy("q", "side").agg(vector_to_array(Summarizer.mean(array_to_vector(vec.unit(F.col("vec"))))).alias("m"))
-    a, b = means.where("side = 0").select("q", F.col("m").alias("a")), means.where("side = 1").select("q", F.col("m").alias("b"))
-    return a.join(b, "q").select("q", vec.dot(F.col("a"), F.col("b")).alias("sim"))
+    def sides(rows: DataFrame, value: Column, how: str) -> DataFrame:
+        means = rows.groupBy("q", "side").agg(vector_to_array(Summarizer.mean(array_to_vector(value))).alias("m"))
+        return means.where("side = 0").select("q", F.col("m").alias("a")).join(means.where("side = 1").select("q", F.col("m").alias("b")), "q", how)
+
+    found = sides(vectors, vec.unit(F.col("vec")), "inner").select("q", vec.dot(F.col("a"), F.col("b")).alias("sim"))
+    if tokens is None:
+        return found
+    whole = sides(tokens, F.col("vec").cast("array<double>"), "inner").select("q", vec.cosine(F.col("a"), F.col("b")).alias("rough"))
+    return found.join(whole, "q", "full").select("q", F.coalesce("sim", "rough").alias("sim"))
 
 
 def experiment_table(queries: DataFrame, arms: dict[str, DataFrame], gold: DataFrame, k: int = 3) -> DataFrame:

@@ -1,16 +1,18 @@
-"""The entity and passage graph, and personalised PageRank over it."""
+"""The entity and passage graph; walks over it are in `walk`."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemograph.functions import text
 from mnemograph.operators import knn, ranking
+from mnemograph.operators.walk import DAMPING, STEPS, pagerank, push, ready, spread  # noqa: F401
 from mnemograph.sources import stores
 
-#: Fixed defaults: damping, weight of passages, iterations (the error is at most 2 * damping^n).
-DAMPING, PASSAGE_WEIGHT, STEPS = 0.5, 0.05, 20
+#: Weight of passages in the reset vector; a fixed default.
+PASSAGE_WEIGHT = 0.05
 #: Neighbours of an entity by name; fixed defaults.
 SYNONYM_LEAST, SYNONYM_MOST = 0.8, 101
 
@@ -21,19 +23,28 @@ def valid_triples(raw: DataFrame) -> DataFrame:
     return raw.select("chunk_id", F.explode(F.array_distinct(three)).alias("triple"))
 
 
+def triple_chunks(triples: DataFrame) -> DataFrame:
+    """(s, p, o, chunk_id): the set of chunks of each fact as rows, none gathered."""
+    return triples.select("s", "p", "o", "chunk_id").distinct()
+
+
 def triple_index(triples: DataFrame) -> DataFrame:
     """(s, p, o, chunks, first_chunk): in how many chunks a fact is, and the least of them."""
     return triples.select("chunk_id", "s", "p", "o").distinct().groupBy("s", "p", "o").agg(F.count("*").alias("chunks"), F.min("chunk_id").alias("first_chunk"))
 
 
-def statistics(triples: DataFrame) -> DataFrame:
-    """One row: entities, passages, facts, passage_edges."""
+def statistics(triples: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
+    """One row: entities, passages, nodes, facts, passage_edges, synonym_edges, edges (all ordered pairs of the graph)."""
     t = stores.kept(triples.select("chunk_id", "s", "p", "o"), "triples")
-    m = mentions(t)
+    m = stores.kept(mentions(t), "mentions")
     facts = t.select("s", "p", "o").distinct().agg(F.count("*").alias("facts"))
     a = m.groupBy("entity").count().agg(F.count("*").alias("entities"), F.coalesce(F.sum("count"), F.lit(0)).alias("passage_edges"))
     b = t.select("chunk_id").distinct().agg(F.count("*").alias("passages"))
-    return a.join(b, F.lit(True)).join(facts, F.lit(True)).select("entities", "passages", "facts", "passage_edges")  # one row each
+    edges = weighted(t, m)
+    whole = (edges if synonyms is None else with_synonyms(edges, synonyms)).agg(F.count("*").alias("edges"))
+    c = synonyms.agg(F.count("*").alias("synonym_edges")) if synonyms is not None else facts.select(F.lit(0).cast("long").alias("synonym_edges"))
+    d = a.join(b, F.lit(True)).join(facts, F.lit(True)).join(c, F.lit(True)).join(whole, F.lit(True))  # one row each
+    return d.select("entities", "passages", (F.col("entities") + F.col("passages")).alias("nodes"), "facts", "passage_edges", "synonym_edges", "edges")
 
 
 def fact_edges(triples: DataFrame) -> DataFrame:
@@ -51,18 +62,23 @@ def passage_edges(triples: DataFrame) -> DataFrame:
     return mentions(triples).select(F.col("chunk_id").alias("src"), F.col("entity").alias("dst"), F.lit(1.0).alias("w"))
 
 
-def synonym_edges(entities: DataFrame, least: float = SYNONYM_LEAST, most: int = SYNONYM_MOST) -> DataFrame:
-    """(src, dst, w): per eligible entity its nearest others by cosine. entities(id, name, vec)."""
+def neighbours(entities: DataFrame, others: DataFrame, least: float) -> DataFrame:
+    """(src, dst, w): cosines of `least` and more between eligible entities(id, name, vec) and others with a name."""
     able = entities.where((F.length(F.regexp_replace("name", "[^A-Za-z0-9]", "")) > 2))
-    named = entities.where(F.length("name") > 0).select("id", "vec")
+    named = others.where(F.length("name") > 0).select("id", "vec")
     found = knn.search(able.select(F.col("id").alias("qid"), F.col("vec").alias("qvec")), named, least=least)
-    return ranking.top_k(found, most).select(F.col("qid").alias("src"), F.col("id").alias("dst"), F.col("score").alias("w"))
+    return found.select(F.col("qid").alias("src"), F.col("id").alias("dst"), F.col("score").alias("w"))
+
+
+def synonym_edges(entities: DataFrame, least: float = SYNONYM_LEAST, most: int = SYNONYM_MOST) -> DataFrame:
+    """(src, dst, w): per eligible entity its nearest others by cosine. entities(id, name, vec), ids of any type."""
+    return ranking.top_k(neighbours(entities, entities, least), most, "w", "dst", "src").select("src", "dst", "w")
 
 
 def with_synonyms(edges: DataFrame, synonyms: DataFrame) -> DataFrame:
-    """A synonym's weight replaces a fact's on the same ordered pair."""
-    s = synonyms.withColumnRenamed("w", "syn")
-    return edges.join(s, ["src", "dst"], "full").select("src", "dst", F.coalesce("syn", "w").alias("w"))
+    """(src, dst, w, kind): a synonym's weight replaces a fact's on the same ordered pair. edges(src, dst, w, kind)."""
+    s = synonyms.select("src", "dst", F.col("w").alias("syn"))
+    return edges.join(s, ["src", "dst"], "full").select("src", "dst", F.coalesce("syn", "w").alias("w"), F.coalesce("kind", F.lit("entity")).alias("kind"))
 
 
 def valid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -71,101 +87,74 @@ def valid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return e.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", "w")
 
 
-def build(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """nodes(id, kind) and undirected edges(src, dst, w, kind) of fact and passage edges; an edge's kind is its source's.
+def weighted(triples: DataFrame, mentions_: DataFrame) -> DataFrame:
+    """(src, dst, kind, w) of facts and mentions, without loops: both ends of each are mentions, so nothing else can be invalid."""
+    facts = triples.select(F.explode(F.array(F.struct(F.col("s").alias("src"), F.col("o").alias("dst")), F.struct(F.col("o").alias("src"), F.col("s").alias("dst")))).alias("e")).select("e.src", "e.dst", F.lit("entity").alias("kind"))
+    return facts.union(mentions_.select("chunk_id", "entity", F.lit("passage"))).where("src <> dst").groupBy("src", "dst", "kind").agg(F.count("*").cast("double").alias("w"))
+
+
+def build(triples: DataFrame, synonyms: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """nodes(id, kind) and undirected edges(src, dst, w, kind) of facts, passages and synonyms; an edge's kind is its source's.
 
     A fact pair is stored in both directions and both become edges, so its weight
-    counts twice against a passage edge's. Triples are computed once and stored.
+    counts twice against a passage edge's; a synonym's weight replaces it. Triples are
+    computed once and stored.
     """
     t = stores.kept(triples.select("chunk_id", "s", "o"), "triples")
     m = stores.kept(mentions(t), "mentions")
     entities = m.select(F.col("entity").alias("id")).distinct().withColumn("kind", F.lit("entity"))
     nodes = entities.union(m.select("chunk_id").distinct().withColumn("kind", F.lit("passage")))
-    # both ends of each edge are mentions, so only loops can be invalid
-    facts = t.select(F.explode(F.array(F.struct(F.col("s").alias("src"), F.col("o").alias("dst")), F.struct(F.col("o").alias("src"), F.col("s").alias("dst")))).alias("e")).select("e.src", "e.dst", F.lit("entity").alias("kind"))
-    edges = facts.union(m.select("chunk_id", "entity", F.lit("passage"))).where("src <> dst").groupBy("src", "dst", "kind").agg(F.count("*").cast("double").alias("w"))
-    return nodes, edges.select("src", "dst", "w", "kind")
+    edges = weighted(t, m)
+    return nodes, (edges if synonyms is None else with_synonyms(edges, synonyms)).select("src", "dst", "w", "kind")
 
 
-#: Queries whose scores are columns of one row; edges of a hub that stay together.
-SLOTS, HUB_EDGES = 16, 100_000
-#: Rows of hubs up to which they are broadcast.
-HUB_ROWS = 200_000
+class Graph(NamedTuple):
+    """An indexed corpus that grows by batches; all tables stored, old parts never written again."""
 
+    triples: DataFrame  # (chunk_id, s, p, o)
+    entities: DataFrame  # (id, name, vec): those with a vector
+    synonyms: DataFrame  # (src, dst, w)
+    parts: DataFrame  # (src, dst, kind, w) of facts and passages, to be added up over the batches
 
-def numbered(rows: DataFrame, name: str) -> DataFrame:
-    """Distinct values of a column with a number each (not without gaps), stored."""
-    return stores.kept(rows.select(name).distinct().withColumn("n", F.monotonically_increasing_id()), "numbers")
+    def mentions(self) -> DataFrame:
+        return mentions(self.triples)
 
+    def nodes(self) -> DataFrame:
+        m = self.mentions()
+        return m.select(F.col("entity").alias("id"), F.lit("entity").alias("kind")).union(m.select("chunk_id", F.lit("passage"))).distinct()
 
-def query_slots(reset: DataFrame, slots: int) -> tuple[DataFrame, int]:
-    """(qid, block, slot), stored: at most `slots` queries share a block; and the number of slots in use."""
-    ids = stores.kept(reset.select("qid").distinct(), "queries")
-    n = ids.count()
-    width = min(slots, max(n, 1))
-    from pyspark.sql import Window
+    def edges(self) -> DataFrame:
+        """(src, dst, w, kind)."""
+        return with_synonyms(self.parts.groupBy("src", "dst", "kind").agg(F.sum("w").alias("w")), self.synonyms)
 
-    dealt = ids.withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(max(1, n // 1024))))  # about a thousand queries each
-    at = F.row_number().over(Window.partitionBy("part").orderBy("qid")) - 1
-    d = dealt.withColumn("at", at).select("qid", F.struct("part", F.floor(F.col("at") / width).alias("k")).alias("b"), (F.col("at") % width).alias("slot"))
-    return stores.kept(d.select("qid", F.xxhash64("b.part", "b.k").alias("block"), "slot"), "slots"), width
 
+def extend(old: Graph | None, triples: DataFrame, vectors: DataFrame, least: float = SYNONYM_LEAST, most: int = SYNONYM_MOST) -> Graph:
+    """The graph with a batch of triples(chunk_id, s, p, o) and of vectors(name, vec) of entities.
 
-def pagerank(edges: DataFrame, reset: DataFrame, damping: float = DAMPING, steps: int = STEPS, keep_every: int = 5, hub_edges: int = HUB_EDGES) -> DataFrame:
-    """(qid, node, score) for reset(qid, node, w): a fixed number of power steps for all queries at once.
-
-    Edges are symmetrised and row-normalised; negative and NaN weights count 0; mass
-    at nodes without edges returns to the reset vector. Nodes are numbered, and up to
-    SLOTS queries are columns of one row, so that a step is one join with the edges and
-    one sum for all of them. The edges of a hub are split by a salt, which its state
-    rows repeat. State is written to the shared folder every few steps, which cuts
-    lineage and outlives executors.
+    Chunks that the graph has are left out. Only the batch's new entities are searched:
+    they look for synonyms among all, and the others among them alone; of an old entity
+    whose neighbours change, the best `most` are cut again. Batch after batch gives what
+    one batch of all gives.
     """
-    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = stores.kept(edges.select("src", "dst", "w"), "graph")
-    clean = stores.kept(reset.where("w > 0 AND NOT isnan(w)").groupBy("qid", "node").agg(F.sum("w").alias("w")), "reset")
-    ends = edges.select(F.explode(F.array("src", "dst")).alias("node")).union(clean.select("node"))
-    names = numbered(ends, "node")
-    at = lambda end: names.select(F.col("node").alias(end), F.col("n").alias(end + "_n"))
-    e = edges.select("src", "dst", "w").join(at("src"), "src").join(at("dst"), "dst").select("src_n", "dst_n", "w")
-    both = e.union(e.select("dst_n", "src_n", "w")).groupBy("src_n", "dst_n").agg(F.sum("w").alias("w"))
-    both = stores.kept(both.select(ranking.fresh("src_n"), ranking.fresh("dst_n"), "w"), "edges")
-    out = stores.kept(both.groupBy("src_n").agg(F.sum("w").alias("out"), F.ceil(F.count("*") / hub_edges).alias("salts")), "degrees")
-    hubs = out.where("salts > 1").select(F.col("src_n").alias("node"), "salts")
-    few = hubs.limit(HUB_ROWS + 1).count() <= HUB_ROWS
-    walk = both.join(out, "src_n").select("src_n", F.pmod(F.xxhash64("dst_n"), F.col("salts")).alias("edge_salt"), "dst_n", (F.col("w") / F.col("out")).alias("p"))
-    walk = walk.repartition(parts, "src_n", "edge_salt").sortWithinPartitions("src_n", "edge_salt").persist()  # dealt and sorted once for all steps; a lost part is made again from the stored tables
-
-    slots, width = query_slots(clean, SLOTS)
-    r = clean.join(at("node"), "node").select("qid", F.col("node_n").alias("node"), "w").join(out.select(F.col("src_n").alias("node"), F.lit(True).alias("linked")), "node", "left")
-    whole = r.groupBy("qid").agg(F.sum("w").alias("t"), F.coalesce(F.sum(F.when(F.col("linked").isNull(), F.col("w"))), F.lit(0.0)).alias("lonely")).join(slots, "qid")
-    r = r.join(whole, "qid").select("block", "node", "slot", (F.col("w") / F.col("t")).alias("r"), (F.col("lonely") / F.col("t")).alias("l"))
-    own = lambda c, i: F.sum(F.when(F.col("slot") == i, F.col(c)))
-    r = stores.kept(r.groupBy("block", "node").agg(*(F.coalesce(own(c, i), F.lit(0.0)).alias(f"{c}{i}") for i in range(width) for c in ("r", "l"))), "reset")
-
-    def home(step: int, i: int) -> Column:
-        """The reset's share after a step. A query with the share l at nodes without edges has the mass
-        m(t+1) = l * (1 - d + d * m(t)) there from m(0) = l on."""
-        l, q = F.col(f"l{i}"), damping * F.col(f"l{i}")
-        lost = F.when(q < 1, (1 - damping) * l * (1 - F.pow(q, F.lit(step - 1))) / (1 - q) + F.pow(q, F.lit(step - 1)) * l).otherwise(F.lit(1.0))
-        return F.col(f"r{i}") * ((1 - damping) + damping * lost)
-
-    def salted(x: DataFrame) -> DataFrame:
-        d = x.join(F.broadcast(hubs) if few else hubs, "node", "left")
-        return d.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1).cast("long")) - 1)))
-
-    x = r.select("block", "node", *(F.col(f"r{i}").alias(f"x{i}") for i in range(width)))
-    for step in range(1, steps + 1):
-        flow = salted(x).join(walk, (F.col("node") == F.col("src_n")) & (F.col("salt") == F.col("edge_salt")))
-        flow = flow.select(ranking.fresh("block"), (F.col("dst_n") + 0).alias("node"), *((damping * F.col(f"x{i}") * F.col("p")).alias(f"x{i}") for i in range(width)))
-        back = r.select(ranking.fresh("block"), ranking.fresh("node"), *(home(step, i).alias(f"x{i}") for i in range(width)))
-        x = flow.union(back).groupBy("block", "node").agg(*(F.sum(f"x{i}").alias(f"x{i}") for i in range(width)))
-        if step % keep_every == 0 or step == steps:
-            x = stores.kept(x, "rank")
-    walk.unpersist()
-    each = F.explode(F.array(*(F.struct(F.lit(i).alias("slot"), F.col(f"x{i}").alias("score")) for i in range(width)))).alias("s")
-    d = x.select("block", F.col("node").alias("n"), each).select("block", "n", "s.*").where("score > 0")
-    return d.join(slots, ["block", "slot"]).join(names, "n").select("qid", "node", "score")
+    fresh = triples.select("chunk_id", "s", "p", "o")
+    if old is not None:
+        fresh = fresh.join(old.triples.select("chunk_id").distinct(), "chunk_id", "left_anti")
+    fresh = stores.kept(fresh, "triples")
+    m = mentions(fresh)
+    named = m.select(F.col("entity").alias("name")).distinct().join(vectors.select("name", "vec").dropDuplicates(["name"]), "name").select(F.col("name").alias("id"), "name", "vec")
+    if old is not None:
+        named = named.join(old.entities.select("id"), "id", "left_anti")
+    named = stores.kept(named, "entities")
+    parts = stores.kept(weighted(fresh, m), "edges")
+    if old is None:
+        return Graph(fresh, named, stores.kept(synonym_edges(named, least, most), "synonyms"), parts)
+    every = old.entities.union(named)
+    found = neighbours(named, every, least).union(neighbours(old.entities, named, least))
+    found = stores.kept(found.select("src", "dst", "w"), "new-synonyms")
+    touched = found.select("src").distinct()
+    again = old.synonyms.join(touched, "src", "left_semi").union(found)
+    cut = stores.kept(ranking.top_k(again, most, "w", "dst", "src").select("src", "dst", "w"), "synonyms")
+    return Graph(old.triples.union(fresh), every, stores.kept(old.synonyms.join(touched, "src", "left_anti").union(cut), "synonyms"), old.parts.union(parts))
 
 
 def phrase_scores(facts: DataFrame, mentions_: DataFrame) -> DataFrame:
@@ -216,7 +205,3 @@ def delete(triples: DataFrame, edges: DataFrame, deleted: DataFrame) -> dict[str
     entities, chunks = m.select("entity").distinct(), left.select("chunk_id").distinct()
     nodes = stores.kept(entities.select(F.col("entity").alias("id"), F.lit("entity").alias("kind")).union(chunks.select("chunk_id", F.lit("passage"))), "nodes-left")
     return {"triples": left, "facts": left.select("s", "p", "o").distinct(), "entities": entities, "nodes": nodes, "edges": valid_edges(edges, nodes)}
-
-
-def entity_ids(names: DataFrame, name: str = "name") -> DataFrame:
-    return names.withColumn("entity_id", text.hash_id(text.normalised(F.col(name)), "entity-"))

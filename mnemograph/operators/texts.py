@@ -113,9 +113,22 @@ def tokens(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, token_no int, tok_start int, tok_end int")
 
 
-def overlaps(tokens: DataFrame, spans: DataFrame) -> DataFrame:
-    """Tokens joined to the spans of their text that they overlap. tokens(doc_id, token_no, tok_start, tok_end)."""
-    return tokens.join(spans, "doc_id").where((F.col("tok_start") < F.col("char_end")) & (F.col("tok_end") > F.col("char_start")))
+#: Characters of a bin of places; a token or span is in each bin that it touches.
+BIN = 64
+
+
+def overlaps(tokens: DataFrame, spans: DataFrame, width: int = BIN) -> DataFrame:
+    """Tokens joined to the spans of their text that they overlap. tokens(doc_id, token_no, tok_start, tok_end).
+
+    By (text, bin of places), so that what meets is near: linear in tokens, spans and
+    matches, however long a text. A pair that shares several bins counts in the first.
+    """
+    bins = lambda start, end: F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))
+    t = tokens.where("tok_end > tok_start").withColumn("bin_", F.explode(bins("tok_start", "tok_end")))
+    s = spans.where("char_end > char_start").withColumn("bin_", F.explode(bins("char_start", "char_end")))
+    first = F.floor(F.greatest("tok_start", "char_start") / width)
+    met = (F.col("tok_start") < F.col("char_end")) & (F.col("tok_end") > F.col("char_start")) & (F.col("bin_") == first)
+    return t.join(s, ["doc_id", "bin_"]).where(met).drop("bin_")
 
 
 def mean_pooled(vectors: DataFrame, keys: list[str]) -> DataFrame:
@@ -128,32 +141,89 @@ def mean_pooled(vectors: DataFrame, keys: list[str]) -> DataFrame:
 
 #: Characters of a fingerprint, and the share of the longer text by which lengths may differ.
 GRAM, LENGTH_GAP = 8, 0.1
+#: Texts that have a fingerprint up to which it is expanded; texts with none rarer are found by whole hashes.
+HOT = 50
 
 
-def fuzzy_match(left: DataFrame, right: DataFrame) -> DataFrame:
+def fuzzy_match(left: DataFrame, right: DataFrame, hot: int = HOT) -> DataFrame:
     """(lid, rid): equal after white space is squeezed; else one text contains the other and lengths differ by less than a tenth. The least right id. left(lid, text), right(rid, text).
 
     Texts that contain one another are found by winnowed fingerprints: the least hash of
     each window of character n-grams. All windows of the contained text are windows of the
-    other, so the pair shares a fingerprint; window and n-gram depend on the length's power
-    of two, and a text whose shorter partner may be of the power below has both.
+    other, so any one of its fingerprints finds it: each text asks by the one that the
+    fewest texts of the other side have. A text whose fingerprints are all in more than
+    `hot` texts asks by a hash of the whole instead, among the parts of the others that
+    have its length.
     """
     a = left.where("text IS NOT NULL").select("lid", tx.squeezed(F.col("text")).alias("t"))
     b = right.where("text IS NOT NULL").select("rid", tx.squeezed(F.col("text")).alias("t")).groupBy("t").agg(F.min("rid").alias("rid"))
     equal = a.join(b, "t").select("lid", "rid")
     rest = a.join(b, "t", "left_anti")
-    x = fingerprints(rest.select("t").distinct(), "t").withColumnRenamed("t", "x")
-    y = fingerprints(b.select("t"), "t").withColumnRenamed("t", "y")
-    m, n = F.length("x"), F.length("y")
-    pairs = x.join(y, ["level", "mark"]).where((F.abs(m - n) < LENGTH_GAP * F.greatest(m, n)) & (F.contains("x", F.col("y")) | F.contains("y", F.col("x"))))
-    best = pairs.select("x", "y").distinct().join(b.withColumnRenamed("t", "y"), "y").groupBy("x").agg(F.min("rid").alias("rid"))
-    return equal.union(rest.join(best.withColumnRenamed("x", "t"), "t").select("lid", "rid"))
+    x = stores.kept(numbered_texts(rest.select("t").distinct()), "left-texts")
+    y = stores.kept(numbered_texts(b.select("t")), "right-texts")
+    pairs = contained(x, y, hot).union(contained(y, x, hot).select(F.col("large").alias("small"), F.col("small").alias("large")))
+    best = pairs.distinct().join(y.select(F.col("n").alias("large"), "t"), "large").join(b, "t").groupBy("small").agg(F.min("rid").alias("rid"))
+    found = best.join(x.select(F.col("n").alias("small"), "t"), "small")
+    return equal.union(rest.join(found, "t").select("lid", "rid"))
+
+
+def numbered_texts(texts: DataFrame) -> DataFrame:
+    """(n, t) of texts with more than one character."""
+    return texts.where(F.length("t") > 1).select(F.monotonically_increasing_id().alias("n"), "t")
+
+
+def contained(small: DataFrame, large: DataFrame, hot: int) -> DataFrame:
+    """(small, large): numbers of texts(n, t) where the first is in the second and not under nine tenths of its length."""
+    marks = stores.kept(fingerprints(large, every=True), "marks")
+    known = marks.groupBy("level", "mark").agg(F.count("*").alias("texts"))
+    own = fingerprints(small, every=False).join(known, ["level", "mark"])
+    rarest = stores.kept(own.groupBy("n").agg(F.min(F.struct("texts", "level", "mark")).alias("r")).select("n", "r.texts", "r.level", "r.mark"), "rarest")
+    few = rarest.where(F.col("texts") <= hot).select(F.col("n").alias("small"), "level", "mark").join(marks.select(F.col("n").alias("large"), "level", "mark"), ["level", "mark"]).select("small", "large")
+    asked = stores.kept(whole_hashes(small.join(rarest.where(F.col("texts") > hot).select("n"), "n", "left_semi")), "hot-texts")
+    lengths = asked.agg(F.sort_array(F.collect_set("size")).alias("sizes"))  # one row, a length each: no longer than the longest text
+    length = F.length("t")
+    fit = F.filter("sizes", lambda k: (k <= length) & (length - k < LENGTH_GAP * length))
+    sizes = large.join(F.broadcast(lengths), F.lit(True)).select("n", "t", F.explode(fit).alias("size"))
+    many = asked.select(F.col("n").alias("small"), "size", "mark").join(part_hashes(sizes), ["size", "mark"]).select("small", F.col("n").alias("large"))
+    both = few.union(many).distinct().join(small.select(F.col("n").alias("small"), F.col("t").alias("x")), "small").join(large.select(F.col("n").alias("large"), F.col("t").alias("y")), "large")
+    return both.where(F.contains("y", F.col("x")) & (F.length("y") - F.length("x") < LENGTH_GAP * F.length("y"))).select("small", "large")
+
+
+#: Base of the polynomial hash of a whole text, modulo 2^64; pairs it finds are compared.
+BASE = 0x9E3779B97F4A7C15 | 1
+
+
+def whole_hashes(texts: DataFrame) -> DataFrame:
+    """(n, size, mark) of whole texts."""
+    return part_hashes(texts.select("n", "t", F.length("t").alias("size")))
+
+
+def part_hashes(texts: DataFrame) -> DataFrame:
+    """(n, size, mark) of each part of texts(n, t, size) that has the size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, t, size in zip(*(batch.column(c).to_pylist() for c in ("n", "t", "size"))):
+                h = np.unique(scaled(t, size)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([n] * len(h), pa.int64()), pa.array([size] * len(h), pa.int32()), pa.array(h)], ["n", "size", "mark"])
+
+    return texts.mapInArrow(run, "n long, size int, mark long")
+
 
+def scaled(text: str, size: int) -> np.ndarray:
+    """Hashes of all parts of a length: h(c1..ck) = sum of c_i * BASE^(k - i), modulo 2^64."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    inverse = pow(BASE, -1, 1 << 64)
+    down = np.cumprod(np.full(len(codes), inverse, np.uint64))
+    up = np.cumprod(np.full(len(codes), BASE, np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * down)])
+    return (sums[size:] - sums[: len(codes) - size + 1]) * up[size - 1 :]
 
-def winnowed(text: str) -> list[tuple[int, int]]:
-    """(level, fingerprint) of a text."""
+
+def winnowed(text: str, every: bool) -> list[tuple[int, int]]:
+    """(level, fingerprint) of a text: by its own length's power of two, or also as a text that contains one of the power below."""
     top = len(text).bit_length() - 1
-    levels = [k for k in (top, top - 1) if k >= 1 and len(text) * (1 - LENGTH_GAP) < 2 ** (k + 1)]
+    levels = [k for k in (top, top - 1) if k >= 1 and len(text) * (1 - LENGTH_GAP) < 2 ** (k + 1)] if every else [top]
     codes, out = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64), []
     for level in levels:
         gram, width = min(GRAM, 1 << (level - 1)), 1 << (level - 1)
@@ -167,19 +237,36 @@ def winnowed(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def fingerprints(texts: DataFrame, column: str) -> DataFrame:
-    """(text, level, mark) of each text of two characters and more."""
+def fingerprints(texts: DataFrame, every: bool) -> DataFrame:
+    """(n, level, mark) of texts(n, t) of two characters and more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(t, *f) for t in batch.column(column).to_pylist() if t for f in winnowed(t)]
+            rows = [(n, *f) for n, t in zip(batch.column("n").to_pylist(), batch.column("t").to_pylist()) for f in winnowed(t, every)]
             cols = list(zip(*rows)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64())], [column, "level", "mark"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64())], ["n", "level", "mark"])
+
+    return texts.select("n", "t").mapInArrow(run, "n long, level int, mark long")
+
+
+#: Characters of merged text in a row: what is longer goes on in further rows.
+MERGED_CHARS = 1 << 28
 
-    return texts.select(column).mapInArrow(run, f"{column} string, level int, mark long")
 
+def merged_by_first_line(passages: DataFrame, prefix: str = "Wikipedia Title: ", most: int = MERGED_CHARS) -> DataFrame:
+    """(first_line, piece, merged) of passages(place, text): those with one first line are one text, their parts in order of place.
 
-def merged_by_first_line(passages: DataFrame, prefix: str = "Wikipedia Title: ") -> DataFrame:
+    A text of more than about `most` characters, as a first line that very many passages
+    share may give, goes on in further pieces; piece 0 is all of any other.
+    """
+    d = first_line_parts(passages, prefix)
+    before = F.sum(F.length("part")).over(Window.partitionBy("first_line").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    d = d.withColumn("piece", F.floor(F.coalesce(before, F.lit(0)) / most))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("place", "part"))), lambda x: x["part"])
+    return d.groupBy("first_line", "piece").agg(F.array_join(parts, "").alias("merged"))
+
+
+def first_line_parts(passages: DataFrame, prefix: str = "Wikipedia Title: ") -> DataFrame:
     """(first_line, place, part) of passages(place, text): those with one first line are one text, whose parts follow by place.
 
     The first is whole, after the prefix; of the others there is what follows the first
@@ -278,13 +365,25 @@ def gold_by_title(nested: DataFrame) -> tuple[DataFrame, DataFrame]:
     return c.groupBy("title").agg(F.min("text").alias("text")), f.join(c.select("question", "title"), ["question", "title"], "left_semi")
 
 
-def span_labels(docs: DataFrame, most: int = 10, context: int = 100) -> DataFrame:
-    """(doc_id, targets) of the cleaned texts: their first spans, each with the key of its label, a hash of span and context."""
+def keyed_spans(docs: DataFrame, most: int = 10, context: int = 100) -> DataFrame:
+    """(doc_id, text, span_text, char_start, char_end, label_key) of the cleaned texts: their first spans, each with the key of its label, a hash of span and context."""
     d = docs.select("doc_id", tx.cleaned(F.col("text")).alias("text")).where("text IS NOT NULL")
     w = Window.partitionBy("doc_id").orderBy("char_start")
     s = entity_spans(d).withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).join(d, "doc_id")
     key = F.md5(F.concat("span_text", F.lit("|"), F.substring("text", 1, context)).cast("binary"))
-    return s.withColumn("label_key", key).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("char_start", "char_end", "span_text", "label_key"))).alias("targets"))
+    return s.select("doc_id", "text", "span_text", "char_start", "char_end", key.alias("label_key"))
+
+
+def labelled_samples(spans: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text, targets array<struct<char_start, char_end, span_text, soft_label, intensity>>) of keyed_spans() and labels(label_key, soft_label).
+
+    Spans without a label go, and texts without targets; the intensity is the label's length.
+    """
+    d = spans.join(labels.select("label_key", "soft_label").dropDuplicates(["label_key"]), "label_key")
+    size = F.sqrt(F.aggregate("soft_label", F.lit(0.0), lambda s, x: s + x * x))
+    target = F.struct("char_start", "char_end", "span_text", "soft_label", size.alias("intensity"))
+    targets = d.groupBy("doc_id").agg(F.array_sort(F.collect_list(target)).alias("targets"))  # a few of one text
+    return targets.join(spans.select("doc_id", "text").dropDuplicates(["doc_id"]), "doc_id").select("doc_id", "text", "targets")
 
 
 def closest_strings(facts: DataFrame, candidates: DataFrame) -> DataFrame:

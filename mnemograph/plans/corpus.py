@@ -197,11 +197,11 @@ def flt6_chapter_title(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.chapter_title(made).alias("title"))
 
 
-@query("WITH d AS (SELECT doc_id, trim(text, ' ') AS t FROM documents WHERE text IS NOT NULL) SELECT doc_id, md5(t) AS hash, CASE WHEN length(t) + 21 >= 50 THEN md5(t) END AS after_heading FROM d WHERE length(t) >= 10 AND NOT regexp_matches(t, '^\\s|\\s$') AND NOT regexp_matches(t, '(?i)\\bchapter\\s+[0-9]+')")
+@query("WITH d AS (SELECT doc_id, regexp_replace(text, '^[ \\t\\n\\r\\f\\x0B]+|[ \\t\\n\\r\\f\\x0B]+$', '', 'g') AS t FROM documents WHERE text IS NOT NULL) SELECT doc_id, md5(t) AS hash, CASE WHEN length(t) + 21 >= 50 THEN md5(t) END AS after_heading FROM d WHERE length(t) >= 10 AND NOT regexp_matches(t, '(?i)\\bchapter\\s+[0-9]+')")
 def flt7_text_cleaning(spark, sf_dir):
-    """Texts without outer white space, as they are and after a heading: both are the text, or a title if it is short."""
-    d = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"^ *[\t\n\r]|[\t\n\r] *$"))
-    d = d.select("doc_id", text.cleaned(F.concat(F.lit("Chapter 1\nchapter 22\n"), F.trim("text"))).alias("a"), text.cleaned(F.col("text")).alias("b"))
+    """All texts, as they are and after a heading: both are the text without outer white space, or a title if it is short."""
+    d = table(spark, sf_dir, "documents").where(~F.col("text").rlike(text.CHAPTER))
+    d = d.select("doc_id", text.cleaned(F.concat(F.lit("Chapter 1\nchapter 22\n"), F.regexp_replace("text", r"^[ \t\n\r\f\x0B]+", ""))).alias("a"), text.cleaned(F.col("text")).alias("b"))
     return d.where("b IS NOT NULL").select("doc_id", F.md5(F.col("b").cast("binary")).alias("hash"), F.md5(F.col("a").cast("binary")).alias("after_heading"))
 
 
@@ -284,10 +284,21 @@ def jn14_result_patching(spark, sf_dir):
     return stores.patched(e, e.where("event_id % 3 = 0").select("event_id", F.lit("fixed").alias("event_type")), "event_id", "event_type").select("event_id", "event_type")
 
 
-@query("""WITH p AS (SELECT doc_id, text, string_split(text, chr(10))[1] AS f FROM documents WHERE text IS NOT NULL), m AS (SELECT *, min(doc_id) OVER (PARTITION BY f) AS s FROM p),
-x AS (SELECT f, doc_id, CASE WHEN doc_id = s THEN 'Wikipedia Title: ' || text ELSE chr(10) || trim(substr(text, length(f) + 1), chr(10)) END AS part FROM m) SELECT f AS first_line, doc_id AS place, length(part) AS chars, md5(part) AS hash FROM x""")
+FIRST_LINES = """WITH p AS (SELECT doc_id, text, string_split(text, chr(10))[1] AS f FROM documents WHERE text IS NOT NULL), m AS (SELECT *, min(doc_id) OVER (PARTITION BY f) AS s FROM p),
+x AS (SELECT f, doc_id, CASE WHEN doc_id = s THEN 'Wikipedia Title: ' || text ELSE chr(10) || trim(substr(text, length(f) + 1), chr(10)) END AS part FROM m)"""
+
+
+@query(FIRST_LINES + " SELECT f AS first_line, CAST(0 AS BIGINT) AS piece, CAST(sum(length(part)) AS BIGINT) AS chars, md5(string_agg(part, '' ORDER BY doc_id)) AS hash FROM x GROUP BY f")
 def ag24_merge_by_first_line(spark, sf_dir):
+    """One text of all passages that share a first line."""
     m = texts.merged_by_first_line(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("place"), "text"))
+    return m.select("first_line", "piece", F.length("merged").cast("long").alias("chars"), F.md5(F.col("merged").cast("binary")).alias("hash"))
+
+
+@query(FIRST_LINES + " SELECT f AS first_line, doc_id AS place, length(part) AS chars, md5(part) AS hash FROM x")
+def ag24_first_line_parts(spark, sf_dir):
+    """The parts of merged texts as rows."""
+    m = texts.first_line_parts(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("place"), "text"))
     return m.select("first_line", "place", F.length("part").alias("chars"), F.md5(F.col("part").cast("binary")).alias("hash"))
 
 
@@ -344,6 +355,13 @@ def tx4_entity_normalise(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.md5(text.squeezed(F.col("text")).cast("binary")).alias("hash"))
 
 
+@query("WITH n AS (SELECT doc_id, p, trim(regexp_replace(x[p], '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS e FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS p FROM (SELECT doc_id, string_split(text, ',') AS x FROM documents WHERE text IS NOT NULL))), f AS (SELECT doc_id, e, min(p) AS p FROM n WHERE e <> '' GROUP BY doc_id, e) SELECT doc_id, count(*) AS n, md5(string_agg(e, '|' ORDER BY p)) AS hash FROM f GROUP BY doc_id")
+def tx4_entity_list(spark, sf_dir):
+    """What stands between a text's commas as names: squeezed, the first of equal ones kept."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", text.entities_normalised(F.split("text", ",")).alias("e")).where(F.size("e") > 0)
+    return d.select("doc_id", F.size("e").cast("long").alias("n"), F.md5(F.array_join("e", "|").cast("binary")).alias("hash"))
+
+
 @query()
 def tx5_rule_entities(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", text.rule_entities(F.col("text")).alias("entities"))
@@ -466,10 +484,20 @@ def rt15_dual_ingest(spark, sf_dir):
     return stores.ingest(d, old)[1]
 
 
+def span_model(spans):
+    """Soft labels of distinct label keys: the emotion shares of the span and what is around it, from the default extractor."""
+    near = F.concat_ws(" ", "span_text", F.expr("substring(text, char_start + 1, 200)"))
+    return enrich.emotions(spans.withColumn("near", near), "near", "soft_label").select("label_key", "soft_label")
+
+
 @query()
 def rt16_span_label_dataset(spark, sf_dir):
-    """Clean texts with up to ten spans each, every span with a label row by the hash of span and context."""
-    return texts.span_labels(table(spark, sf_dir, "documents"))
+    """Clean texts with up to ten labelled spans each: labels by the hash of span and context, worked out where no earlier batch has them."""
+    spans = stores.kept(texts.keyed_spans(table(spark, sf_dir, "documents")), "spans")
+    nothing = spark.createDataFrame([], "label_key string, soft_label array<double>")
+    earlier = enrich.completed(spans.where("doc_id % 2 = 0"), nothing, span_model, "label_key")[1]
+    _, new = enrich.completed(spans, earlier, span_model, "label_key")
+    return texts.labelled_samples(spans, earlier.union(new))
 
 
 @query(f"SELECT e.event_id, e.event_type, v.label, round({MASS}, 6) AS mass FROM events e JOIN embeddings v ON v.vec_id = e.event_id % (SELECT count(*) FROM embeddings)")
@@ -479,6 +507,15 @@ def rt17_chunk_features(spark, sf_dir):
     return m.join(v, "vec_id").select("event_id", "event_type", "label", r6("mass").alias("mass"))
 
 
+@query()
+def rt17_features_of_chunks(spark, sf_dir):
+    """Chunks of whole texts with the encoder's vector, the emotion score, a perplexity given with each chunk, and the mass of both."""
+    c = texts.chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    scored = c.withColumn("emotion_score", text.intensity(text.emotion_shares(F.col("text")))).withColumn("perplexity", (1 + F.length("text") % 1000).cast("double"))
+    d = enrich.encoded(scored, "text", "vector").withColumn("surprisal_score", decay.surprisal(F.col("perplexity")))
+    return d.select("doc_id", "chunk_no", "start_idx", "end_idx", "vector", "emotion_score", "surprisal_score", decay.chunk_mass(F.col("emotion_score"), F.col("surprisal_score")).alias("mass"))
+
+
 @query()
 def ud1_vector_encoder(spark, sf_dir):
     """The default encoder over whole documents, with a passage instruction."""
@@ -501,9 +538,19 @@ def ud4_particles_of_texts(spark, sf_dir):
     return enrich.particles(d)
 
 
-@query("WITH e AS (SELECT md5(event_type || CAST(user_id AS VARCHAR)) AS k, event_id FROM events), done AS (SELECT DISTINCT k FROM e WHERE event_id % 2 = 0), t AS (SELECT k FROM e WHERE event_id % 2 = 1) SELECT count(*) FILTER (k IN (SELECT k FROM done)) AS hits, count(*) FILTER (k NOT IN (SELECT k FROM done)) AS misses FROM t")
+@query("WITH e AS (SELECT md5(event_type || CAST(user_id AS VARCHAR)) AS k, event_id FROM events), done AS (SELECT DISTINCT k FROM e WHERE event_id % 2 = 0), t AS (SELECT event_id, k FROM e WHERE event_id % 2 = 1) SELECT event_id, md5('model ' || k) AS result, k IN (SELECT k FROM done) AS hit FROM t")
 def ud5_cached_enrichment(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.md5(F.concat("event_type", F.col("user_id").cast("string")).cast("binary")).alias("k"), "event_id")
-    done = e.where("event_id % 2 = 0").select("k").distinct().withColumn("cached", F.lit(True))
-    d = e.where("event_id % 2 = 1").join(done, "k", "left")
-    return d.agg(F.count_if(F.col("cached").isNotNull()).alias("hits"), F.count_if(F.col("cached").isNull()).alias("misses"))
+    """Odd events ask by type and user; the even ones' answers are known. Others are worked out once a key."""
+    e = table(spark, sf_dir, "events").select("event_id", F.md5(F.concat("event_type", F.col("user_id").cast("string")).cast("binary")).alias("key"))
+    answer = lambda d: d.select("key", F.md5(F.concat(F.lit("model "), "key").cast("binary")).alias("result"))
+    known = stores.kept(answer(e.where("event_id % 2 = 0").select("key").distinct()), "answers")
+    rows, new = enrich.completed(e.where("event_id % 2 = 1"), known, answer)
+    return rows.join(new.select("key", F.lit(False).alias("known")), "key", "left").select("event_id", "result", F.coalesce("known", F.lit(True)).alias("hit"))
+
+
+@query("WITH e AS (SELECT md5(event_type || CAST(user_id AS VARCHAR)) AS k, event_id FROM events), done AS (SELECT DISTINCT k FROM e WHERE event_id % 2 = 0), t AS (SELECT k FROM e WHERE event_id % 2 = 1) SELECT count(*) FILTER (k IN (SELECT k FROM done)) AS hits, count(*) FILTER (k NOT IN (SELECT k FROM done)) AS misses FROM t")
+def ud5_cache_counts(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.md5(F.concat("event_type", F.col("user_id").cast("string")).cast("binary")).alias("key"), "event_id")
+    done, asked = e.where("event_id % 2 = 0").select("key").distinct(), e.where("event_id % 2 = 1").select("key")
+    hits = enrich.missing(asked, done)[0].agg(F.count("*").alias("hits"))
+    return hits.join(asked.agg(F.count("*").alias("n")), F.lit(True)).select("hits", (F.col("n") - F.col("hits")).alias("misses"))  # one row each

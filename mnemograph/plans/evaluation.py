@@ -85,11 +85,11 @@ def jn4_cascade_join(spark, sf_dir):
     return ranking.top_k(d.withColumn("score", r6("score")), 5).select("qid", "id", r6("first_score").alias("first_score"), "score", "rank")
 
 
-@query(LISTS + " SELECT * FROM (SELECT a.qid, a.id, round(a.score, 6) AS first_score, round(b.score, 6) AS score, row_number() OVER (PARTITION BY a.qid ORDER BY round(b.score, 6) DESC, a.id) AS rank FROM a JOIN b ON a.qid = b.qid AND a.id = b.id WHERE a.rank <= 12) WHERE rank <= 3")
+@query(LISTS + " SELECT * FROM (SELECT a.qid, a.id, round(a.score, 6) AS first_score, round(b.score, 6) AS score, row_number() OVER (PARTITION BY a.qid ORDER BY round(b.score, 6) DESC, a.id) AS rank FROM a JOIN b ON a.qid = b.qid AND a.id = b.id WHERE a.rank <= 20) WHERE rank <= 5")
 def rt8_cascade_fusion(spark, sf_dir):
-    """Twelve candidates of the first stage, the three best of them by the second."""
-    d = fusion.cascade(ranking.top_k(first(spark, sf_dir).drop("rank"), 12), second(spark, sf_dir))
-    return ranking.top_k(d.withColumn("score", r6("score")), 3).select("qid", "id", r6("first_score").alias("first_score"), "score", "rank")
+    """Twenty candidates of the first stage, the five best of them by the second."""
+    d = fusion.cascade(ranking.top_k(first(spark, sf_dir, 40).drop("rank"), 20), second(spark, sf_dir))
+    return ranking.top_k(d.withColumn("score", r6("score")), 5).select("qid", "id", r6("first_score").alias("first_score"), "score", "rank")
 
 
 @query(JOINED + " SELECT qid, id, round(s, 6) AS s, round(e, 6) AS e FROM o")
@@ -193,11 +193,13 @@ def ag15_similarity_predicate(spark, sf_dir):
 s AS (SELECT qid, id, uv / sqrt(uu * vv) AS cosine, CASE WHEN sqrt(uu) >= 1 THEN 0.99 / sqrt(uu) ELSE 1 END AS a, CASE WHEN sqrt(vv) >= 1 THEN 0.99 / sqrt(vv) ELSE 1 END AS b, uu, vv, uv FROM p)
 SELECT qid, id FROM s WHERE cosine >= 0.05 AND acosh(1 + 2 * (a * a * uu + b * b * vv - 2 * a * b * uv) / ((1 - a * a * uu) * (1 - b * b * vv))) <= 10.55""")
 def ud3_pluggable_similarity(spark, sf_dir):
-    """Vectors of one label that are similar to a query by both measures."""
-    e = table(spark, sf_dir, "embeddings")
-    q = query_vectors(spark, sf_dir).select("qid", "qvec", (F.col("qid") % 10).cast("int").alias("label"))
-    both = vec.similar(F.col("qvec"), F.col("embedding"), "cosine", 0.05) & vec.similar(F.col("qvec"), F.col("embedding"), "hyperbolic", 10.55)
-    return e.join(q, "label").where(both).select("qid", F.col("vec_id").alias("id"))
+    """Vectors of one label that are similar to a query by both measures: a search by cosine, then the other measure from the pair's cosine and lengths."""
+    e = table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL")
+    q = query_vectors(spark, sf_dir)
+    size = e.select(F.col("vec_id").alias("id"), "label", vec.sq_norm(F.col("embedding")).alias("vv"))
+    near = knn.search(q, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), least=0.05, itself=True)
+    d = near.join(size, "id").join(q.select("qid", vec.sq_norm(F.col("qvec")).alias("uu")), "qid").where(F.col("label") == F.col("qid") % 10)
+    return d.where(vec.hyperbolic_near(F.col("uu"), F.col("vv"), F.col("score") * F.sqrt(F.col("uu") * F.col("vv")), 10.55)).select("qid", "id")
 
 
 METRICS = """, j AS (SELECT l.qid, l.rank, CASE WHEN g.id IS NULL THEN 0 ELSE 1 END AS hit FROM {src} l LEFT JOIN gold g ON g.qid = l.qid AND g.id = l.id WHERE l.rank <= 10),
@@ -283,6 +285,18 @@ def ag27_set_similarity(spark, sf_dir):
     return evaluate.set_similarity(d).withColumn("sim", r6("sim"))
 
 
+@query("""WITH e AS (SELECT vec_id, user_id % 20 AS g, CAST(embedding AS DOUBLE[]) AS v FROM embeddings JOIN (SELECT DISTINCT user_id FROM events) ON user_id = vec_id), t AS (SELECT g // 2 AS q, vec_id % 2 AS side, v FROM e), s AS (SELECT * FROM t WHERE NOT (q % 3 = 0 AND side = 1)),
+p AS (SELECT l.q, avg(list_inner_product(l.v, r.v) / sqrt(list_inner_product(l.v, l.v) * list_inner_product(r.v, r.v))) AS sim FROM s l JOIN s r ON l.q = r.q AND l.side = 0 AND r.side = 1 GROUP BY l.q),
+d AS (SELECT q, side, i, avg(v[i]) AS x FROM (SELECT q, side, v, unnest(range(1, 65)) AS i FROM t) GROUP BY q, side, i),
+f AS (SELECT a.q, sum(a.x * b.x) / sqrt(sum(a.x * a.x) * sum(b.x * b.x)) AS sim FROM d a JOIN d b ON a.q = b.q AND a.i = b.i AND a.side = 0 AND b.side = 1 GROUP BY a.q)
+SELECT f.q, round(coalesce(p.sim, f.sim), 6) AS sim FROM f LEFT JOIN p ON p.q = f.q""")
+def ag27_set_similarity_with_fallback(spark, sf_dir):
+    """Every third query has no vectors on one side: its sides' mean vectors stand for them."""
+    users = table(spark, sf_dir, "events").select(F.col("user_id").alias("vec_id")).distinct()
+    d = table(spark, sf_dir, "embeddings").join(users, "vec_id").select(((F.col("vec_id") % 20) / 2).cast("long").alias("q"), (F.col("vec_id") % 2).alias("side"), F.col("embedding").alias("vec"))
+    return evaluate.set_similarity(d.where(~((F.col("q") % 3 == 0) & (F.col("side") == 1))), d).withColumn("sim", r6("sim"))
+
+
 @query(LISTS + """, x AS (SELECT qid, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank) AS plain FROM a WHERE rank <= 3 GROUP BY 1), y AS (SELECT qid, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank) AS warped FROM b WHERE rank <= 3 GROUP BY 1), g AS (SELECT qid, min(id) AS gold_id FROM gold GROUP BY 1),
 ha AS (SELECT qid, true AS h FROM a WHERE rank <= 3 AND EXISTS (SELECT 1 FROM gold WHERE gold.qid = a.qid AND gold.id = a.id) GROUP BY 1), hb AS (SELECT qid, true AS h FROM b WHERE rank <= 3 AND EXISTS (SELECT 1 FROM gold WHERE gold.qid = b.qid AND gold.id = b.id) GROUP BY 1)
 SELECT q.qid, g.gold_id, plain, warped, coalesce(ha.h, false) AS plain_hit, coalesce(hb.h, false) AS warped_hit FROM q LEFT JOIN g USING (qid) LEFT JOIN x USING (qid) LEFT JOIN y USING (qid) LEFT JOIN ha USING (qid) LEFT JOIN hb USING (qid)""")

@@ -58,6 +58,37 @@ TRIPLES = """triples AS (
   UNION ALL SELECT 'chunk-' || md5(CAST(l_orderkey AS VARCHAR)), 'part ' || l_partkey, 'supplied by', 'supplier ' || l_suppkey FROM lineitem)"""
 
 
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chunk_id, s, p, o): a smaller graph of customers and suppliers as chunks that state where they are and for whom they buy."""
+    t = lambda name: table(spark, sf_dir, name)
+    nations = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+    chunk = lambda name: F.concat(F.lit("chunk-"), F.md5(name.cast("binary"))).alias("chunk_id")
+    who, whom = F.concat(F.lit("customer "), F.col("c_custkey").cast("string")), F.concat(F.lit("supplier "), F.col("s_suppkey").cast("string"))
+    lives = t("customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    facts = F.array(*(F.struct(a.alias("s"), F.lit(b).alias("p"), F.col(c).alias("o")) for a, b, c in ((who, "in nation", "n_name"), (F.col("n_name"), "in region", "r_name"), (who, "buys for", "c_mktsegment"))))
+    sells = t("supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+    return lives.select(chunk(who), F.inline(facts)).union(sells.select(chunk(whom), whom, F.lit("in nation"), "n_name"))
+
+
+PLACES = """ns AS (SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey),
+places AS MATERIALIZED (SELECT 'chunk-' || md5('customer ' || c_custkey) AS chunk_id, unnest([struct_pack(s := 'customer ' || c_custkey, p := 'in nation', o := n_name), struct_pack(s := n_name, p := 'in region', o := r_name), struct_pack(s := 'customer ' || c_custkey, p := 'buys for', o := c_mktsegment)], recursive := true)
+  FROM customer JOIN ns ON c_nationkey = n_nationkey
+  UNION ALL SELECT 'chunk-' || md5('supplier ' || s_suppkey), 'supplier ' || s_suppkey, 'in nation', n_name FROM supplier JOIN ns ON s_nationkey = n_nationkey)"""
+
+
+def with_vectors(spark: SparkSession, sf_dir: str, names: DataFrame, name: str) -> DataFrame:
+    """names with a vector each: the one whose number a hash of the name gives."""
+    vectors = table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL").select(F.col("vec_id").alias("v_"), F.col("embedding").alias("vec"))
+    n = vectors.agg(F.max("v_") + 1).first()[0] or 1
+    at = F.conv(F.substring(F.md5(F.col(name).cast("binary")), 1, 8), 16, 10).cast("long") % n
+    return names.withColumn("v_", at).join(vectors, "v_").drop("v_")
+
+
+def vector_of(name: str) -> str:
+    """The number of a name's vector, in SQL."""
+    return f"CAST('0x' || substr(md5({name}), 1, 8) AS BIGINT) % (SELECT max(vec_id) + 1 FROM embeddings)"
+
+
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stated query set: every vector whose id is divisible by 50."""
     return table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"), F.col("label").alias("qlabel"))

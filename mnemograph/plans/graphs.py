@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mnemograph.operators import graph, knn, ranking
-from mnemograph.plans.fixtures import PAIRS, TRIPLES, query_vectors, table, triples
+from mnemograph.operators import graph, graph_search, knn, ranking, walk
+from mnemograph.plans.fixtures import DOT, PAIRS, PLACES, TRIPLES, places, query_vectors, table, triples, vector_of, with_vectors
+from mnemograph.plans.vectors import HYPER, hyperbolic
 from mnemograph.sources import stores
 
 QUERIES, ORACLES = {}, {}
@@ -70,12 +71,18 @@ def ag5_passage_edges(spark, sf_dir):
     return graph.passage_edges(triples(spark, sf_dir))
 
 
+@query(f"{RAW} SELECT DISTINCT s, p, o, chunk_id FROM triples")
+def ag6_triple_chunks(spark, sf_dir):
+    """The chunks of each fact."""
+    return graph.triple_chunks(triples(spark, sf_dir))
+
+
 @query(f"{RAW}, d AS (SELECT DISTINCT s, p, o, chunk_id FROM triples) SELECT s, p, o, count(*) AS chunks, min(chunk_id) AS first_chunk FROM d GROUP BY ALL")
 def ag6_triple_index(spark, sf_dir):
     return graph.triple_index(triples(spark, sf_dir))
 
 
-@query(f"{RAW}, {PASSAGES} SELECT (SELECT count(DISTINCT entity) FROM m) AS entities, (SELECT count(DISTINCT chunk_id) FROM m) AS passages, (SELECT count(*) FROM (SELECT DISTINCT s, p, o FROM triples)) AS facts, (SELECT count(*) FROM pe) AS passage_edges")
+@query(f"{RAW}, {FACTS}, {PASSAGES} SELECT (SELECT count(DISTINCT entity) FROM m) AS entities, (SELECT count(DISTINCT chunk_id) FROM m) AS passages, (SELECT count(DISTINCT entity) + count(DISTINCT chunk_id) FROM m) AS nodes, (SELECT count(*) FROM (SELECT DISTINCT s, p, o FROM triples)) AS facts, (SELECT count(*) FROM pe) AS passage_edges, CAST(0 AS BIGINT) AS synonym_edges, (SELECT count(*) FROM fe WHERE src <> dst) + (SELECT count(*) FROM pe) AS edges")
 def ag7_graph_statistics(spark, sf_dir):
     return graph.statistics(triples(spark, sf_dir))
 
@@ -190,18 +197,18 @@ def gr4_fact_reset(spark, sf_dir):
     return top.union(passages).groupBy("qid", "node").agg(F.round(F.sum("w"), 7).alias("w"))
 
 
-@query(f"WITH {PAIRS}, s AS (SELECT qid, label AS node, sum(cos) AS s FROM pairs WHERE cos > 0 GROUP BY ALL) SELECT qid, node, round(s / max(s) OVER (PARTITION BY qid), 6) AS w FROM s")
+@query(f"WITH {PAIRS}, near AS (SELECT qid, label, cos FROM pairs WHERE cos > 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY cos DESC, vec_id) <= 20), s AS (SELECT qid, label AS node, sum(cos) AS s FROM near GROUP BY ALL) SELECT qid, node, round(s / max(s) OVER (PARTITION BY qid), 6) AS w FROM s")
 def ag10_expansion_score(spark, sf_dir):
     return graph.expansion_score(label_pairs(spark, sf_dir)).withColumn("w", r6("w"))
 
 
 def label_pairs(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    near = knn.search(query_vectors(spark, sf_dir), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), least=1e-12)
+    near = knn.search(query_vectors(spark, sf_dir), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), k=graph_search.EXPAND).where("score > 0")
     return near.join(e.select(F.col("vec_id").alias("id"), F.col("label").alias("node")), "id").select("qid", "node", F.col("score").alias("sim"))
 
 
-GR5 = f"""WITH {PAIRS}, s AS (SELECT qid, label AS node, sum(cos) AS s FROM pairs WHERE cos > 0 GROUP BY ALL), x AS (SELECT qid, node, s / max(s) OVER (PARTITION BY qid) AS w FROM s),
+GR5 = f"""WITH {PAIRS}, near AS (SELECT qid, label, cos FROM pairs WHERE cos > 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY cos DESC, vec_id) <= 20), s AS (SELECT qid, label AS node, sum(cos) AS s FROM near GROUP BY ALL), x AS (SELECT qid, node, s / max(s) OVER (PARTITION BY qid) AS w FROM s),
 c AS (SELECT label AS node, count(*) AS c FROM embeddings GROUP BY 1), u AS (SELECT qid, qlabel AS node, 1.0 AS w FROM q UNION ALL SELECT qid, node, w * 0.5 FROM x UNION ALL SELECT qid, node, w * 0.3 FROM x UNION ALL SELECT qid, node, w * 0.2 FROM x),
 rs AS (SELECT qid, node, sum(w) / any_value(c) AS w FROM u JOIN c USING (node) GROUP BY ALL)"""
 
@@ -218,46 +225,136 @@ def label_reset(spark, sf_dir):
     return graph.merged_reset([(x, 0.5), (x, 0.3), (x, 0.2)], own, m)
 
 
-@query(GR5 + """, e AS (SELECT 'l' || label AS a, 'v' || vec_id AS b FROM embeddings), b AS (SELECT a AS src, b AS dst FROM e UNION ALL SELECT b, a FROM e), wk AS (SELECT src, dst, 1.0 / count(*) OVER (PARTITION BY src) AS p FROM b),
-r AS (SELECT qid, 'l' || node AS node, w / sum(w) OVER (PARTITION BY qid) AS r FROM rs), """ + ", ".join(
-    ["x0 AS (SELECT qid, node, r AS x FROM r)"] + [f"x{i} AS MATERIALIZED (SELECT qid, node, sum(f) AS x FROM (SELECT qid, dst AS node, 0.5 * x * p AS f FROM x{i - 1} JOIN wk ON node = src UNION ALL SELECT qid, node, r * 0.5 FROM r) GROUP BY ALL)" for i in range(1, 9)]
-) + " SELECT qid, node, round(x, 6) AS score FROM x8 WHERE node LIKE 'v%' QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(x, 9) DESC, node) <= 20")
-def rt11_graph_fusion(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    edges = e.select(F.concat(F.lit("l"), F.col("label").cast("string")).alias("src"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("dst"), F.lit(1.0).alias("w"))
-    reset = label_reset(spark, sf_dir).withColumn("node", F.concat(F.lit("l"), F.col("node").cast("string")))
-    scores = graph.pagerank(edges, reset, steps=8, keep_every=4).where("node LIKE 'v%'")
-    return ranking.top_k(scores.withColumn("s", F.round("score", 9)), 20, "s", "node").select("qid", "node", r6("score").alias("score"))
-
-
 @query(f"WITH {PAIRS}, t AS (SELECT qid, vec_id AS id, cos FROM pairs QUALIFY row_number() OVER (PARTITION BY qid ORDER BY cos DESC, vec_id) <= 5) SELECT qid, id, round(CASE WHEN max(cos) OVER w > min(cos) OVER w THEN (cos - min(cos) OVER w) / (max(cos) OVER w - min(cos) OVER w) ELSE 1 END, 6) AS score FROM t WINDOW w AS (PARTITION BY qid)")
 def rt2_fact_scoring(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     return knn.search(query_vectors(spark, sf_dir), e, k=5).select("qid", "id", r6(ranking.min_max()).alias("score"))
 
 
-RT3 = f"""WITH {PAIRS}, f AS (SELECT qid, vec_id, label, cos, row_number() OVER (PARTITION BY qid ORDER BY cos DESC, vec_id) AS rank FROM pairs), hit AS (SELECT * FROM f WHERE rank <= 5 AND cos >= 0.25),
-c AS (SELECT label, count(*) AS c FROM embeddings GROUP BY 1), r0 AS (SELECT qid, 'l' || label AS node, avg(cos / c) AS w FROM hit JOIN c USING (label) GROUP BY ALL), r AS (SELECT qid, node, w / sum(w) OVER (PARTITION BY qid) AS r FROM r0),
-e AS (SELECT 'l' || label AS a, 'v' || vec_id AS b FROM embeddings), b AS (SELECT a AS src, b AS dst FROM e UNION ALL SELECT b, a FROM e), wk AS (SELECT src, dst, 1.0 / count(*) OVER (PARTITION BY src) AS p FROM b), """ + ", ".join(
-    ["x0 AS (SELECT qid, node, r AS x FROM r)"] + [f"x{i} AS MATERIALIZED (SELECT qid, node, sum(f) AS x FROM (SELECT qid, dst AS node, 0.5 * x * p AS f FROM x{i - 1} JOIN wk ON node = src UNION ALL SELECT qid, node, r * 0.5 FROM r) GROUP BY ALL)" for i in range(1, 9)]
-)
+def place_graph(spark, sf_dir):
+    """The places graph with synonyms, from one batch."""
+    t = stores.kept(places(spark, sf_dir), "places")
+    names = graph.mentions(t).select(F.col("entity").alias("name")).distinct()
+    return graph.extend(None, t, with_vectors(spark, sf_dir, names, "name"))
+
+
+VECTORS = "vs AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+#: Nodes, edges with synonyms, and the walk of the places graph.
+PLACE_GRAPH = f"""{PLACES}, {VECTORS}, pm AS MATERIALIZED (SELECT DISTINCT chunk_id, unnest([s, o]) AS entity FROM places),
+vv AS (SELECT a.vec_id AS i, b.vec_id AS j, list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v)) AS w FROM vs a, vs b WHERE list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v)) >= 0.8),
+en AS (SELECT entity, {vector_of('entity')} AS i FROM (SELECT DISTINCT entity FROM pm)),
+sy AS (SELECT a.entity AS src, b.entity AS dst, w FROM en a JOIN vv USING (i) JOIN en b ON b.i = vv.j AND a.entity <> b.entity QUALIFY row_number() OVER (PARTITION BY a.entity ORDER BY w DESC, b.entity) <= 101),
+fp AS (SELECT src, dst, kind, CAST(count(*) AS DOUBLE) AS w FROM (SELECT s AS src, o AS dst, 'entity' AS kind FROM places UNION ALL SELECT o, s, 'entity' FROM places UNION ALL SELECT chunk_id, entity, 'passage' FROM pm) WHERE src <> dst GROUP BY ALL),
+ge AS MATERIALIZED (SELECT src, dst, coalesce(sy.w, fp.w) AS w, coalesce(kind, 'entity') AS kind FROM fp FULL JOIN sy USING (src, dst)),
+gb AS (SELECT src, dst, sum(w) AS w FROM (SELECT src, dst, w FROM ge UNION ALL SELECT dst, src, w FROM ge) GROUP BY ALL),
+wk AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM gb)"""
+
+
+def walk_sql(steps: int, name: str = "x") -> str:
+    """Power steps from r(qid, node, r) over wk."""
+    ctes = [f"{name}0 AS (SELECT qid, node, r AS x FROM r)"]
+    ctes += [f"{name}{i} AS MATERIALIZED (SELECT qid, node, sum(f) AS x FROM (SELECT qid, dst AS node, 0.5 * x * p AS f FROM {name}{i - 1} JOIN wk ON node = src UNION ALL SELECT qid, node, r * 0.5 FROM r) GROUP BY ALL)" for i in range(1, steps + 1)]
+    return ",\n".join(ctes)
+
+
+@query(f"WITH {PLACE_GRAPH} SELECT src, dst, kind, round(w, 6) AS w FROM ge")
+def gr1_incremental_graph(spark, sf_dir):
+    """Three batches, the last of which repeats chunks: the same edges, synonyms among them, as one build."""
+    t = stores.kept(places(spark, sf_dir), "places")
+    names = with_vectors(spark, sf_dir, graph.mentions(t).select(F.col("entity").alias("name")).distinct(), "name")
+    part = F.pmod(F.xxhash64("chunk_id"), F.lit(5))
+    g = graph.extend(None, t.where(part < 2), names)
+    g = graph.extend(g, t.where((part >= 2) & (part < 4)), names)
+    return graph.extend(g, t.where(part >= 3), names).edges().select("src", "dst", "kind", r6("w").alias("w"))
+
 
+@query(f"WITH {PLACE_GRAPH} SELECT (SELECT count(DISTINCT entity) FROM pm) AS entities, (SELECT count(DISTINCT chunk_id) FROM pm) AS passages, (SELECT count(DISTINCT entity) + count(DISTINCT chunk_id) FROM pm) AS nodes, (SELECT count(*) FROM (SELECT DISTINCT s, p, o FROM places)) AS facts, (SELECT count(*) FROM pm) AS passage_edges, (SELECT count(*) FROM sy) AS synonym_edges, (SELECT count(*) FROM ge) AS edges")
+def ag7_statistics_with_synonyms(spark, sf_dir):
+    g = place_graph(spark, sf_dir)
+    return graph.statistics(g.triples, g.synonyms)
 
-@query(RT3 + """, g AS (SELECT qid, node, x FROM x8 WHERE node LIKE 'v%' QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(x, 9) DESC, node) <= 10), d AS (SELECT qid, 'v' || vec_id AS node, cos AS x FROM f WHERE rank <= 10 AND qid NOT IN (SELECT qid FROM hit))
-SELECT qid, node, round(x, 6) AS score, 'graph' AS way FROM g UNION ALL SELECT qid, node, round(x, 6), 'dense' FROM d""")
+
+@query(f"WITH {PLACE_GRAPH}, r AS (SELECT c_custkey AS qid, 'customer ' || c_custkey AS node, CAST(1 AS DOUBLE) AS r FROM customer WHERE c_custkey % 50 = 0), {walk_sql(40)} SELECT qid, node, round(x, 5) AS score FROM x40 WHERE x >= 0.002")
+def gr3_local_push(spark, sf_dir):
+    """Every fiftieth customer's walk, pushed until no residual is over its bound."""
+    ready = walk.ready(place_graph(spark, sf_dir).edges())
+    asked = table(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("qid"), F.concat(F.lit("customer "), F.col("c_custkey").cast("string")).alias("node"), F.lit(1.0).alias("w"))
+    return walk.push(ready, asked, bound=1e-10).scores.where("score >= 0.002").withColumn("score", F.round("score", 5))
+
+
+def place_memory(spark, sf_dir, steps=STEPS):
+    """The places graph for retrieval: facts and passages with vectors by the hash of what they say."""
+    g = place_graph(spark, sf_dir)
+    facts = g.triples.select("s", "p", "o").distinct().select(F.concat_ws("|", "s", "p", "o").alias("id"), "s", "o")
+    passages = g.triples.select(F.col("chunk_id").alias("id")).distinct()
+    return g, graph_search.remember(g.triples, g.edges(), with_vectors(spark, sf_dir, facts, "id"), with_vectors(spark, sf_dir, passages, "id"), steps=steps)
+
+
+#: Facts' scores, passages' scores and the reset of each query; facts under 0.25 don't count.
+RESET = f"""q AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % 50 = 0), qd AS MATERIALIZED (SELECT qid, vec_id, list_inner_product(qv, v) AS d FROM q, vs),
+ft AS (SELECT id, s, o, {vector_of('id')} AS vec_id FROM (SELECT DISTINCT s || '|' || p || '|' || o AS id, s, o FROM places)),
+fs AS MATERIALIZED (SELECT qid, id, s, o, d, CASE WHEN max(d) OVER w > min(d) OVER w THEN (d - min(d) OVER w) / (max(d) OVER w - min(d) OVER w) ELSE 1 END AS score, row_number() OVER (PARTITION BY qid ORDER BY d DESC, id) AS rank FROM ft JOIN qd USING (vec_id) WINDOW w AS (PARTITION BY qid)),
+sp AS (SELECT entity, count(*) AS c FROM pm GROUP BY 1),
+pa AS (SELECT qid, entity AS node, round(avg(score / c), 12) AS w FROM (SELECT qid, score, unnest([s, o]) AS entity FROM fs WHERE rank <= 5 AND d >= 0.25) JOIN sp USING (entity) GROUP BY qid, entity),
+ph AS (SELECT * FROM pa QUALIFY row_number() OVER (PARTITION BY qid ORDER BY w DESC, node) <= 5),
+pt AS (SELECT DISTINCT chunk_id AS id, {vector_of('chunk_id')} AS vec_id FROM pm),
+ps AS MATERIALIZED (SELECT qid, id AS node, d, CASE WHEN max(d) OVER w > min(d) OVER w THEN (d - min(d) OVER w) / (max(d) OVER w - min(d) OVER w) ELSE 1 END AS score FROM pt JOIN qd USING (vec_id) WINDOW w AS (PARTITION BY qid)),
+r1 AS (SELECT qid, node, w FROM ph WHERE w > 0 UNION ALL SELECT qid, node, 0.05 * score FROM ps)"""
+
+
+@query(f"WITH {PLACE_GRAPH}, {RESET} SELECT qid, node, round(w, 7) AS w FROM r1")
+def gr4_dense_reset(spark, sf_dir):
+    """Phrases of the best facts and every passage by its similarity."""
+    memory = place_memory(spark, sf_dir)[1]
+    return graph_search.full_reset(query_vectors(spark, sf_dir), memory, least=0.25).withColumn("w", F.round("w", 7))
+
+
+RT3 = f"""{PLACE_GRAPH}, {RESET}, r AS (SELECT qid, node, w / sum(w) OVER (PARTITION BY qid) AS r FROM r1 WHERE qid IN (SELECT qid FROM ph)), {walk_sql(STEPS)},
+rt3 AS (SELECT qid, node, x AS score, 'graph' AS way FROM x{STEPS} WHERE node LIKE 'chunk-%' QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(x, 12) DESC, node) <= 10
+  UNION ALL SELECT qid, node, score, 'dense' FROM ps WHERE qid NOT IN (SELECT qid FROM ph) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY d DESC, node) <= 10)"""
+
+
+@query(f"WITH {RT3} SELECT qid, node, round(score, 7) AS score, way FROM rt3")
 def rt3_graph_retrieval(spark, sf_dir):
-    """Facts by similarity, reset, PageRank; plain similarity for queries without a fact over the bound."""
-    e = table(spark, sf_dir, "embeddings")
-    dense = ranking.ranked(knn.search(query_vectors(spark, sf_dir), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), k=10))
-    labels = e.select(F.col("vec_id").alias("id"), "label")
-    hit = dense.where("rank <= 5 AND score >= 0.25").join(labels, "id")
-    spread = e.groupBy("label").agg(F.count("*").alias("c"))
-    reset = hit.join(F.broadcast(spread), "label").groupBy("qid", F.concat(F.lit("l"), F.col("label").cast("string")).alias("node")).agg(F.avg(F.col("score") / F.col("c")).alias("w"))
-    edges = e.select(F.concat(F.lit("l"), F.col("label").cast("string")).alias("src"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("dst"), F.lit(1.0).alias("w"))
-    scores = graph.pagerank(edges, reset, steps=8, keep_every=4).where("node LIKE 'v%'")
-    found = ranking.top_k(scores.withColumn("s", F.round("score", 9)), 10, "s", "node").select("qid", "node", r6("score").alias("score"), F.lit("graph").alias("way"))
-    rest = dense.join(hit.select("qid").distinct(), "qid", "left_anti")
-    return found.union(rest.select(ranking.fresh("qid"), F.concat(F.lit("v"), F.col("id").cast("string")), r6("score"), F.lit("dense")))
+    """Facts by similarity, reset over phrases and all passages, PageRank; plain similarity for queries without a fact over the bound."""
+    found = graph_search.retrieve(query_vectors(spark, sf_dir), place_memory(spark, sf_dir)[1], k=10, least=0.25)
+    return found.withColumn("score", F.round("score", 7))
+
+
+@query(f"WITH {RT3.replace(walk_sql(STEPS), walk_sql(40)).replace(f'x{STEPS} WHERE', 'x40 WHERE')} SELECT qid, round(sum(score), 5) AS score, count(*) AS n, any_value(way) AS way FROM rt3 GROUP BY qid")
+def rt3_local_retrieval(spark, sf_dir):
+    """The same with the phrases pushed, to a bound, instead of walked over the whole graph."""
+    found = graph_search.retrieve(query_vectors(spark, sf_dir), place_memory(spark, sf_dir, 40)[1], k=10, least=0.25, bound=1e-9)
+    return found.groupBy("qid").agg(F.round(F.sum("score"), 5).alias("score"), F.count("*").alias("n"), F.first("way").alias("way"))
+
+
+#: Query entities, and the three expansions from them, from particles and from facts.
+RT11 = f"""{HYPER.replace('q AS (', 'hq AS (').replace('FROM q,', 'FROM hq,').replace('q.qid)', 'hq.qid)').replace('rank <= 10', 'rank <= 20').removeprefix('WITH ')}, {PLACE_GRAPH}, {RESET},
+own AS (SELECT DISTINCT qid, unnest(['customer ' || qid, 'NATION_' || qid % 25]) AS node FROM q WHERE qid % 100 <> 0),
+va AS (SELECT a.vec_id AS i, b.vec_id AS j, list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v)) AS w FROM vs a, vs b WHERE a.vec_id IN (SELECT i FROM en JOIN own ON entity = node)),
+se AS (SELECT own.qid, b.entity AS node, sum(w) AS s FROM own JOIN (SELECT a.entity AS src, b.entity, w FROM en a JOIN va USING (i) JOIN en b ON b.i = va.j WHERE a.entity IN (SELECT node FROM own) QUALIFY row_number() OVER (PARTITION BY a.entity ORDER BY round(w, 12) DESC, b.entity) <= 20) b ON own.node = b.src GROUP BY ALL),
+eh AS (SELECT qid, 'customer ' || user_id AS node, sum(1 / (1 + dist)) AS s FROM top WHERE qid IN (SELECT qid FROM own) GROUP BY ALL),
+fh AS (SELECT qid, unnest([s, o]) AS node, score FROM fs WHERE rank <= 20 AND qid IN (SELECT qid FROM own)), fx AS (SELECT qid, node, sum(score) AS s FROM fh GROUP BY ALL),
+u AS (SELECT qid, node, CAST(1 AS DOUBLE) AS w FROM own UNION ALL SELECT qid, node, 0.5 * s / max(s) OVER (PARTITION BY qid) FROM se UNION ALL SELECT qid, node, 0.3 * s / max(s) OVER (PARTITION BY qid) FROM eh UNION ALL SELECT qid, node, 0.2 * s / max(s) OVER (PARTITION BY qid) FROM fx),
+u1 AS (SELECT qid, node, sum(w) / any_value(c) AS w FROM u JOIN sp ON entity = node GROUP BY ALL),
+r AS (SELECT qid, node, w / sum(w) OVER (PARTITION BY qid) AS r FROM u1), {walk_sql(STEPS)},
+fused AS (SELECT qid, node, x AS score, 'fusion' AS way FROM x{STEPS} WHERE node LIKE 'chunk-%' QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(x, 12) DESC, node) <= 5),
+fr AS (SELECT qid, node, w / sum(w) OVER (PARTITION BY qid) AS r FROM r1 WHERE qid IN (SELECT qid FROM ph) AND qid NOT IN (SELECT qid FROM own)), {walk_sql(STEPS, 'y').replace('FROM r)', 'FROM fr)')},
+rest AS (SELECT qid, node, x AS score, 'graph' AS way FROM y{STEPS} WHERE node LIKE 'chunk-%' QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(x, 12) DESC, node) <= 5
+  UNION ALL SELECT qid, node, score, 'dense' FROM ps WHERE qid NOT IN (SELECT qid FROM ph) AND qid NOT IN (SELECT qid FROM own) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY d DESC, node) <= 5)"""
+
+
+@query(f"WITH {RT11} SELECT qid, node, round(score, 7) AS score, way FROM fused UNION ALL SELECT qid, node, round(score, 7), way FROM rest")
+def rt11_graph_fusion(spark, sf_dir):
+    """Query entities with their neighbours by meaning, by emotion and by facts; every other query has no entity and is answered by graph retrieval."""
+    g, memory = place_memory(spark, sf_dir)
+    q = query_vectors(spark, sf_dir)
+    names = F.array(F.concat(F.lit("customer "), F.col("qid").cast("string")), F.concat(F.lit("NATION_"), (F.col("qid") % 25).cast("string")))
+    own = q.where("qid % 100 <> 0").select("qid", F.explode(names).alias("node"))
+    users = table(spark, sf_dir, "events").select(F.concat(F.lit("p-"), F.col("event_id").cast("string")).alias("id"), F.concat(F.lit("customer "), F.col("user_id").cast("string")).alias("node"))
+    hits = hyperbolic(spark, sf_dir, 20).join(users, "id").select("qid", "node", "distance")
+    vectors = g.entities.select(F.col("name").alias("node"), "vec")
+    return graph_search.fused(q, own, hits, vectors, memory, k=5, least=0.25).withColumn("score", F.round("score", 7))
 
 
 def finished(spark, sf_dir):

@@ -249,8 +249,8 @@ def jn8_knn_join(spark, sf_dir):
 
 @query()
 def jn8_approximate_knn(spark, sf_dir):
-    """Ten neighbours by lists of like vectors, two thirds of which a query looks through."""
-    return knn.approximate(query_vectors(spark, sf_dir), keys_of(spark, sf_dir), k=10, lists=12, probes=8).withColumn("score", r6("score"))
+    """Ten neighbours from 24 of 32 lists, of which the best four keys by their codes are scored exactly."""
+    return knn.approximate(query_vectors(spark, sf_dir), keys_of(spark, sf_dir), k=10, lists=32, probes=24, refine=4).withColumn("score", r6("score"))
 
 
 @query(f"WITH {PAIRS}, t AS (SELECT qid, vec_id AS id, cos, row_number() OVER (PARTITION BY qid ORDER BY cos DESC, vec_id) AS rank FROM pairs QUALIFY rank <= 10) SELECT qid, id, round(cos, 6) AS score, rank FROM t")
@@ -292,9 +292,9 @@ g AS (SELECT *, 2 * atanh(least(sqrt(greatest(a * a * uu - 2 * a * b * uv + b *
 top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM h QUALIFY rank <= 10)"""
 
 
-def hyperbolic(spark, sf_dir):
+def hyperbolic(spark, sf_dir, k=retrieve.TOP_K):
     q = query_vectors(spark, sf_dir).withColumn("qradius", (1 + F.col("qid") % 4).cast("double"))
-    return retrieve.hyperbolic_search(q, particles(spark, sf_dir), NOW, GAMMA, LEAST)
+    return retrieve.hyperbolic_search(q, particles(spark, sf_dir), NOW, GAMMA, LEAST, k)
 
 
 @query(HYPER + " SELECT qid, id, rank, round(score, 5) AS score, round(dist, 5) AS distance, round(cos, 6) AS cosine, temperature, round(strength, 6) AS strength FROM top")

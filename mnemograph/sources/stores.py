@@ -182,12 +182,24 @@ def read_any_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def run_log(lines: DataFrame) -> DataFrame:
-    """(file, epoch, metric, value) from log lines (file, n, value); a metric belongs to the last epoch line before it."""
+    """(file, epoch, metric, number) from log lines (file, n, value); a metric belongs to the last epoch line before it.
+
+    Lines are sorted into ranges of (file, n), however many files there are. Within a range
+    the last epoch is carried on; what a range begins with comes from the ranges before, of
+    which there is one row for each range and file.
+    """
     epoch = F.regexp_extract("value", r"Epoch (\d+)/\d+", 1)
-    before = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    d = lines.withColumn("epoch", F.last(F.when(epoch != "", epoch.cast("int")), ignorenulls=True).over(before))
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = lines.select("file", "n", "value", F.when(epoch != "", epoch.cast("int")).alias("own"))
+    d = kept(d.repartitionByRange(parts, "file", "n").withColumn("range_", F.spark_partition_id()), "log-ranges")
+    so_far = Window.partitionBy("file", "range_").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("seen", F.last("own", ignorenulls=True).over(so_far))
+    last = d.groupBy("file", "range_").agg(F.max_by("own", F.when(F.col("own").isNotNull(), F.col("n"))).alias("last"))
+    before = Window.partitionBy("file").orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of the file
+    carried = last.select("file", "range_", F.last("last", ignorenulls=True).over(before).alias("carried"))
     d = d.withColumn("metric", F.regexp_extract("value", r"(Train Loss|Val Loss|Avg Kappa): ", 1)).withColumn("number", F.regexp_extract("value", r"(?:Train Loss|Val Loss|Avg Kappa): ([0-9.]+)", 1))
-    return d.where("metric != ''").select("file", "epoch", "metric", F.col("number").cast("double").alias("number"))
+    d = d.where("metric != ''").join(carried, ["file", "range_"])
+    return d.select("file", F.coalesce("seen", "carried").alias("epoch"), "metric", F.col("number").cast("double").alias("number"))
 
 
 def metadata_json(metadata: Column) -> Column:
