@@ -49,7 +49,7 @@ def blocks(rows: DataFrame, size: int = BLOCK) -> str:
 def read_blocks(path: str, wanted: Callable[[pq.FileMetaData], bool] = lambda _: True) -> Iterator[pa.Table]:
     """The files of a folder one by one, in a task."""
     store, root = fs.FileSystem.from_uri(path if "://" in path else "file://" + os.path.abspath(path.removeprefix("file:")))
-    for name in sorted(f.path for f in store.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet")):
+    for name in sorted(f.path for f in store.get_file_info(fs.FileSelector(root, recursive=True)) if f.path.endswith(".parquet")):
         with store.open_input_file(name) as source:
             file = pq.ParquetFile(source)
             if file.metadata.num_rows and wanted(file.metadata):

@@ -93,12 +93,13 @@ def test_links_brute_force(spark):
     assert got == want
 
 
-def test_pagerank_dense_solve(spark):
+@pytest.mark.parametrize("small", [0, 5_000_000])
+def test_pagerank_dense_solve(spark, small):
     rng = np.random.default_rng(1)
     n = 12
     edges = [(f"n{a}", f"n{b}", float(w)) for a, b, w in zip(rng.integers(0, n, 30), rng.integers(0, n, 30), rng.integers(1, 4, 30)) if a != b]
     reset = [("q", "n1", 2.0), ("q", "lonely", 1.0), ("q", "n2", -1.0)]
-    got = {r["node"]: r["score"] for r in graph.pagerank(spark.createDataFrame(edges, "src string, dst string, w double"), spark.createDataFrame(reset, "qid string, node string, w double"), steps=30).collect()}
+    got = {r["node"]: r["score"] for r in graph.pagerank(spark.createDataFrame(edges, "src string, dst string, w double"), spark.createDataFrame(reset, "qid string, node string, w double"), steps=30, small=small).collect()}
     names = sorted({x for a, b, _ in edges for x in (a, b)} | {"lonely"})
     at = {x: i for i, x in enumerate(names)}
     w = np.zeros((len(names), len(names)))
@@ -115,7 +116,8 @@ def test_pagerank_dense_solve(spark):
     assert all(got.get(k, 0) == pytest.approx(x[at[k]], abs=1e-6) for k in names)
 
 
-def test_pagerank_many_queries_and_hubs(spark):
+@pytest.mark.parametrize("small", [0, 5_000_000])
+def test_pagerank_many_queries_and_hubs(spark, small):
     """More queries than share a row, a hub whose edges are split, and mass without edges, against plain power steps."""
     rng = np.random.default_rng(4)
     n = 30
@@ -126,7 +128,7 @@ def test_pagerank_many_queries_and_hubs(spark):
         w[b, a] += 1 + a % 3
     edges = [(f"n{a}", f"n{b}", float(1 + a % 3)) for a, b in pairs]
     reset = [(q, f"n{int(a)}", float(x)) for q in range(40) for a, x in zip(rng.integers(0, n + 1, 3), rng.integers(1, 5, 3))]
-    got = {(r["qid"], r["node"]): r["score"] for r in graph.pagerank(spark.createDataFrame(edges, "src string, dst string, w double"), spark.createDataFrame(reset, "qid long, node string, w double"), steps=6, keep_every=3, hub_edges=7).collect()}
+    got = {(r["qid"], r["node"]): r["score"] for r in graph.pagerank(spark.createDataFrame(edges, "src string, dst string, w double"), spark.createDataFrame(reset, "qid long, node string, w double"), steps=6, keep_every=3, hub_edges=7, small=small).collect()}
     p = np.divide(w, w.sum(1)[:, None], out=np.zeros_like(w), where=w.sum(1)[:, None] > 0)
     for q in range(40):
         r = np.zeros(n + 1)
@@ -296,3 +298,139 @@ def test_pages_with_fallback(spark, tmp_path):
     got = {r["page_id"]: (r["chars"], r["hash"]) for r in corpus.src8_text_with_fallback(spark, str(tmp_path)).collect()}
     want = [" ".join([u, *([" ".join(t.split())] if t else [])]) for _, u, t in rows]
     assert got == {n: (len(w), hashlib.md5(w.encode()).hexdigest()) for n, w in enumerate(want)}
+
+
+def ring_graph(rng, groups, size):
+    """Dense groups in a ring, one edge between neighbours."""
+    pairs = {(g * size + int(a), g * size + int(b)) for g in range(groups) for a, b in rng.integers(0, size, (size * 3, 2)) if a != b}
+    pairs |= {(g * size, (g + 1) % groups * size + 1) for g in range(groups)}
+    w = np.zeros((groups * size, groups * size))
+    for a, b in pairs:
+        w[a, b] += 1
+        w[b, a] += 1
+    return [(f"n{a}", f"n{b}", 1.0) for a, b in pairs], w
+
+
+def dense_walk(w, r, steps=200):
+    p = np.divide(w, w.sum(1)[:, None], out=np.zeros_like(w), where=w.sum(1)[:, None] > 0)
+    x = r
+    for _ in range(steps):
+        x = 0.5 * r + 0.5 * (p.T @ x + x[w.sum(1) == 0].sum() * r)
+    return x
+
+
+def test_push_is_within_its_bound(spark):
+    """Short of the dense solution by no more than the bound times a node's weight, with less than a third of the edges that 20 sweeps read; a query with a lonely node too."""
+    from mnemograph.operators import walk
+
+    edges, w = ring_graph(np.random.default_rng(5), 40, 12)
+    n = len(w)
+    w = np.pad(w, (0, 1))
+    names = [f"n{i}" for i in range(n)] + ["lonely"]
+    reset = [(1, "n5", 1.0), (2, "n100", 3.0), (2, "n101", 1.0), (3, "n7", 1.0), (3, "lonely", 1.0), (4, "n9", -1.0), (4, "n9", 2.0)]
+    frame = spark.createDataFrame(reset, "qid long, node string, w double")
+    ready = walk.ready(spark.createDataFrame(edges, "src string, dst string, w double"), frame.select("node"))
+    bound = 1e-5
+    pushed = walk.push(ready, frame, bound=bound)
+    got = {(r["qid"], r["node"]): r["score"] for r in pushed.scores.collect()}
+    for q in range(1, 5):
+        r = np.zeros(n + 1)
+        for g, node, x in reset:
+            if g == q and x > 0:
+                r[names.index(node)] += x
+        x = dense_walk(w, r / r.sum())
+        for i, name in enumerate(names):
+            short = x[i] - got.get((q, name), 0)
+            assert -1e-9 <= short <= 2 * bound * max(w[i].sum(), 1e-9) + (1e-6 if name == "lonely" else 0), (q, name)
+    assert 0 < pushed.followed < 4 * 20 * ready.edges.count() / 3
+
+
+@pytest.mark.parametrize("small", [0, 5_000_000])
+def test_spread_is_linear(spark, small):
+    """A reset by inner products is the inner product with the spread vectors, negative components too."""
+    from mnemograph.operators import walk
+
+    rng = np.random.default_rng(6)
+    edges, w = ring_graph(rng, 4, 6)
+    m = rng.normal(size=(len(w), 19))
+    ready = walk.ready(spark.createDataFrame(edges, "src string, dst string, w double"), small=small)
+    got = {r["node"]: np.array(r["vec"]) for r in walk.spread(ready, spark.createDataFrame([(f"n{i}", v.tolist()) for i, v in enumerate(m)], "node string, vec array<double>"), steps=7).collect()}
+    q = rng.normal(size=19)
+    p = w / w.sum(1)[:, None]
+    x = r = m @ q
+    for _ in range(7):
+        x = 0.5 * r + 0.5 * p.T @ x
+    assert all(got[f"n{i}"] @ q == pytest.approx(x[i], abs=1e-9) for i in range(len(w)))
+
+
+def test_growing_graph(spark):
+    """Batches that share entities and repeat chunks give what one build gives, with the cut of synonyms done anew."""
+    rng = np.random.default_rng(7)
+    m = rng.normal(size=(14, 3))
+    vectors = spark.createDataFrame([(f"entity {i}", v.tolist()) for i, v in enumerate(m)], "name string, vec array<double>")
+    rows = [(f"c{c}", f"entity {a}", "p", f"entity {b}") for c in range(12) for a, b in rng.integers(0, 16, (3, 2))]
+    t = spark.createDataFrame(rows, "chunk_id string, s string, p string, o string")
+    one = graph.extend(None, t, vectors, least=0.2, most=4)
+    g = None
+    for part in ("chunk_id < 'c2'", "chunk_id >= 'c10' AND chunk_id < 'c5'", "chunk_id >= 'c4'"):
+        g = graph.extend(g, t.where(part), vectors, least=0.2, most=4)
+    key = lambda d: {(r["src"], r["dst"], r["kind"]): round(r["w"], 9) for r in d.collect()}
+    assert key(g.edges()) == key(one.edges()) and set(map(tuple, g.nodes().collect())) == set(map(tuple, one.nodes().collect()))
+    u = m / np.linalg.norm(m, axis=1)[:, None]
+    named = {int(x.split()[1]) for r in rows for x in (r[1], r[3]) if int(x.split()[1]) < 14}
+    want = {(f"entity {i}", f"entity {j}") for i in named for j in sorted((j for j in named if j != i and u[i] @ u[j] >= 0.2), key=lambda j: (-u[i] @ u[j], f"entity {j}"))[:4]}
+    assert {(r["src"], r["dst"]) for r in g.synonyms.collect()} == want
+    nodes, edges = graph.build(t, one.synonyms)
+    assert key(edges) == key(one.edges())
+
+
+def brute_retrieval(q, facts, passages, chunks, edges, names, k, least):
+    """Reset and walk with whole vectors. facts [(s, o, vec)], passages {chunk: vec}."""
+    d = [f[2] @ q for f in facts]
+    low, high = min(d), max(d)
+    top = [i for i in sorted(range(len(facts)), key=lambda i: -d[i])[:5] if d[i] >= least]
+    scores = {}
+    for i in top:
+        for e in facts[i][:2]:
+            scores.setdefault(e, []).append((d[i] - low) / (high - low) / chunks[e])
+    phrases = dict(sorted(((e, sum(v) / len(v)) for e, v in scores.items()), key=lambda x: (-x[1], x[0]))[:5])
+    s = {c: v @ q for c, v in passages.items()}
+    a, b = min(s.values()), max(s.values())
+    share = {c: (x - a) / (b - a) for c, x in s.items()}
+    if not phrases:
+        return sorted(((c, x, "dense") for c, x in share.items()), key=lambda x: (-x[1], x[0]))[:k]
+    r = np.zeros(len(names))
+    for e, x in phrases.items():
+        r[names.index(e)] += x
+    for c, x in share.items():
+        r[names.index(c)] += 0.05 * x
+    w = np.zeros((len(names), len(names)))
+    for x, y, z in edges:
+        w[names.index(x), names.index(y)] += z
+        w[names.index(y), names.index(x)] += z
+    x = dense_walk(w, r / r.sum(), 20)
+    return sorted(((c, x[names.index(c)], "graph") for c in passages), key=lambda x: (-x[1], x[0]))[:k]
+
+
+def test_retrieve_brute_force(spark):
+    """One call for many queries: string and number ids, queries without a fact, passages beyond the nearest that the walk lifts."""
+    from mnemograph.operators import graph_search
+
+    rng = np.random.default_rng(8)
+    triples = [(f"c{c:02d}", f"e{a}", "p", f"e{b}") for c in range(40) for a, b in rng.integers(0, 12, (2, 2)) if a != b]
+    t = spark.createDataFrame(triples, "chunk_id string, s string, p string, o string")
+    facts = [(s, o, rng.normal(size=5)) for _, s, _, o in triples]
+    passages = {c: rng.normal(size=5) for c in sorted({r[0] for r in triples})}
+    _, edges = graph.build(t)
+    edges = [(r["src"], r["dst"], r["w"]) for r in edges.collect()]
+    memory = graph_search.remember(t, spark.createDataFrame(edges, "src string, dst string, w double"), spark.createDataFrame([(i, s, o, v.tolist()) for i, (s, o, v) in enumerate(facts)], "id long, s string, o string, vec array<double>"), spark.createDataFrame([(c, v.tolist()) for c, v in passages.items()], "id string, vec array<double>"))
+    queries = rng.normal(size=(6, 5))
+    queries[5] *= 0.01
+    chunks = {e: len({c for c, s, _, o in triples if e in (s, o)}) for e in {x for _, s, _, o in triples for x in (s, o)}}
+    names = sorted(chunks) + list(passages)
+    got = graph_search.retrieve(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(queries)], "qid long, qvec array<double>"), memory, k=4, least=0.3).collect()
+    for i, q in enumerate(queries):
+        want = brute_retrieval(q, facts, passages, chunks, edges, names, 4, 0.3)
+        own = sorted(((r["node"], r["score"], r["way"]) for r in got if r["qid"] == i), key=lambda x: (-round(x[1], 11), x[0]))
+        assert [(c, w) for c, _, w in own] == [(c, w) for c, _, w in want] and np.allclose([x[1] for x in own], [x[1] for x in want], atol=1e-9), i
+    assert {r["way"] for r in got if r["qid"] == 5} == {"dense"}
