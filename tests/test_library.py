@@ -199,7 +199,7 @@ def test_approximate_search_recall(spark):
     from mnemograph.plans import fixtures, vectors
 
     def recall(q, keys, **settings):
-        exact = {(r["qid"], r["id"]) for r in knn.search(q, keys, k=10).collect()}
+        exact = {(r["qid"], r["id"]) for r in knn.search(q, getattr(keys, "keys", keys), k=10).collect()}
         return len(exact & {(r["qid"], r["id"]) for r in knn.approximate(q, keys, k=10, **settings).collect()}) / len(exact)
 
     rng = np.random.default_rng(2)
@@ -207,7 +207,139 @@ def test_approximate_search_recall(spark):
     m = np.concatenate([c + rng.normal(size=(60, 8)) for c in centres])
     keys = spark.createDataFrame([(n, [float(x) for x in v]) for n, v in enumerate(m)], "id long, vec array<double>")
     q = keys.where("id % 9 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
-    assert recall(q, keys, lists=6, probes=2) >= 0.9 and recall(q, keys, lists=6, probes=6) == 1
+    assert recall(q, keys, lists=6, probes=2, parts=4) >= 0.9 and recall(q, keys, lists=6, probes=6, parts=4, refine=400) == 1
     sf = "/root/testdata/sf0.01"
     if os.path.isdir(sf):
-        assert recall(fixtures.query_vectors(spark, sf), vectors.keys_of(spark, sf), lists=12, probes=8) >= 0.9
+        q, keys = fixtures.query_vectors(spark, sf), vectors.keys_of(spark, sf)
+        made = knn.index(keys, 32)
+        assert recall(q, made, probes=24, refine=4) >= 0.9
+        scored = knn.candidates(q, made, 10, 24, 4).groupBy("qid", "scored", F.pmod("id", F.lit(1)).alias("x")).count()
+        assert scored.agg(F.max("scored")).first()[0] * 24 < keys.count() / 5
+        assert {r["list"] for r in made.keys.select("list").distinct().collect()} <= set(range(32)) and made.keys.count() == keys.count()
+
+
+def test_search_by_any_ids(spark):
+    """Queries and keys with text ids, with pairs, and of two types; a key with the query's id is left out where both are of one type."""
+    m = np.random.default_rng(4).normal(size=(20, 3))
+    rows = [(f"entity-{i}", i, [float(x) for x in v]) for i, v in enumerate(m)]
+    d = spark.createDataFrame(rows, "name string, n long, vec array<double>")
+    u = m / np.linalg.norm(m, axis=1)[:, None]
+    near = lambda i, own: [j for j in sorted(range(20), key=lambda j: -u[i] @ u[j]) if own or j != i][:3]
+    by_name = knn.search(d.select(F.col("name").alias("qid"), F.col("vec").alias("qvec")), d.select(F.col("name").alias("id"), "vec"), k=3).collect()
+    assert {(r["qid"], r["id"]) for r in by_name} == {(f"entity-{i}", f"entity-{j}") for i in range(20) for j in near(i, False)}
+    mixed = knn.search(d.select(F.col("n").alias("qid"), F.col("vec").alias("qvec")), d.select(F.col("name").alias("id"), "vec"), k=3).collect()
+    assert {(r["qid"], r["id"]) for r in mixed} == {(i, f"entity-{j}") for i in range(20) for j in near(i, True)}
+    itself = knn.search(d.select(F.col("n").alias("qid"), F.col("vec").alias("qvec")), d.select(F.col("n").alias("id"), "vec"), k=3, itself=True).collect()
+    assert {(r["qid"], r["id"]) for r in itself} == {(i, j) for i in range(20) for j in near(i, True)}
+    listed = knn.approximate(d.select(F.col("name").alias("qid"), F.col("vec").alias("qvec")), d.select(F.col("name").alias("id"), "vec"), 3, lists=4, probes=4, refine=20, parts=3).collect()
+    assert {(r["qid"], r["id"]) for r in listed} == {(r["qid"], r["id"]) for r in by_name}
+
+
+def test_overlaps_of_a_long_text(spark):
+    """A text of 100,000 words and one word of 20,000 characters; bins give each overlapping pair once."""
+    import re
+
+    words = " ".join(("Xy" if n % 7 else "Abc Def") + str(n % 3) * (n % 5) for n in range(100_000)) + " " + "Z" * 20_000
+    rnd = np.random.default_rng(9)
+    cuts = sorted({int(a) for a in rnd.integers(0, len(words), 4000)})
+    spans = [(1, a, min(a + int(n), len(words))) for a, n in zip(cuts, rnd.integers(1, 300, len(cuts)))] + [(1, 5, 5), (2, 0, 9)]
+    d = spark.createDataFrame([(1, words), (2, "one two"), (3, None)], "doc_id long, text string")
+    s = spark.createDataFrame(spans, "doc_id long, char_start int, char_end int")
+    got = [(r["doc_id"], r["token_no"], r["char_start"], r["char_end"]) for r in texts.overlaps(texts.tokens(d), s).collect()]
+    places = [m.span() for m in re.finditer(r"\S+", words)]
+    starts, ends = np.array([a for a, _ in places]), np.array([b for _, b in places])
+    want = [(1, int(n), a, b) for _, a, b in spans[:-2] for n in range(np.searchsorted(ends, a, "right"), np.searchsorted(starts, b, "left"))]
+    assert sorted(got) == sorted(want + [(2, 0, 0, 9), (2, 1, 0, 9)])
+
+
+def test_fuzzy_match_of_boilerplate(spark):
+    """Thousands of texts of one long line with a short ending of their own: candidates stay few for each; a text that all contain is found by its hash."""
+    line = "this notice is part of every page and says the same thing on each of them in the same words always "
+    left = [(n, line + f"no {n}") for n in range(3000)] + [(9000, line.strip()), (9001, line.strip()[1:]), (9002, line.strip()[12:])]
+    right = [(n, line + f"no {n} x") for n in range(3000)]
+    a, b = spark.createDataFrame(left, "lid long, text string"), spark.createDataFrame(right, "rid long, text string")
+    got = {r["lid"]: r["rid"] for r in texts.fuzzy_match(a, b).collect()}
+    want = {n: n for n in range(3000)} | {9000: 0, 9001: 0}
+    near = {n: min((m for m in range(3000) if f"no {n}" in f"no {m} x" and (f"no {m} x").startswith(f"no {n}")), default=None) for n in range(0, 3000, 97)}
+    assert all(got[n] == near[n] for n in near) and got[9000] == want[9000] and got[9001] == want[9001] and len(got) == 3002
+
+
+def test_run_log_over_ranges(spark):
+    """One file over many ranges, metric lines before the first epoch line, files that end within a range."""
+    rows, want, epoch = [], [], None
+    for n in range(400):
+        if n % 37 == 9:
+            epoch = n
+            rows.append(("long", n, f"Epoch {n}/999"))
+        else:
+            rows.append(("long", n, f"x Train Loss: {n}.5"))
+            want.append(("long", epoch, "Train Loss", n + 0.5))
+    for f in range(30):
+        rows += [(f"short {f}", 0, f"Epoch {f}/9"), (f"short {f}", 1, "Val Loss: 1.25"), (f"short {f}", 2, None)]
+        want.append((f"short {f}", f, "Val Loss", 1.25))
+    got = stores.run_log(spark.createDataFrame(rows, "file string, n long, value string").repartition(5))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert stores.run_log(spark.createDataFrame([], "file string, n long, value string")).count() == 0
+
+
+def test_enrichment_asks_once_a_key(spark, tmp_path):
+    """The model is called once for each missing key, however often a key is asked for and however often the result is used."""
+
+    def model(d):
+        def run(batches):
+            import uuid
+
+            import pyarrow as pa
+
+            for batch in batches:
+                keys = batch.column("key").to_pylist()
+                for k in keys:
+                    (tmp_path / f"{k}-{uuid.uuid4().hex}").write_text("")
+                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([f"r {k}" for k in keys], pa.string())], ["key", "result"])
+
+        return d.select("key").mapInArrow(run, "key string, result string")
+
+    asked = spark.createDataFrame([(n, f"k{n % 5}") for n in range(40)], "id long, key string").repartition(4)
+    cache = spark.createDataFrame([("k0", "old"), ("k9", "other")], "key string, result string")
+    rows, new = enrich.completed(asked, cache, model)
+    assert {(r["id"], r["result"]) for r in rows.collect()} == {(n, "old" if n % 5 == 0 else f"r k{n % 5}") for n in range(40)}
+    rows.count(), new.count()
+    again, none = enrich.completed(asked, cache.union(new), model)
+    assert again.count() == 40 and none.count() == 0
+    assert sorted(f.name[:2] for f in tmp_path.iterdir()) == ["k1", "k2", "k3", "k4"]
+
+
+def test_labelled_samples_brute_force(spark):
+    import hashlib
+    import re
+
+    docs = [(1, "Chapter 1\nNew York and San Marco met Old Tom Joad there.\nmore of it"), (2, "no names in this text at all"), (3, None), (4, "Big Ben Ben " + " ".join(f"Aa Bb{n}," for n in range(20))), (5, "  New York and San Marco met Old Tom Joad there. ")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    key = lambda span, text: hashlib.md5((span + "|" + text[:100]).encode()).hexdigest()
+    want, labels = {}, {}
+    for i, t in docs:
+        body = (t or "").strip().removeprefix("Chapter 1\n").strip()
+        found = [(m.start(), m.end(), m.group()) for m in re.finditer(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b", body)][:10]
+        for n, (a, b, span) in enumerate(found):
+            if n != 1:  # every second span has no label
+                labels[key(span, body)] = [float(n), 2.0]
+        own = [(a, b, s, labels[key(s, body)]) for a, b, s in found if key(s, body) in labels]
+        if own:
+            want[i] = (body, own)
+    spans = texts.keyed_spans(d)
+    got = texts.labelled_samples(spans, spark.createDataFrame([*labels.items(), *labels.items()], "label_key string, soft_label array<double>")).collect()
+    assert {r["doc_id"] for r in got} == set(want)
+    for r in got:
+        body, own = want[r["doc_id"]]
+        assert r["text"] == body and [(t["char_start"], t["char_end"], t["span_text"], t["soft_label"]) for t in r["targets"]] == own
+        assert all(abs(t["intensity"] - np.hypot(*t["soft_label"])) < 1e-9 for t in r["targets"])
+
+
+def test_merged_texts_in_pieces(spark):
+    """Parts in order; a text over the bound goes on in further pieces and loses nothing."""
+    d = spark.createDataFrame([(n, "Same\n" + chr(97 + n) * 10) for n in range(12)] + [(50, "Other")], "place long, text string")
+    whole = {(r["first_line"], r["piece"]): r["merged"] for r in texts.merged_by_first_line(d, "P: ").collect()}
+    cut = sorted((r["first_line"], r["piece"], r["merged"]) for r in texts.merged_by_first_line(d, "P: ", most=40).collect())
+    assert set(whole) == {("Same", 0), ("Other", 0)} and whole["Other", 0] == "P: Other"
+    assert whole["Same", 0] == "P: Same\n" + "\n".join(chr(97 + n) * 10 for n in range(12))
+    assert "".join(m for f, _, m in cut if f == "Same") == whole["Same", 0] and len(cut) > 3
