@@ -93,6 +93,23 @@ def test_links_brute_force(spark):
     assert got == want
 
 
+def test_links_in_cells(spark):
+    """Points in clusters far from one another: equal to brute force, and few of the pairs are computed."""
+    rng = np.random.default_rng(12)
+    v = np.concatenate([c + rng.normal(size=(60, 4)) * 0.05 for c in rng.normal(size=(8, 4))])
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    r = rng.uniform(4, 6, len(v))
+    d = spark.createDataFrame([(i, [float(x) for x in u[i]], float(r[i])) for i in range(len(v))], "id long, unit array<double>, radius double").repartition(8, "id")
+    compared = spark.sparkContext.accumulator(0)
+    got = {(x["src"], x["dst"]) for x in retrieve.hyperbolic_links(d, block=16, compared=compared).collect()}
+    z = u * np.tanh(r / 2)[:, None]
+    s = (z * z).sum(1)
+    want = {(i, j) for i in range(len(v)) for j in range(len(v)) if i != j and np.arccosh(1 + 2 * ((z[i] - z[j]) ** 2).sum() / ((1 - s[i]) * (1 - s[j]) + 1e-7)) < 1.5}
+    assert got == want and want
+    assert compared.value < len(v) ** 2 / 2, compared.value
+    assert retrieve.hyperbolic_links(d.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("small", [0, 5_000_000])
 def test_pagerank_dense_solve(spark, small):
     rng = np.random.default_rng(1)
