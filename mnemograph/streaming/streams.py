@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from mnemograph.functions import decay, text
 from mnemograph.sources import stores
@@ -43,32 +43,68 @@ def windowed_strength(stream: DataFrame, now: str, gamma: float, length: str = "
     return out.select(F.col("span.start").alias("start"), F.col("span.end").alias("end"), "user_id", "strength", "n")
 
 
+#: The state store that typed state and timers need.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class DecayingParticle(StatefulProcessor):
+    """One particle's newest event as typed state, and a timer at the moment at which it is forgotten."""
+
+    def __init__(self, gamma: float):
+        self.gamma = gamma
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.particle = handle.getValueState("particle", "born double, mass double")
+
+    def ends(self, born: float, mass: float) -> float:
+        """When the radius 2 * mass has fallen to the threshold."""
+        return born + mass / self.gamma * log(2 * mass / decay.FORGET) if 2 * mass > decay.FORGET else born
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known = self.particle.get() if self.particle.exists() else None
+        newest = known
+        for some in rows:  # one frame at a time: a busy particle's events are never all held
+            last = some.loc[some["ts"].idxmax()]
+            born = last["ts"].timestamp()
+            if newest is None or born >= newest[0]:
+                newest = (born, float(last["mass"]))
+            yield pd.DataFrame({"id": [key[0]] * len(some), "event": ["set"] * len(some), "at": [t.timestamp() for t in some["ts"]], "mass": some["mass"].astype(float).tolist()})
+        if newest is None or (known is not None and tuple(known) == tuple(newest)):
+            return
+        self.particle.update(tuple(newest))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max(int(self.ends(*newest) * 1000), timerValues.getCurrentWatermarkInMs() + 1))
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        born, mass = self.particle.get()
+        self.particle.clear()
+        yield pd.DataFrame({"id": [key[0]], "event": ["forgotten"], "at": [self.ends(born, mass)], "mass": [mass]})
+
+    def close(self) -> None:
+        pass
+
+
 def decay_states(stream: DataFrame, gamma: float, late: str = LATE) -> DataFrame:
-    """(id, event, at, mass): one state per particle; a new event sets its mass anew, and time evicts it once forgotten.
+    """(id, event, at, mass): one state per particle; a newer event sets its mass anew, and time evicts it once forgotten.
 
     stream(id long, ts, mass). Emits `set` for each event and `forgotten` when the
     watermark passes the moment at which the radius 2 * mass falls under the threshold.
+    The session must keep state in RocksDB; it is set here where no store is named.
     """
+    spark = stream.sparkSession
+    name = "spark.sql.streaming.stateStore.providerClass"
+    if "RocksDB" not in spark.conf.get(name):
+        spark.conf.set(name, ROCKS)
+    grouped = stream.select("id", "ts", "mass").withWatermark("ts", late).groupBy("id")
+    return grouped.transformWithStateInPandas(DecayingParticle(gamma), "id long, event string, at double, mass double", "append", "eventTime")
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            mass, at = state.get
-            state.remove()
-            yield pd.DataFrame({"id": [key[0]], "event": ["forgotten"], "at": [at], "mass": [mass]})
-            return
-        last = None
-        for rows in batches:  # one at a time: a busy particle's events are never all held
-            newest = rows.loc[rows["ts"].idxmax()]
-            if last is None or newest["ts"] >= last["ts"]:
-                last = newest
-            yield pd.DataFrame({"id": [key[0]] * len(rows), "event": ["set"] * len(rows), "at": [t.timestamp() for t in rows["ts"]], "mass": rows["mass"].astype(float).tolist()})
-        mass, born = float(last["mass"]), last["ts"].timestamp()
-        at = born + mass / gamma * log(2 * mass / decay.FORGET) if 2 * mass > decay.FORGET else born
-        state.update((mass, at))
-        state.setTimeoutTimestamp(max(int(at * 1000), state.getCurrentWatermarkMs() + 1))
 
-    grouped = stream.select("id", "ts", "mass").withWatermark("ts", late).groupBy("id")
-    return grouped.applyInPandasWithState(step, "id long, event string, at double, mass double", "mass double, at double", "append", GroupStateTimeout.EventTimeTimeout)
+def particle_states(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(id, born, mass) of the particles that a decay query's checkpoint holds, running or not."""
+    d = spark.read.format("statestore").option("stateVarName", "particle").load(checkpoint)
+    return d.select(F.col("key.id").alias("id"), "value.born", "value.mass")
 
 
 #: Buckets of an upserted snapshot.

@@ -303,6 +303,31 @@ def test_eviction(spark, tmp_path):
     assert 1 in {r["id"] for r in got if r["event"] == "forgotten"}
 
 
+def test_decay_state_outlives_a_restart(spark, tmp_path):
+    """The checkpoint holds the newest event of each living particle; a restarted query goes on from there, and a late event changes nothing."""
+    from mnemograph.streaming import streams
+
+    schema = "id long, ts timestamp, mass double"
+
+    def put(n, rows):
+        spark.createDataFrame(rows, "id long, d int, mass double").selectExpr("id", "timestamp'2024-01-01' + make_interval(0,0,0,d) AS ts", "mass").coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+
+    def run():
+        s = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*")
+        q = streams.decay_states(s, 1 / 86400, late="20 days").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return {(r["id"], (r["born"] - 1704067200) / 86400, r["mass"]) for r in streams.particle_states(spark, f"{tmp_path}/state").collect()}
+
+    put(1, [(1, 0, 1.0), (1, 2, 3.0), (2, 1, 50.0)])
+    assert run() == {(1, 2.0, 3.0), (2, 1.0, 50.0)}
+    put(2, [(1, 1, 9.0), (3, 4, 2.0)])
+    assert run() == {(1, 2.0, 3.0), (2, 1.0, 50.0), (3, 4.0, 2.0)}
+    put(3, [(4, 90, 1.0)])
+    assert run() == {(2, 1.0, 50.0), (4, 90.0, 1.0)}
+    out = spark.read.schema("id long, event string, at double, mass double").parquet(f"{tmp_path}/out").collect()
+    assert sorted(r["id"] for r in out if r["event"] == "forgotten") == [1, 3] and sum(r["event"] == "set" for r in out) == 6
+
+
 def test_pages_with_fallback(spark, tmp_path):
     """One row per page however the table is dealt, each decoded by its own charset."""
     import hashlib
