@@ -159,3 +159,63 @@ def test_heap_opens_blocks_when_reached():
     assert n == len(runs[0]) - 1
     large = source_divergence.share(source_divergence.exact([10**12]), source_divergence.exact([10**13]), 7)
     assert large.tolist() == [1 + 10**9 * (10**12 + 1) // (10**13 + 7)]
+
+
+def brute_covering(rows, names, cuts, limits):
+    """Sequential covering row by row: FOIL gain over all conditions, the best beginning on the pruning rows, until a rule isn't good enough."""
+    import math
+
+    most_conditions, most_rules, least_cover, precision = limits
+    met = lambda r, rule: all((r[n] >= c) if way == ">=" else (r[n] < c) for n, way, c in rule)
+    mass = lambda rs: (sum(r["weight"] for r in rs if r["bad"]), sum(r["weight"] for r in rs if not r["bad"]))
+    found, left = [], rows
+    while len(found) < most_rules:
+        rule, own = [], [r for r in left if not r["prune"]]
+        while len(rule) < most_conditions:
+            own = [r for r in own if met(r, rule)]
+            b, g = mass(own)
+            if not b or not g:
+                break
+            now, best, gain = math.log2(b / (b + g)), None, 1e-9
+            for n in names:
+                for way in (">=", "<"):
+                    for c in range(1, len(cuts[n]) + 1):
+                        x, y = mass([r for r in own if met(r, [(n, way, c)])])
+                        if x and x * (math.log2(x / (x + y)) - now) > gain + 1e-12:
+                            best, gain = (n, way, c), x * (math.log2(x / (x + y)) - now)
+            if best is None:
+                break
+            rule.append(best)
+        if not rule:
+            break
+        value = []
+        for k in range(1, len(rule) + 1):
+            b, g = mass([r for r in left if r["prune"] and met(r, rule[:k])])
+            value.append(((b - g) / max(1, b + g), -k, b, g))
+        _, k, b, g = max(value)
+        rule = rule[:-k]
+        if b < least_cover or b < precision * (b + g):
+            break
+        left = [r for r in left if not met(r, rule)]
+        found.append([(n, way, cuts[n][c - 1]) for n, way, c in rule])
+    return found
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_covering_rules_brute_force(spark, seed):
+    """Two causes of bad rows and noise: the learned list is the one that plain covering finds."""
+    from mnemograph.llm import quality_rules
+
+    rnd = random.Random(seed)
+    names = ["a", "b", "c"]
+    rows = []
+    for n in range(700):
+        r = {x: rnd.randrange(6) for x in names}
+        bad = (r["a"] >= 4 and r["b"] < 2) or r["c"] >= 5
+        rows.append({"prune": n % 3 == 2, "bad": bad != (rnd.random() < 0.04), "weight": 1.0 + (n % 4) / 8, **r})
+    learner = quality_rules.Learner.__new__(quality_rules.Learner)
+    learner.names, learner.cuts = names, {x: [float(10 * k) for k in range(1, 6)] for x in names}
+    learner.rows = spark.createDataFrame([tuple(r.values()) for r in rows], "prune boolean, bad boolean, weight double, a int, b int, c int")
+    limits = (quality_rules.MOST_CONDITIONS, quality_rules.MOST_RULES, quality_rules.LEAST_COVER, quality_rules.PRECISION)
+    got = learner.rules()
+    assert got == brute_covering(rows, names, learner.cuts, limits) and len(got) >= 2
