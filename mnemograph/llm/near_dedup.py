@@ -18,8 +18,8 @@ No bucket is expanded into all its pairs. First each node is held against one
 representative, the bucket minimum it shares most bands with. In a few turns, nodes whose bucket holds
 another component are held against one other hub each. Last, the nodes outside a
 bucket's largest component are compared with the bucket's nodes of other
-components by size and a parity bitmap, an exact filter inside the join unless a
-node repeats shingles; only pairs that pass leave it to be verified.
+components by size and a parity bitmap, an exact filter inside the join; only
+pairs that pass leave it to be verified.
 Nothing of a whole bucket is in one task: representatives are map-side minima,
 and a join by bucket broadcasts its smaller side behind a count or, past that, is
 a sorted join whose skewed buckets Spark splits. Probability of a pair at similarity 0.8 sharing
@@ -188,9 +188,9 @@ def sketched(docs: DataFrame, doc_id: str, text: str, bands: int, rows: int) ->
 
 
 def contents(docs: DataFrame, keys: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(key, grams, counts, n, parity) of the wanted nodes: their sorted distinct shingle hashes, from the texts of their least ids.
+    """(key, grams, counts, n, total, parity) of the wanted nodes: their n sorted distinct shingle hashes, from the texts of their least ids.
 
-    counts: how often each occurs, null if all do once. parity: PARITY words of 64 bits;
+    counts: how often each occurs, null if all do once; total: all of them. parity: PARITY words of 64 bits;
     a shingle flips one bit.
     """
     ids = nodes.join(keys, "key", "left_semi").select("id").distinct()
@@ -207,24 +207,26 @@ def contents(docs: DataFrame, keys: DataFrame, nodes: DataFrame, doc_id: str, te
                 if words and key not in got:
                     grams, counts = np.unique(shingles(words), return_counts=True)
                     bits = np.bincount((grams >> np.uint64(20)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
-                    got[key] = (grams.tobytes(), counts.astype(np.uint32).tobytes() if counts.max() > 1 else None, len(grams), np.packbits(bits.astype(np.uint8)).view(np.int64).tolist())
-            cols = list(zip(*got.values())) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(got.keys(), pa.binary()), pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.list_(pa.int64()))], ["key", "grams", "counts", "n", "parity"])
+                    got[key] = (grams.tobytes(), counts.astype(np.uint32).tobytes() if counts.max() > 1 else None, len(grams), int(counts.sum()), np.packbits(bits.astype(np.uint8)).view(np.int64).tolist())
+            cols = list(zip(*got.values())) or [()] * 5
+            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(got.keys(), pa.binary()), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["key", "grams", "counts", "n", "total", "parity"])
 
-    return found.mapInArrow(run, "key binary, grams binary, counts binary, n long, parity array<long>").dropDuplicates(["key"]).join(keys, "key", "left_semi")
+    return found.mapInArrow(run, "key binary, grams binary, counts binary, n long, total long, parity array<long>").dropDuplicates(["key"]).join(keys, "key", "left_semi")
 
 
 def may_match(a: str, b: str, threshold: float) -> Column:
     """Whether two sets can reach the threshold: sizes are near, and parities differ in no more bits than the sets may.
 
     Each shingle of one set alone flips one bit, so differing bits never outnumber
-    them: no pair over the threshold is lost. Sets say nothing of weights, so a pair with
-    a node that repeats shingles always may.
+    them: no pair over the threshold is lost. By counts, the shingles of either side alone
+    have at most 1 - threshold of its mass, so they are at most that share of its total.
     """
     n, m = F.col(a + "n"), F.col(b + "n")
     apart = sum((F.bit_count(F.col(f"{a}p{k}").bitwiseXOR(F.col(f"{b}p{k}"))) for k in range(PARITY)), F.lit(0))
     sets = (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9) & (apart <= (n + m) * ((1 - threshold) / (1 + threshold)) + 1e-9)
-    return F.col(a + "repeats") | F.col(b + "repeats") | sets
+    t, u = (1 - threshold) * F.col(a + "total") + 1e-9, (1 - threshold) * F.col(b + "total") + 1e-9
+    return sets | ((F.col(a + "total") + F.col(b + "total") > n + m) & (apart <= t + u) & (n - m <= t) & (m - n <= u))
 
 
 def probability_jaccard(u: np.ndarray, cu: np.ndarray, v: np.ndarray, cv: np.ndarray) -> float:
@@ -298,7 +300,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     grams = stored(contents(docs, members.select("key").distinct(), nodes, doc_id, text), "grams")
     links = stored(verified(star, grams, threshold), "links")
     labels = components(links)
-    shape = grams.select("key", "n", F.col("counts").isNotNull().alias("repeats"), *(F.col("parity")[k].alias(f"p{k}") for k in range(PARITY)))
+    shape = grams.select("key", "n", "total", *(F.col("parity")[k].alias(f"p{k}") for k in range(PARITY)))
     placed = members.join(labels.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("comp", "key").alias("comp"))
     placed = stored(mixed_only(placed).join(shape, "key"), "placed")
     moves: list[DataFrame] = []
