@@ -219,14 +219,17 @@ def may_match(a: str, b: str, threshold: float) -> Column:
     """Whether two sets can reach the threshold: sizes are near, and parities differ in no more bits than the sets may.
 
     Each shingle of one set alone flips one bit, so differing bits never outnumber
-    them: no pair over the threshold is lost. By counts, the shingles of either side alone
-    have at most 1 - threshold of its mass, so they are at most that share of its total.
+    them: no pair over the threshold is lost. The sizes' difference then says how many each
+    side has alone, at least. By counts, with masses U and W of either side alone, the probability Jaccard
+    is at most 1 / (1 + U / (1 - U) + W / (1 - W)), as its terms are concave in the shares of
+    the common shingles; a shingle alone has at least 1 of its side's total.
     """
     n, m = F.col(a + "n"), F.col(b + "n")
     apart = sum((F.bit_count(F.col(f"{a}p{k}").bitwiseXOR(F.col(f"{b}p{k}"))) for k in range(PARITY)), F.lit(0))
     sets = (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9) & (apart <= (n + m) * ((1 - threshold) / (1 + threshold)) + 1e-9)
-    t, u = (1 - threshold) * F.col(a + "total") + 1e-9, (1 - threshold) * F.col(b + "total") + 1e-9
-    return sets | ((F.col(a + "total") + F.col(b + "total") > n + m) & (apart <= t + u) & (n - m <= t) & (m - n <= u))
+    t, u = F.col(a + "total"), F.col(b + "total")
+    x, y = F.greatest(F.lit(0.0), (apart + n - m) / 2), F.greatest(F.lit(0.0), (apart + m - n) / 2)
+    return sets | ((t + u > n + m) & (x < t) & (y < u) & (x * (u - y) + y * (t - x) <= (1 / threshold - 1 + 1e-9) * (t - x) * (u - y)))
 
 
 def probability_jaccard(u: np.ndarray, cu: np.ndarray, v: np.ndarray, cv: np.ndarray) -> float:

@@ -587,3 +587,31 @@ def test_byte_bpe_of_any_characters():
     lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.vocabulary.ranks, special_tokens={})
     made = ["".join(chr(RND.choice([RND.randrange(32, 127), RND.randrange(0, 0x300), RND.randrange(0, 0x500), 97, 116, 104, 101, 32, 32, 10])) for _ in range(RND.randrange(80))) for _ in range(1500)]
     assert [x.tolist() for x in codec.encode_all(made)] == lib.encode_ordinary_batch(made)
+
+
+def test_bound_of_counted_pairs_loses_no_link(spark):
+    """Pairs with tails of their own and repeated passages: who reaches 0.8 by sets or by counts also passes the filter of the join."""
+    rng = np.random.default_rng(5)
+    shapes = []
+    for key in range(60):
+        if key % 20 == 0:
+            core, often = rng.choice(1 << 40, 12, replace=False).astype(np.uint64) << np.uint64(20), rng.integers(10, 14, 12)
+        own = rng.choice(1 << 62, rng.integers(0, 60), replace=False).astype(np.uint64)
+        have = rng.integers(11, 13)
+        grams = np.concatenate([core[:have], own])
+        counts = np.concatenate([often[:have] * rng.integers(1, 4), np.ones(len(own), np.int64)])
+        order = np.argsort(grams)
+        bits = np.bincount((grams >> np.uint64(20)).astype(np.int64) % (64 * near_dedup.PARITY), minlength=64 * near_dedup.PARITY) & 1
+        shapes.append((key, grams[order], counts[order], np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()))
+    parities = [f"p{k}" for k in range(near_dedup.PARITY)]
+    rows = spark.createDataFrame([(k, len(g), int(c.sum()), *p) for k, g, c, p in shapes], ["key", "n", "total", *parities])
+    left, right = (rows.select(*(F.col(c).alias(x + c) for c in rows.columns)) for x in ("a_", "b_"))
+    passed = {tuple(r) for r in left.join(right, (F.col("a_key") < F.col("b_key")) & near_dedup.may_match("a_", "b_", 0.8)).select("a_key", "b_key").collect()}
+    linked, pairs = set(), 0
+    for i, u, cu, _ in shapes:
+        for j, v, cv, _ in shapes[i + 1 :]:
+            pairs += 1
+            common = len(np.intersect1d(u, v))
+            if near_dedup.probability_jaccard(u, cu, v, cv) >= 0.8 or common >= 0.8 * (len(u) + len(v) - common):
+                linked.add((i, j))
+    assert linked and linked <= passed and len(passed) < pairs / 2
