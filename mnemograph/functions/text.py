@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,6 +49,11 @@ SPACE_RUN = r"(?U)\s+"
 JSON_DEPTH = 8
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used: expressions inside lambdas and branches are not shared by Spark."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def hash_id(text: Column, prefix: str = "") -> Column:
     return F.concat(F.lit(prefix), F.md5(text.cast("binary")))
 
@@ -126,32 +133,33 @@ def emotion_words() -> list[tuple[str, str]]:
 
 
 def emotion_shares(text: Column) -> Column:
-    """Map category to share of lexicon words; neutral 1 without any; all 0 for blank text."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0))
+    """Map category to share of lexicon words; neutral 1 without any; all 0 for blank text. The words are found once."""
+    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0)), lambda w: w.isin(list(LEXICON)))
+    blank = F.coalesce(F.trim(text) == "", F.lit(True))
 
-    def named(category: str) -> Column:
-        known = [w for w, c in LEXICON.items() if c == category]
-        return F.size(F.filter(words, lambda w: w.isin(known)))
+    def shares(found: Column) -> Column:
+        def named(category: str) -> Column:
+            return F.size(F.filter(found, lambda w: w.isin([w for w, c in LEXICON.items() if c == category])))
 
-    counts = {c: named(c) for c in CATEGORIES}
-    whole = sum(counts.values(), F.lit(0))
-    blank = F.coalesce(F.trim(text) == "", F.lit(True))
-    share = lambda c: F.when(blank, 0.0).when(whole == 0, 1.0 if c == "neutral" else 0.0).otherwise(F.try_divide(counts[c], whole))
-    return F.create_map(*(x for c in CATEGORIES for x in (F.lit(c), share(c))))
+        share = lambda c: F.when(blank, 0.0).when(F.size(found) == 0, 1.0 if c == "neutral" else 0.0).otherwise(F.try_divide(named(c), F.size(found)))
+        return F.create_map(*(x for c in CATEGORIES for x in (F.lit(c), share(c))))
+
+    return bound(words, shares)
 
 
 def intensity(shares: Column) -> Column:
-    return F.greatest(*(shares[c] for c in CATEGORIES if c != "neutral"))
+    return F.array_max(F.map_values(F.map_filter(shares, lambda c, _: c != "neutral")))
 
 
 def emotion_vector(response: Column) -> Column:
-    """Unit vector of the scores in a model's response: JSON, else name by name; uniform where all are 0."""
+    """Unit vector of the scores in a model's response: JSON, else name by name; uniform where all are 0. The response is parsed once."""
     text = F.regexp_extract(response, r"\{[^{}]*\}", 0)
     parsed = F.from_json(F.when(text != "", text).otherwise(response), "map<string,double>")
     by_name = lambda e: F.nullif(F.regexp_extract(response, rf'"{e}"\s*:\s*([0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?)', 1), F.lit("")).cast("double")
-    raw = F.array(*(F.coalesce(F.when(parsed.isNotNull(), parsed[e]).otherwise(by_name(e)), F.lit(0.0)) for e in EMOTIONS))
-    size = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(size > 0, F.transform(raw, lambda x: x / size)).otherwise(F.array_repeat(F.lit(1.0 / len(EMOTIONS)), len(EMOTIONS)))
+    raw = bound(parsed, lambda found: F.array(*(F.coalesce(F.when(found.isNotNull(), found[e]).otherwise(by_name(e)), F.lit(0.0)) for e in EMOTIONS)))
+    even = F.array_repeat(F.lit(1.0 / len(EMOTIONS)), len(EMOTIONS))
+    unit = lambda v, size: F.when(size > 0, F.transform(v, lambda x: x / size)).otherwise(even)
+    return bound(raw, lambda v: bound(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)), lambda size: unit(v, size)))
 
 
 def answer_after_marker(text: Column, marker: str = "Answer:") -> Column:

@@ -45,7 +45,9 @@ def encoded(df: DataFrame, column: str = "text", out: str = "vector", model: Mod
     from pyspark.ml.functions import vector_to_array
 
     t = F.lower(F.concat(F.lit(instruction), F.coalesce(column, F.lit(""))))
-    grams = F.when(F.length(t) >= 3, F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substring(t, i, F.lit(3)))).otherwise(F.array(t))
+    # letters once a text, as a substring by place would go through the text again for each gram
+    three = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 3), lambda i: F.concat(F.get(c, i), F.get(c, i + 1), F.get(c, i + 2)))
+    grams = text.bound(t, lambda x: F.when(F.length(x) >= 3, text.bound(F.split(x, ""), three)).otherwise(F.array(x)))
     coded = HashingTF(inputCol="grams_", outputCol="coded_", numFeatures=DIMS).transform(df.withColumn("grams_", grams))
     values = vector_to_array("coded_")
     return coded.select(*df.columns, (vec.unit(values) if normalise else values).alias(out))
@@ -55,8 +57,7 @@ def emotions(df: DataFrame, column: str = "text", out: str = "emotions", model:
     """df with an emotion vector of each text. Default model: shares of the lexicon's categories."""
     if model:
         return by_model(df, column, out, model, batch)
-    shares = text.emotion_shares(F.col(column))
-    return df.withColumn(out, F.array(*(shares[c] for c in text.CATEGORIES)))
+    return df.withColumn(out, F.map_values(text.emotion_shares(F.col(column))))  # in the order of CATEGORIES
 
 
 def properties(v: Column) -> dict[str, Column]:
@@ -74,9 +75,8 @@ def particles(texts: DataFrame, descriptions: DataFrame | None = None, model: Mo
     An entity's vector is of its description, from descriptions(text_id, entity,
     description); where there is none, of the sentences that name it.
     """
-    e = texts.where("text IS NOT NULL").select("text_id", "text", F.explode(text.rule_entities(F.col("text"))).alias("entity"))
-    sentences = F.filter(F.split("text", r"[.!?]+"), lambda s: F.contains(s, F.col("entity")))
-    e = e.select("text_id", "entity", F.array_join(sentences, ". ").alias("own"))
+    naming = lambda sentences: F.transform(text.rule_entities(F.col("text")), lambda e: F.struct(e.alias("entity"), F.array_join(F.filter(sentences, lambda s: F.contains(s, e)), ". ").alias("own")))
+    e = texts.where("text IS NOT NULL").select("text_id", F.inline(text.bound(F.split("text", r"[.!?]+"), naming)))  # no copy of the text a row
     if descriptions is None:
         e = e.withColumn("description", F.lit(None).cast("string"))
     else:
