@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemograph.functions import text
-from mnemograph.operators import enrich
+from mnemograph.operators import enrich, knn
 
 
 def plan(df):
@@ -37,3 +37,21 @@ def test_encoder_lowers_a_text_once(spark):
     for i in range(len(low) - 2):
         want[tf.indexOf(low[i : i + 3])] += 1
     assert (got[1] == want).all() and got[2].sum() == got[3].sum() == 1
+
+
+def test_sums_of_all_positive_cosines(spark):
+    """Every positive pair counts, beyond any number of nearest ones; the query itself doesn't."""
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(90, 4))
+    m[7] = 0
+    u = m / np.maximum(np.linalg.norm(m, axis=1), 1e-300)[:, None]
+    keys = spark.createDataFrame([(i, v.tolist(), i % 3 if i % 10 else None) for i, v in enumerate(m)] + [(99, None, 1)], "id long, vec array<double>, node int").repartition(3)
+    q = keys.where("id < 5").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    got = {(r["qid"], r["node"]): r["sim"] for r in knn.sums(q, keys, block=2, slab=16).collect()}
+    want = {}
+    for a in range(5):
+        for b in range(90):
+            if a != b and u[a] @ u[b] > 0:
+                k = (a, b % 3 if b % 10 else None)
+                want[k] = want.get(k, 0) + u[a] @ u[b]
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
