@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemograph.functions import text
-from mnemograph.operators import enrich, knn
+from mnemograph.operators import enrich, graph, knn
 
 
 def plan(df):
@@ -55,3 +55,22 @@ def test_sums_of_all_positive_cosines(spark):
                 k = (a, b % 3 if b % 10 else None)
                 want[k] = want.get(k, 0) + u[a] @ u[b]
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_synonyms_of_equal_vectors(spark):
+    """Many names on few vectors: as brute force, from a search of the distinct vectors alone."""
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(6, 3))
+    own = [int(x) for x in rng.integers(0, 6, 80)]
+    names = [f"entity {i:02d}" if i % 7 else "" if i % 2 else "x" for i in range(80)]
+    d = spark.createDataFrame([(i, names[i], m[own[i]].tolist()) for i in range(80)], "id long, name string, vec array<double>").repartition(3)
+    u = m / np.linalg.norm(m, axis=1)[:, None]
+    w = np.round(u @ u.T, 12)
+    for most in (2, 101):
+        want = set()
+        for a in range(80):
+            if len(names[a].replace(" ", "")) > 2:
+                others = [b for b in range(80) if b != a and names[b] and w[own[a], own[b]] >= 0.3]
+                want |= {(a, b) for b in sorted(others, key=lambda b: (-w[own[a], own[b]], b))[:most]}
+        assert {(r["src"], r["dst"]) for r in graph.synonym_edges(d, 0.3, most).collect()} == want
+    assert graph.vector_classes(d, "classes")[1].count() == 6
