@@ -74,3 +74,14 @@ def test_synonyms_of_equal_vectors(spark):
                 want |= {(a, b) for b in sorted(others, key=lambda b: (-w[own[a], own[b]], b))[:most]}
         assert {(r["src"], r["dst"]) for r in graph.synonym_edges(d, 0.3, most).collect()} == want
     assert graph.vector_classes(d, "classes")[1].count() == 6
+
+
+def test_mentions_are_made_once(spark):
+    """A deletion goes through the mentions once; a passage's edges follow its chunk and only the entities' are joined."""
+    t = spark.createDataFrame([("c1", "a", "p", "b"), ("c1", "a", "q", "a"), ("c2", "a", "p", "b"), ("c2", "b", "q", "d"), ("c3", "d", "q", "e"), ("c4", "a", "r", "e")], "chunk_id string, s string, p string, o string")
+    deleted = spark.createDataFrame([("c2",), ("c2",), ("c3",)], "chunk_id string")
+    left = graph.survivors(graph.mentions(t), deleted)
+    assert plan(left).count("explode(") == 1
+    assert {tuple(r) for r in left.collect()} == {("a", 2), ("b", 1), ("d", 0), ("e", 1)}
+    edges = graph.delete(t, graph.build(t)[1], deleted)["edges"]
+    assert {tuple(r) for r in edges.collect()} == {("a", "b", 2.0), ("b", "a", 2.0), ("a", "e", 1.0), ("e", "a", 1.0), ("c1", "a", 1.0), ("c1", "b", 1.0), ("c4", "a", 1.0), ("c4", "e", 1.0)}
