@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemograph.functions import text
-from mnemograph.operators import enrich, evaluate, graph, knn, ranking
+from mnemograph.operators import enrich, evaluate, graph, knn, ranking, retrieve
 
 
 def plan(df):
@@ -111,3 +111,16 @@ def test_best_in_tasks(spark):
     got = ranking.best_in_tasks(d, 5, size=100)
     assert rows(got) == rows(ranking.top_k(d, 5)) and got.count() == 35 and "MapInArrow" in plan(got)
     assert ranking.best_in_tasks(d.limit(0), 5).count() == 0
+
+
+def test_lists_of_links(spark):
+    """One row a point, as from the pairs; the lists come from the tasks, unshuffled."""
+    rng = np.random.default_rng(9)
+    m = rng.normal(size=(70, 3))
+    d = spark.createDataFrame([(i, (v / np.linalg.norm(v)).tolist(), float(r)) for i, (v, r) in enumerate(zip(m, rng.uniform(0, 3, 70)))], "id long, unit array<double>, radius double")
+    want = {}
+    for r in sorted(retrieve.hyperbolic_links(d, block=16).collect(), key=lambda r: (round(r["distance"], 6), r["dst"])):
+        want.setdefault(r["src"], []).append(r["dst"])
+    lists = retrieve.hyperbolic_links(d, block=16, lists=True)
+    assert {r["src"]: r["dsts"] for r in lists.collect()} == want and want
+    assert "Exchange" not in lists._jdf.queryExecution().executedPlan().toString()
