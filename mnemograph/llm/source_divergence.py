@@ -79,32 +79,41 @@ class Postings:
     def spilled(self, shards: int, block: int) -> Iterator[tuple]:
         """The run's blocks (shard, lang, head, terms, docs, sizes, sources, counts), in order of language, shard and term. Empties it."""
         for lang, docs in self.docs.items():
-            found = defaultdict(list)
-            for (g, source), counts in self.counts.items():
-                if g == lang:
-                    for entry in counts.items():
-                        found[entry[0]].append((source, entry[1]))
-            cut = defaultdict(list)
-            for term in sorted(found):
-                cut[zlib.crc32(term) % shards].append(term)
-            for shard, terms in cut.items():
-                at = 0
-                while at < len(terms):
-                    own, n, first = [], 0, at
-                    while at < len(terms) and n < block:
-                        own += found[terms[at]]
-                        n = len(own)
-                        at += 1
-                    part = terms[first:at]
-                    yield shard, lang, part[0], part, [docs[t] for t in part], [len(found[t]) for t in part], [s for s, _ in own], [c for _, c in own]
+            if not docs:
+                continue
+            own = [(source, counts) for (g, source), counts in self.counts.items() if g == lang]
+            terms = sorted(docs)
+            shard = np.fromiter(map(zlib.crc32, terms), np.int64, len(terms)) % shards
+            dealt = np.argsort(shard, kind="stable")
+            terms, shard = [terms[k] for k in dealt.tolist()], shard[dealt]
+            place = dict(zip(terms, range(len(terms))))
+            at = np.concatenate([np.fromiter(map(place.__getitem__, counts), np.int64, len(counts)) for _, counts in own])
+            order = np.argsort(at, kind="stable")
+            counts = np.concatenate([np.fromiter(counts.values(), np.int64, len(counts)) for _, counts in own])[order]
+            sources = np.repeat(np.array([source for source, _ in own], object), [len(counts) for _, counts in own])[order]
+            docs = np.fromiter(map(docs.__getitem__, terms), np.int64, len(terms))
+            sizes = np.bincount(at, minlength=len(terms))
+            ends, stops = np.cumsum(sizes), np.searchsorted(shard, shard, "right")
+            first = 0
+            while first < len(terms):
+                a = int(ends[first] - sizes[first])
+                stop = min(int(np.searchsorted(ends, a + block)) + 1, int(stops[first]))
+                b = int(ends[stop - 1])
+                yield int(shard[first]), lang, terms[first], terms[first:stop], docs[first:stop], sizes[first:stop], sources[a:b], counts[a:b]
+                first = stop
         self.restart()
 
 
 def runs(docs: DataFrame, shards: int, text: str, lang: str, source: str, postings: int, block: int) -> DataFrame:
     """The blocks of all runs."""
 
+    def lists(parts: tuple, kind: pa.ListType) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts), kind.value_type))
+
     def packed(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), KINDS)], NAMES)
+        columns = list(zip(*rows))
+        whole = [pa.array(c, k) for c, k in zip(columns[:4], KINDS)]
+        return pa.RecordBatch.from_arrays([*whole, *(lists(c, k) for c, k in zip(columns[4:], KINDS[4:]))], NAMES)
 
     def spill(held: Postings) -> Iterator[pa.RecordBatch]:
         rows, n = [], 0
@@ -133,6 +142,14 @@ def runs(docs: DataFrame, shards: int, text: str, lang: str, source: str, postin
 OPENED = 64
 
 
+def listed(flat: pa.Array) -> list:
+    """Python values; the few distinct sources are made once."""
+    if pa.types.is_string(flat.type):
+        codes = flat.dictionary_encode()
+        return np.array(codes.dictionary.to_pylist(), object)[np.asarray(codes.indices)].tolist()
+    return flat.to_numpy(zero_copy_only=False).tolist()
+
+
 def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Rows of BLOCKS as Python values, a few at a time."""
     for batch in batches:
@@ -140,7 +157,7 @@ def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             part = batch.slice(a, OPENED)
             lists = []
             for column in part.columns[3:]:
-                flat, ends = column.flatten().to_pylist(), np.cumsum(column.value_lengths().to_numpy()).tolist()
+                flat, ends = listed(column.flatten()), np.cumsum(column.value_lengths().to_numpy()).tolist()
                 lists.append([flat[x:y] for x, y in zip([0, *ends], ends)])
             yield from zip(*(c.to_pylist() for c in part.columns[:3]), *lists)
 
