@@ -19,7 +19,7 @@ representative, the bucket minimum it shares most bands with. In a few turns, no
 another component are held against one other hub each. Last, the nodes outside a
 bucket's largest component are compared with the bucket's nodes of other
 components by size and a parity bitmap, an exact filter inside the join; only
-pairs that pass leave it to be verified.
+pairs that pass leave it to be verified, each from the first bucket that it shares.
 Nothing of a whole bucket is in one task: representatives are map-side minima,
 and a join by bucket broadcasts its smaller side behind a count or, past that, is
 a sorted join whose skewed buckets Spark splits. Probability of a pair at similarity 0.8 sharing
@@ -37,7 +37,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,8 +52,8 @@ WORD_CACHE = 100_000
 #: Rows of node ids up to which the texts to verify are found by a broadcast.
 BROADCAST_ROWS = 500_000
 
-#: The same for rows with parity bitmaps, about 200 bytes each.
-WIDE_ROWS = 50_000
+#: The same for rows with parity bitmaps and lists of bands, about 400 bytes each.
+WIDE_ROWS = 25_000
 
 #: 64-bit words of a node's parity bitmap.
 PARITY = 16
@@ -351,10 +351,17 @@ def hub_pairs(placed: DataFrame, turn: int, threshold: float) -> DataFrame:
 
 
 def stray_pairs(placed: DataFrame, threshold: float) -> DataFrame:
-    """Each bucket's nodes outside its largest component with all nodes of other components that may match."""
+    """Each bucket's nodes outside its largest component with all nodes of other components that may match, each pair once.
+
+    All buckets that two components share are mixed, so that a pair is there in the
+    first bucket that its nodes share, and comes out in that one alone.
+    """
     main = placed.groupBy("band", "comp").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"))
-    strays = prefixed(joined(placed, main, "band").where("comp != main").drop("main"), "s_")
-    found = joined(placed, strays, "band", bound=WIDE_ROWS).where((F.col("s_comp") != F.col("comp")) & may_match("s_", "", threshold))
+    before = F.collect_list("band").over(Window.partitionBy("key").orderBy("band").rowsBetween(Window.unboundedPreceding, -1))  # a node's bands at most
+    rows = joined(stored(placed.withColumn("before", before), "before"), main, "band").withColumn("stray", F.col("comp") != F.col("main")).drop("main")
+    strays = prefixed(rows.where("stray"), "s_")
+    once = ~F.arrays_overlap("s_before", "before") & (~F.col("stray") | (F.col("s_key") < F.col("key")))
+    found = joined(rows, strays, "band", bound=WIDE_ROWS).where((F.col("s_comp") != F.col("comp")) & may_match("s_", "", threshold) & once)
     return found.select(F.least("s_key", "key").alias("a"), F.greatest("s_key", "key").alias("b"))
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemograph.functions import text
-from mnemograph.llm import source_divergence
+from mnemograph.llm import near_dedup, source_divergence
 from mnemograph.operators import enrich, evaluate, graph, knn, ranking, retrieve, texts
 
 
@@ -196,3 +196,14 @@ def test_runs_of_postings(spark):
     batches = source_divergence.runs(d, 1, "text", "lang", "source", 10**6, 10**6).toArrow().to_batches()
     back = [s for row in source_divergence.opened(batches) for s in row[6] if row[1] == "en"]
     assert len({id(s) for s in back}) == len(set(back)) < len(back)
+
+
+def test_near_pairs_leave_their_first_bucket_alone(spark):
+    """Nodes of different components that share buckets are compared in the first alone, with strays on one or both sides."""
+    r = random.Random(2)
+    nodes = {n: (n // 4 if n < 20 else n, r.sample(range(-9, 9), r.randrange(1, 12))) for n in range(60)}
+    shape = ("n", "total", *(f"p{k}" for k in range(near_dedup.PARITY)))
+    d = spark.createDataFrame([(b, bytes([n]), bytes([c]), *[10] * 2, *[0] * near_dedup.PARITY) for n, (c, bands) in nodes.items() for b in bands], ", ".join(["band long", "key binary", "comp binary", *(f"{c} long" for c in shape)]))
+    got = [tuple(x[c][0] for c in "ab") for x in near_dedup.stray_pairs(near_dedup.mixed_only(d), 0.8).collect()]
+    want = {(i, j) for i in nodes for j in nodes if i < j and nodes[i][0] != nodes[j][0] and set(nodes[i][1]) & set(nodes[j][1])}
+    assert len(got) == len(set(got)) and set(got) == want
