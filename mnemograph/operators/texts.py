@@ -427,8 +427,11 @@ def gold_by_title(nested: DataFrame) -> tuple[DataFrame, DataFrame]:
     corpus(title, text), one row per title; gold(question, title) of the facts whose title is in the context.
     """
     c = nested.select("question", F.explode("context").alias("c")).select("question", "c.title", F.array_join("c.sentences", " ").alias("text"))
-    f = nested.select("question", F.explode("facts").alias("f")).select("question", "f.title").distinct()
-    return c.groupBy("title").agg(F.min("text").alias("text")), f.join(c.select("question", "title"), ["question", "title"], "left_semi")
+    named = lambda column, fact: F.transform(column, lambda x: F.struct(x["title"].alias("title"), F.lit(fact).alias("fact")))
+    both = F.flatten(F.array_compact(F.array(named("context", False), named("facts", True))))  # a row is opened once, for both
+    g = nested.where("question IS NOT NULL").select("question", F.explode(both).alias("g")).select("question", "g.title", "g.fact").where("title IS NOT NULL")
+    g = g.groupBy("question", "title").agg(F.bool_or("fact").alias("named"), F.bool_or(~F.col("fact")).alias("there"))
+    return c.groupBy("title").agg(F.min("text").alias("text")), g.where("named AND there").select("question", "title")
 
 
 def keyed_spans(docs: DataFrame, most: int = 10, context: int = 100) -> DataFrame:

@@ -207,3 +207,11 @@ def test_near_pairs_leave_their_first_bucket_alone(spark):
     got = [tuple(x[c][0] for c in "ab") for x in near_dedup.stray_pairs(near_dedup.mixed_only(d), 0.8).collect()]
     want = {(i, j) for i in nodes for j in nodes if i < j and nodes[i][0] != nodes[j][0] and set(nodes[i][1]) & set(nodes[j][1])}
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_gold_by_title_opens_a_row_once(spark):
+    rows = [(1, [("a", 0), ("b", 0), ("a", 1)], [("a", ["x"]), ("c", ["y"])]), (1, [("c", 0)], None), (2, None, [("a", ["z"])]), (None, [("a", 0)], [("a", ["z"])]), (3, [(None, 0)], [(None, ["z"])])]
+    d = spark.createDataFrame(rows, "question long, facts array<struct<title: string, i: int>>, context array<struct<title: string, sentences: array<string>>>")
+    _, gold = texts.gold_by_title(d)
+    assert sorted(map(tuple, gold.collect())) == [(1, "a"), (1, "c")]
+    assert "Join" not in plan(gold) and plan(gold).count("Generate") == 1
