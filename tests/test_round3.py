@@ -8,9 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mnemograph.functions import text
+from mnemograph.functions import text, vec
 from mnemograph.llm import near_dedup, source_divergence
 from mnemograph.operators import enrich, evaluate, graph, knn, ranking, retrieve, texts
+from mnemograph.plans import vectors
 
 
 def brute_fuzzy(left, right):
@@ -215,3 +216,55 @@ def test_gold_by_title_opens_a_row_once(spark):
     _, gold = texts.gold_by_title(d)
     assert sorted(map(tuple, gold.collect())) == [(1, "a"), (1, "c")]
     assert "Join" not in plan(gold) and plan(gold).count("Generate") == 1
+
+
+def test_links_by_pairs_of_pieces(spark):
+    """Tasks are as many as the pairs need, a pair is computed once for both directions, and the links are all of them."""
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(300, 5))
+    m[1], m[7] = m[0], 0
+    r = rng.uniform(0, 3, 300)
+    r[[20, 21, 22]] = 14, 14, np.inf
+    u = m / np.maximum(np.linalg.norm(m, axis=1)[:, None], 1e-300)
+    rows = [(i, v.tolist(), float(x)) for i, (v, x) in enumerate(zip(u, r))] + [(900, None, 1.0), (901, [1.0] * 5, None), (902, u[0].tolist(), float("nan"))]
+    d = spark.createDataFrame(rows, "id long, unit array<double>, radius double").repartition(2)
+    compared = spark.sparkContext.accumulator(0)
+    links = retrieve.hyperbolic_links(d, block=50, compared=compared, size=3000)
+    assert 10 <= links.rdd.getNumPartitions() <= 20
+    got = [(x["src"], x["dst"], x["distance"]) for x in links.collect()]
+    assert compared.value < 0.65 * 300**2
+    z = u * np.tanh(r / 2)[:, None]
+    s = (z * z).sum(1)
+    want = {(i, j): np.arccosh(1 + 2 * ((z[i] - z[j]) ** 2).sum() / ((1 - s[i]) * (1 - s[j]) + 1e-7)) for i in range(300) for j in range(300) if i != j}
+    want = {p: x for p, x in want.items() if x < 1.5}
+    assert len(got) == len(want) and {(i, j) for i, j, _ in got} == set(want)
+    assert all(abs(want[i, j] - x) < 1e-5 for i, j, x in got)
+
+
+@pytest.mark.parametrize("theta", [0.0, 0.3, 1.5, 6.0, 900.0])
+def test_near_pairs_by_tiles(theta, monkeypatch):
+    """A product decides as the distance does, at any threshold, near the boundary and beside a NaN."""
+    rng = np.random.default_rng(8)
+    m = rng.normal(size=(90, 3))
+    z = m / np.linalg.norm(m, axis=1)[:, None] * np.tanh(rng.choice([0.2, 1, 3, 9, 30], 90) / 2)[:, None]
+    z[5], z[6] = z[4], np.nan
+    u, v, uu = z[:50], z[20:], (z * z).sum(1)
+    monkeypatch.setattr(retrieve, "TILE", (16, 32))
+    got = {(int(i), int(j)): x for a, b, d, _ in retrieve.near_pairs(u, v, theta) for i, j, x in zip(a, b, d)}
+    d = np.arccosh(1 + 2 * np.maximum(uu[:50, None] + uu[None, 20:] - 2 * u @ v.T, 0) / ((1 - uu[:50])[:, None] * (1 - uu[20:])[None, :] + 1e-7))
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(d < theta))}
+    assert set(got) == want and all(abs(d[p] - x) < 1e-6 for p, x in got.items())
+
+
+def test_norm_is_summed_once(spark):
+    """unit() sums a vector's squares once, not once for each of its numbers."""
+    d = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None), (4, [])], "id long, v array<float>")
+    u = d.select("id", vec.unit(F.col("v")).alias("u"))
+    assert {r["id"]: r["u"] for r in u.collect()} == {1: [pytest.approx(0.6), pytest.approx(0.8)], 2: [0.0, 0.0], 3: None, 4: []}
+    assert plan(u).count("aggregate(") == 1
+
+
+def test_links_round_without_decimals(spark):
+    """jn7's distances are rounded as doubles: a decimal a row took most of a task."""
+    links = vectors.jn7_hyperbolic_links(spark, "/root/testdata/sf0.001")
+    assert "round(" not in plan(links) and all(abs(r["distance"] * 1e5 - round(r["distance"] * 1e5)) < 1e-9 * 1e5 for r in links.limit(200).collect())
