@@ -268,3 +268,20 @@ def test_links_round_without_decimals(spark):
     """jn7's distances are rounded as doubles: a decimal a row took most of a task."""
     links = vectors.jn7_hyperbolic_links(spark, "/root/testdata/sf0.001")
     assert "round(" not in plan(links) and all(abs(r["distance"] * 1e5 - round(r["distance"] * 1e5)) < 1e-9 * 1e5 for r in links.limit(200).collect())
+
+
+def test_lists_by_tasks_of_bounded_size(spark):
+    """As many tasks as the pairs need; lists that are too many to be held are made by halves, in the same order."""
+    rng = np.random.default_rng(10)
+    m = rng.normal(size=(130, 3))
+    r = rng.choice([0.5, 1.0, 2.0, 13.0], 130)
+    r[3] = np.nan
+    d = spark.createDataFrame([(i, (v / np.linalg.norm(v)).tolist(), float(x)) for i, (v, x) in enumerate(zip(m, r))], "id long, unit array<double>, radius double")
+    want = {}
+    for x in sorted(retrieve.hyperbolic_links(d, block=32).collect(), key=lambda x: (np.floor(x["distance"] * 1e6 + 0.5), x["dst"])):
+        want.setdefault(x["src"], []).append(x["dst"])
+    lists = retrieve.hyperbolic_links(d, block=32, lists=True, size=1000, most=150)
+    got = [tuple(x) for x in lists.collect()]
+    assert lists.rdd.getNumPartitions() == -(-130 // 7) and len(got) == len(want) and dict(got) == want
+    assert max(map(len, want.values())) * 7 > 150
+    assert retrieve.hyperbolic_links(d.limit(0), lists=True).count() == 0
