@@ -155,7 +155,7 @@ def emotion_vector(response: Column) -> Column:
     """Unit vector of the scores in a model's response: JSON, else name by name; uniform where all are 0. The response is parsed once."""
     text = F.regexp_extract(response, r"\{[^{}]*\}", 0)
     parsed = F.from_json(F.when(text != "", text).otherwise(response), "map<string,double>")
-    by_name = lambda e: F.nullif(F.regexp_extract(response, rf'"{e}"\s*:\s*([0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?)', 1), F.lit("")).cast("double")
+    by_name = lambda e: F.nullif(F.regexp_extract(response, rf'"{e}"\s*:\s*(-?[0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?)', 1), F.lit("")).cast("double")
     raw = bound(parsed, lambda found: F.array(*(F.coalesce(F.when(found.isNotNull(), found[e]).otherwise(by_name(e)), F.lit(0.0)) for e in EMOTIONS)))
     even = F.array_repeat(F.lit(1.0 / len(EMOTIONS)), len(EMOTIONS))
     unit = lambda v, size: F.when(size > 0, F.transform(v, lambda x: x / size)).otherwise(even)
