@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemograph.functions import text
-from mnemograph.operators import graph, walk
+from mnemograph.operators import graph, knn, walk
 from mnemograph.plans import graphs
 
 
@@ -48,3 +48,13 @@ def test_resets_without_a_walk(spark, monkeypatch):
         monkeypatch.setattr(walk, name, lambda *_, **__: pytest.fail("walked"))
     monkeypatch.setattr(graph, "synonym_edges", lambda *_, **__: pytest.fail("synonyms"))
     graphs.gr4_dense_reset(spark, "/root/testdata/sf0.001")
+
+
+def test_search_keeps_the_best_over_a_threshold(spark):
+    """With both k and least, no more than k keys a query leave a task and none under least, so that synonyms don't grow with the square."""
+    m = np.random.default_rng(12).normal(size=(60, 3))
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, vec array<double>").coalesce(1)
+    got = knn.search(d.selectExpr("id AS qid", "vec AS qvec"), d, k=5, least=0.9).collect()
+    want = {(i, j) for i in range(60) for j in sorted((j for j in range(60) if j != i and m[i] @ m[j] >= 0.9), key=lambda j: -m[i] @ m[j])[:5]}
+    assert {(r["qid"], r["id"]) for r in got} == want and len(want) < 300
